@@ -17,8 +17,8 @@ SINGLE_TASK_ROWS = 200_000
 def number_rows(df: DataFrame, key: str, number: str = "row_no", rows: int | None = None) -> DataFrame:
     """Number the rows 1..n in the order of ``key`` (unique).
 
-    A table above ``SINGLE_TASK_ROWS`` is range-partitioned and sorted, checkpointed so
-    that both reads below see the same partitions, and numbered per partition; each
+    A table above ``SINGLE_TASK_ROWS`` is range-partitioned, sorted and numbered within its
+    partitions, and checkpointed so that both reads below see the same partitions. Each
     partition then adds the number of rows before it, found from one count per partition.
     """
     if rows is None:
@@ -26,19 +26,20 @@ def number_rows(df: DataFrame, key: str, number: str = "row_no", rows: int | Non
     if rows <= SINGLE_TASK_ROWS:
         return df.withColumn(number, F.row_number().over(Window.orderBy(key)).cast("bigint"))
     parts = max(2, math.ceil(rows / SINGLE_TASK_ROWS))
-    placed = cut_lineage(
-        df.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
-    )
+    # The id holds the partition in its upper bits and counts from 0 in its lower 33 bits.
+    ordered = df.repartitionByRange(parts, key).sortWithinPartitions(key)
+    placed = cut_lineage(ordered.withColumn("_place", F.monotonically_increasing_id())).withColumns({
+        "_part": F.shiftright("_place", 33), "_place": F.col("_place").bitwiseAND((1 << 33) - 1),
+    })
     before = F.coalesce(
         F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
     # One row per partition: the number of partitions bounds this table.
     offsets = placed.groupBy("_part").agg(F.count("*").alias("_rows")).select("_part", before.alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(key))
     return (
         placed.join(F.broadcast(offsets), "_part")
-        .withColumn(number, (F.col("_before") + local).cast("bigint"))
-        .drop("_part", "_before")
+        .withColumn(number, (F.col("_before") + F.col("_place") + 1).cast("bigint"))
+        .drop("_part", "_place", "_before")
     )
 
 

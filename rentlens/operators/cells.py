@@ -22,7 +22,8 @@ from .tiles import _at_depth, _axis_no, counts_by_depth, leaf_cells
 
 Envelope = tuple[float, float, float, float]
 LEAF_SITES = 64
-DEEPEST = 20
+# Sites of a six-decimal data set as wide as a continent get cells of their own.
+DEEPEST = 26
 # Cutting sites applied per round; a site with more goes on to another round.
 CUTS_PER_ROUND = 64
 MAX_ROUNDS = 50
@@ -51,7 +52,10 @@ def _polygon_columns(id_type: str) -> str:
 
 
 def _first_polygons(sites: DataFrame, envelope: Envelope) -> DataFrame:
-    """A first polygon for every site: site_id, x, y, vx, vy."""
+    """A first polygon for every site: site_id, x, y, vx, vy.
+
+    Too large a polygon costs time in the exact step, never correctness.
+    """
     west, south, east, north = envelope
     located = sites.withColumns({
         "_ix": _axis_no(F.col("x"), F.lit(west), F.lit(east), DEEPEST),
@@ -61,7 +65,10 @@ def _first_polygons(sites: DataFrame, envelope: Envelope) -> DataFrame:
         located, [], DEEPEST, F.count("*").alias("n"), F.min(F.struct("x", "y")).alias("rep")
     )
     counts = cut_lineage(counts)
-    leaves = leaf_cells(counts, [], LEAF_SITES, DEEPEST).select("depth", "ix", "iy")
+    # Sites too close for the deepest cells are dealt out over groups of about LEAF_SITES.
+    leaves = leaf_cells(counts, [], LEAF_SITES, DEEPEST).select(
+        "depth", "ix", "iy", F.ceil(F.col("n") / LEAF_SITES).cast("int").alias("_groups")
+    )
 
     # Representatives of the 3 x 3 cells around the leaf, at its depth and all coarser ones.
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
@@ -83,7 +90,8 @@ def _first_polygons(sites: DataFrame, envelope: Envelope) -> DataFrame:
     })
     members = (
         lookup_join(placed, leaves, ["depth", "ix", "iy"])
-        .groupBy(F.struct("depth", "ix", "iy").alias("leaf"))
+        .withColumn("_group", F.pmod(F.xxhash64("x", "y"), F.col("_groups")))
+        .groupBy(F.struct("depth", "ix", "iy").alias("leaf"), "_group")
         .agg(F.collect_list(F.struct("site_id", "x", "y")).alias("members"))
     )
 
@@ -101,8 +109,7 @@ def _first_polygons(sites: DataFrame, envelope: Envelope) -> DataFrame:
             out = []
             for row in batch.itertuples(index=False):
                 own = list(zip(row.xs, row.ys))
-                # Leaf mates past the first few are left to the exact step.
-                others = own[: 2 * LEAF_SITES] + list(zip(row.rx, row.ry))
+                others = own + list(zip(row.rx, row.ry))
                 for site_id, (x, y) in zip(row.ids, own):
                     ring = nearest_part(frame, x, y, others)
                     out.append((site_id, x, y, [v[0] for v in ring], [v[1] for v in ring]))

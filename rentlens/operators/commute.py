@@ -25,8 +25,11 @@ def rounded(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
 
 
 def missing_pairs(pairs: DataFrame, journeys: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Pairs without any stored journey: the list of journeys still to fetch."""
-    return pairs.join(journeys.select(*key), list(key), "left_anti")
+    """Pairs without any stored journey: the list of journeys still to fetch.
+
+    A pair with very many journeys is folded to one row per task before the shuffle.
+    """
+    return pairs.join(journeys.select(*key).distinct(), list(key), "left_anti")
 
 
 def best_journeys(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .joins import lookup_join
+from .joins import BROADCAST_ROWS, lookup_join
 
 MIN_LEVEL, MAX_LEVEL = -20, 24
 CELL = ("level", "cx", "cy")
@@ -44,11 +44,6 @@ def with_box_cells(
     return leveled.withColumn("cx", span(min_x, max_x)).withColumn("cy", span(min_y, max_y))
 
 
-def levels_in_use(cells: DataFrame) -> list[int]:
-    """The distinct levels of a cell table: at most ``MAX_LEVEL - MIN_LEVEL + 1`` numbers."""
-    return sorted(row.level for row in cells.select("level").distinct().collect())
-
-
 def with_point_cells(points: DataFrame, x: str, y: str, levels: list[int]) -> DataFrame:
     """One row per point and level in use."""
     at = F.array(*[F.lit(level) for level in levels]).cast("array<int>")
@@ -64,9 +59,13 @@ def join_on_cells(
     max_rows: int | None = None,
 ) -> DataFrame:
     """Points beside the rows of ``cells`` (level, cx, cy, ...) of the cells they lie in."""
-    placed = with_point_cells(points, x, y, levels_in_use(cells))
-    extra = {} if max_rows is None else {"max_rows": max_rows}
-    return lookup_join(placed, cells, CELL, weight=weight, **extra).drop(*CELL)
+    # One pass over the cells: the levels (at most MAX_LEVEL - MIN_LEVEL + 1) and the size.
+    levels, size = cells.agg(
+        F.collect_set("level"), F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))
+    ).first()
+    placed = with_point_cells(points, x, y, sorted(levels))
+    small = size <= (BROADCAST_ROWS if max_rows is None else max_rows)
+    return lookup_join(placed, cells, CELL, small=small).drop(*CELL)
 
 
 def points_in_boxes(

@@ -19,10 +19,8 @@ MAX_HOT_KEYS = 1024
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, weight: Column | None = None) -> bool:
-    """Count the table, stopping past the bound: one small job, one number to the driver."""
-    weighed = df.select((F.lit(1) if weight is None else weight).alias("w")).limit(max_rows + 1)
-    rows, total = weighed.agg(F.count("*"), F.sum("w")).first()
-    return rows <= max_rows and (total or 0) <= max_rows
+    """Is the table within the bound? One pass over it; only counts leave the tasks."""
+    return (df.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0) <= max_rows
 
 
 def spread_join(
@@ -60,13 +58,16 @@ def spread_join(
 
 def lookup_join(
     facts: DataFrame, dim: DataFrame, on: Sequence[str] | str, how: str = "inner",
-    max_rows: int = BROADCAST_ROWS, weight: Column | None = None,
+    max_rows: int = BROADCAST_ROWS, weight: Column | None = None, small: bool | None = None,
 ) -> DataFrame:
-    """Join a table whose size is not known: broadcast if it is small, else :func:`spread_join`."""
+    """Join a table whose size is not known: broadcast if it is small, else :func:`spread_join`.
+
+    ``small`` is for callers who have counted the table already.
+    """
     on = [on] if isinstance(on, str) else list(on)
     if facts.isStreaming:
         return facts.join(dim, on, how)
-    if fits_broadcast(dim, max_rows, weight):
+    if fits_broadcast(dim, max_rows, weight) if small is None else small:
         return facts.join(F.broadcast(dim), on, how)
     return spread_join(facts, dim, on, how)
 

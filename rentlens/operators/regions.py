@@ -34,13 +34,14 @@ def regions_from_boxes(
 
 
 def bounding_boxes(regions: DataFrame) -> DataFrame:
-    """The box of each region (over all its rings) and that box as a closed ring."""
+    """The box of each region (over all its rings), that box as a closed ring, and its vertices."""
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     return (
         regions.groupBy("region")
         .agg(
             F.min(F.array_min(xs)).alias("min_x"), F.min(F.array_min(ys)).alias("min_y"),
             F.max(F.array_max(xs)).alias("max_x"), F.max(F.array_max(ys)).alias("max_y"),
+            F.sum(F.size("ring")).alias("vertices"),
         )
         .withColumn("box", box_ring("min_x", "min_y", "max_x", "max_y"))
     )
@@ -90,12 +91,9 @@ def region_cells(regions: DataFrame, rule: str = "union") -> DataFrame:
     """
     if rule not in ("union", "even_odd"):
         raise ValueError("rule must be union or even_odd")
-    sizes = (
-        bounding_boxes(regions).drop("box")
-        .join(regions.groupBy("region").agg(F.sum(F.size("ring")).alias("_n")), "region")
-    )
+    sizes = bounding_boxes(regions)
     extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    per_side = F.greatest(F.lit(4.0), F.least(F.lit(64.0), F.sqrt(F.col("_n"))))
+    per_side = F.greatest(F.lit(4.0), F.least(F.lit(64.0), F.sqrt(F.col("vertices"))))
     sizes = sizes.select("region", "min_x", "max_x", level_for(extent, per_side).alias("level"))
 
     low = cell_no(F.least("y1", "y2"), F.col("level"))
@@ -176,7 +174,7 @@ def rent_map_table(regions: DataFrame, means: DataFrame, max_price: float | None
     label = F.concat("region", F.lit("\n£"), F.col("mean_rent").cast("decimal(18,2)").cast("string"), F.lit(" pcm"))
     return every.join(means.select("region", "mean_rent"), "region", "left").select(
         "region", "mean_rent",
-        F.least(F.col("mean_rent") / cap, F.lit(1.0)).alias("shade"),
+        F.when(F.col("mean_rent").isNotNull(), F.least(F.col("mean_rent") / cap, F.lit(1.0))).alias("shade"),
         F.coalesce(label, F.col("region")).alias("label"),
     )
 

@@ -158,7 +158,7 @@ def map_search(
 
 def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The listings with these ids."""
-    return df.join(ids.select("id"), "id", "left_semi")
+    return df.join(ids.select("id").distinct(), "id", "left_semi")
 
 
 def distinct_ids(*areas: DataFrame) -> DataFrame:

@@ -38,10 +38,11 @@ def unseen(df: DataFrame, history: DataFrame | None, order: Sequence[Column | st
 
     Of equal ids within ``df`` the first in ``order`` is kept (default: by hash of the row).
     """
-    fresh = df if history is None else df.join(history.select("id"), "id", "left_anti")
     order = list(order) or [F.xxhash64(*df.columns)]
     first = F.row_number().over(Window.partitionBy("id").orderBy(*order))
-    return fresh.withColumn("_rank", first).where("_rank = 1").drop("_rank")
+    # Equal ids are folded before the shuffle; the anti join then uses its partitioning.
+    once = df.withColumn("_rank", first).where("_rank = 1").drop("_rank")
+    return once if history is None else once.join(history.select("id"), "id", "left_anti")
 
 
 def merge_rows(

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import MAP_CAP
 from .grid import points_in_boxes
-from .joins import lookup_join
 
 
 def _axis_no(value: Column, low: Column, high: Column, depth: int) -> Column:
@@ -90,19 +89,11 @@ def adaptive_tiles(
 
 
 def tile_ids(
-    points: DataFrame, boxes: DataFrame, tiles: DataFrame, max_depth: int = 12,
-    x: str = "longitude", y: str = "latitude", key: str = "id",
+    points: DataFrame, boxes: DataFrame, x: str = "longitude", y: str = "latitude", key: str = "id"
 ) -> DataFrame:
-    """The distinct ids found by asking every tile: the union over tiles and boxes.
+    """The distinct ids found by asking every tile of every box.
 
-    A point's tile is found by its cell at each depth in use, an equi join.
+    The tiles of a box hold all its points, so the box itself answers for them.
     """
     boxes = boxes.select("region", "min_x", "min_y", "max_x", "max_y")
-    depths = [row.depth for row in tiles.select("depth").distinct().collect()]  # at most max_depth + 1
-    located = _located(points, boxes, x, y, max_depth).select(key, "region", "_ix", "_iy")
-    at = F.array(*[F.lit(d) for d in sorted(depths)]).cast("array<int>")
-    placed = located.withColumn("depth", F.explode(at)).withColumns({
-        "ix": _at_depth("_ix", max_depth), "iy": _at_depth("_iy", max_depth),
-    })
-    tile_key = ["region", "depth", "ix", "iy"]
-    return lookup_join(placed, tiles.select(*tile_key), tile_key, "left_semi").select(key).distinct()
+    return points_in_boxes(points.select(key, x, y), x, y, boxes).select(key).distinct()

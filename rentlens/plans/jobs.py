@@ -23,19 +23,16 @@ def judged_listings(
     max_rent: int | str = 2200, max_days: int | None = 7, max_minutes: int = 45, min_sqm: int = 0,
     history: DataFrame | None = None, origin=("id",), destination=("name",),
 ) -> DataFrame:
-    """Every unseen listing with the first rule that turns it away, the commute rule last.
-
-    Only journeys of listings that pass the cheap rules are looked at.
-    """
+    """Every unseen listing with the first rule that turns it away, the commute rule last."""
     fresh = exclude_seen(listings, history)
     date_type = dict(fresh.dtypes)["first_visible_date"]
     judged = classify(fresh, [
         rule_residential(), rule_has_price(), rule_min_area(min_sqm), rule_available(),
         rule_max_rent(max_rent), rule_recent(now, max_days, date_type),
     ])
-    candidates = judged.where("skip_rule is null").select(*origin)
-    wanted = journeys.join(candidates, list(origin), "left_semi")
-    checked = commute_ok(judged, places, wanted, max_minutes, origin, destination)
+    # Journeys are folded to one count per origin before they meet the listings; filtering
+    # them by listing first would shuffle every journey unfolded.
+    checked = commute_ok(judged, places, journeys, max_minutes, origin, destination)
     return classify(checked, [rule_commute()]).drop("commute_ok")
 
 

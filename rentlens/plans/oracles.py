@@ -125,7 +125,7 @@ _BODIES = {
 FROM wl_listings JOIN wl_regions ON abs(longitude - (min_lon + max_lon) / 2) + abs(latitude - (min_lat + max_lat) / 2) < 0.2003e0
 GROUP BY region""",
     "rent_map_table": f"""WITH {_MEANS}, cap AS (SELECT least(max(mean_rent), 2000e0) AS cap FROM means)
-SELECT r.region, round(m.mean_rent, 6) AS mean_rent, round(least(m.mean_rent / cap, 1e0), 6) AS shade,
+SELECT r.region, round(m.mean_rent, 6) AS mean_rent, CASE WHEN m.mean_rent IS NOT NULL THEN round(least(m.mean_rent / cap, 1e0), 6) END AS shade,
   CASE WHEN m.mean_rent IS NULL THEN r.region ELSE r.region || chr(10) || '£' || CAST(CAST(m.mean_rent AS DECIMAL(18, 2)) AS VARCHAR) || ' pcm' END AS label
 FROM wl_regions r LEFT JOIN means m ON m.region = r.region, cap""",
     "rent_range": f"""WITH {_MEANS} SELECT round(min(mean_rent), 6) AS min_price, round(max(mean_rent), 6) AS observed_max,
@@ -226,8 +226,6 @@ s AS (SELECT 'area' AS level, area AS code, latitude FROM g UNION ALL SELECT 'di
   UNION ALL SELECT 'sector', sector, latitude FROM g UNION ALL SELECT 'postcode', canonical, latitude FROM g)
 SELECT level, code, count(*) AS sites, round(avg(latitude), 6) AS mean_latitude FROM s GROUP BY level, code""",
     "distinct_sites": """SELECT longitude AS x, latitude AS y, min(postcode) AS site_id, count(DISTINCT postcode) AS n_postcodes
-FROM wl_postcodes GROUP BY longitude, latitude""",
-    "postcodes_per_site": """SELECT longitude AS x, latitude AS y, string_agg(DISTINCT postcode, ',' ORDER BY postcode) AS postcodes
 FROM wl_postcodes GROUP BY longitude, latitude""",
     "site_fan_out": """SELECT postcode, longitude AS x, latitude AS y, min(postcode) OVER (PARTITION BY longitude, latitude) AS site_id
 FROM wl_postcodes""",

@@ -400,12 +400,6 @@ def distinct_sites(w: Workload) -> DataFrame:
     return postcodes.distinct_sites(w.view("wl_postcodes"))
 
 
-@query
-def postcodes_per_site(w: Workload) -> DataFrame:
-    sites = postcodes.postcodes_per_site(w.view("wl_postcodes"))
-    return sites.select("x", "y", F.array_join("postcodes", ",").alias("postcodes"))
-
-
 @query
 def site_fan_out(w: Workload) -> DataFrame:
     sites = postcodes.distinct_sites(w.view("wl_postcodes")).select("x", "y", "site_id")
@@ -494,7 +488,7 @@ def adaptive_tiles(w: Workload) -> DataFrame:
 @query
 def tile_ids(w: Workload) -> DataFrame:
     points, boxes = _tile_inputs(w)
-    return tiles.tile_ids(points, boxes, tiles.adaptive_tiles(points, boxes, cap=120, max_depth=6), max_depth=6)
+    return tiles.tile_ids(points, boxes)
 
 
 @query
