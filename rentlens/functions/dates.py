@@ -31,6 +31,18 @@ def literal_micros(moment: dt.datetime) -> int:
     return (moment - epoch) // dt.timedelta(microseconds=1)
 
 
+def moment(value: dt.datetime, type_name: str = "timestamp") -> Column:
+    """A Python datetime (naive: UTC) as a constant of a column's type.
+
+    Comparing the bare column with it is a filter that reaches the scan.
+    """
+    if _is_zoneless(type_name):
+        if value.tzinfo is not None:
+            value = value.astimezone(dt.timezone.utc).replace(tzinfo=None)
+        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
+    return F.timestamp_micros(F.lit(literal_micros(value)))
+
+
 def whole_days_between(earlier, now: dt.datetime, type_name: str = "timestamp") -> Column:
     """Whole 24-hour days from ``earlier`` to ``now``, rounded down."""
     return F.floor((F.lit(literal_micros(now)) - instant_micros(earlier, type_name)) / DAY_MICROS)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import whole_days_between
+from ..functions import moment, whole_days_between
 from .joins import lookup_join
 from .listings import with_floor_area, with_monthly_rent
 
@@ -60,7 +60,10 @@ def rule_max_rent(cap: int | float | str) -> Rule:
 def rule_recent(now: dt.datetime, max_days: int | None, type_name: str = "timestamp") -> Rule:
     """No limit (None or 0) and listings without a date pass. ``now`` is always given."""
     days = whole_days_between("first_visible_date", now, type_name)
-    rejects = days > max_days if max_days else F.lit(False)
+    rejects = F.lit(False)
+    if max_days:
+        # More than max_days whole days: at least max_days + 1 days ago.
+        rejects = F.col("first_visible_date") <= moment(now - dt.timedelta(days=max_days + 1), type_name)
     reason = F.concat(F.lit("added "), days.cast("string"), F.lit(" days ago"))
     return Rule("recent", rejects, reason)
 
@@ -97,8 +100,15 @@ def classify(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 
 def suitable(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """The accepted listings."""
-    return classify(df, rules).where(F.col("skip_rule").isNull()).drop("skip_rule", "skip_reason")
+    """The accepted listings.
+
+    Only the verdict is needed, so each rule is a filter of its own and the simple ones
+    reach the scan.
+    """
+    df = _with_inputs(df)
+    for rule in rules:
+        df = df.where(rule.rejects.isNull() | ~rule.rejects)
+    return df
 
 
 def funnel(classified: DataFrame) -> DataFrame:

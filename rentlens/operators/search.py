@@ -8,8 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import instant_micros, planar_distance
-from ..functions.dates import DAY_MICROS, literal_micros
+from ..functions import instant_micros, moment, planar_distance
 from ..schemas import (
     CHANNELS, DONT_SHOW, FURNISH_TYPES, LIST_CAP, LOOKUP_LIMIT, MAP_CAP, MUST_HAVE, PROPERTY_TYPES,
 )
@@ -81,8 +80,8 @@ class ListingQuery:
         if self.max_days_since_added is not None:
             if as_of is None:
                 raise ValueError("max_days_since_added needs as_of")
-            oldest = literal_micros(as_of) - self.max_days_since_added * DAY_MICROS
-            terms.append(instant_micros("first_visible_date", date_type) >= oldest)
+            oldest = moment(as_of - dt.timedelta(days=self.max_days_since_added), date_type)
+            terms.append(F.col("first_visible_date") >= oldest)
         terms += self._keyword_terms("keywords" in columns)
         condition = F.lit(True)
         for term in terms:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.joins import lookup_join
-from ..operators.rules import Rule, classify, exclude_seen
+from ..operators.rules import Rule, exclude_seen, suitable
 from ..operators.snapshots import latest_per_key
 
 
@@ -48,7 +48,7 @@ def stream_suitable(
     fresh = exclude_seen(stream, history)
     if commute is not None:
         fresh = lookup_join(fresh, commute, "id", "left")
-    return classify(fresh, rules).where(F.col("skip_rule").isNull()).drop("skip_rule", "skip_reason", "commute_ok")
+    return suitable(fresh, rules).drop("commute_ok")
 
 
 def start_append(stream: DataFrame, path: str, checkpoint: str, drain: bool = False) -> StreamingQuery:

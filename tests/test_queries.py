@@ -57,6 +57,8 @@ def test_scan_reads_only_what_is_needed(spark):
 def test_filter_reaches_the_scan(spark):
     plan = plan_of(queries()["map_total"](spark, SMALLEST))
     assert "o_custkey" not in plan.split("ReadSchema")[1].split("\n")[0]
+    plan = plan_of(queries()["suitable"](spark, SMALLEST))
+    assert "IsNull(o_orderdate)" in plan and "GreaterThan(o_orderdate" in plan
     plan = plan_of(queries()["search_most_recent"](spark, SMALLEST))
     assert "GreaterThanOrEqual(o_orderdate" in plan
 
