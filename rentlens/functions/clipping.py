@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import numpy as np
 
 # Vertices closer than this share of the polygon's reach are one vertex.
 SAME_VERTEX = 1e-12
 
+Ring = list[tuple[float, float]]
 
-def _cut(polygon: list[tuple[float, float]], mx: float, my: float, dx: float, dy: float):
-    """The part of a convex polygon on the near side of the line through m, normal d."""
+
+def _reach(ring: Ring, x: float, y: float) -> float:
+    return max((vx - x) * (vx - x) + (vy - y) * (vy - y) for vx, vy in ring)
+
+
+def _cut(ring: Ring, mx: float, my: float, dx: float, dy: float) -> Ring:
+    """The part of a convex ring on the near side of the line through m, normal d."""
+    sides = [(vx - mx) * dx + (vy - my) * dy for vx, vy in ring]
+    if max(sides) <= 0.0:
+        return ring
     kept = []
-    px, py = polygon[-1]
-    side = (px - mx) * dx + (py - my) * dy
-    for qx, qy in polygon:
-        next_side = (qx - mx) * dx + (qy - my) * dy
+    (px, py), side = ring[-1], sides[-1]
+    for (qx, qy), next_side in zip(ring, sides):
         if (side <= 0.0) != (next_side <= 0.0):
             share = side / (side - next_side)
             kept.append((px + share * (qx - px), py + share * (qy - py)))
@@ -24,29 +31,29 @@ def _cut(polygon: list[tuple[float, float]], mx: float, my: float, dx: float, dy
     return kept
 
 
-def nearest_part(
-    polygon: Sequence[tuple[float, float]], x: float, y: float, others: Sequence[tuple[float, float]]
-) -> list[tuple[float, float]]:
-    """The part of ``polygon`` nearer to (x, y) than to any of ``others``.
+def nearest_part(ring: Ring, x: float, y: float, ox: np.ndarray, oy: np.ndarray) -> Ring:
+    """The part of ``ring`` nearer to (x, y) than to any of the points (ox, oy).
 
-    Others are taken nearest first; one at twice the distance of the farthest vertex
-    cannot cut any more, and neither can those after it.
+    They are taken nearest first; one at twice the distance of the farthest vertex cannot
+    cut any more, and neither can those after it. A point at (x, y) itself cuts nothing.
     """
-    polygon = list(polygon)
-    ordered = sorted(((ox - x) ** 2 + (oy - y) ** 2, ox, oy) for ox, oy in others)
-    reach = max((vx - x) ** 2 + (vy - y) ** 2 for vx, vy in polygon)
-    for far, ox, oy in ordered:
-        if far == 0.0:
-            continue
-        if far >= 4.0 * reach:
+    far = (ox - x) ** 2 + (oy - y) ** 2
+    reach = _reach(ring, x, y)
+    for i in np.argsort(far):
+        distance = far[i]
+        if distance >= 4.0 * reach:
             break
-        cut = _cut(polygon, (x + ox) / 2, (y + oy) / 2, ox - x, oy - y)
-        limit = SAME_VERTEX**2 * reach
+        if distance == 0.0:
+            continue
+        dx, dy = float(ox[i]) - x, float(oy[i]) - y
+        cut = _cut(ring, x + dx / 2, y + dy / 2, dx, dy)
+        if cut is ring:
+            continue
+        limit = SAME_VERTEX * SAME_VERTEX * reach
         thin = [
-            v for i, v in enumerate(cut)
-            if (v[0] - cut[i - 1][0]) ** 2 + (v[1] - cut[i - 1][1]) ** 2 > limit
+            v for k, v in enumerate(cut)
+            if (v[0] - cut[k - 1][0]) ** 2 + (v[1] - cut[k - 1][1]) ** 2 > limit
         ]
         if len(thin) >= 3:
-            polygon = thin
-            reach = max((vx - x) ** 2 + (vy - y) ** 2 for vx, vy in polygon)
-    return polygon
+            ring, reach = thin, _reach(thin, x, y)
+    return ring

@@ -9,8 +9,10 @@ however dense or sparse the sites are around it.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -26,7 +28,8 @@ LEAF_SITES = 64
 DEEPEST = 26
 # Cutting sites applied per round; a site with more goes on to another round.
 CUTS_PER_ROUND = 64
-MAX_ROUNDS = 50
+# Sites per task: clipping is bound by the processor, so tasks are sized by their sites.
+SITES_PER_TASK = 10_000
 # A circle must be entered by more than rounding error to count as a cut.
 CUT_MARGIN = 1.0 - 1e-10
 
@@ -51,7 +54,11 @@ def _polygon_columns(id_type: str) -> str:
     return f"site_id {id_type}, x double, y double, vx array<double>, vy array<double>"
 
 
-def _first_polygons(sites: DataFrame, envelope: Envelope) -> DataFrame:
+def _tasks(sites: int) -> int:
+    return max(1, math.ceil(sites / SITES_PER_TASK))
+
+
+def _first_polygons(sites: DataFrame, envelope: Envelope, n_sites: int) -> DataFrame:
     """A first polygon for every site: site_id, x, y, vx, vy.
 
     Too large a polygon costs time in the exact step, never correctness.
@@ -98,7 +105,7 @@ def _first_polygons(sites: DataFrame, envelope: Envelope) -> DataFrame:
     def unzip(array: str, field: str) -> Column:
         return F.transform(array, lambda p: p[field])
 
-    rows = members.join(reps, "leaf").select(
+    rows = members.join(reps, "leaf").repartition(_tasks(n_sites), "leaf", "_group").select(
         unzip("members", "site_id").alias("ids"), unzip("members", "x").alias("xs"),
         unzip("members", "y").alias("ys"), unzip("reps", "x").alias("rx"), unzip("reps", "y").alias("ry"),
     )
@@ -108,10 +115,9 @@ def _first_polygons(sites: DataFrame, envelope: Envelope) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                own = list(zip(row.xs, row.ys))
-                others = own + list(zip(row.rx, row.ry))
-                for site_id, (x, y) in zip(row.ids, own):
-                    ring = nearest_part(frame, x, y, others)
+                ox, oy = np.concatenate([row.xs, row.rx]), np.concatenate([row.ys, row.ry])
+                for site_id, x, y in zip(row.ids, row.xs.tolist(), row.ys.tolist()):
+                    ring = nearest_part(frame, x, y, ox, oy)
                     out.append((site_id, x, y, [v[0] for v in ring], [v[1] for v in ring]))
             yield pd.DataFrame(out, columns=["site_id", "x", "y", "vx", "vy"])
 
@@ -132,20 +138,24 @@ def _with_reach(polygons: DataFrame) -> DataFrame:
 
 
 def _cutting_sites(polygons: DataFrame, sites: DataFrame) -> DataFrame:
-    """Per polygon the nearest sites that can still cut it, one more than a round applies."""
+    """Per polygon the sites that can still cut it, the deepest first.
+
+    One more than a round applies is kept, as the sign that there are others.
+    """
     others = sites.select(F.col("x").alias("ox"), F.col("y").alias("oy"))
-    met = points_in_boxes(others, "ox", "oy", _with_reach(polygons))
-    circles = F.arrays_zip("vx", "vy", "_r")
-    enters = F.exists(circles, lambda c: (
-        (c["vx"] - F.col("ox")) * (c["vx"] - F.col("ox")) + (c["vy"] - F.col("oy")) * (c["vy"] - F.col("oy"))
-        < c["_r"] * c["_r"] * F.lit(CUT_MARGIN)
-    ))
-    far = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
-    cutting = met.select("site_id", "x", "y", "vx", "vy", "_r", "ox", "oy").where(enters).withColumn("_far", far).where("_far > 0")
-    rank = F.row_number().over(Window.partitionBy("site_id").orderBy("_far", "ox", "oy"))
+    met = points_in_boxes(others, "ox", "oy", _with_reach(polygons), per_side=3)
+    # Squared distance to a vertex over the squared radius of its circle: below 1 is inside.
+    depth = F.array_min(F.transform(F.arrays_zip("vx", "vy", "_r"), lambda c: F.try_divide(
+        (c["vx"] - F.col("ox")) * (c["vx"] - F.col("ox")) + (c["vy"] - F.col("oy")) * (c["vy"] - F.col("oy")),
+        c["_r"] * c["_r"],
+    )))
+    cutting = (
+        met.where((F.col("x") != F.col("ox")) | (F.col("y") != F.col("oy")))
+        .select("site_id", "ox", "oy", depth.alias("_depth")).where(F.col("_depth") < CUT_MARGIN)
+    )
+    rank = F.row_number().over(Window.partitionBy("site_id").orderBy("_depth", "ox", "oy"))
     return (
-        cutting.select("site_id", "ox", "oy", "_far").withColumn("_rank", rank)
-        .where(F.col("_rank") <= CUTS_PER_ROUND + 1)
+        cutting.withColumn("_rank", rank).where(F.col("_rank") <= CUTS_PER_ROUND + 1)
         .groupBy("site_id").agg(F.collect_list("ox").alias("ox"), F.collect_list("oy").alias("oy"))
     )
 
@@ -167,27 +177,31 @@ def site_cells(sites: DataFrame, envelope: Envelope | None = None) -> DataFrame:
         for batch in batches:
             rings, more = [], []
             for row in batch.itertuples(index=False):
-                ring = list(zip(row.vx, row.vy))
-                cuts = [] if row.ox is None else list(zip(row.ox, row.oy))
-                more.append(len(cuts) > CUTS_PER_ROUND)
-                rings.append(nearest_part(ring, row.x, row.y, cuts) if cuts else ring)
+                ring = before = list(zip(row.vx.tolist(), row.vy.tolist()))
+                if row.ox is not None:
+                    ring = nearest_part(ring, row.x, row.y, row.ox, row.oy)
+                rings.append(ring)
+                # If the deepest cuts change nothing, what is left is rounding.
+                more.append(row.ox is not None and len(row.ox) > CUTS_PER_ROUND and ring is not before)
             yield pd.DataFrame({
                 "site_id": batch["site_id"], "x": batch["x"], "y": batch["y"],
                 "vx": [[v[0] for v in ring] for ring in rings],
                 "vy": [[v[1] for v in ring] for ring in rings], "more": more,
             })
 
-    work = cut_lineage(_first_polygons(sites, envelope))
+    n_open = sites.count()
+    work = cut_lineage(_first_polygons(sites, envelope, n_open))
     done = None
-    for _ in range(MAX_ROUNDS):
-        cut = work.join(_cutting_sites(work, sites), "site_id", "left")
+    # Every round cuts every open cell, so the rounds end; the second has few cells left.
+    while True:
+        cut = work.join(_cutting_sites(work, sites), "site_id", "left").repartition(_tasks(n_open), "site_id")
         cut = cut_lineage(cut.select("site_id", "x", "y", "vx", "vy", "ox", "oy").mapInPandas(clip, schema))
         finished = cut.where("not more").drop("more")
         done = finished if done is None else done.unionByName(finished)
         work = cut.where("more").drop("more")
-        if work.isEmpty():
+        n_open = work.count()
+        if n_open == 0:
             return done
-    raise RuntimeError(f"cells still open after {MAX_ROUNDS} rounds")
 
 
 def cell_edges(cells: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ def test_cells_equal_full_clipping_and_fill_the_envelope(spark, case):
     assert math.isclose(sum(map(area, found.values())), whole, rel_tol=1e-9)
     frame = [(west, south), (east, south), (east, north), (west, north)]
     for n, (x, y) in enumerate(sites):
-        full = nearest_part(frame, x, y, sites[:n] + sites[n + 1:])
+        full = nearest_part(frame, x, y, np.array([s[0] for s in sites], float), np.array([s[1] for s in sites], float))
         assert math.isclose(area(found[n]), area(full), rel_tol=1e-7, abs_tol=1e-13 * whole)
 
 
