@@ -47,15 +47,24 @@ def counts_by_depth(cells: DataFrame, key: Sequence[str], deepest: int, *aggrega
 def leaf_cells(counts: DataFrame, key: Sequence[str], cap: int, deepest: int) -> DataFrame:
     """The coarsest cells with ``n`` at most ``cap`` (or at ``deepest``) below full ones.
 
-    One equi join, whatever the depth; a parent has at most four children.
+    A full cell tells its four quarters so; one grouping brings that and their own counts
+    together. No join, and ``counts`` is read once, whatever the depth.
     """
-    split = counts.where((F.col("n") > cap) & (F.col("depth") < deepest)).select(
-        *key, (F.col("depth") + 1).alias("depth"), F.col("ix").alias("_px"), F.col("iy").alias("_py")
+    def entry(depth: Column, ix: Column, iy: Column, n: Column, opened: bool) -> Column:
+        return F.struct(depth.alias("depth"), ix.alias("ix"), iy.alias("iy"), n.alias("n"), F.lit(opened).alias("opened"))
+
+    depth, ix, iy = F.col("depth"), F.col("ix"), F.col("iy")
+    none = F.lit(None).cast("bigint")
+    own = entry(depth, ix, iy, F.col("n"), False)
+    quarters = [entry(depth + 1, ix * 2 + a, iy * 2 + b, none, True) for a in (0, 1) for b in (0, 1)]
+    is_full = (F.col("n") > cap) & (depth < deepest)
+    told = counts.select(*key, F.explode(F.when(is_full, F.array(own, *quarters)).otherwise(F.array(own))).alias("_c"))
+    return (
+        told.select(*key, "_c.*").groupBy(*key, "depth", "ix", "iy")
+        .agg(F.max("n").alias("n"), F.bool_or("opened").alias("_opened"))
+        .where(F.col("n").isNotNull() & (F.col("_opened") | (depth == 0)) & ((F.col("n") <= cap) | (depth == deepest)))
+        .drop("_opened")
     )
-    children = counts.withColumns({"_px": F.expr("shiftright(ix, 1)"), "_py": F.expr("shiftright(iy, 1)")})
-    below = children.where("depth > 0").join(split, [*key, "depth", "_px", "_py"], "left_semi")
-    roots = children.where("depth = 0")
-    return below.unionByName(roots).where((F.col("n") <= cap) | (F.col("depth") == deepest)).drop("_px", "_py")
 
 
 def adaptive_tiles(
@@ -69,7 +78,7 @@ def adaptive_tiles(
     one box are disjoint and their counts add up to its points. A tile at ``max_depth``
     with more than ``cap`` points is kept with ``overflow`` set, so no point is lost.
 
-    Points are counted once per deepest cell; two equi joins on grouped counts do the rest,
+    Points are counted once per deepest cell; two groupings of those counts do the rest,
     whatever the depth.
     """
     boxes = boxes.select("region", "min_x", "min_y", "max_x", "max_y")
