@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -50,12 +51,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    import uuid
-
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df, spark: SparkSession | None = None):
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    shared_folder(spark or df.sparkSession)
-    return df.checkpoint()
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and no executor's loss undoes it.
+
+    Columnar, so later reads take only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
