@@ -249,6 +249,9 @@ SELECT batch_no, count(*) AS n_keys, min(id) AS first_key, max(id) AS last_key,
 FROM t GROUP BY batch_no""",
     "listing_records": """SELECT id, bedrooms, bathrooms, amount, CASE WHEN amount IS NOT NULL THEN frequency END AS frequency, latitude, longitude,
   let_agreed, students, display_size, property_type, epoch_us(first_visible_date) AS first_visible_micros FROM wl_listings""",
+    "bad_listings": """SELECT CASE WHEN id % 17 = 0 THEN 'without heading' WHEN id % 19 = 0 THEN 'unreadable' ELSE 'good' END AS problem,
+  count(*) AS records FROM wl_listings GROUP BY 1""",
+    "location_matches": f"""WITH {_LOOKUP} SELECT identifier, name FROM ranked WHERE rank <= 20""",
     "journey_facts": f"""SELECT {_LINE}, 0 AS position, {_minutes(0)} + {_minutes(1)} AS duration, 2 AS n_legs, CAST(l_partkey % 500 AS INTEGER) AS total_cost,
   {_mode(0)} || ',' || {_mode(1)} AS modes, epoch_us(l_shipdate) AS start_micros FROM lineitem
 UNION ALL SELECT {_LINE}, 1, {_minutes(2)}, 1, CAST(l_partkey % 500 AS INTEGER), {_mode(2)}, epoch_us(l_shipdate) FROM lineitem""",

@@ -527,6 +527,33 @@ def listing_records(w: Workload) -> DataFrame:
     )
 
 
+@query
+def bad_listings(w: Workload) -> DataFrame:
+    """Listing JSON with broken records among it: how many are good, and what ails the others."""
+    record = F.to_json(F.struct("*"))
+    broken = F.when(F.col("id") % 17 == 0, F.replace(record, F.lit('"heading":"Homes to let"'), F.lit('"heading":null'))).when(
+        F.col("id") % 19 == 0, F.replace(record, F.lit('"bedrooms":'), F.lit('"bedrooms":"many","was":'))).otherwise(record)
+    path = scratch_path(w.spark, "records")
+    nested_listings(w).select(broken.alias("value")).write.text(path)
+    good, bad = readers.split_listings(w.spark, path, "lines")
+    verdicts = good.select(F.lit("good").alias("problem")).unionByName(bad.select("problem"))
+    return verdicts.groupBy("problem").agg(F.count("*").alias("records"))
+
+
+@query
+def location_matches(w: Workload) -> DataFrame:
+    """Lookup results as JSON, written and read back with their identifiers."""
+    found = search.lookup_places(w.view("wl_lookups"), w.view("wl_search_places"))
+    code = F.split("identifier", r"\^")
+    match = F.struct(code[1].alias("id"), code[0].alias("type"), F.col("name").alias("displayName"),
+                     F.lit("").alias("highlighting"), F.col("highlights"))
+    # At most LOOKUP_LIMIT matches to a query.
+    results = found.groupBy("query").agg(F.collect_list(match).alias("matches"))
+    path = scratch_path(w.spark, "matches")
+    results.select("matches").write.json(path)
+    return readers.read_location_matches(w.spark, path, lines=True).select("identifier", F.col("displayName").alias("name"))
+
+
 @query
 def region_files(w: Workload) -> DataFrame:
     """Region rings written, read back and used for the rent per region."""

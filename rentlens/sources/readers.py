@@ -36,10 +36,13 @@ def _require(df: DataFrame, required: Sequence[str], what: str) -> DataFrame:
 
 
 def _json(spark: SparkSession, path: Paths, schema: str, lines: bool) -> DataFrame:
-    return (
+    """JSON records, every field checked: a bad one fails the query whichever fields it uses."""
+    df = (
         spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST")
         .option("timeZone", "UTC").json(path if isinstance(path, str) else list(path))
     )
+    # True for every row; it keeps Spark from skipping the fields a query does not use.
+    return df.where(F.xxhash64(*df.columns) >= F.lit(-(2**63)))
 
 
 def read_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> DataFrame:
@@ -55,13 +58,15 @@ def read_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> DataFr
     return _require(df, LISTING_REQUIRED, "listing")
 
 
-def split_listings(spark: SparkSession, path: Paths) -> tuple[DataFrame, DataFrame]:
+def split_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
     """The good listings, and the bad records as ``(record, problem)``.
 
-    Each array element is parsed by itself, so a bad one does not spoil its file.
+    Each array element (``json``) or line (``lines``) is parsed by itself, so a bad one
+    does not spoil its file.
     """
-    text = spark.read.text(path if isinstance(path, str) else list(path), wholetext=True)
-    elements = text.select(F.explode(F.from_json("value", "array<string>")).alias("record"))
+    text = spark.read.text(path if isinstance(path, str) else list(path), wholetext=fmt == "json")
+    record = F.col("value") if fmt == "lines" else F.explode(F.from_json("value", "array<string>"))
+    elements = text.select(record.alias("record"))
     parsed = elements.withColumn("_l", F.from_json("record", f"{LISTING}, {_CORRUPT} STRING", {"columnNameOfCorruptRecord": _CORRUPT}))
     unreadable = F.col("_l").isNull() | F.col(f"_l.{_CORRUPT}").isNotNull()
     missing = _missing_field([f"_l.{field}" for field in LISTING_REQUIRED])
@@ -216,8 +221,8 @@ def read_price_caps(spark: SparkSession, path: str) -> DataFrame:
     return read_named_map(spark, path, "int").select("name", F.col("value").alias("cap"))
 
 
-def read_location_matches(spark: SparkSession, path: Paths) -> DataFrame:
+def read_location_matches(spark: SparkSession, path: Paths, lines: bool = False) -> DataFrame:
     """Location lookup results, one row per match, with ``identifier`` as ``type^id``."""
-    results = _json(spark, path, LOCATION_MATCHES, lines=False)
+    results = _json(spark, path, LOCATION_MATCHES, lines)
     matches = results.select(F.posexplode("matches").alias("position", "_m")).select("position", "_m.*")
     return matches.withColumn("identifier", F.concat_ws("^", "type", "id"))

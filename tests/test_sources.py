@@ -56,6 +56,7 @@ def test_written_json_is_camel_case(spark, tmp_path):
 
 BAD = [
     {**LISTING, "id": "two"}, {k: v for k, v in LISTING.items() if k != "heading"}, {**LISTING, "location": {"latitude": 51.5}},
+    {**LISTING, "price": {"amount": "lots", "frequency": "monthly"}},
 ]
 
 
@@ -69,7 +70,7 @@ def test_bad_listing_fails_the_load(spark, tmp_path, bad):
 def test_bad_listings_set_aside(spark, tmp_path):
     good, bad = S.split_listings(spark, put(tmp_path / "l.json", [LISTING, *BAD, {**LISTING, "id": 9}]))
     assert [r.id for r in good.orderBy("id").collect()] == [1, 9]
-    assert sorted(r.problem for r in bad.collect()) == ["unreadable", "without heading", "without location.longitude"]
+    assert sorted(r.problem for r in bad.collect()) == ["unreadable", "unreadable", "without heading", "without location.longitude"]
     assert good.columns == S.read_listings(spark, str(tmp_path / "l.json")).columns
 
 
