@@ -14,14 +14,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import clipping
 from ..functions.clipping import nearest_part
 from ..session import cut_lineage
 from .grid import points_in_boxes
 from .joins import lookup_join, spread_join
 from .tiles import _at_depth, _axis_no, counts_by_depth, leaf_cells
 
+# The clipping code travels with the tasks, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(clipping)
+
 Envelope = tuple[float, float, float, float]
 LEAF_SITES = 64
 # Sites of a six-decimal data set as wide as a continent get cells of their own.

@@ -1,5 +1,8 @@
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -113,3 +116,17 @@ def test_no_sites(spark):
 def test_text_site_ids(spark):
     sites = site_table(spark, CASES["random"](random.Random(8))).withColumn("site_id", F.concat(F.lit("s"), F.col("site_id").cast("string")))
     assert C.site_cells(sites).where("site_id like 's%'").count() == 300
+
+
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {repo!r})\n"
+        "from rentlens.session import local_session\n"
+        "from rentlens.operators.cells import site_cells\n"
+        "spark = local_session('2')\n"
+        "sites = spark.range(5).selectExpr('id AS site_id', 'id / 3.0D AS x', 'id * id / 7.0D AS y')\n"
+        "assert site_cells(sites).count() == 5\n"
+    )
+    environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, check=True, timeout=300)
