@@ -171,7 +171,9 @@ def rent_map_table(regions: DataFrame, means: DataFrame, max_price: float | None
     """Every region with its mean, its share of the colour cap (at most 1) and its label."""
     cap = rent_range(means, max_price).select("max_price").scalar()
     every = regions.select("region").distinct()
-    label = F.concat("region", F.lit("\n£"), F.col("mean_rent").cast("decimal(18,2)").cast("string"), F.lit(" pcm"))
+    # format_number rounds the exact binary value, half to even; its thousands marks go.
+    pounds = F.replace(F.format_number("mean_rent", 2), F.lit(","), F.lit(""))
+    label = F.concat("region", F.lit("\n£"), pounds, F.lit(" pcm"))
     return every.join(means.select("region", "mean_rent"), "region", "left").select(
         "region", "mean_rent",
         F.when(F.col("mean_rent").isNotNull(), F.least(F.col("mean_rent") / cap, F.lit(1.0))).alias("shade"),

@@ -126,7 +126,7 @@ FROM wl_listings JOIN wl_regions ON abs(longitude - (min_lon + max_lon) / 2) + a
 GROUP BY region""",
     "rent_map_table": f"""WITH {_MEANS}, cap AS (SELECT least(max(mean_rent), 2000e0) AS cap FROM means)
 SELECT r.region, round(m.mean_rent, 6) AS mean_rent, CASE WHEN m.mean_rent IS NOT NULL THEN round(least(m.mean_rent / cap, 1e0), 6) END AS shade,
-  CASE WHEN m.mean_rent IS NULL THEN r.region ELSE r.region || chr(10) || '£' || CAST(CAST(m.mean_rent AS DECIMAL(18, 2)) AS VARCHAR) || ' pcm' END AS label
+  CASE WHEN m.mean_rent IS NULL THEN r.region ELSE r.region || chr(10) || '£' || format('{{:.2f}}', m.mean_rent) || ' pcm' END AS label
 FROM wl_regions r LEFT JOIN means m ON m.region = r.region, cap""",
     "rent_range": f"""WITH {_MEANS} SELECT round(min(mean_rent), 6) AS min_price, round(max(mean_rent), 6) AS observed_max,
   round(least(max(mean_rent), 2000e0), 6) AS max_price FROM means HAVING count(*) > 0""",
@@ -230,7 +230,7 @@ FROM wl_postcodes GROUP BY longitude, latitude""",
     "site_fan_out": """SELECT postcode, longitude AS x, latitude AS y, min(postcode) OVER (PARTITION BY longitude, latitude) AS site_id
 FROM wl_postcodes""",
     "postcode_directory": f"""WITH {_CODES} SELECT outward || ' ' || inward AS postcode,
-  CAST(round(latitude, 6) AS DECIMAL(9,6)) AS latitude, CAST(round(longitude, 6) AS DECIMAL(9,6)) AS longitude FROM codes
+  CAST(CAST(round(latitude, 6) AS DECIMAL(9,6)) AS DOUBLE) AS latitude, CAST(CAST(round(longitude, 6) AS DECIMAL(9,6)) AS DOUBLE) AS longitude FROM codes
 WHERE site_key % 5 <> 4 AND site_key % 23 <> 0 AND site_key % 11 <> 0 AND site_key % 13 <> 0 AND site_key % 17 <> 0
   AND site_key % 19 <> 0 AND site_key % 37 BETWEEN 1 AND 33""",
     "nearest_site": f"""WITH {_SITES}, d AS (SELECT l.id, s.site_id,

@@ -421,7 +421,8 @@ def postcode_directory(w: Workload) -> DataFrame:
     )
     path = scratch_path(w.spark, "directory")
     directory.write.option("header", True).csv(path)
-    return readers.read_postcode_centroids(w.spark, path)
+    found = readers.read_postcode_centroids(w.spark, path)
+    return found.select("postcode", *[F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")])
 
 
 # Geometry ----------------------------------------------------------------------------------

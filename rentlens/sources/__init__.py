@@ -3,7 +3,8 @@
 from .readers import (
     read_journeys, read_listings, read_location_matches, read_named_map, read_places,
     read_postcode_centroids, read_price_caps, read_regions, read_search_places, read_snapshots,
-    read_station_feed_header, read_stations, split_listings,
+    read_station_feed_attribution, read_station_feed_header, read_station_feed_styles, read_stations,
+    split_listings,
 )
 from .tables import append_unseen, current_table, publish_table, write_listings, write_regions
 
@@ -11,6 +12,6 @@ __all__ = [
     "append_unseen", "current_table", "publish_table", "read_journeys", "read_listings",
     "read_location_matches", "read_named_map", "read_places", "read_postcode_centroids",
     "read_price_caps", "read_regions", "read_search_places", "read_snapshots",
-    "read_station_feed_header", "read_stations", "split_listings", "write_listings",
-    "write_regions",
+    "read_station_feed_attribution", "read_station_feed_header", "read_station_feed_styles",
+    "read_stations", "split_listings", "write_listings", "write_regions",
 ]

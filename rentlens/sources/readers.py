@@ -117,6 +117,17 @@ def read_station_feed_header(spark: SparkSession, path: str) -> DataFrame:
     return _xml(spark, path, "Header", STATION_FEED_HEADER)
 
 
+def read_station_feed_styles(spark: SparkSession, path: str) -> DataFrame:
+    """The feed's map styles: style_id, href of its icon."""
+    styles = _xml(spark, path, "Style", "_id STRING, IconStyle STRUCT<Icon: STRUCT<href: STRING>>")
+    return styles.select(F.col("_id").alias("style_id"), F.col("IconStyle.Icon.href").alias("href"))
+
+
+def read_station_feed_attribution(spark: SparkSession, path: str) -> DataFrame:
+    """The feed's ``Attribution`` element."""
+    return _xml(spark, path, "Attribution", "Url STRING, Text STRING, Logo STRING")
+
+
 def _xml(spark: SparkSession, path: str, tag: str, schema: str) -> DataFrame:
     return (
         spark.read.format("xml").schema(schema).option("rowTag", tag)

@@ -207,6 +207,8 @@ def test_journey_checks(spark, tmp_path):
 
 FEED = """<?xml version="1.0" encoding="utf-8"?>
 <Root><name>Feed</name><open>1</open><description>d</description>
+<Attribution><Url>u</Url><Text>Thanks</Text><Logo>l</Logo></Attribution>
+<Style id="s"><IconStyle><Icon><href>icon.png</href></Icon></IconStyle></Style>
 <Header canonical="c"><Identifier>id1</Identifier><DisplayTitle>Stations</DisplayTitle><RefreshRate>5</RefreshRate></Header>
 <stations>
  <station id="1" type="Underground"><name>Acton
@@ -241,3 +243,5 @@ def test_station_feed(spark, tmp_path, rows):
     assert rows(stations.station_hours(df)) == [("1", "Main", "weekday", "0500", "1200"), ("1", "Main", "weekday", "1300", "2300")]
     header = S.read_station_feed_header(spark, path).first()
     assert (header.Identifier, header._canonical, header.RefreshRate) == ("id1", "c", 5)
+    assert rows(S.read_station_feed_styles(spark, path)) == [("s", "icon.png")]
+    assert S.read_station_feed_attribution(spark, path).first().Text == "Thanks"
