@@ -142,7 +142,7 @@ UNION ALL SELECT region, 1, max_lon, min_lat, max_lon, max_lat FROM wl_regions
 UNION ALL SELECT region, 2, max_lon, max_lat, min_lon, max_lat FROM wl_regions
 UNION ALL SELECT region, 3, min_lon, max_lat, min_lon, min_lat FROM wl_regions""",
     "monthly_rent": f"SELECT id, round({_RENT}, 6) AS monthly_rent FROM wl_listings",
-    "floor_area": f"SELECT id, {_SQFT} AS square_feet, {_SQM} AS square_metres FROM wl_listings",
+    "floor_area": f"SELECT id, CAST({_SQFT} AS DOUBLE) AS square_feet, CAST({_SQM} AS DOUBLE) AS square_metres FROM wl_listings",
     **{f"rule_{n}": f"SELECT id, skip_rule, skip_reason FROM ({_classified((n,))})" for n in _RULES},
     "classify": f"SELECT id, skip_rule, skip_reason FROM ({_classified()})",
     "suitable": f"SELECT id, amount, frequency FROM ({_classified()}) WHERE skip_rule IS NULL",
@@ -191,7 +191,7 @@ SELECT id, name, n.d AS duration, CASE WHEN o.d IS NULL THEN 'new' ELSE 'changed
 FROM n LEFT JOIN o USING (id, name) WHERE o.d IS NULL OR o.d <> n.d""",
     "merge_places": """WITH k AS (SELECT 'P' || position AS name, identifier, position FROM wl_search_places)
 SELECT name, CASE WHEN position % 2 = 0 THEN 'REGION^' || position ELSE identifier END AS identifier,
-  CASE WHEN position % 3 <> 0 THEN position END AS position,
+  CASE WHEN position % 3 <> 0 THEN CAST(position AS DOUBLE) END AS position,
   CASE WHEN position % 2 <> 0 THEN 'kept' WHEN position % 3 = 0 THEN 'new' ELSE 'replaced' END AS change
 FROM k WHERE position % 3 <> 0 OR position % 2 = 0""",
     "lookup": f"""WITH {_LOOKUP} SELECT query, rank, name, identifier, match_class,
@@ -204,7 +204,7 @@ SELECT query, rank, identifier FROM top WHERE query IN (SELECT query FROM top GR
 SELECT row_no, CAST((row_no - 1) // 24 AS INTEGER) AS page_no, CAST((row_no - 1) // 24 * 24 AS INTEGER) AS page_index, id FROM t WHERE row_no <= 1008""",
     "map_page": f"SELECT id, latitude, longitude FROM wl_listings WHERE {_DEFAULT_MATCH} ORDER BY first_visible_date DESC, id LIMIT 499",
     "map_total": f"SELECT count(*) AS total FROM wl_listings WHERE {_DEFAULT_MATCH}",
-    "by_ids": "SELECT id, amount, property_type FROM wl_listings WHERE id IN (SELECT id FROM wl_history WHERE let_agreed)",
+    "by_ids": "SELECT id, CAST(amount AS DOUBLE) AS amount, property_type FROM wl_listings WHERE id IN (SELECT id FROM wl_history WHERE let_agreed)",
     "within_miles": f"""SELECT id, name, round(m, 6) AS miles_away FROM (SELECT l.id, p.name, {_MILES} AS m FROM wl_listings l CROSS JOIN wl_places p)
 WHERE m <= 5""",
     "area_ids": f"""SELECT id FROM (SELECT l.id, {_MILES} AS m FROM wl_listings l CROSS JOIN wl_places p) WHERE m <= 5
@@ -247,7 +247,7 @@ FROM tiles t JOIN boxes b ON b.region = t.region""",
     "batch_keys": """WITH t AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 25 AS batch_no FROM (SELECT DISTINCT id FROM wl_listings WHERE NOT let_agreed))
 SELECT batch_no, count(*) AS n_keys, min(id) AS first_key, max(id) AS last_key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS keys
 FROM t GROUP BY batch_no""",
-    "listing_records": """SELECT id, bedrooms, bathrooms, amount, CASE WHEN amount IS NOT NULL THEN frequency END AS frequency, latitude, longitude,
+    "listing_records": """SELECT id, bedrooms, CAST(bathrooms AS DOUBLE) AS bathrooms, CAST(amount AS DOUBLE) AS amount, CASE WHEN amount IS NOT NULL THEN frequency END AS frequency, latitude, longitude,
   let_agreed, students, display_size, property_type, epoch_us(first_visible_date) AS first_visible_micros FROM wl_listings""",
     "bad_listings": """SELECT CASE WHEN id % 17 = 0 THEN 'without heading' WHEN id % 19 = 0 THEN 'unreadable' ELSE 'good' END AS problem,
   count(*) AS records FROM wl_listings GROUP BY 1""",

@@ -39,6 +39,11 @@ def rounded(column: Column | str, name: str) -> Column:
     return F.round(column, 6).alias(name)
 
 
+def number(name: str) -> Column:
+    """A whole number that may be null, as double: clients show it alike in both engines."""
+    return F.col(name).cast("double").alias(name)
+
+
 def _regions(w: Workload) -> DataFrame:
     return regions.regions_from_boxes(w.view("wl_regions"))
 
@@ -111,7 +116,7 @@ def monthly_rent(w: Workload) -> DataFrame:
 
 @query
 def floor_area(w: Workload) -> DataFrame:
-    return with_floor_area(w.listings()).select("id", "square_feet", "square_metres")
+    return with_floor_area(w.listings()).select("id", number("square_feet"), number("square_metres"))
 
 
 def _all_rules(w: Workload) -> list[rules.Rule]:
@@ -272,7 +277,8 @@ def merge_places(w: Workload) -> DataFrame:
     updates = known.where("position % 2 = 0").select(
         "name", F.concat(F.lit("REGION^"), F.col("position").cast("string")).alias("identifier")
     )
-    return snapshots.merge_search_places(existing, updates)
+    merged = snapshots.merge_search_places(existing, updates)
+    return merged.select("name", "identifier", number("position"), "change")
 
 
 @query
@@ -323,7 +329,7 @@ def map_total(w: Workload) -> DataFrame:
 
 @query
 def by_ids(w: Workload) -> DataFrame:
-    return search.by_ids(w.listings(), w.view("wl_history").where("let_agreed")).select("id", "amount", "property_type")
+    return search.by_ids(w.listings(), w.view("wl_history").where("let_agreed")).select("id", number("amount"), "property_type")
 
 
 @query
@@ -523,7 +529,7 @@ def listing_records(w: Workload) -> DataFrame:
     tables.write_listings(nested_listings(w), path, "json")
     flat = with_listing_columns(readers.read_listings(w.spark, path, "lines"))
     return flat.select(
-        "id", "bedrooms", "bathrooms", "amount", "frequency", "latitude", "longitude", "let_agreed", "students",
+        "id", "bedrooms", number("bathrooms"), number("amount"), "frequency", "latitude", "longitude", "let_agreed", "students",
         "display_size", "property_type", F.unix_micros("first_visible_date").alias("first_visible_micros"),
     )
 
