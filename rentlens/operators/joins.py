@@ -25,7 +25,7 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, weight: Column
 
 def spread_join(
     facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner",
-    rows_per_salt: int = ROWS_PER_SALT,
+    rows_per_salt: int | None = None,
 ) -> DataFrame:
     """Shuffle join on ``on`` with the hot keys of ``facts`` salted.
 
@@ -35,6 +35,7 @@ def spread_join(
     ``how`` may be inner, left, left_semi or left_anti: ``facts`` is the kept side.
     """
     on = list(on)
+    rows_per_salt = rows_per_salt or ROWS_PER_SALT
     # The limit is on the list of keys to salt, not on rows: every row is joined.
     hot = (
         facts.groupBy(*on).count()

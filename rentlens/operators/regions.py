@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import crosses, haversine_miles, signed_turns
 from ..functions.geo import EARTH_RADIUS_MILES
+from ..session import cut_lineage
 from .grid import CELL, cell_no, cell_side, join_on_cells, level_for, points_in_boxes
 from .listings import with_monthly_rent
 
@@ -135,7 +136,8 @@ def assign_regions(
     Borders are half-open: lower and left borders are inside, upper and right are not.
     """
     if cells is None:
-        cells = region_cells(regions, rule)
+        # Written once: the size check and the join both read it.
+        cells = cut_lineage(region_cells(regions, rule))
     # A cell row weighs as many units as it has sides, so the broadcast bound is on bytes.
     sides = F.coalesce(F.aggregate("rings", F.lit(1), lambda total, ring: total + F.size(ring)), F.lit(1))
     met = join_on_cells(points, x, y, cells, weight=sides, max_rows=max_broadcast)

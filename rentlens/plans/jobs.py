@@ -16,6 +16,7 @@ from ..operators.rules import (
 )
 from ..operators.search import rank_for_review
 from ..operators.snapshots import latest_per_listing
+from ..session import cut_lineage
 
 
 def judged_listings(
@@ -49,7 +50,8 @@ def merged_snapshots(snapshots: DataFrame, **kwargs) -> DataFrame:
 
 def rent_map(listings: DataFrame, regions: DataFrame, max_price: float | None = None) -> DataFrame:
     """The map table of mean monthly rent per region."""
-    means = rent_by_region(assign_regions(listings, regions))
+    # A row per region, written so that the cap and the join do not each read the listings.
+    means = cut_lineage(rent_by_region(assign_regions(listings, regions)))
     return rent_map_table(regions, means, max_price)
 
 

@@ -38,6 +38,19 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def write_keyed_table(df: DataFrame, name: str, buckets: int, key: str = "id", path: str | None = None) -> None:
+    """Replace the catalog table ``name``, bucketed and sorted by ``key``.
+
+    Tables bucketed alike are joined on the key without a shuffle: listings against the
+    seen-history (``exclude_seen``), ids against listings (``by_ids``), journeys per
+    origin. Choose the buckets so that one holds a few hundred megabytes.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+    if path is not None:
+        writer = writer.option("path", path)
+    writer.saveAsTable(name)
+
+
 def append_unseen(df: DataFrame, history_path: str, reset: bool = False, order=()) -> None:
     """Add the rows whose ids the history lacks, each id once; ``reset`` starts it anew.
 

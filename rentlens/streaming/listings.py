@@ -74,5 +74,8 @@ def start_upsert(updates: DataFrame, path: str, checkpoint: str, drain: bool = F
 
 
 def read_upserts(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
-    """The current row of every key written by :func:`start_upsert`: that of its last batch."""
+    """The current row of every key written by :func:`start_upsert`: that of its last batch.
+
+    Publish the result now and then (``sources.publish_table``) so that old batches can go.
+    """
     return latest_per_key(spark.read.parquet(path), key, "batch").drop("batch")

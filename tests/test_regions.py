@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rentlens.operators import regions as R
+from rentlens.operators import joins, regions as R
 
 POINT = "array<struct<x: double, y: double>>"
 
@@ -143,3 +143,12 @@ def test_radius(spark):
     assert found == expected and (400, "pole") in found and 10 < len(found) < 400
     with pytest.raises(ValueError):
         R.within_miles(point_table(spark, spots), places, 0)
+
+
+def test_a_third_of_the_points_in_one_spot(spark, monkeypatch):
+    monkeypatch.setattr(joins, "ROWS_PER_SALT", 50)
+    rng = random.Random(9)
+    spots = [(1.5, 1.5)] * 400 + [(rng.uniform(-1, 5), rng.uniform(-1, 5)) for _ in range(800)]
+    regions = region_table(spark, [("a", 0, 0, SQUARE), ("b", 0, 0, HOLE)])
+    expected = sorted((i, name) for i, (x, y) in enumerate(spots) for name, ring in (("a", SQUARE), ("b", HOLE)) if odd_crossings(ring, x, y))
+    assert assigned(point_table(spark, spots), regions, max_broadcast=0) == expected

@@ -1,4 +1,6 @@
+import contextlib
 import datetime as dt
+import io
 import json
 
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from rentlens.operators import commute, stations
 from rentlens.operators.listings import map_listing_location, with_listing_columns
 from rentlens.operators.regions import assign_regions
+from rentlens.operators.rules import exclude_seen
 from rentlens.operators.snapshots import latest_per_listing
 from rentlens import sources as S
 
@@ -112,6 +115,23 @@ def test_published_versions(spark, tmp_path, rows):
     assert S.publish_table(spark.range(1), base) == 3
 
 
+def test_keyed_tables_join_without_a_shuffle(spark, tmp_path, rows):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, ids in (("kept_listings", spark.range(100)), ("kept_history", spark.range(0, 100, 3))):
+            S.write_keyed_table(ids, name, 4, path=str(tmp_path / name))
+        fresh = exclude_seen(spark.table("kept_listings"), spark.table("kept_history"))
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            fresh.explain()
+        assert "SortMergeJoin" in text.getvalue() and "Exchange" not in text.getvalue()
+        assert fresh.count() == 66
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS kept_listings")
+        spark.sql("DROP TABLE IF EXISTS kept_history")
+
+
 HEADER = "PCD,LAT,LONG,DOTERM,OSGRDIND,USERTYPE,OSLAUA"
 LINES = [
     ("E1 6AN", "51.5", "-0.1", "", "1", "0", "E09000001", True), ("e16ap ", " 51.5", "-0.1 ", " ", "1", "0", "E09000033", True),
