@@ -21,7 +21,7 @@ from ..functions import clipping
 from ..functions.clipping import nearest_part
 from ..session import cut_lineage
 from .grid import points_in_boxes
-from .joins import lookup_join, spread_join
+from .joins import BROADCAST_ROWS, lookup_join, spread_join
 from .tiles import _at_depth, _axis_no, counts_by_depth, leaf_cells
 
 # The clipping code travels with the tasks, so executors need no copy of this package.
@@ -78,30 +78,36 @@ def _first_polygons(sites: DataFrame, envelope: Envelope, n_sites: int) -> DataF
     )
     counts = cut_lineage(counts)
     # Sites too close for the deepest cells are dealt out over groups of about LEAF_SITES.
-    leaves = leaf_cells(counts, [], LEAF_SITES, DEEPEST).select(
+    leaves = cut_lineage(leaf_cells(counts, [], LEAF_SITES, DEEPEST).select(
         "depth", "ix", "iy", F.ceil(F.col("n") / LEAF_SITES).cast("int").alias("_groups")
-    )
+    ))
+    n_leaves, depths = leaves.agg(F.count("*"), F.collect_set("depth")).first()  # at most DEEPEST + 1 depths
+
+    # Representatives: one site per cell around the leaf, at its depth and every coarser one
+    # (3 x 3 cells), and at the two finer ones (the leaf's cells and two rows beyond).
+    coarser, finer = "greatest(leaf.depth - depth, 0)", "greatest(depth - leaf.depth, 0)"
+
+    def around_axis(axis: str) -> Column:
+        low = f"shiftleft(shiftright(leaf.{axis}, {coarser}), {finer}) - if(depth > leaf.depth, 2, 1)"
+        high = f"shiftleft(shiftright(leaf.{axis}, {coarser}) + 1, {finer}) + if(depth > leaf.depth, 1, 0)"
+        return F.explode(F.expr(f"sequence({low}, {high})"))
 
-    # Representatives of the 3 x 3 cells around the leaf, at its depth and all coarser ones.
-    near = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    last = F.least(F.col("depth") + 2, F.lit(DEEPEST))
     around = (
-        leaves.select(F.struct("depth", "ix", "iy").alias("leaf"), F.explode(F.sequence(F.lit(0), F.col("depth"))).alias("depth"))
-        .withColumn("ix", F.expr("shiftright(leaf.ix, leaf.depth - depth)"))
-        .withColumn("iy", F.expr("shiftright(leaf.iy, leaf.depth - depth)"))
-        .withColumn("_dx", F.explode(near)).withColumn("_dy", F.explode(near))
-        .withColumns({"ix": F.col("ix") + F.col("_dx"), "iy": F.col("iy") + F.col("_dy")})
+        leaves.select(F.struct("depth", "ix", "iy").alias("leaf"), F.explode(F.sequence(F.lit(0), last)).alias("depth"))
+        .withColumn("ix", around_axis("ix")).withColumn("iy", around_axis("iy"))
     )
+    # Coarse cells are near very many leaves, so this join spreads its hot keys.
     reps = (
-        around.join(counts.select("depth", "ix", "iy", "rep"), ["depth", "ix", "iy"])
+        lookup_join(around, counts.select("depth", "ix", "iy", "rep"), ["depth", "ix", "iy"])
         .groupBy("leaf").agg(F.collect_set("rep").alias("reps"))
     )
-    depths = [row.depth for row in leaves.select("depth").distinct().collect()]  # at most DEEPEST + 1
     at = F.array(*[F.lit(d) for d in sorted(depths)]).cast("array<int>")
     placed = located.withColumn("depth", F.explode(at)).withColumns({
         "ix": _at_depth("_ix", DEEPEST), "iy": _at_depth("_iy", DEEPEST),
     })
     members = (
-        lookup_join(placed, leaves, ["depth", "ix", "iy"])
+        lookup_join(placed, leaves, ["depth", "ix", "iy"], small=n_leaves <= BROADCAST_ROWS)
         .withColumn("_group", F.pmod(F.xxhash64("x", "y"), F.col("_groups")))
         .groupBy(F.struct("depth", "ix", "iy").alias("leaf"), "_group")
         .agg(F.collect_list(F.struct("site_id", "x", "y")).alias("members"))

@@ -17,6 +17,10 @@ from .grid import CELL, cell_no, cell_side, join_on_cells, level_for, points_in_
 from .listings import with_monthly_rent
 
 
+# A cell index of up to this many sides (some tens of megabytes) is broadcast.
+BROADCAST_SIDES = 1_000_000
+
+
 def box_ring(min_x, min_y, max_x, max_y) -> Column:
     """The closed five-point ring of a box, counter-clockwise from its lower left corner."""
     west, south, east, north = (F.col(c) if isinstance(c, str) else c for c in (min_x, min_y, max_x, max_y))
@@ -76,14 +80,15 @@ def _inside(rings: Column, x: Column, y: Column) -> Column:
     return F.exists(rings, lambda ring: F.size(F.filter(ring, lambda edge: crosses(edge, x, y))) % 2 == 1)
 
 
-def region_cells(regions: DataFrame, rule: str = "union") -> DataFrame:
+def region_cells(regions: DataFrame, rule: str = "union", per_side: int = 8) -> DataFrame:
     """The grid index of a region table: level, cx, cy, region, rings.
 
     Each region is cut into horizontal strips, a strip keeps only the sides that enter it,
     and each strip into cells. Cells wholly outside are dropped; cells wholly inside have
     null ``rings`` and need no test; the others carry their strip's sides, which are the
     only ones a ray from a point of that cell can cross. Regions with many vertices get
-    finer strips, so the sides per cell stay few.
+    finer strips, so the sides per cell stay few. With more cells ``per_side`` of a region
+    fewer points need a test, and the index is larger.
 
     ``rule``: with ``union`` a point is inside when any ring holds it (holes count as
     inside); with ``even_odd`` all rings of a region are counted together.
@@ -94,8 +99,8 @@ def region_cells(regions: DataFrame, rule: str = "union") -> DataFrame:
         raise ValueError("rule must be union or even_odd")
     sizes = bounding_boxes(regions)
     extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    per_side = F.greatest(F.lit(4.0), F.least(F.lit(64.0), F.sqrt(F.col("vertices"))))
-    sizes = sizes.select("region", "min_x", "max_x", level_for(extent, per_side).alias("level"))
+    strips_wanted = F.greatest(F.lit(float(per_side)), F.least(F.lit(64.0), F.sqrt(F.col("vertices"))))
+    sizes = sizes.select("region", "min_x", "max_x", level_for(extent, strips_wanted).alias("level"))
 
     low = cell_no(F.least("y1", "y2"), F.col("level"))
     high = cell_no(F.greatest("y1", "y2"), F.col("level"))
@@ -128,7 +133,7 @@ def region_cells(regions: DataFrame, rule: str = "union") -> DataFrame:
 
 def assign_regions(
     points: DataFrame, regions: DataFrame | None = None, cells: DataFrame | None = None,
-    x: str = "longitude", y: str = "latitude", rule: str = "union", max_broadcast: int | None = None,
+    x: str = "longitude", y: str = "latitude", rule: str = "union", max_broadcast: int = BROADCAST_SIDES,
 ) -> DataFrame:
     """Each point with each region that holds it (a column ``region`` is added).
 

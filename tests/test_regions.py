@@ -64,7 +64,7 @@ def test_neighbours_share_no_point(spark):
     assert assigned(point_table(spark, [(1, 0.5)]), regions) == [(0, "right")]
 
 
-@pytest.mark.parametrize("max_broadcast", [None, 0])
+@pytest.mark.parametrize("max_broadcast", [R.BROADCAST_SIDES, 0])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_rings_of_very_different_sizes(spark, seed, max_broadcast):
     rng = random.Random(seed)
