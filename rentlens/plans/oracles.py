@@ -124,6 +124,11 @@ _BODIES = {
     "assign_regions_diamond": """SELECT region, count(*) AS listings, CAST(sum(id) AS BIGINT) AS id_sum
 FROM wl_listings JOIN wl_regions ON abs(longitude - (min_lon + max_lon) / 2) + abs(latitude - (min_lat + max_lat) / 2) < 0.2003e0
 GROUP BY region""",
+    # United, the hole's area counts as inside; counted together, it is outside.
+    "assign_regions_holed": f"""WITH t AS (SELECT *, longitude >= min_lon + 0.05e0 AND longitude < max_lon - 0.05e0
+    AND latitude >= min_lat + 0.05e0 AND latitude < max_lat - 0.05e0 AS in_hole FROM wl_listings JOIN wl_regions ON {_IN_BOX})
+SELECT region, 'union' AS rule, count(*) AS listings, CAST(sum(id) AS BIGINT) AS id_sum FROM t GROUP BY region
+UNION ALL SELECT region, 'even_odd', count(*), CAST(sum(id) AS BIGINT) FROM t WHERE NOT in_hole GROUP BY region""",
     "rent_map_table": f"""WITH {_MEANS}, cap AS (SELECT least(max(mean_rent), 2000e0) AS cap FROM means)
 SELECT r.region, round(m.mean_rent, 6) AS mean_rent, CASE WHEN m.mean_rent IS NOT NULL THEN round(least(m.mean_rent / cap, 1e0), 6) END AS shade,
   CASE WHEN m.mean_rent IS NULL THEN r.region ELSE r.region || chr(10) || '£' || format('{{:.2f}}', m.mean_rent) || ' pcm' END AS label
@@ -199,6 +204,8 @@ FROM k WHERE position % 3 <> 0 OR position % 2 = 0""",
     "ambiguous_places": f"""WITH {_LOOKUP}, top AS (SELECT * FROM ranked WHERE rank <= 20)
 SELECT query, rank, identifier FROM top WHERE query IN (SELECT query FROM top GROUP BY query HAVING count(*) > 1)""",
     **{f"search_{sort}": _search(order) for sort, order in _SEARCH_ORDER.items()},
+    "search_keywords": f"""SELECT id, round({_RENT}, 6) AS monthly_rent FROM wl_listings WHERE {_DEFAULT_MATCH} AND NOT let_agreed
+  AND id % 6 <> 0 AND id % 10 <> 0 AND id % 2 = 0 AND id % 7 <> 0 AND id % 4 < 2""",
     "search_pages": f"""WITH t AS (SELECT id, CAST(row_number() OVER (ORDER BY first_visible_date DESC, id) AS INTEGER) AS row_no
   FROM wl_listings WHERE {_DEFAULT_MATCH} AND NOT let_agreed)
 SELECT row_no, CAST((row_no - 1) // 24 AS INTEGER) AS page_no, CAST((row_no - 1) // 24 * 24 AS INTEGER) AS page_index, id FROM t WHERE row_no <= 1008""",
@@ -249,6 +256,8 @@ SELECT batch_no, count(*) AS n_keys, min(id) AS first_key, max(id) AS last_key,
 FROM t GROUP BY batch_no""",
     "listing_records": """SELECT id, bedrooms, CAST(bathrooms AS DOUBLE) AS bathrooms, CAST(amount AS DOUBLE) AS amount, CASE WHEN amount IS NOT NULL THEN frequency END AS frequency, latitude, longitude,
   let_agreed, students, display_size, property_type, epoch_us(first_visible_date) AS first_visible_micros FROM wl_listings""",
+    "snapshot_files": """SELECT id, CAST(tie1 AS BIGINT) AS snapshot_ts, amount FROM wl_snapshots
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY tie1 DESC, amount) = 1""",
     "bad_listings": """SELECT CASE WHEN id % 17 = 0 THEN 'without heading' WHEN id % 19 = 0 THEN 'unreadable' ELSE 'good' END AS problem,
   count(*) AS records FROM wl_listings GROUP BY 1""",
     "location_matches": f"""WITH {_LOOKUP} SELECT identifier, name FROM ranked WHERE rank <= 20""",

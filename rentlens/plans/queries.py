@@ -75,6 +75,24 @@ def assign_regions_diamond(w: Workload) -> DataFrame:
     return found.groupBy("region").agg(F.count("*").alias("listings"), F.sum("id").alias("id_sum"))
 
 
+@query
+def assign_regions_holed(w: Workload) -> DataFrame:
+    """Boxes with a hole of half their size, by both rules for rings."""
+    box = w.view("wl_regions")
+    inner = regions.box_ring(
+        F.col("min_lon") + 0.05, F.col("min_lat") + 0.05, F.col("max_lon") - 0.05, F.col("max_lat") - 0.05
+    )
+    holes = box.select("region", F.lit(0).alias("part"), F.lit(1).alias("ring_no"), inner.alias("ring"))
+    both = _regions(w).unionByName(holes)
+    found = [
+        regions.assign_regions(w.listings(), both, rule=rule).select("region", F.lit(rule).alias("rule"), "id")
+        for rule in ("union", "even_odd")
+    ]
+    return found[0].unionByName(found[1]).groupBy("region", "rule").agg(
+        F.count("*").alias("listings"), F.sum("id").alias("id_sum")
+    )
+
+
 @query
 def rent_map_table(w: Workload) -> DataFrame:
     table = jobs.rent_map(w.listings(), _regions(w), 2000.0)
@@ -306,6 +324,21 @@ for _sort in search.SORT_TYPES:
     query(_run)
 
 
+@query
+def search_keywords(w: Workload) -> DataFrame:
+    """Criteria met by keywords: must-haves, exclusions and furnishing."""
+    key = F.col("id")
+    words = F.array_compact(F.array(
+        F.when(key % 2 == 0, "garden"), F.when(key % 3 == 0, "parking"), F.when(key % 7 == 0, "retirement"),
+        F.when(key % 4 < 2, "furnished").otherwise("unfurnished"),
+    ))
+    tagged = w.listings().withColumn("keywords", F.when(key % 10 != 0, words)).withColumn(
+        "channel", F.when(key % 6 == 0, "BUY").otherwise("RENT")
+    )
+    wanted = search.ListingQuery(must_have=("garden",), furnish_types=("furnished", "partFurnished"), sort="lowest_price")
+    return search.matching(tagged, wanted).select("id", rounded("monthly_rent", "monthly_rent"))
+
+
 @query
 def search_pages(w: Workload) -> DataFrame:
     wanted = search.ListingQuery(sort="most_recent", page_size=24)
@@ -561,6 +594,23 @@ def location_matches(w: Workload) -> DataFrame:
     return readers.read_location_matches(w.spark, path, lines=True).select("identifier", F.col("displayName").alias("name"))
 
 
+@query
+def snapshot_files(w: Workload) -> DataFrame:
+    """Order lines as snapshots of listings: written by time, read back, the newest kept."""
+    line = w.table("lineitem").select(
+        F.col("l_orderkey").alias("id"), F.lit(1).alias("bedrooms"), F.lit("Home").alias("summary"),
+        F.struct(F.lit(51.5).alias("latitude"), F.lit(-0.1).alias("longitude")).alias("location"),
+        F.struct(F.floor(F.col("l_extendedprice") / 100).cast("int").alias("amount"), F.lit("monthly").alias("frequency")).alias("price"),
+        *[F.lit(False).alias(c) for c in ("commercial", "development", "students", "auction")], F.lit(True).alias("residential"),
+        F.lit("RENT").alias("channel"), F.lit("Homes to let").alias("heading"),
+        F.col("l_linenumber").cast("bigint").alias("snapshot_ts"),
+    )
+    path = scratch_path(w.spark, "snapshots")
+    tables.write_snapshots(line, path)
+    latest = jobs.merged_snapshots(readers.read_snapshots(w.spark, path, "parquet", by="folder"), ties=["price.amount"])
+    return latest.select("id", "snapshot_ts", F.col("price.amount").alias("amount"))
+
+
 @query
 def region_files(w: Workload) -> DataFrame:
     """Region rings written, read back and used for the rent per region."""

@@ -6,7 +6,10 @@ from .readers import (
     read_station_feed_attribution, read_station_feed_header, read_station_feed_styles, read_stations,
     split_listings,
 )
-from .tables import append_unseen, current_table, publish_table, write_keyed_table, write_listings, write_regions
+from .tables import (
+    append_unseen, current_table, publish_table, write_keyed_table, write_listings, write_regions,
+    write_snapshots,
+)
 
 __all__ = [
     "append_unseen", "current_table", "publish_table", "read_journeys", "read_listings",
@@ -14,4 +17,5 @@ __all__ = [
     "read_price_caps", "read_regions", "read_search_places", "read_snapshots",
     "read_station_feed_attribution", "read_station_feed_header", "read_station_feed_styles",
     "read_stations", "split_listings", "write_keyed_table", "write_listings", "write_regions",
+    "write_snapshots",
 ]

@@ -76,11 +76,18 @@ def split_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> tuple
     return good, checked.where("problem is not null").select("record", "problem")
 
 
-def read_snapshots(spark: SparkSession, path: Paths, fmt: str = "json") -> DataFrame:
-    """Snapshot files named by their time in UTC seconds: adds ``snapshot_ts`` (bigint).
+def read_snapshots(spark: SparkSession, path: Paths, fmt: str = "json", by: str = "file") -> DataFrame:
+    """Listings of a series of snapshots with their time in UTC seconds: ``snapshot_ts`` (bigint).
 
-    ``path`` is a directory or a list of files. Any other file name fails the query.
+    ``by="file"``: files named by their time, from a directory or a list; any other file
+    name fails the query. ``by="folder"``: a folder per time, as ``write_snapshots`` makes
+    them, so that a range of times reads only its folders.
     """
+    if by == "folder":
+        schema = f"{LISTING}, snapshot_ts BIGINT"
+        if fmt == "parquet":
+            return _require(spark.read.schema(schema).parquet(path), LISTING_REQUIRED, "listing")
+        return _require(_json(spark, path, schema, lines=True), LISTING_REQUIRED, "listing")
     df = read_listings(spark, path, fmt)
     name = F.col("_metadata.file_name")
     digits = F.regexp_extract(name, r"^([0-9]+)(\.[^.]*)?$", 1)

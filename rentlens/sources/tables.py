@@ -24,6 +24,18 @@ def write_listings(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.format(fmt).save(path)
 
 
+def write_snapshots(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Add listings to a series of snapshots: one folder per ``snapshot_ts``.
+
+    A time that is there already is replaced, so a failed run can be repeated.
+    """
+    columns = [field for field in StructType.fromDDL(LISTING).fieldNames() if field in df.columns]
+    (
+        df.select(*columns, "snapshot_ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("snapshot_ts").format(fmt).save(path)
+    )
+
+
 def write_regions(df: DataFrame, path: str) -> None:
     """Replace ``path`` by JSON lines of region, part, ring_no and ring ([[x, y], ...])."""
     ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))

@@ -88,6 +88,17 @@ def test_snapshots(spark, tmp_path):
         S.read_snapshots(spark, str(tmp_path)).collect()
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_snapshot_folders(spark, tmp_path, fmt):
+    one = S.read_listings(spark, put(tmp_path / "l.json", [LISTING, {**LISTING, "id": 2}]))
+    path = str(tmp_path / "series")
+    for ts in (100, 200, 200):  # the second run of 200 replaces the first
+        S.write_snapshots(one.where(f"id * 100 <= {ts}").withColumn("snapshot_ts", F.lit(ts)), path, fmt)
+    found = S.read_snapshots(spark, path, fmt, by="folder")
+    assert sorted((r.id, r.snapshot_ts) for r in found.collect()) == [(1, 100), (1, 200), (2, 200)]
+    assert latest_per_listing(found).where("snapshot_ts = 200").count() == 2
+
+
 def test_history_table(spark, tmp_path, rows):
     path = str(tmp_path / "history")
     frame = lambda *ids: spark.createDataFrame([(i, f"n{i}") for i in ids], "id long, note string")
