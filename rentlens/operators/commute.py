@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import target_arrival
 from ..schemas import STATION_PREFIX
-from .joins import lookup_join, with_every
+from .joins import lookup_join, spread_join, with_every
 
 
 def od_pairs(listings: DataFrame, places: DataFrame, key: str = "id") -> DataFrame:
@@ -60,9 +60,10 @@ def commute_ok(
         .agg(F.count_distinct(*destination).alias("_reached"))
     )
     needed = wanted.agg(F.count("*").alias("n")).scalar()
+    # Ids are unique; very many listings may share an origin of any other kind.
+    joined = df.join(reached, origin, "left") if origin == ["id"] else spread_join(df, reached, origin, "left")
     return (
-        df.join(reached, origin, "left")
-        .withColumn("commute_ok", F.coalesce("_reached", F.lit(0)) == needed)
+        joined.withColumn("commute_ok", F.coalesce("_reached", F.lit(0)) == needed)
         .drop("_reached")
     )
 
