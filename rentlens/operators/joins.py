@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 BROADCAST_ROWS = 200_000
 # A salted key gets one salt for this many rows of the fact table.
 ROWS_PER_SALT = 1_000_000
+# The columns that tell rows apart, where a table has them.
+ROW_NAMES = ("id", "snapshot_ts")
 # Any key past the first 1024 holds less than a thousandth of the rows, so it needs no salt.
 MAX_HOT_KEYS = 1024
 
@@ -25,14 +27,17 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, weight: Column
 
 def spread_join(
     facts: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner",
-    rows_per_salt: int | None = None,
+    rows_per_salt: int | None = None, spread_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Shuffle join on ``on`` with the hot keys of ``facts`` salted.
 
     The hot keys are counted first (partial counts, one row per key and task, are all that
-    is shuffled). Rows of a hot key get a salt from the hash of the row, which is the same
-    on every attempt of a task, and the matching ``dim`` rows are repeated once per salt.
+    is shuffled). Rows of a hot key get a salt from a hash of the row, which is the same on
+    every attempt of a task, and the matching ``dim`` rows are repeated once per salt.
     ``how`` may be inner, left, left_semi or left_anti: ``facts`` is the kept side.
+
+    ``spread_by`` names the hashed columns. By default they are the id (and snapshot time),
+    so that no column is read only to be hashed; without an id, all columns.
     """
     on = list(on)
     rows_per_salt = rows_per_salt or ROWS_PER_SALT
@@ -43,7 +48,8 @@ def spread_join(
         .orderBy(F.desc("count"), *on).limit(MAX_HOT_KEYS)
         .select(*on, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
     )
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns])
+    spread_by = spread_by or [c for c in ROW_NAMES if c in facts.columns] or facts.columns
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in spread_by])
     left = (
         facts.join(F.broadcast(hot), on, "left")
         .withColumn("_salt", F.coalesce(F.pmod(row_hash, F.col("_salts")), F.lit(0)).cast("int"))

@@ -25,6 +25,7 @@ def dim(spark):
 def test_spread_join_equals_plain_join(facts, dim, rows, how):
     expected = rows(facts.join(dim, ["k"], how))
     assert rows(joins.spread_join(facts, dim, ["k"], how, rows_per_salt=100)) == expected
+    assert rows(joins.spread_join(facts, dim, ["k"], how, rows_per_salt=100, spread_by=["k", "id"])) == expected
     assert rows(joins.lookup_join(facts, dim, "k", how)) == expected
     assert rows(joins.lookup_join(facts, dim, "k", how, max_rows=3)) == expected
 
