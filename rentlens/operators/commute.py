@@ -40,6 +40,24 @@ def best_journeys(
     return journeys.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+# Places up to this many are told apart by the bits of one number.
+BITS = 63
+
+
+def _places_reached(
+    journeys: DataFrame, wanted: DataFrame, places: int, origin: list[str], destination: list[str]
+) -> DataFrame:
+    """Per origin the number of distinct wanted destinations among its journeys."""
+    if places > BITS:
+        met = lookup_join(journeys, wanted, destination, "left_semi")
+        return met.groupBy(*origin).agg(F.count_distinct(*destination).alias("_reached"))
+    # At most BITS rows are numbered and broadcast. One grouping, one shuffle of one row per
+    # origin and task.
+    numbered = wanted.withColumn("_bit", F.row_number().over(Window.orderBy(*destination)) - 1)
+    bits = F.bit_count(F.bit_or(F.expr("shiftleft(1L, _bit)")))
+    return journeys.join(F.broadcast(numbered), destination).groupBy(*origin).agg(bits.alias("_reached"))
+
+
 def commute_ok(
     df: DataFrame, places: DataFrame, journeys: DataFrame, max_minutes: int,
     origin: Sequence[str] = ("id",), destination: Sequence[str] = ("name",),
@@ -53,19 +71,12 @@ def commute_ok(
     """
     origin, destination = list(origin), list(destination)
     wanted = places.select(*destination).distinct()
+    needed = wanted.count()
     short = journeys.where(F.col("duration") <= max_minutes).select(*origin, *destination)
-    reached = (
-        lookup_join(short, wanted, destination, "left_semi")
-        .groupBy(*origin)
-        .agg(F.count_distinct(*destination).alias("_reached"))
-    )
-    needed = wanted.agg(F.count("*").alias("n")).scalar()
+    reached = _places_reached(short, wanted, needed, origin, destination)
     # Ids are unique; very many listings may share an origin of any other kind.
     joined = df.join(reached, origin, "left") if origin == ["id"] else spread_join(df, reached, origin, "left")
-    return (
-        joined.withColumn("commute_ok", F.coalesce("_reached", F.lit(0)) == needed)
-        .drop("_reached")
-    )
+    return joined.withColumn("commute_ok", F.coalesce("_reached", F.lit(0)) == needed).drop("_reached")
 
 
 def gate_places(

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rentlens.operators import commute as C, snapshots as S
 
@@ -64,3 +65,17 @@ def test_latest_per_listing(spark, rows):
     latest = S.latest_per_listing(snapshots, ties=["note"])
     assert rows(latest) == [(1, 200, "new"), (2, 100, "only"), (3, 200, "x")]
     assert rows(S.latest_per_listing(snapshots)) == rows(S.latest_per_listing(snapshots.orderBy("note")))
+
+
+@pytest.mark.parametrize("bits", [63, 2])
+@pytest.mark.parametrize("n_places", [1, 2, 3, 63, 64])
+def test_every_place_must_be_reached(spark, monkeypatch, n_places, bits):
+    monkeypatch.setattr(C, "BITS", bits)
+    places = spark.range(n_places).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"))
+    # Origin k has a short journey to the first k places, twice over, and a long one to all.
+    journeys = spark.range(n_places + 2).withColumnRenamed("id", "k").join(spark.range(n_places + 1).withColumnRenamed("id", "p")).select(
+        F.col("k").alias("id"), F.concat(F.lit("p"), F.col("p").cast("string")).alias("name"),
+        F.explode(F.array(F.lit(99), F.when(F.col("p") < F.col("k"), 10).otherwise(46), F.lit(46))).alias("duration"),
+    )
+    checked = C.commute_ok(spark.range(n_places + 3), places, journeys, 45)
+    assert {r.id for r in checked.where("commute_ok").collect()} == {n_places, n_places + 1}
