@@ -12,6 +12,8 @@ from ..session import cut_lineage
 
 # Up to this many rows one sorted partition numbers them.
 SINGLE_TASK_ROWS = 200_000
+# Parts a group is cut to its first rows in, before the parts are brought together.
+GROUP_PARTS = 64
 
 
 def number_rows(df: DataFrame, key: str, number: str = "row_no", rows: int | None = None) -> DataFrame:
@@ -60,23 +62,35 @@ def batch_keys(df: DataFrame, key: str = "id", size: int = IDS_PER_REQUEST) -> D
     )
 
 
+def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], k: int, key: str = "id") -> DataFrame:
+    """The first ``k`` rows of every group in ``order``, with their ``row_no``.
+
+    Each group is first cut to ``k`` rows in each of ``GROUP_PARTS`` parts (by hash of
+    ``key``), so a group that holds a third of the rows is sorted by many tasks, and only
+    what is left of it by one.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(GROUP_PARTS))
+    within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
+    few = df.withColumn("_part", part).withColumn("row_no", within).where(F.col("row_no") <= k).drop("_part", "row_no")
+    return few.withColumn("row_no", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("row_no") <= k)
+
+
 def paged(
-    df: DataFrame, order: Sequence[Column | str], size: int = 24, cap: int = LIST_CAP
+    df: DataFrame, order: Sequence[Column | str], size: int = 24, cap: int = LIST_CAP, by: Sequence[str] = ()
 ) -> DataFrame:
     """The first rows in ``order``, cut into pages: adds row_no, page_no and page_index.
 
     Whole pages are taken until at least ``cap`` rows are held, so the last page may pass
-    the cap. The cap is what makes the page list: a top-k, never a full sort.
+    the cap. The cap is what makes the page list: a top-k, never a full sort. ``by`` makes
+    a page list for every group.
     """
     if not 0 < size <= 25:
         raise ValueError("page size must be from 1 to 25")
     held = math.ceil(cap / size) * size
-    top = df.orderBy(*order).limit(held)
-    # At most ``held`` rows reach this window.
-    row = F.row_number().over(Window.orderBy(*order))
+    if by:
+        top = top_per_group(df, by, order, held)
+    else:
+        # At most ``held`` rows reach this window.
+        top = df.orderBy(*order).limit(held).withColumn("row_no", F.row_number().over(Window.orderBy(*order)))
     page = F.floor((F.col("row_no") - 1) / size).cast("int")
-    return (
-        top.withColumn("row_no", row)
-        .withColumn("page_no", page)
-        .withColumn("page_index", F.col("page_no") * size)
-    )
+    return top.withColumn("page_no", page).withColumn("page_index", F.col("page_no") * size)

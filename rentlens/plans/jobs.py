@@ -1,4 +1,4 @@
-"""The four end-to-end jobs."""
+"""The end-to-end jobs."""
 
 from __future__ import annotations
 
@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.cells import Envelope, cell_edges, ring_from_edges, site_cells
 from ..operators.commute import commute_ok
 from ..operators.postcodes import distinct_sites, fan_out, split_valid_postcodes
-from ..operators.regions import assign_regions, orient_clockwise, rent_by_region, rent_map_table
+from ..operators.batches import paged
+from ..operators.regions import assign_regions, orient_clockwise, rent_by_region, rent_map_table, within_miles
 from ..operators.rules import (
     classify, exclude_seen, rule_available, rule_commute, rule_has_price, rule_max_rent, rule_min_area,
-    rule_recent, rule_residential,
+    rule_recent, rule_residential, with_price_cap,
 )
-from ..operators.search import rank_for_review
+from ..operators.search import ListingQuery, matching, rank_for_review
 from ..operators.snapshots import latest_per_listing
+from ..schemas import LIST_CAP
 from ..session import cut_lineage
 
 
@@ -43,6 +45,21 @@ def accepted_listings(listings: DataFrame, *args, centre: tuple[float, float] |
     return rank_for_review(judged.where("skip_rule is null").drop("skip_rule", "skip_reason"), centre)
 
 
+def place_results(
+    listings: DataFrame, places: DataFrame, caps: DataFrame, query: ListingQuery, default_cap: int = 2200,
+    as_of: dt.datetime | None = None, regions: DataFrame | None = None, cap: int = LIST_CAP,
+) -> DataFrame:
+    """The result list of every search place at once, in pages per place (column ``name``).
+
+    Listings within the query's radius of a place and within the place's price cap (or
+    ``default_cap``) that meet the criteria, in the query's order; nearest is by miles.
+    """
+    near = within_miles(listings, places, query.radius, regions)
+    capped = with_price_cap(near, caps, default_cap)
+    found = matching(capped, query, as_of).where(F.col("monthly_rent") <= F.col("cap"))
+    return paged(found.withColumn("distance", F.col("miles_away")), query.order(), query.page_size, cap, by=["name"])
+
+
 def merged_snapshots(snapshots: DataFrame, **kwargs) -> DataFrame:
     """The newest record of each listing over all snapshots."""
     return latest_per_listing(snapshots, **kwargs)

@@ -204,6 +204,11 @@ FROM k WHERE position % 3 <> 0 OR position % 2 = 0""",
     "ambiguous_places": f"""WITH {_LOOKUP}, top AS (SELECT * FROM ranked WHERE rank <= 20)
 SELECT query, rank, identifier FROM top WHERE query IN (SELECT query FROM top GROUP BY query HAVING count(*) > 1)""",
     **{f"search_{sort}": _search(order) for sort, order in _SEARCH_ORDER.items()},
+    "place_results": f"""WITH t AS (SELECT l.*, p.name, coalesce(c.cap, 2200) AS cap, {_MILES} AS miles, {_RENT} AS rent
+    FROM wl_listings l CROSS JOIN wl_places p LEFT JOIN wl_place_caps c ON c.name = p.name),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY miles, id) AS INTEGER) AS row_no FROM t
+  WHERE miles <= 12 AND rent <= cap AND {_DEFAULT_MATCH} AND NOT let_agreed)
+SELECT name, row_no, CAST((row_no - 1) // 24 AS INTEGER) AS page_no, id, round(miles, 6) AS miles_away, cap FROM r WHERE row_no <= 72""",
     "search_keywords": f"""SELECT id, round({_RENT}, 6) AS monthly_rent FROM wl_listings WHERE {_DEFAULT_MATCH} AND NOT let_agreed
   AND id % 6 <> 0 AND id % 10 <> 0 AND id % 2 = 0 AND id % 7 <> 0 AND id % 4 < 2""",
     "search_pages": f"""WITH t AS (SELECT id, CAST(row_number() OVER (ORDER BY first_visible_date DESC, id) AS INTEGER) AS row_no

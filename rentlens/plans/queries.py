@@ -324,6 +324,14 @@ for _sort in search.SORT_TYPES:
     query(_run)
 
 
+@query
+def place_results(w: Workload) -> DataFrame:
+    """The first pages around every place, each within its own price cap."""
+    wanted = search.ListingQuery(sort="nearest_first", radius=12.0)
+    found = jobs.place_results(w.listings(), w.view("wl_places"), w.view("wl_place_caps"), wanted, MAX_RENT, cap=60)
+    return found.select("name", "row_no", "page_no", "id", rounded("distance", "miles_away"), "cap")
+
+
 @query
 def search_keywords(w: Workload) -> DataFrame:
     """Criteria met by keywords: must-haves, exclusions and furnishing."""

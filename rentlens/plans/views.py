@@ -73,6 +73,9 @@ FROM {part}""",
 SELECT p_name AS query FROM {part}
 UNION SELECT split_part(p_name, ' ', 2) AS query FROM {part}
 UNION SELECT p_type AS query FROM {part}""",
+    # A price cap for some of the places.
+    "wl_place_caps": """
+SELECT r_name AS name, CAST(1500 + 500 * r_regionkey AS INT) AS cap FROM {region} WHERE r_regionkey % 2 = 0""",
     # A price cap for every other region.
     "wl_caps": """
 SELECT n_name AS name, CAST(1000 + 100 * n_nationkey AS INT) AS cap FROM {nation} WHERE n_nationkey % 2 = 0""",

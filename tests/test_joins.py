@@ -84,6 +84,17 @@ def test_pages_stop_after_the_cap(spark, total, held):
     assert (last.id, last.page_no, last.page_index) == (held - 1, (held - 1) // 24, (held - 1) // 24 * 24)
 
 
+def test_pages_per_group(spark, rows):
+    # Two thirds of the rows in one group.
+    found = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, "b").otherwise("a").alias("g"), (F.col("id") * 37 % 101).alias("v"))
+    pages = batches.paged(found, ["v", "id"], size=10, cap=45, by=["g"])
+    for group in ("a", "b"):
+        expected = [row.id for row in found.where(F.col("g") == group).orderBy("v", "id").limit(50).collect()]
+        held = pages.where(F.col("g") == group).orderBy("row_no").collect()
+        assert [row.id for row in held] == expected
+        assert [row.page_no for row in held] == [n // 10 for n in range(50)]
+
+
 def test_page_size_limits(spark):
     for size in (0, 26):
         with pytest.raises(ValueError):
