@@ -76,7 +76,7 @@ def rule_commute() -> Rule:
 def _with_inputs(df: DataFrame) -> DataFrame:
     if "monthly_rent" not in df.columns:
         df = with_monthly_rent(df)
-    if "square_metres" not in df.columns:
+    if "square_metres" not in df.columns and "display_size" in df.columns:
         df = with_floor_area(df)
     return df
 

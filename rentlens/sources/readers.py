@@ -76,6 +76,22 @@ def split_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> tuple
     return good, checked.where("problem is not null").select("record", "problem")
 
 
+def file_time() -> Column:
+    """The time in the name of the row's file; any name but digits fails the query."""
+    name = F.col("_metadata.file_name")
+    digits = F.regexp_extract(name, r"^([0-9]+)(\.[^.]*)?$", 1)
+    fail = F.raise_error(F.concat(F.lit("file name is not a time: "), name)).cast("string")
+    return F.when(digits != "", digits).otherwise(fail).cast("bigint")
+
+
+def stream_snapshots(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Snapshot files as they arrive in a folder, each an array of listings; see :func:`read_snapshots`."""
+    reader = spark.readStream.schema(LISTING).option("multiLine", True).option("mode", "FAILFAST").option("timeZone", "UTC")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return _require(reader.json(path), LISTING_REQUIRED, "listing").withColumn("snapshot_ts", file_time())
+
+
 def read_snapshots(spark: SparkSession, path: Paths, fmt: str = "json", by: str = "file") -> DataFrame:
     """Listings of a series of snapshots with their time in UTC seconds: ``snapshot_ts`` (bigint).
 
@@ -88,11 +104,7 @@ def read_snapshots(spark: SparkSession, path: Paths, fmt: str = "json", by: str
         if fmt == "parquet":
             return _require(spark.read.schema(schema).parquet(path), LISTING_REQUIRED, "listing")
         return _require(_json(spark, path, schema, lines=True), LISTING_REQUIRED, "listing")
-    df = read_listings(spark, path, fmt)
-    name = F.col("_metadata.file_name")
-    digits = F.regexp_extract(name, r"^([0-9]+)(\.[^.]*)?$", 1)
-    fail = F.raise_error(F.concat(F.lit("file name is not a time: "), name)).cast("string")
-    return df.withColumn("snapshot_ts", F.when(digits != "", digits).otherwise(fail).cast("bigint"))
+    return read_listings(spark, path, fmt).withColumn("snapshot_ts", file_time())
 
 
 def read_journeys(spark: SparkSession, path: Paths, lines: bool = False) -> DataFrame:

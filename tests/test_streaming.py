@@ -1,4 +1,4 @@
-import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rentlens.operators import rules as R
 from rentlens.operators.snapshots import latest_per_listing
 from rentlens import streaming as S
+from rentlens.sources import stream_snapshots
 
 SCHEMA = "id long, snapshot_ts long, amount int, frequency string, note string"
 
@@ -64,3 +65,17 @@ def test_suitable(spark, folder, rows):
     commute = spark.createDataFrame([(1, True), (3, True)], "id long, commute_ok boolean")
     drain_append(S.stream_suitable(stream, rules, history, commute).select("id", "note"), folder)
     assert rows(spark.read.parquet(f"{folder}/out")) == [(1, "late and older"), (1, "newer")]
+
+
+def test_snapshot_files_as_a_stream(spark, tmp_path, rows):
+    listing = {
+        "id": 1, "bedrooms": 1, "summary": "s", "location": {"latitude": 51.5, "longitude": 0.0}, "commercial": False,
+        "development": False, "residential": True, "students": False, "auction": False, "channel": "RENT", "heading": "h",
+    }
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "200.json").write_text(json.dumps([{**listing, "heading": "new"}, {**listing, "id": 2}]))
+    (folder / "100.json").write_text(json.dumps([listing, {**listing, "id": 3}]))
+    stream = stream_snapshots(spark, str(folder), files_per_batch=1).select("id", "snapshot_ts", "heading")
+    S.start_upsert(S.stream_latest(stream, ["snapshot_ts"]), f"{tmp_path}/out", f"{tmp_path}/state", drain=True).awaitTermination()
+    assert rows(S.read_upserts(spark, f"{tmp_path}/out")) == [(1, 200, "new"), (2, 200, "h"), (3, 100, "h")]
