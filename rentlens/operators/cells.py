@@ -174,7 +174,7 @@ def _cutting_sites(polygons: DataFrame, sites: DataFrame) -> DataFrame:
 def site_cells(sites: DataFrame, envelope: Envelope | None = None) -> DataFrame:
     """The part of the envelope nearest to each site: site_id, x, y, vx, vy (vertices in order).
 
-    ``sites(site_id, x, y)`` with distinct coordinates. Cells at the rim end at the
+    ``sites(site_id, x, y)``; ids and coordinates are both unique. Cells at the rim end at the
     envelope (default: the box around the sites, grown by a tenth). The result is a
     checkpointed table.
     """
@@ -200,7 +200,11 @@ def site_cells(sites: DataFrame, envelope: Envelope | None = None) -> DataFrame:
                 "vy": [[v[1] for v in ring] for ring in rings], "more": more,
             })
 
-    n_open = sites.count()
+    n_open, n_ids, n_spots = sites.agg(
+        F.count("*"), F.count_distinct("site_id"), F.count_distinct("x", "y")
+    ).first()
+    if not n_open == n_ids == n_spots:
+        raise ValueError("sites need unique ids at distinct coordinates")
     work = cut_lineage(_first_polygons(sites, envelope, n_open))
     done = None
     # Every round cuts every open cell, so the rounds end; the second has few cells left.

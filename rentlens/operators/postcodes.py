@@ -33,14 +33,16 @@ def split_valid_postcodes(
 def distinct_sites(
     df: DataFrame, column: str = "postcode", x: str = "longitude", y: str = "latitude"
 ) -> DataFrame:
-    """One row per exact coordinate: x, y, site_id (its first postcode), n_postcodes.
+    """One row per exact coordinate: x, y, site_id, first_code, n_codes.
 
-    Postcodes are counted, not gathered, so a coordinate that very many share stays one
-    small row; :func:`fan_out` brings every postcode back by an equi join.
+    ``site_id`` is the coordinate as text, ``first_code`` its first postcode. Postcodes are
+    counted, not gathered, so a coordinate that very many share stays one small row;
+    :func:`fan_out` brings every postcode back by an equi join.
     """
-    return df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(
-        F.min(column).alias("site_id"), F.count_distinct(column).alias("n_postcodes")
+    sites = df.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(
+        F.min(column).alias("first_code"), F.count_distinct(column).alias("n_codes")
     )
+    return sites.withColumn("site_id", F.concat_ws(",", F.col("x").cast("string"), F.col("y").cast("string")))
 
 
 def fan_out(per_site: DataFrame, df: DataFrame, column: str = "postcode", x: str = "longitude", y: str = "latitude") -> DataFrame:

@@ -1,8 +1,4 @@
-"""The same results as ``queries.QUERIES`` in plain DuckDB SQL, written from the definitions.
-
-``site_cells`` and ``rings`` have no entry: their vertices have no closed form in SQL, and
-``cell_cover``, ``postcode_rings`` and ``nearest_site`` check them instead.
-"""
+"""The same results as ``queries.QUERIES`` in plain DuckDB SQL, written from the definitions."""
 
 from __future__ import annotations
 
@@ -90,6 +86,31 @@ _SITES = "sites AS (SELECT min(site_key) AS site_id, longitude AS x, latitude AS
 _ENVELOPE_AREA = """(SELECT (max(x) - min(x) + 2 * g) * (max(y) - min(y) + 2 * g) FROM sites,
   (SELECT 0.1 * greatest(max(x) - min(x), max(y) - min(y)) AS g FROM sites) GROUP BY g)"""
 
+# Cells by definition: the envelope cut by the bisector to every other site, nearest first,
+# until the next is twice as far as the farthest corner. ``s`` is the signed side of each corner.
+_SIDE = "((v.x - (c.x + p.ox) / 2) * (p.ox - c.x) + (v.y - (c.y + p.oy) / 2) * (p.oy - c.y))"
+_NEXT = "k % len(ring) + 1"
+_CELLS = f"""grow AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1,
+    0.1e0 * greatest(max(x) - min(x), max(y) - min(y)) AS g FROM sites),
+pairs AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY d2, ox, oy) AS n FROM (
+    SELECT a.site_id, b.x AS ox, b.y AS oy, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2
+    FROM sites a JOIN sites b ON a.site_id <> b.site_id)),
+clip AS (SELECT site_id, x, y, CAST(0 AS BIGINT) AS n, [{{'x': x0 - g, 'y': y0 - g}}, {{'x': x1 + g, 'y': y0 - g}},
+    {{'x': x1 + g, 'y': y1 + g}}, {{'x': x0 - g, 'y': y1 + g}}] AS ring FROM sites, grow
+  UNION ALL
+  SELECT site_id, x, y, n, flatten(list_transform(range(1, len(ring) + 1), lambda k:
+      CASE WHEN s[k] <= 0 THEN [ring[k]] ELSE [] END || CASE WHEN (s[k] <= 0) <> (s[{_NEXT}] <= 0) THEN
+        [{{'x': ring[k].x + s[k] / (s[k] - s[{_NEXT}]) * (ring[{_NEXT}].x - ring[k].x),
+          'y': ring[k].y + s[k] / (s[k] - s[{_NEXT}]) * (ring[{_NEXT}].y - ring[k].y)}}] ELSE [] END)) AS ring
+  FROM (SELECT c.site_id, c.x, c.y, p.n, c.ring, list_transform(c.ring, lambda v: {_SIDE}) AS s
+    FROM clip c JOIN pairs p ON p.site_id = c.site_id AND p.n = c.n + 1
+    WHERE p.d2 < 4 * list_max(list_transform(c.ring, lambda v: (v.x - c.x) * (v.x - c.x) + (v.y - c.y) * (v.y - c.y))))),
+cells AS (SELECT site_id, any_value(x) AS x, any_value(y) AS y, arg_max(ring, n) AS ring FROM clip GROUP BY site_id)"""
+_AREA = f"""round(abs(list_sum(list_transform(range(1, len(ring) + 1), lambda k:
+  ring[k].x * ring[{_NEXT}].y - ring[{_NEXT}].x * ring[k].y))) / 2 * 1e6, 3) AS area"""
+_BORDER = f"""round(list_sum(list_transform(range(1, len(ring) + 1), lambda k: sqrt((ring[k].x - ring[{_NEXT}].x) ** 2
+  + (ring[k].y - ring[{_NEXT}].y) ** 2))), 6) AS border"""
+
 _TILES = """boxes AS (SELECT region, min_lon, min_lat, max_lon, max_lat FROM wl_regions),
 inside AS (SELECT id, region, min_lon, min_lat, max_lon, max_lat,
     CAST(least(greatest(floor((longitude - min_lon) / (max_lon - min_lon) * 64e0), 0), 63) AS BIGINT) AS x,
@@ -237,9 +258,9 @@ s AS (SELECT 'area' AS level, area AS code, latitude FROM g UNION ALL SELECT 'di
   UNION ALL SELECT 'sub_district', sub_district, latitude FROM g WHERE sub_district IS NOT NULL
   UNION ALL SELECT 'sector', sector, latitude FROM g UNION ALL SELECT 'postcode', canonical, latitude FROM g)
 SELECT level, code, count(*) AS sites, round(avg(latitude), 6) AS mean_latitude FROM s GROUP BY level, code""",
-    "distinct_sites": """SELECT longitude AS x, latitude AS y, min(postcode) AS site_id, count(DISTINCT postcode) AS n_postcodes
+    "distinct_sites": """SELECT longitude AS x, latitude AS y, min(postcode) AS first_code, count(DISTINCT postcode) AS n_codes
 FROM wl_postcodes GROUP BY longitude, latitude""",
-    "site_fan_out": """SELECT postcode, longitude AS x, latitude AS y, min(postcode) OVER (PARTITION BY longitude, latitude) AS site_id
+    "site_fan_out": """SELECT postcode, longitude AS x, latitude AS y, min(postcode) OVER (PARTITION BY longitude, latitude) AS first_code
 FROM wl_postcodes""",
     "postcode_directory": f"""WITH {_CODES} SELECT outward || ' ' || inward AS postcode,
   CAST(CAST(round(latitude, 6) AS DECIMAL(9,6)) AS DOUBLE) AS latitude, CAST(CAST(round(longitude, 6) AS DECIMAL(9,6)) AS DOUBLE) AS longitude FROM codes
@@ -250,6 +271,11 @@ WHERE site_key % 5 <> 4 AND site_key % 23 <> 0 AND site_key % 11 <> 0 AND site_k
 best AS (SELECT id, min(d2) AS d2 FROM d GROUP BY id)
 SELECT d.id, min(d.site_id) AS site_id, round(sqrt(any_value(d.d2)), 6) AS site_distance
 FROM d JOIN best ON best.id = d.id AND best.d2 = d.d2 GROUP BY d.id""",
+    "site_cells": f"WITH RECURSIVE {_SITES}, {_CELLS} SELECT site_id, {_BORDER} FROM cells",
+    "rings": f"WITH RECURSIVE {_SITES}, {_CELLS} SELECT site_id, {_AREA}, true AS closed FROM cells",
+    "postcode_rings": f"""WITH RECURSIVE {_CODES},
+sites AS (SELECT min(site_key) AS site_id, longitude AS x, latitude AS y FROM parts GROUP BY longitude, latitude), {_CELLS}
+SELECT p.postcode AS region, {_AREA} FROM parts p JOIN cells c ON c.x = p.longitude AND c.y = p.latitude""",
     "cell_cover": f"""WITH {_SITES} SELECT count(*) AS cells, round({_ENVELOPE_AREA}, 6) AS area, count(*) AS clockwise, count(*) AS closed FROM sites""",
     "adaptive_tiles": f"""WITH {_TILES} SELECT t.region, CAST(depth AS INTEGER) AS depth, ix, iy, n, n > 120 AS overflow,
   round(min_lon + ix * ((max_lon - min_lon) / 2e0 ** depth), 6) AS tile_min_x, round(min_lat + iy * ((max_lat - min_lat) / 2e0 ** depth), 6) AS tile_min_y,

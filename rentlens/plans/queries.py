@@ -444,13 +444,13 @@ def postcode_rollup(w: Workload) -> DataFrame:
 
 @query
 def distinct_sites(w: Workload) -> DataFrame:
-    return postcodes.distinct_sites(w.view("wl_postcodes"))
+    return postcodes.distinct_sites(w.view("wl_postcodes")).drop("site_id")
 
 
 @query
 def site_fan_out(w: Workload) -> DataFrame:
-    sites = postcodes.distinct_sites(w.view("wl_postcodes")).select("x", "y", "site_id")
-    return postcodes.fan_out(sites, w.view("wl_postcodes")).select("postcode", "x", "y", "site_id")
+    sites = postcodes.distinct_sites(w.view("wl_postcodes")).select("x", "y", "first_code")
+    return postcodes.fan_out(sites, w.view("wl_postcodes")).select("postcode", "x", "y", "first_code")
 
 
 @query
@@ -475,7 +475,8 @@ def postcode_directory(w: Workload) -> DataFrame:
 # Geometry ----------------------------------------------------------------------------------
 
 def _site_points(w: Workload) -> DataFrame:
-    return postcodes.distinct_sites(w.view("wl_postcodes").withColumn("site", F.col("site_key")), "site_key").select("site_id", "x", "y")
+    sites = postcodes.distinct_sites(w.view("wl_postcodes"), "site_key")
+    return sites.select(F.col("first_code").alias("site_id"), "x", "y")
 
 
 def _site_cells(w: Workload) -> DataFrame:
@@ -491,12 +492,23 @@ def nearest_site(w: Workload) -> DataFrame:
 
 @query
 def site_cells(w: Workload) -> DataFrame:
-    return cells.cell_edges(_site_cells(w))
+    """The length of every cell's border, from its sides."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    sides = cells.cell_edges(_site_cells(w))
+    return sides.groupBy("site_id").agg(rounded(F.sum(F.sqrt(dx * dx + dy * dy)), "border"))
+
+
+def _area(ring: Column) -> Column:
+    """The area of a clockwise ring, in millionths."""
+    return F.round(-regions.signed_turns(ring) / 2 * 1e6, 3).alias("area")
 
 
 @query
 def rings(w: Workload) -> DataFrame:
-    return cells.ring_from_edges(cells.cell_edges(_site_cells(w)))
+    """The stitched ring of every cell: its area, and that it is closed."""
+    ring = F.col("ring")
+    found = cells.ring_from_edges(cells.cell_edges(_site_cells(w)))
+    return found.select("site_id", _area(ring), (ring[0] == F.element_at(ring, -1)).alias("closed"))
 
 
 @query
@@ -516,9 +528,8 @@ def cell_cover(w: Workload) -> DataFrame:
 
 @query
 def postcode_rings(w: Workload) -> DataFrame:
-    """Every valid postcode with the area of its cell's ring (one postcode per row)."""
-    found = jobs.postcode_cells(w.view("wl_postcodes"))
-    return found.select("region", F.size("ring").alias("vertices"), rounded(-regions.signed_turns(F.col("ring")) / 2, "area"))
+    """Every valid postcode with the area of its cell; postcodes at one coordinate share it."""
+    return jobs.postcode_cells(w.view("wl_postcodes")).select("region", _area(F.col("ring")))
 
 
 def _tile_inputs(w: Workload) -> tuple[DataFrame, DataFrame]:

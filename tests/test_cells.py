@@ -130,3 +130,9 @@ def test_tasks_need_no_copy_of_the_package(tmp_path):
     )
     environment = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=environment, check=True, timeout=300)
+
+
+def test_sites_must_differ(spark):
+    for sites in ([(1, 0.0, 0.0), (1, 1.0, 1.0)], [(1, 0.0, 0.0), (2, 0.0, 0.0)]):
+        with pytest.raises(ValueError):
+            C.site_cells(spark.createDataFrame(sites, "site_id int, x double, y double"))

@@ -25,8 +25,8 @@ def test_rollup(spark):
 def test_shared_coordinates(spark, rows):
     codes = spark.createDataFrame([("B", 1.0, 2.0), ("A", 1.0, 2.0), ("A", 1.0, 2.0), ("C", 1.0, 2.0000001)], "postcode string, longitude double, latitude double")
     sites = P.distinct_sites(codes)
-    assert rows(sites) == [(1.0, 2.0, "A", 2), (1.0, 2.0000001, "C", 1)]
-    assert rows(P.fan_out(sites.select("x", "y", "site_id"), codes).select("postcode", "site_id")) == [("A", "A"), ("A", "A"), ("B", "A"), ("C", "C")]
+    assert rows(sites) == [(1.0, 2.0, "A", 2, "1.0,2.0"), (1.0, 2.0000001, "C", 1, "1.0,2.0000001")]
+    assert rows(P.fan_out(sites.select("x", "y", "first_code"), codes).select("postcode", "first_code")) == [("A", "A"), ("A", "A"), ("B", "A"), ("C", "C")]
 
 
 def test_every_valid_postcode_gets_its_cell(spark):
@@ -36,5 +36,8 @@ def test_every_valid_postcode_gets_its_cell(spark):
     ).withColumns({"longitude": F.col("longitude").cast("decimal(9,6)"), "latitude": F.col("latitude").cast("decimal(9,6)")})
     rings = {r.region: r.ring for r in postcode_cells(codes).collect()}
     assert set(rings) == {"E1 6AN", "E1 6AP", "SW1A 2AA", "N1 9AA"}
+    # One text at two coordinates is two sites.
+    twice = postcode_cells(codes.where("postcode <> 'bad'").withColumn("postcode", F.lit("E1 6AN"))).collect()
+    assert len({str(r.ring) for r in twice}) == 3
     assert rings["E1 6AN"] == rings["E1 6AP"] != rings["N1 9AA"]
     assert all(ring[0] == ring[-1] and len(ring) >= 4 for ring in rings.values())
