@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from rentlens.operators import postcodes as P
@@ -41,3 +44,25 @@ def test_every_valid_postcode_gets_its_cell(spark):
     assert len({str(r.ring) for r in twice}) == 3
     assert rings["E1 6AN"] == rings["E1 6AP"] != rings["N1 9AA"]
     assert all(ring[0] == ring[-1] and len(ring) >= 4 for ring in rings.values())
+
+
+def test_random_texts_against_a_pattern(spark):
+    rng = random.Random(11)
+    texts = sorted({"".join(rng.choice("AB19 x") for _ in range(rng.randint(1, 9))) for _ in range(3000)})
+    texts += [f"{a}{n}{x} {i}" for a in ("E", "SW") for n in (1, 12) for x in ("", "A") for i in ("2AA", "9ZZ")]
+    found = P.with_postcode_hierarchy(P.check_postcodes(spark.createDataFrame([(t,) for t in texts], "postcode string")))
+    # Outward: a letter first, a digit somewhere, 2 to 4 characters; inward: a digit and two more.
+    shape = re.compile(r"(?=.{5,7}$)(?=[A-Z][^0-9]*[0-9].*.{3}$)([A-Z].{1,3})([0-9].{2})")
+    for row in found.collect():
+        packed = row.postcode.upper().strip().replace(" ", "")
+        match = shape.fullmatch(packed)
+        valid = match is not None and any(c.isdigit() for c in match[1])
+        assert (row.problem is None) == valid, row
+        if valid:
+            last_digit = max(i for i, c in enumerate(match[1]) if c.isdigit())
+            first_digit = min(i for i, c in enumerate(match[1]) if c.isdigit())
+            assert (row.outward, row.inward, row.unit) == (match[1], match[2], match[2][1:])
+            assert row.area == match[1][:first_digit] and row.district == match[1][: last_digit + 1]
+            following = match[1][last_digit + 1: last_digit + 2]
+            assert row.sub_district == (row.district + following if following else None)
+            assert row.sector == f"{match[1]} {match[2][0]}" and row.canonical == f"{match[1]} {match[2]}"
