@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup
+from . import exact_dedup, packing, prefix_counts
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +14,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str) -> str:
+    """Where the installed vocabularies are; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
     return function
@@ -36,3 +43,13 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(n) AS text_sha256 FROM g
 """
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
