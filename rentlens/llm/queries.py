@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language, packing, prefix_counts
+from . import bpe, exact_dedup, language, packing, prefix_counts
 from .common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language.fit(documents.where(id_remainder(5) != 0), vocabulary("piece_bpe_32k.model"))
     return language.identify(documents, model)
+
+
+@query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_and_decode(
+        table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
