@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, packing, prefix_counts
+from . import bpe, exact_dedup, language, packing, prefix_counts, quality
 from .common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return bpe.encode_and_decode(
         table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.fit(documents, table(spark, sf_dir, "labels").where(id_remainder(3) != 1))
+    return quality.score(documents, model)
