@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, packing, prefix_counts, quality
+from . import bpe, exact_dedup, language, packing, prefix_counts, quality, vptree
 from .common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = quality.fit(documents, table(spark, sf_dir, "labels").where(id_remainder(3) != 1))
     return quality.score(documents, model)
+
+
+@query
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest_neighbours(table(spark, sf_dir, "embeddings"))
