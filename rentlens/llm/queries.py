@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, packing, prefix_counts, quality, vptree
+from . import bpe, exact_dedup, language, minhash, packing, prefix_counts, quality, vptree
 from .common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,39 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Likeness())
+
+
+# Exact similarities of all pairs that share a shingle; components by their least id.
+ORACLES["op1_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS shingle
+  FROM w
+), n AS (
+  SELECT doc_id, count(shingle) AS n_shingles FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS one, b.doc_id AS other, count(*) AS common
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT one, other FROM pairs JOIN n x ON x.doc_id = one JOIN n y ON y.doc_id = other
+  WHERE 100 * common >= 85 * (x.n_shingles + y.n_shingles - common)
+), either_way AS (
+  SELECT one, other FROM links UNION ALL SELECT other, one FROM links
+), reach AS (
+  SELECT doc_id AS origin, doc_id AS reached FROM n
+  UNION
+  SELECT r.origin, b.other FROM reach r JOIN either_way b ON r.reached = b.one
+)
+SELECT n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id AS kept
+FROM n JOIN (SELECT origin, min(reached) AS component_id FROM reach GROUP BY origin) c ON c.origin = n.doc_id
+"""
