@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, minhash, packing, prefix_counts, quality, vptree
+from . import bpe, exact_dedup, language, line_dedup, minhash, packing, prefix_counts, quality, vptree
 from .common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,55 @@ WITH RECURSIVE w AS (
 SELECT n.doc_id, n.n_shingles, c.component_id, n.doc_id = c.component_id AS kept
 FROM n JOIN (SELECT origin, min(reached) AS component_id FROM reach GROUP BY origin) c ON c.origin = n.doc_id
 """
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+# The cleaned texts are shared with the pipeline's SQL.
+LINE_DEDUP_SQL = r"""
+line_docs AS (
+  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t,
+    floor(ln(greatest(length(coalesce(text, '')), 1)) / ln(1.15)) AS class
+  FROM {documents}
+), line_rows AS (
+  SELECT row_no, class, u.n AS line_no, u.line AS line FROM line_docs,
+    unnest(list_transform(string_split(t, chr(10)), lambda x, i: {{'n': i - 1, 'line': x}})) AS x(u)
+), line_tokens AS (
+  SELECT row_no, class, line_no, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09\x0B-\x0D]+'),
+    lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
+  FROM line_rows
+), line_leaves AS (
+  SELECT *, len(tokens) AS n, tokens[1:3] AS head FROM line_tokens WHERE len(tokens) >= 3
+), recurring_leaves AS (
+  SELECT n, head FROM line_leaves GROUP BY ALL HAVING count(DISTINCT class) >= 4
+), place_tokens AS (
+  SELECT row_no, class, line_no, n, head, unnest(range(n)) AS spot, unnest(tokens) AS token
+  FROM line_leaves JOIN recurring_leaves USING (n, head)
+), constants AS (
+  SELECT n, head, spot, token, 1 AS constant FROM place_tokens GROUP BY ALL HAVING count(DISTINCT class) >= 4
+), templates AS (
+  SELECT row_no, class, line_no, n, head,
+    list(CASE WHEN constant = 1 THEN token END ORDER BY spot) AS template, count(constant) AS constant
+  FROM place_tokens LEFT JOIN constants USING (n, head, spot, token)
+  GROUP BY row_no, class, line_no, n, head HAVING count(constant) * 100 >= n * 80
+), recurring_templates AS (
+  SELECT head, template FROM templates GROUP BY ALL HAVING count(DISTINCT class) >= 4
+), dropped_lines AS (
+  SELECT row_no, line_no FROM templates JOIN recurring_templates USING (head, template)
+), line_results AS (
+  SELECT d.row_no, any_value(d.doc_id) AS doc_id, count(*) AS n_lines, count(x.row_no) AS n_dropped,
+    coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE x.row_no IS NULL), '') AS cleaned
+  FROM line_docs d JOIN line_rows l USING (row_no)
+  LEFT JOIN dropped_lines x ON x.row_no = l.row_no AND x.line_no = l.line_no
+  GROUP BY d.row_no
+)"""
+
+ORACLES["op10_line_dedup"] = f"""
+WITH {LINE_DEDUP_SQL.format(documents="documents")}
+SELECT doc_id, n_lines::INTEGER AS n_lines, n_dropped::INTEGER AS n_dropped, length(cleaned)::INTEGER AS n_chars,
+  sha256(cleaned) AS text_sha256
+FROM line_results
+"""
