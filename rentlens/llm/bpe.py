@@ -39,22 +39,29 @@ WORDS_AT_ONCE = 60_000
 _RESULT = pa.schema([
     ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
-# Positions take the low 20 bits of a key, so the least key is the leftmost pair of least rank.
+# Rows are linked: each knows the next position and its token. A key holds a merge's id, its
+# position and the position it absorbs, 20 bits each for positions, so the least key is the
+# leftmost pair of least rank.
 _ENCODE = """
 WITH RECURSIVE pieces AS (
-  SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos) AS following, 0 AS round FROM start_rows
+  SELECT word, pos, token, lead(token) OVER w AS following, lead(pos) OVER w AS next, 0 AS round
+  FROM start_rows WINDOW w AS (PARTITION BY word ORDER BY pos)
   UNION ALL
-  SELECT word, pos, token, lead(token) OVER (PARTITION BY word ORDER BY pos), round + 1 FROM (
-    SELECT p.word, p.pos, p.round,
-      CASE WHEN p.pos = best.at & 1048575 THEN (best.at >> 20)::INTEGER ELSE p.token END AS token,
-      lag(p.pos) OVER (PARTITION BY p.word ORDER BY p.pos) = (best.at & 1048575) AS absorbed
-    FROM pieces p JOIN (
-      SELECT q.word, min((m.id::BIGINT << 20) + q.pos) AS at
+  SELECT p.word, p.pos,
+    CASE WHEN p.pos = best.pos THEN best.id ELSE p.token END,
+    CASE WHEN p.pos = best.pos THEN best.following WHEN p.next = best.pos THEN best.id ELSE p.following END,
+    CASE WHEN p.pos = best.pos THEN best.next ELSE p.next END,
+    p.round + 1
+  FROM pieces p JOIN (
+    SELECT k.word, (k.key >> 40)::INTEGER AS id, (k.key >> 20) & 1048575 AS pos, gone.pos AS absorbed,
+      gone.following, gone.next
+    FROM (
+      SELECT q.word, min((m.id::BIGINT << 40) + (q.pos::BIGINT << 20) + q.next) AS key
       FROM pieces q JOIN merges m ON q.token = m.lft AND q.following = m.rgt GROUP BY q.word
-    ) best ON p.word = best.word
-  ) WHERE absorbed IS DISTINCT FROM true
+    ) k JOIN pieces gone ON gone.word = k.word AND gone.pos = k.key & 1048575
+  ) best ON p.word = best.word AND p.pos <> best.absorbed
 ), final AS (
-  SELECT word, pos, token FROM pieces QUALIFY round = max(round) OVER (PARTITION BY word)
+  SELECT word, pos, token FROM pieces JOIN (SELECT word, max(round) AS round FROM pieces GROUP BY word) USING (word, round)
 )
 SELECT f.word, string_agg(v.id_bytes, '' ORDER BY f.pos) AS ids, string_agg(v.token_bytes, '' ORDER BY f.pos) AS decoded
 FROM final f JOIN vocabulary v ON f.token = v.id GROUP BY f.word
