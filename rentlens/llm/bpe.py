@@ -31,7 +31,7 @@ from .chunks import REMEMBERED_CHARS, independent, little_endian, read_ranks
 from .common import id_text, in_batches, texts
 
 LONG_WORD = 256
-CACHED_CHUNKS = CACHED_WORDS = 400_000
+CACHED_CHUNKS = CACHED_WORDS = 500_000
 # Characters of text whose words are resolved together, and words in one query.
 TEXT_AT_ONCE = 6_000_000
 WORDS_AT_ONCE = 60_000
@@ -76,7 +76,9 @@ class RecursiveEncoder:
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([byte])] for byte in range(256)], np.int32)
-        self.known: dict[str, tuple[bytes, bytes]] = {}
+        # By part (what follows a space), and by word: (ids, bytes).
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, bytes] = {}
         self.words: dict[str, tuple[bytes, bytes]] = {}
         # In memory only: the batches are bounded, so nothing has to spill to a local folder.
         self.database = duckdb.connect(config={"threads": 1, "temp_directory": ""})
@@ -151,36 +153,47 @@ class RecursiveEncoder:
             offer(at)
         return [self.ranks[token] for token in tokens if token]
 
-    def _chunks(self, text: str) -> list[str]:
-        """Chunks that are encoded independently: parts between lone spaces, else all pattern matches."""
-        head, *rest = text.split(" ")
-        chunks = [" " + part for part in rest]
-        lone = bool(rest) and not head[-1:].isspace() and not rest[-1][:1].isspace()
-        if not lone or not all(
-                chunk in self.known or independent(part) for chunk, part in zip(chunks[:-1], rest)):
-            return self.pattern.findall(text)
-        return [head, *chunks] if head else chunks
-
     def encode_many(self, many: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """(ids, decoded bytes) of each text."""
-        split = [self._chunks(text) for text in many]
-        if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
+        """(ids, decoded bytes) of each text.
+
+        A text is a head and parts that each follow a space. Where white space touches such a
+        space the pattern looks over it, and the text is cut by the pattern itself.
+        """
+        split = [text.split(" ") for text in many]
+        heads = [parts.pop(0) for parts in split]
+        used = set().union(*split)
+        unknown = used.difference(self.ids)
+        if len(self.ids) + len(unknown) > CACHED_CHUNKS:  # forget what these texts do not use
+            self.ids = {part: ids for part, ids in self.ids.items() if part in used}
+            self.decoded = {part: self.decoded[part] for part in self.ids}
         if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        unknown = set().union(*split).difference(self.known)
-        words_of = {chunk: self.pattern.findall(chunk) for chunk in unknown}
-        new = {word for found in words_of.values() for word in found}.difference(self.words)
-        fresh = self.encode_words([word.encode() for word in new])
-        self.words.update((word, fresh[word.encode()]) for word in new if len(word) <= REMEMBERED_CHARS)
-        once = {word: fresh[word.encode()] for word in new if len(word) > REMEMBERED_CHARS}
-        for chunk, found in words_of.items():
-            parts = [self.words.get(word) or once[word] for word in found]
-            value = parts[0] if len(parts) == 1 else (b"".join([p[0] for p in parts]), b"".join([p[1] for p in parts]))
-            (self.known if len(chunk) <= REMEMBERED_CHARS else once)[chunk] = value
-        for chunks in split:
-            values = [self.known.get(chunk) or once[chunk] for chunk in chunks]
-            yield b"".join([v[0] for v in values]), b"".join([v[1] for v in values])
+            self.words = {}
+        touching = {part for part in unknown if not independent(part)}
+        whole = [
+            head[-1:].isspace() and bool(parts) or not touching.isdisjoint(parts) for head, parts in zip(heads, split)]
+        words_of = {part: self.pattern.findall(" " + part) for part in unknown - touching}
+        head_words = [self.pattern.findall(text if w else head) for text, head, w in zip(many, heads, whole)]
+        new = set().union(*words_of.values(), *head_words).difference(self.words)
+        for word, value in self.encode_words([word.encode() for word in new]).items():
+            self.words[word.decode()] = value
+        words = self.words
+        for part, found in words_of.items():
+            if len(found) == 1:
+                self.ids[part], self.decoded[part] = words[found[0]]
+            else:
+                self.ids[part] = b"".join([words[word][0] for word in found])
+                self.decoded[part] = b"".join([words[word][1] for word in found])
+        for parts, found, w in zip(split, head_words, whole):
+            rest = [] if w else parts
+            yield (
+                b"".join([words[word][0] for word in found]) + b"".join(map(self.ids.__getitem__, rest)),
+                b"".join([words[word][1] for word in found]) + b"".join(map(self.decoded.__getitem__, rest)))
+        for part in words_of:
+            if len(part) > REMEMBERED_CHARS:
+                del self.ids[part], self.decoded[part]
+        for word in new:
+            if len(word) > REMEMBERED_CHARS:
+                del words[word]
 
 
 @functools.lru_cache(maxsize=1)
