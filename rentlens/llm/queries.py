@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, line_dedup, minhash, packing, prefix_counts, quality, vptree
+from . import bpe, exact_dedup, language, line_dedup, minhash, packing, pii, prefix_counts, quality, vptree
 from .common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,3 +168,9 @@ SELECT doc_id, n_lines::INTEGER AS n_lines, n_dropped::INTEGER AS n_dropped, len
   sha256(cleaned) AS text_sha256
 FROM line_results
 """
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.find_personal_data(documents, pii.fit(documents))
