@@ -32,6 +32,8 @@ PRIOR_USES = 0.02
 CONFIDENCE_WORDS = 32
 CACHED_WORDS = 400_000
 UNDECIDED = "und"
+# Texts whose best language is less likely than this among the others are rejected.
+LEAST_SCORE = 0.4
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _START = "▁"
@@ -199,8 +201,13 @@ def fit(
     rows = df.where(F.col(f"`{lang_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    sample = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= documents)
+    # Only hashes are ranked, per language; the texts stay in their tasks.
+    hashed = rows.withColumn("order", F.xxhash64("doc_id"))
+    first = Window.partitionBy("lang").orderBy("order")
+    reach = (
+        hashed.select("lang", "order").withColumn("place", F.row_number().over(first))
+        .where(F.col("place") <= documents).groupBy("lang").agg(F.max("order").alias("reach")))
+    sample = hashed.join(reach, "lang").where(F.col("order") <= F.col("reach"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("word", pa.string())])
@@ -220,6 +227,24 @@ def fit(
     return LanguageModel(list(wide.columns), pieces, probabilities)
 
 
+def keep_identified(
+    df: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = LEAST_SCORE,
+) -> DataFrame:
+    """The rows whose text has a language with at least ``least_score``; all columns as they are."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = scorer_of(shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                found = scorer.score([text or "" for text in part.column(place).to_pylist()])
+                yield part.filter(pa.array([lang != UNDECIDED and score >= least_score for lang, score in found]))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def identify(
     df: DataFrame, model: LanguageModel, held_out_every: int = 5, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
