@@ -32,9 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that recur across documents; one that had no others goes."""
-    cleaned = line_dedup.drop_recurring_lines(docs)
-    emptied = (F.col("_n_dropped") > 0) & (F.trim("text") == "")
-    return _like(docs, cleaned.where(~F.coalesce(emptied, F.lit(False))))
+    return _like(docs, line_dedup.drop_recurring_lines(docs, drop_emptied=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,8 @@ class TextScorer:
 
     def score(self, many: list[str]) -> list[tuple[str, float]]:
         """(language, confidence) of each text."""
+        if not self.model.languages:
+            return [(UNDECIDED, 0.0)] * len(many)
         split = [words_of(text) for text in many]
         unknown = [w for w in set().union(*split) if w not in self.number]
         if len(self.number) + len(unknown) > CACHED_WORDS:
@@ -174,7 +176,7 @@ class TextScorer:
         return [self._decide(words) for words in split]
 
     def _decide(self, words: list[str]) -> tuple[str, float]:
-        if not words or not self.model.languages:
+        if not words:
             return UNDECIDED, 0.0
         rows = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         mean = self.table[rows].sum(axis=0) / len(words)

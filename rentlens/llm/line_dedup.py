@@ -81,37 +81,52 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return lookup_join(templated, recurring, template, "left_semi").select("row_id", "row_hash", "line_no")
 
 
-def drop_recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table with recurring lines taken out of ``text_col``, and counts ``_n_lines`` and ``_n_dropped``.
-
-    Lines end at ``\\n``; those with fewer than ``MIN_TOKENS`` tokens stay. A null text stays null (1
-    line, none dropped). Rows that repeat an id and text get equal results; a null id is an id. An empty
-    table stays empty. All other columns are kept as they are.
-    """
+def _cleaned(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """The table with ``text_col`` cleaned, beside columns of a free prefix: ``lines`` and ``dropped`` counts."""
+    free = "_"
+    while any(column.startswith(free) for column in df.columns):
+        free += "_"
     found = recurring_lines(df, id_col, text_col)
     # Numbers of one document's own lines: bounded by the document.
-    dropped = found.groupBy("row_id", "row_hash").agg(F.sort_array(F.collect_set("line_no")).alias("_dropped"))
+    dropped = found.groupBy(F.col("row_id").alias(f"{free}id"), F.col("row_hash").alias(f"{free}hash")).agg(
+        F.sort_array(F.collect_set("line_no")).alias(f"{free}numbers"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    keyed = df.withColumns({"_row_id": F.col(f"`{id_col}`").cast("long"), "_row_hash": F.xxhash64(text)})
+    keyed = df.withColumns({f"{free}own_id": F.col(f"`{id_col}`").cast("long"), f"{free}own_hash": F.xxhash64(text)})
     joined = keyed.join(
-        dropped, F.col("_row_id").eqNullSafe(F.col("row_id")) & (F.col("_row_hash") == F.col("row_hash")), "left")
+        dropped, F.col(f"{free}own_id").eqNullSafe(F.col(f"{free}id")) & (F.col(f"{free}own_hash") == F.col(f"{free}hash")), "left")
     lines = F.split(text, "\n")
     numbered = F.transform(lines, lambda line, n: F.struct(line.alias("line"), n.alias("n")))
-    kept = F.filter(numbered, lambda x: ~F.array_contains("_dropped", x["n"]))
+    kept = F.filter(numbered, lambda x: ~F.array_contains(f"{free}numbers", x["n"]))
     cleaned = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
     return joined.withColumns({
-        "_n_lines": F.size(lines), "_n_dropped": F.coalesce(F.size("_dropped"), F.lit(0)),
-        text_col: F.when(F.col("_dropped").isNull(), F.col(f"`{text_col}`")).otherwise(cleaned),
-    }).drop("_row_id", "_row_hash", "row_id", "row_hash", "_dropped")
+        f"{free}lines": F.size(lines), f"{free}dropped": F.coalesce(F.size(f"{free}numbers"), F.lit(0)),
+        text_col: F.when(F.col(f"{free}numbers").isNull(), F.col(f"`{text_col}`")).otherwise(cleaned),
+    }), free
+
+
+def drop_recurring_lines(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False,
+) -> DataFrame:
+    """The table with recurring lines taken out of ``text_col``; all other columns as they are.
+
+    Lines end at ``\\n``; those with fewer than ``MIN_TOKENS`` tokens stay. A null text stays null. Rows that
+    repeat an id and text get equal results; a null id is an id. An empty table stays empty. With
+    ``drop_emptied``, rows that had nothing but recurring lines go.
+    """
+    cleaned, free = _cleaned(df, id_col, text_col)
+    if drop_emptied:
+        cleaned = cleaned.where((F.col(f"{free}dropped") == 0) | (F.trim(f"`{text_col}`") != ""))
+    return cleaned.select(*[F.col(f"`{column}`") for column in df.columns])
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_lines, n_dropped, n_chars, text_sha256: one row per input row, of the cleaned text.
 
-    A null text counts as empty. See :func:`drop_recurring_lines`.
+    A null text counts as empty (one line). See :func:`drop_recurring_lines`.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    cleaned = F.coalesce("text", F.lit(""))
-    return drop_recurring_lines(rows).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-        F.length(cleaned).alias("n_chars"), F.sha2(cleaned, 256).alias("text_sha256"))
+    cleaned, free = _cleaned(rows, "doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    return cleaned.select(
+        "doc_id", F.col(f"{free}lines").alias("n_lines"), F.col(f"{free}dropped").alias("n_dropped"),
+        F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
