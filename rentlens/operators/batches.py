@@ -14,6 +14,8 @@ from ..session import cut_lineage
 SINGLE_TASK_ROWS = 200_000
 # Parts a group is cut to its first rows in, before the parts are brought together.
 GROUP_PARTS = 64
+# Spark limits groups before a shuffle up to this many rows (its default).
+GROUP_LIMIT = 1000
 
 
 def number_rows(df: DataFrame, key: str, number: str = "row_no", rows: int | None = None) -> DataFrame:
@@ -67,8 +69,14 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | str
 
     Each group is first cut to ``k`` rows in each of ``GROUP_PARTS`` parts (by hash of
     ``key``), so a group that holds a third of the rows is sorted by many tasks, and only
-    what is left of it by one.
+    what is left of it by one. Beyond ``GROUP_LIMIT`` rows the limit would not run before the
+    shuffle, so the first ones are taken, then the first of the others. ``order`` is total.
     """
+    if k > GROUP_LIMIT:
+        first = top_per_group(df, by, order, GROUP_LIMIT, key)
+        others = df.join(first.select(*by, key), [*by, key], "left_anti")
+        more = top_per_group(others, by, order, k - GROUP_LIMIT, key)
+        return first.unionByName(more.withColumn("row_no", F.col("row_no") + GROUP_LIMIT))
     part = F.pmod(F.xxhash64(key), F.lit(GROUP_PARTS))
     within = F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order))
     few = df.withColumn("_part", part).withColumn("row_no", within).where(F.col("row_no") <= k).drop("_part", "row_no")

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import target_arrival
 from ..schemas import STATION_PREFIX
-from .joins import lookup_join, spread_join, with_every
+from .joins import beside_all, lookup_join, spread_join
 
 
 def od_pairs(listings: DataFrame, places: DataFrame, key: str = "id") -> DataFrame:
-    """Every listing with every destination: the pairs a journey is needed for."""
+    """Every listing with every destination, all pairs by definition; :func:`missing_journeys` needs none."""
     origins = listings.select(key, F.col("latitude").alias("src_lat"), F.col("longitude").alias("src_lon"))
     targets = places.select("name", F.col("latitude").alias("dst_lat"), F.col("longitude").alias("dst_lon"))
-    return with_every(origins, targets, "name")
+    return beside_all(origins, targets)
 
 
 def rounded(df: DataFrame, columns: Sequence[str], digits: int) -> DataFrame:
@@ -32,10 +32,34 @@ def missing_pairs(pairs: DataFrame, journeys: DataFrame, key: Sequence[str]) ->
     return pairs.join(journeys.select(*key).distinct(), list(key), "left_anti")
 
 
+def missing_journeys(
+    origins: DataFrame, places: DataFrame, journeys: DataFrame,
+    origin: Sequence[str] = ("id",), destination: Sequence[str] = ("name",),
+) -> DataFrame:
+    """Origin and destination of every journey still to fetch; only these pairs are ever made.
+
+    Journeys are folded to the places each origin reaches (as many as there are places, at most),
+    and origins that lack some are given those.
+    """
+    origin, destination = list(origin), list(destination)
+    wanted = places.select(*destination).distinct()
+    met = lookup_join(journeys.select(*origin, *destination), wanted, destination, "left_semi")
+    reached = met.groupBy(*origin).agg(F.collect_set(F.struct(*destination)).alias("_reached"))
+    starts = origins.select(*origin).distinct()
+    # The list of places is a user's; it rides along as one array.
+    every = wanted.agg(F.collect_set(F.struct(*destination)).alias("_every"))
+    known = spread_join(starts, reached, origin, "left")
+    nothing = F.array().cast(every.schema["_every"].dataType)
+    lacking = beside_all(known, every, 1).withColumn(
+        "_p", F.explode(F.array_except("_every", F.coalesce("_reached", nothing))))
+    return lacking.select(*origin, *[F.col("_p")[c].alias(c) for c in destination])
+
+
 def best_journeys(
-    journeys: DataFrame, key: Sequence[str], order: Sequence[Column | str] = ("duration", "position")
+    journeys: DataFrame, key: Sequence[str], order: Sequence[Column | str] | None = None
 ) -> DataFrame:
-    """The shortest journey of each pair; the first in ``order`` on equal durations."""
+    """The shortest journey of each pair, one without a duration last; the first in ``order`` on equal ones."""
+    order = order or (F.asc_nulls_last("duration"), F.col("position"))
     rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     return journeys.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 

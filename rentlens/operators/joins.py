@@ -9,20 +9,34 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-# A broadcast table holds at most this many rows (or, with ``weight``, this much weight).
+# A broadcast table holds at most this many rows (or, with ``weight``, this much weight), and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 # A salted key gets one salt for this many rows of the fact table.
 ROWS_PER_SALT = 1_000_000
-# The columns that tell rows apart, where a table has them.
-ROW_NAMES = ("id", "snapshot_ts")
-# Any key past the first 1024 holds less than a thousandth of the rows, so it needs no salt.
-MAX_HOT_KEYS = 1024
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, weight: Column | None = None) -> bool:
-    """Is the table within the bound? One pass over it; only counts leave the tasks."""
-    return (df.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0) <= max_rows
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: texts and nested values by their length."""
+    total = F.lit(8 * len(df.columns)).cast("bigint")
+    for field in df.schema:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (ArrayType, MapType, StructType)):
+            column = F.to_json(F.struct(column))
+        elif not isinstance(field.dataType, (StringType, BinaryType)):
+            continue
+        total = total + F.coalesce(F.octet_length(column), F.lit(0))
+    return total
+
+
+def fits_broadcast(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, weight: Column | None = None, max_bytes: int = BROADCAST_BYTES
+) -> bool:
+    """Is the table within both bounds? One pass over it; only sums leave the tasks."""
+    units, size = df.agg(F.sum(F.lit(1) if weight is None else weight), F.sum(row_bytes(df))).first()
+    return (units or 0) <= max_rows and (size or 0) <= max_bytes
 
 
 def spread_join(
@@ -36,27 +50,25 @@ def spread_join(
     every attempt of a task, and the matching ``dim`` rows are repeated once per salt.
     ``how`` may be inner, left, left_semi or left_anti: ``facts`` is the kept side.
 
-    ``spread_by`` names the hashed columns. By default they are the id (and snapshot time),
-    so that no column is read only to be hashed; without an id, all columns.
+    ``spread_by`` names the hashed columns, which must tell the rows of a key apart. By default
+    they are all columns, so rows that share an id spread too.
     """
     on = list(on)
     rows_per_salt = rows_per_salt or ROWS_PER_SALT
-    # The limit is on the list of keys to salt, not on rows: every row is joined.
+    # At most one key for ``rows_per_salt`` rows; Spark broadcasts the list if it is short.
     hot = (
         facts.groupBy(*on).count()
         .where(F.col("count") > rows_per_salt)
-        .orderBy(F.desc("count"), *on).limit(MAX_HOT_KEYS)
         .select(*on, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
     )
-    spread_by = spread_by or [c for c in ROW_NAMES if c in facts.columns] or facts.columns
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in spread_by])
+    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in spread_by or facts.columns])
     left = (
-        facts.join(F.broadcast(hot), on, "left")
+        facts.join(hot, on, "left")
         .withColumn("_salt", F.coalesce(F.pmod(row_hash, F.col("_salts")), F.lit(0)).cast("int"))
         .drop("_salts")
     )
     right = (
-        dim.join(F.broadcast(hot), on, "left")
+        dim.join(hot, on, "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )
@@ -79,20 +91,12 @@ def lookup_join(
     return spread_join(facts, dim, on, how)
 
 
-def with_every(facts: DataFrame, dim: DataFrame, key: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Each row of ``facts`` beside each row of ``dim``, as an equi join on a row number.
+def beside_all(facts: DataFrame, dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Each row of ``facts`` beside each row of ``dim``: a broadcast cross join, for short user-made lists.
 
-    ``dim`` is a user's list of places; ``key`` is unique in it. Each fact row is repeated
-    once per number and meets the one ``dim`` row of that number, so a list too long to
-    broadcast spreads over as many keys as it has rows.
+    All pairs are what is asked for, so nothing cheaper exists; a list beyond the broadcast bounds
+    is refused.
     """
-    from .batches import number_rows
-
-    count = dim.count()
-    if count == 0:
-        numbers = F.array().cast("array<bigint>")
-    else:
-        numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(count).cast("bigint"))
-    numbered = number_rows(dim, key, "_number", rows=count)
-    numbered = F.broadcast(numbered) if count <= max_rows else numbered.hint("merge")
-    return facts.withColumn("_number", F.explode(numbers)).join(numbered, "_number").drop("_number")
+    if not fits_broadcast(dim, max_rows):
+        raise ValueError("the list to pair every row with is too long to broadcast")
+    return facts.crossJoin(F.broadcast(dim))

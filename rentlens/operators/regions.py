@@ -99,7 +99,7 @@ def region_cells(regions: DataFrame, rule: str = "union", per_side: int = 8) ->
         raise ValueError("rule must be union or even_odd")
     sizes = bounding_boxes(regions)
     extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    strips_wanted = F.greatest(F.lit(float(per_side)), F.least(F.lit(64.0), F.sqrt(F.col("vertices"))))
+    strips_wanted = F.greatest(F.lit(float(per_side)), F.sqrt(F.col("vertices")))
     sizes = sizes.select("region", "min_x", "max_x", level_for(extent, strips_wanted).alias("level"))
 
     low = cell_no(F.least("y1", "y2"), F.col("level"))
@@ -194,7 +194,7 @@ def within_miles(
     """Each listing with each place (column ``name``) at most ``miles`` away, and ``miles_away``.
 
     Radius 0 means inside the place's own area: ``regions`` whose region is the place's
-    name. Boxes do not wrap at the 180th meridian.
+    name. Circles may reach over the 180th meridian.
     """
     if miles == 0:
         if regions is None:
@@ -207,9 +207,14 @@ def within_miles(
     # Widest half-angle of longitude of a circle of angular radius ``reach`` at this latitude.
     ratio = F.lit(math.sin(math.radians(min(reach, 90.0)))) / F.cos(F.radians(lat))
     widen = F.when((F.abs(lat) + reach < 90) & (ratio < 1), F.degrees(F.asin(ratio)) * (1 + 1e-9)).otherwise(360.0)
-    boxes = places.select("name", F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon")).withColumns({
-        "min_x": lon - widen, "max_x": lon + widen, "min_y": lat - reach, "max_y": lat + reach,
-    })
+    # A box that leaves the map on one side comes in again on the other. One that goes all the way
+    # round stays single, so that no listing meets it twice.
+    turns = F.when(widen >= 180, F.array(F.lit(0.0))).otherwise(F.array(*map(F.lit, (-360.0, 0.0, 360.0))))
+    turned = places.select("name", F.col("latitude").alias("_plat"), F.col("longitude").alias("_plon")).withColumn(
+        "_turn", F.explode(turns))
+    boxes = turned.withColumns({
+        "min_x": lon - widen + F.col("_turn"), "max_x": lon + widen + F.col("_turn"), "min_y": lat - reach, "max_y": lat + reach,
+    }).where("min_x <= 180 and max_x >= -180").drop("_turn")
     met = points_in_boxes(df, "longitude", "latitude", boxes)
     return (
         met.withColumn("miles_away", haversine_miles("latitude", "longitude", "_plat", "_plon"))

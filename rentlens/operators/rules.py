@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import moment, whole_days_between
+from ..schemas import SQFT_SUFFIX
 from .joins import lookup_join
 from .listings import with_floor_area, with_monthly_rent
 
@@ -34,10 +35,17 @@ def rule_has_price() -> Rule:
     return Rule("has_price", F.col("amount").isNull(), F.lit("no price"))
 
 
+def _or_fail(known: Column, underivable: Column, *message: Column) -> Column:
+    """The condition; a row whose input cannot be derived fails the query, if it comes this far."""
+    return F.when(underivable, F.raise_error(F.concat(*message)).cast("boolean")).otherwise(known)
+
+
 def rule_min_area(min_sqm: int) -> Rule:
-    """Listings without a size in square feet pass."""
+    """Listings without a size in square feet pass; one that is not a whole number is an error."""
     reason = F.concat(F.lit("too small: "), F.col("square_feet").cast("string"), F.lit(" sq. ft."))
-    return Rule("min_area", F.col("square_metres") < min_sqm, reason)
+    unread = F.col("_size_unread")
+    rejects = _or_fail(F.col("square_metres") < min_sqm, unread.isNotNull(), F.lit("size is not a whole number: "), unread)
+    return Rule("min_area", rejects, reason)
 
 
 def rule_available() -> Rule:
@@ -47,14 +55,17 @@ def rule_available() -> Rule:
 def rule_max_rent(cap: int | float | str) -> Rule:
     """``cap`` is a number, or the name of a column with a cap per row.
 
-    A monthly rent of zero counts as unknown, hence as above any cap.
+    A monthly rent of zero counts as unknown, hence as above any cap. An unknown frequency is
+    an error.
     """
     limit = F.col(cap) if isinstance(cap, str) else F.lit(cap)
     rent = F.coalesce(F.nullif(F.col("monthly_rent"), F.lit(0.0)), F.lit(float("inf")))
     reason = F.concat(
         F.lit("too expensive: "), F.col("amount").cast("string"), F.lit(" "), F.col("frequency")
     )
-    return Rule("max_rent", rent > limit, reason)
+    unknown = F.col("amount").isNotNull() & F.col("monthly_rent").isNull()
+    rejects = _or_fail(rent > limit, unknown, F.lit("unknown price frequency: "), F.coalesce("frequency", F.lit("null")))
+    return Rule("max_rent", rejects, reason)
 
 
 def rule_recent(now: dt.datetime, max_days: int | None, type_name: str = "timestamp") -> Rule:
@@ -74,10 +85,16 @@ def rule_commute() -> Rule:
 
 
 def _with_inputs(df: DataFrame) -> DataFrame:
+    """Derived columns; what cannot be derived is null, and an error only for the rule that needs it."""
     if "monthly_rent" not in df.columns:
-        df = with_monthly_rent(df)
+        df = with_monthly_rent(df, on_error="null")
     if "square_metres" not in df.columns and "display_size" in df.columns:
-        df = with_floor_area(df)
+        df = with_floor_area(df, on_error="null")
+    if "_size_unread" not in df.columns:
+        unread = F.lit(None).cast("string")
+        if "display_size" in df.columns and "square_feet" in df.columns:
+            unread = F.when(F.endswith("display_size", F.lit(SQFT_SUFFIX)) & F.col("square_feet").isNull(), F.col("display_size"))
+        df = df.withColumn("_size_unread", unread)
     return df
 
 
@@ -96,7 +113,7 @@ def classify(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     )
     for rule in rules:
         name, reason = name.when(rule.rejects, rule.name), reason.when(rule.rejects, rule.reason)
-    return df.withColumns({"skip_rule": name, "skip_reason": reason})
+    return df.withColumns({"skip_rule": name, "skip_reason": reason}).drop("_size_unread")
 
 
 def suitable(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -108,7 +125,7 @@ def suitable(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     df = _with_inputs(df)
     for rule in rules:
         df = df.where(rule.rejects.isNull() | ~rule.rejects)
-    return df
+    return df.drop("_size_unread")
 
 
 def funnel(classified: DataFrame) -> DataFrame:

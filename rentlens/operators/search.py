@@ -12,7 +12,7 @@ from ..functions import instant_micros, moment, planar_distance
 from ..schemas import (
     CHANNELS, DONT_SHOW, FURNISH_TYPES, LIST_CAP, LOOKUP_LIMIT, MAP_CAP, MUST_HAVE, PROPERTY_TYPES,
 )
-from .batches import paged
+from .batches import number_rows, paged
 from .joins import lookup_join
 from .listings import map_listing_location, with_monthly_rent
 
@@ -29,6 +29,7 @@ def _only(values: Sequence[str], known: Sequence[str], what: str) -> None:
 class ListingQuery:
     """Search criteria. A zero or empty bound is no constraint."""
 
+    # The defaults are the listing service's own.
     min_bedrooms: int = 1
     max_bedrooms: int = 10
     min_price: int = 0
@@ -95,6 +96,8 @@ class ListingQuery:
         words = F.coalesce("keywords", F.array().cast("array<string>")) if has_keywords else None
         if self.must_have and words is None:
             raise ValueError("must_have needs a keywords column")
+        if words is None and self.furnish_types and set(self.furnish_types) != set(FURNISH_TYPES):
+            raise ValueError("furnish_types needs a keywords column")
         if words is None:
             return terms
         terms += [F.array_contains(words, wanted) for wanted in self.must_have]
@@ -156,8 +159,8 @@ def map_search(
 
 
 def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The listings with these ids."""
-    return df.join(ids.select("id").distinct(), "id", "left_semi")
+    """The listings with these ids; ids may repeat."""
+    return df.join(ids.select("id"), "id", "left_semi")
 
 
 def distinct_ids(*areas: DataFrame) -> DataFrame:
@@ -168,15 +171,24 @@ def distinct_ids(*areas: DataFrame) -> DataFrame:
     return union.distinct()
 
 
+def _review_keys(df: DataFrame, centre: tuple[float, float] | None) -> DataFrame:
+    date_type = dict(df.dtypes)["first_visible_date"]
+    newest = F.coalesce(-instant_micros("first_visible_date", date_type), F.lit(0).cast("bigint"))
+    return with_distance(df, centre).withColumn("recency_key", newest)
+
+
+def with_review_rank(df: DataFrame, centre: tuple[float, float] | None = None) -> DataFrame:
+    """Add distance, recency_key and ``rank``: the row's number in review order, from 1."""
+    keyed = _review_keys(df, centre).withColumn("_order", F.struct("distance", "recency_key", "id"))
+    return number_rows(keyed, "_order", "rank").drop("_order")
+
+
 def rank_for_review(df: DataFrame, centre: tuple[float, float] | None = None) -> DataFrame:
     """Listings nearest to ``centre`` first, then newest first; no date counts as key 0.
 
     The sort is global: Spark range-partitions it, so it scales with the cluster.
     """
-    date_type = dict(df.dtypes)["first_visible_date"]
-    newest = F.coalesce(-instant_micros("first_visible_date", date_type), F.lit(0).cast("bigint"))
-    ranked = with_distance(df, centre).withColumn("recency_key", newest)
-    return ranked.orderBy("distance", "recency_key", "id")
+    return _review_keys(df, centre).orderBy("distance", "recency_key", "id")
 
 
 def _grams(text: Column) -> Column:

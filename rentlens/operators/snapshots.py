@@ -45,17 +45,30 @@ def unseen(df: DataFrame, history: DataFrame | None, order: Sequence[Column | st
     return once if history is None else once.join(history.select("id"), "id", "left_anti")
 
 
+def _once_per_key(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """The last row of each key in ``order``; without an order, a repeated key fails the query."""
+    if order:
+        by = [c if isinstance(c, Column) else F.col(c) for c in order]
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(*[c.desc_nulls_last() for c in by]))
+        return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    repeated = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    message = F.concat(F.lit("key given twice: "), F.to_json(F.struct(*key)))
+    fail = F.raise_error(message).cast("boolean")
+    return df.withColumn("_rank", repeated).where(F.when(F.col("_rank") > 1, fail).otherwise(True)).drop("_rank")
+
+
 def merge_rows(
-    existing: DataFrame, updates: DataFrame, key: Sequence[str], values: Sequence[str]
+    existing: DataFrame, updates: DataFrame, key: Sequence[str], values: Sequence[str], order: Sequence[Column | str] = ()
 ) -> DataFrame:
     """Upsert: every key of both sides, the update's values where it has the key.
 
     Adds ``change``: ``kept``, ``same``, ``new`` or ``changed``; only the last two need to
-    be written. Keys are unique on each side.
+    be written. Keys are unique in ``existing``. Of updates with equal keys the last in
+    ``order`` counts; without an order they fail the query.
     """
     key, values = list(key), list(values)
     old = existing.select(*key, F.struct(*values).alias("_old"))
-    new = updates.select(*key, F.struct(*values).alias("_new"))
+    new = _once_per_key(updates, key, order).select(*key, F.struct(*values).alias("_new"))
     change = (
         F.when(F.col("_new").isNull(), "kept")
         .when(F.col("_old").isNull(), "new")
@@ -71,17 +84,19 @@ PAIR = ("src_lat", "src_lon", "dst_lat", "dst_lon")
 
 
 def merge_journeys(
-    cache: DataFrame, updates: DataFrame, key: Sequence[str] = PAIR, values: Sequence[str] = ("journeys",)
+    cache: DataFrame, updates: DataFrame, key: Sequence[str] = PAIR, values: Sequence[str] = ("journeys",),
+    order: Sequence[Column | str] = (),
 ) -> DataFrame:
     """The journey cache after an update; see :func:`merge_rows`."""
-    return merge_rows(cache, updates, key, values)
+    return merge_rows(cache, updates, key, values, order)
 
 
 def changed_journeys(
-    cache: DataFrame, updates: DataFrame, key: Sequence[str] = PAIR, values: Sequence[str] = ("journeys",)
+    cache: DataFrame, updates: DataFrame, key: Sequence[str] = PAIR, values: Sequence[str] = ("journeys",),
+    order: Sequence[Column | str] = (),
 ) -> DataFrame:
     """Only the pairs an update adds or alters."""
-    return merge_rows(cache, updates, key, values).where(F.col("change").isin("new", "changed"))
+    return merge_rows(cache, updates, key, values, order).where(F.col("change").isin("new", "changed"))
 
 
 def ambiguous_places(matches: DataFrame, by: str = "query") -> DataFrame:
@@ -94,15 +109,22 @@ def merge_search_places(existing: DataFrame, updates: DataFrame) -> DataFrame:
     """Search places (name, identifier, position) after an update.
 
     Existing names keep their position and take the new identifier; new names follow in
-    name order. Two updates of one name fail the query.
+    name order, after the last position. Two updates of one name fail the query.
     """
+    from .batches import number_rows
+
     counted = updates.groupBy("name").agg(F.first("identifier").alias("identifier"), F.count("*").alias("_n"))
     message = F.concat(F.lit("name given twice: "), F.col("name"))
     checked = counted.where(F.when(F.col("_n") > 1, F.raise_error(message).cast("boolean")).otherwise(True))
     merged = existing.withColumnRenamed("identifier", "_old").join(
         checked.select("name", F.col("identifier").alias("_new")), "name", "full_outer"
     )
-    return merged.select(
-        "name", F.coalesce("_new", "_old").alias("identifier"), "position",
+    added = updates.select("name").distinct().join(existing.select("name"), "name", "left_anti")
+    last = existing.agg(F.coalesce(F.max("position") + 1, F.lit(0)).alias("_next"))
+    placed = number_rows(added, "name", "_place").crossJoin(F.broadcast(last))  # one row
+    numbered = merged.join(placed.select("name", (F.col("_next") + F.col("_place") - 1).alias("_position")), "name", "left")
+    position = F.coalesce("position", "_position").cast(existing.schema["position"].dataType)
+    return numbered.select(
+        "name", F.coalesce("_new", "_old").alias("identifier"), position.alias("position"),
         F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "new").otherwise("replaced").alias("change"),
     )

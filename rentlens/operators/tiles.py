@@ -7,8 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import MAP_CAP
+from ..session import cut_lineage
 from .grid import points_in_boxes
 
+# Depth at which cells are as fine as doubles across a box, and depths that are opened at once.
+DEEPEST = 50
+STEP = 12
+
 
 def _axis_no(value: Column, low: Column, high: Column, depth: int) -> Column:
     """Half-open cell number at ``depth``; the upper border belongs to the last cell."""
@@ -30,22 +35,22 @@ def _at_depth(column: str, deepest: int) -> Column:
     return F.expr(f"shiftright({column}, {deepest} - depth)")
 
 
-def counts_by_depth(cells: DataFrame, key: Sequence[str], deepest: int, *aggregates: Column) -> DataFrame:
-    """Aggregates of every cell at the depths 0..``deepest``, from rows of the deepest cells.
+def counts_by_depth(cells: DataFrame, key: Sequence[str], deepest: int, *aggregates: Column, top: int = 0) -> DataFrame:
+    """Aggregates of every cell at the depths ``top``..``deepest``, from rows of the deepest cells.
 
     Rows are grouped before they come here, and partial aggregates fold the repeats
     before the shuffle.
     """
     return (
-        cells.withColumn("depth", F.explode(F.sequence(F.lit(0), F.lit(deepest))))
+        cells.withColumn("depth", F.explode(F.sequence(F.lit(top), F.lit(deepest))))
         .withColumns({"ix": _at_depth("_ix", deepest), "iy": _at_depth("_iy", deepest)})
         .groupBy(*key, "depth", "ix", "iy")
         .agg(*aggregates)
     )
 
 
-def leaf_cells(counts: DataFrame, key: Sequence[str], cap: int, deepest: int) -> DataFrame:
-    """The coarsest cells with ``n`` at most ``cap`` (or at ``deepest``) below full ones.
+def leaf_cells(counts: DataFrame, key: Sequence[str], cap: int, deepest: int, top: int = 0) -> DataFrame:
+    """The coarsest cells with ``n`` at most ``cap`` (or at ``deepest``) below full ones or at ``top``.
 
     A full cell tells its four quarters so; one grouping brings that and their own counts
     together. No join, and ``counts`` is read once, whatever the depth.
@@ -62,13 +67,13 @@ def leaf_cells(counts: DataFrame, key: Sequence[str], cap: int, deepest: int) ->
     return (
         told.select(*key, "_c.*").groupBy(*key, "depth", "ix", "iy")
         .agg(F.max("n").alias("n"), F.bool_or("opened").alias("_opened"))
-        .where(F.col("n").isNotNull() & (F.col("_opened") | (depth == 0)) & ((F.col("n") <= cap) | (depth == deepest)))
+        .where(F.col("n").isNotNull() & (F.col("_opened") | (depth == top)) & ((F.col("n") <= cap) | (depth == deepest)))
         .drop("_opened")
     )
 
 
 def adaptive_tiles(
-    points: DataFrame, boxes: DataFrame, cap: int = MAP_CAP, max_depth: int = 12,
+    points: DataFrame, boxes: DataFrame, cap: int = MAP_CAP, max_depth: int = DEEPEST,
     x: str = "longitude", y: str = "latitude",
 ) -> DataFrame:
     """The tiles of each box: coarsest quarterings that hold 1 to ``cap`` points each.
@@ -76,15 +81,36 @@ def adaptive_tiles(
     ``boxes(region, min_x, min_y, max_x, max_y)``. A tile appears when it has at most
     ``cap`` points and its parent has more; tiles without points are left out. Tiles of
     one box are disjoint and their counts add up to its points. A tile at ``max_depth``
-    with more than ``cap`` points is kept with ``overflow`` set, so no point is lost.
+    with more than ``cap`` points is kept with ``overflow`` set, so no point is lost. By
+    default that is as deep as doubles tell points of a box apart.
 
-    Points are counted once per deepest cell; two groupings of those counts do the rest,
-    whatever the depth.
+    Points are counted once per deepest cell. ``STEP`` depths at a time are read off those
+    counts by two groupings; only cells that are still too full go on to the next ones.
     """
     boxes = boxes.select("region", "min_x", "min_y", "max_x", "max_y")
+    key = ["region"]
     cells = _located(points, boxes, x, y, max_depth).groupBy("region", "_ix", "_iy").agg(F.count("*").alias("_n"))
-    counts = counts_by_depth(cells, ["region"], max_depth, F.sum("_n").alias("n"))
-    leaves = leaf_cells(counts, ["region"], cap, max_depth)
+    if max_depth > STEP:
+        cells = cut_lineage(cells)
+    leaves, top = None, 0
+    while True:
+        deep = min(top + STEP, max_depth)
+        up = max_depth - deep
+        shifted = cells.withColumns({"_ix": F.shiftright("_ix", up), "_iy": F.shiftright("_iy", up)}) if up else cells
+        counts = counts_by_depth(shifted, key, deep, F.sum("_n").alias("n"), top=top)
+        found = leaf_cells(counts, key, cap, deep, top)
+        if deep < max_depth:
+            found = cut_lineage(found)
+            full = found.where((F.col("depth") == deep) & (F.col("n") > cap)).select("region", F.col("ix").alias("_jx"), F.col("iy").alias("_jy"))
+            if not full.isEmpty():
+                settled = found.where((F.col("depth") < deep) | (F.col("n") <= cap))
+                leaves = settled if leaves is None else leaves.unionByName(settled)
+                inner = cells.withColumns({"_jx": F.shiftright("_ix", up), "_jy": F.shiftright("_iy", up)})
+                cells = cut_lineage(inner.join(full, ["region", "_jx", "_jy"], "left_semi").drop("_jx", "_jy"))
+                top = deep
+                continue
+        leaves = found if leaves is None else leaves.unionByName(found)
+        break
 
     size = F.pow(F.lit(2.0), F.col("depth"))
     step_x, step_y = (F.col("max_x") - F.col("min_x")) / size, (F.col("max_y") - F.col("min_y")) / size

@@ -12,37 +12,53 @@ from ..operators.postcodes import distinct_sites, fan_out, split_valid_postcodes
 from ..operators.batches import paged
 from ..operators.regions import assign_regions, orient_clockwise, rent_by_region, rent_map_table, within_miles
 from ..operators.rules import (
-    classify, exclude_seen, rule_available, rule_commute, rule_has_price, rule_max_rent, rule_min_area,
-    rule_recent, rule_residential, with_price_cap,
+    Rule, classify, exclude_seen, rule_available, rule_commute, rule_has_price, rule_max_rent, rule_min_area,
+    rule_recent, rule_residential, suitable, with_price_cap,
 )
-from ..operators.search import ListingQuery, matching, rank_for_review
+from ..operators.search import ListingQuery, matching, with_review_rank
 from ..operators.snapshots import latest_per_listing
 from ..schemas import LIST_CAP
 from ..session import cut_lineage
 
 
+def _cheap_rules(df: DataFrame, now: dt.datetime, max_rent: int | str, max_days: int | None, min_sqm: int) -> list[Rule]:
+    date_type = dict(df.dtypes)["first_visible_date"]
+    return [
+        rule_residential(), rule_has_price(), rule_min_area(min_sqm), rule_available(),
+        rule_max_rent(max_rent), rule_recent(now, max_days, date_type),
+    ]
+
+
 def judged_listings(
     listings: DataFrame, places: DataFrame, journeys: DataFrame, now: dt.datetime,
     max_rent: int | str = 2200, max_days: int | None = 7, max_minutes: int = 45, min_sqm: int = 0,
     history: DataFrame | None = None, origin=("id",), destination=("name",),
 ) -> DataFrame:
-    """Every unseen listing with the first rule that turns it away, the commute rule last."""
+    """Every unseen listing with the first rule that turns it away, the commute rule last.
+
+    Only listings that passed the other rules meet the journeys.
+    """
     fresh = exclude_seen(listings, history)
-    date_type = dict(fresh.dtypes)["first_visible_date"]
-    judged = classify(fresh, [
-        rule_residential(), rule_has_price(), rule_min_area(min_sqm), rule_available(),
-        rule_max_rent(max_rent), rule_recent(now, max_days, date_type),
-    ])
-    # Journeys are folded to one count per origin before they meet the listings; filtering
-    # them by listing first would shuffle every journey unfolded.
-    checked = commute_ok(judged, places, journeys, max_minutes, origin, destination)
-    return classify(checked, [rule_commute()]).drop("commute_ok")
+    judged = classify(fresh, _cheap_rules(fresh, now, max_rent, max_days, min_sqm))
+    passed = commute_ok(judged.where("skip_rule is null"), places, journeys, max_minutes, origin, destination)
+    checked = classify(passed, [rule_commute()]).drop("commute_ok")
+    return checked.unionByName(judged.where("skip_rule is not null"))
 
 
-def accepted_listings(listings: DataFrame, *args, centre: tuple[float, float] | None = None, **kwargs) -> DataFrame:
-    """The suitable listings in review order; arguments as for :func:`judged_listings`."""
-    judged = judged_listings(listings, *args, **kwargs)
-    return rank_for_review(judged.where("skip_rule is null").drop("skip_rule", "skip_reason"), centre)
+def accepted_listings(
+    listings: DataFrame, places: DataFrame, journeys: DataFrame, now: dt.datetime,
+    max_rent: int | str = 2200, max_days: int | None = 7, max_minutes: int = 45, min_sqm: int = 0,
+    history: DataFrame | None = None, origin=("id",), destination=("name",),
+    centre: tuple[float, float] | None = None,
+) -> DataFrame:
+    """The suitable listings in review order, with their ``rank`` from 1.
+
+    No verdicts are needed, so the cheap rules are filters that reach the scan.
+    """
+    fresh = exclude_seen(listings, history)
+    passed = suitable(fresh, _cheap_rules(fresh, now, max_rent, max_days, min_sqm))
+    reached = suitable(commute_ok(passed, places, journeys, max_minutes, origin, destination), [rule_commute()])
+    return with_review_rank(reached.drop("commute_ok"), centre)
 
 
 def place_results(

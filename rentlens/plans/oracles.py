@@ -50,8 +50,8 @@ _SEARCH_ORDER = {
 
 
 def _search(order: str) -> str:
-    return f"""SELECT id, round(monthly_rent, 6) AS monthly_rent, round(distance, 6) AS distance, first_visible_date
-FROM (SELECT *, {_RENT} AS monthly_rent, {_DISTANCE} AS distance FROM wl_listings)
+    return f"""SELECT CAST(row_number() OVER (ORDER BY {order}, id) AS INTEGER) AS row_no, id, round(monthly_rent, 6) AS monthly_rent,
+  round(distance, 6) AS distance, first_visible_date FROM (SELECT *, {_RENT} AS monthly_rent, {_DISTANCE} AS distance FROM wl_listings)
 WHERE bedrooms BETWEEN 2 AND 4 AND bathrooms BETWEEN 1 AND 3 AND monthly_rent BETWEEN 1000 AND 6000
   AND property_type IN ('flat', 'detached', 'semi-detached', 'terraced') AND NOT let_agreed AND NOT students
   AND first_visible_date >= TIMESTAMP '2000-01-01 12:00:00' - INTERVAL 900 DAY
@@ -186,6 +186,9 @@ SELECT t.id, CASE WHEN skip_rule IS NOT NULL THEN skip_rule WHEN NOT commute_ok
   CASE WHEN skip_rule IS NOT NULL THEN skip_reason WHEN NOT commute_ok THEN 'commute too long' END AS skip_reason
 FROM ({_classified()}) t JOIN ok ON ok.id = t.id WHERE t.id NOT IN (SELECT id FROM wl_history)""",
     "commute_ok": _COMMUTE,
+    "accepted_listings": f"""WITH ok AS ({_COMMUTE}), a AS (SELECT t.id, {_DISTANCE} AS d, coalesce(-epoch_us(first_visible_date), 0) AS recency_key
+  FROM ({_classified()}) t JOIN ok ON ok.id = t.id WHERE skip_rule IS NULL AND commute_ok AND t.id NOT IN (SELECT id FROM wl_history))
+SELECT row_number() OVER (ORDER BY d, recency_key, id) AS rank, id, round(d, 6) AS distance, recency_key FROM a""",
     "best_journeys": """SELECT id, name, duration, position, mode FROM wl_journeys
 QUALIFY row_number() OVER (PARTITION BY id, name ORDER BY duration, position, tie, mode) = 1""",
     "od_pairs": """SELECT l.id, l.latitude AS src_lat, l.longitude AS src_lon, p.name, p.latitude AS dst_lat, p.longitude AS dst_lon
@@ -215,11 +218,13 @@ SELECT id, name, coalesce(n.d, o.d) AS duration, CASE WHEN n.d IS NULL THEN 'kep
 n AS (SELECT id, name, min(duration) AS d FROM wl_journeys WHERE position >= 3 GROUP BY id, name)
 SELECT id, name, n.d AS duration, CASE WHEN o.d IS NULL THEN 'new' ELSE 'changed' END AS change
 FROM n LEFT JOIN o USING (id, name) WHERE o.d IS NULL OR o.d <> n.d""",
-    "merge_places": """WITH k AS (SELECT 'P' || position AS name, identifier, position FROM wl_search_places)
-SELECT name, CASE WHEN position % 2 = 0 THEN 'REGION^' || position ELSE identifier END AS identifier,
-  CASE WHEN position % 3 <> 0 THEN CAST(position AS DOUBLE) END AS position,
-  CASE WHEN position % 2 <> 0 THEN 'kept' WHEN position % 3 = 0 THEN 'new' ELSE 'replaced' END AS change
-FROM k WHERE position % 3 <> 0 OR position % 2 = 0""",
+    "merge_places": """WITH k AS (SELECT 'P' || position AS name, identifier, position FROM wl_search_places),
+added AS (SELECT name, row_number() OVER (ORDER BY name) - 1 + (SELECT max(position) + 1 FROM k WHERE position % 3 <> 0) AS place
+  FROM k WHERE position % 3 = 0)
+SELECT k.name, CASE WHEN position % 2 = 0 OR position % 3 = 0 THEN 'REGION^' || position ELSE identifier END AS identifier,
+  CAST(coalesce(place, position) AS DOUBLE) AS position,
+  CASE WHEN position % 3 = 0 THEN 'new' WHEN position % 2 = 0 THEN 'replaced' ELSE 'kept' END AS change
+FROM k LEFT JOIN added ON added.name = k.name""",
     "lookup": f"""WITH {_LOOKUP} SELECT query, rank, name, identifier, match_class,
   regexp_replace(name, '(' || trim(query) || ')', '[\\1]', 'gi') AS marked FROM ranked WHERE rank <= 20""",
     "ambiguous_places": f"""WITH {_LOOKUP}, top AS (SELECT * FROM ranked WHERE rank <= 20)
@@ -229,7 +234,7 @@ SELECT query, rank, identifier FROM top WHERE query IN (SELECT query FROM top GR
     FROM wl_listings l CROSS JOIN wl_places p LEFT JOIN wl_place_caps c ON c.name = p.name),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY name ORDER BY miles, id) AS INTEGER) AS row_no FROM t
   WHERE miles <= 12 AND rent <= cap AND {_DEFAULT_MATCH} AND NOT let_agreed)
-SELECT name, row_no, CAST((row_no - 1) // 24 AS INTEGER) AS page_no, id, round(miles, 6) AS miles_away, cap FROM r WHERE row_no <= 72""",
+SELECT name, row_no, CAST((row_no - 1) // 24 AS INTEGER) AS page_no, id, round(miles, 6) AS miles_away, cap FROM r WHERE row_no <= 1008""",
     "search_keywords": f"""SELECT id, round({_RENT}, 6) AS monthly_rent FROM wl_listings WHERE {_DEFAULT_MATCH} AND NOT let_agreed
   AND id % 6 <> 0 AND id % 10 <> 0 AND id % 2 = 0 AND id % 7 <> 0 AND id % 4 < 2""",
     "search_pages": f"""WITH t AS (SELECT id, CAST(row_number() OVER (ORDER BY first_visible_date DESC, id) AS INTEGER) AS row_no
@@ -244,7 +249,7 @@ WHERE m <= 5""",
 UNION SELECT id FROM wl_history""",
     "within_area": f"""SELECT id, region AS name, 0e0 AS miles_away FROM wl_listings JOIN wl_regions ON {_IN_BOX}
 WHERE region IN (SELECT name FROM wl_caps)""",
-    "rank_for_review": f"SELECT id, round({_DISTANCE}, 6) AS distance, coalesce(-epoch_us(first_visible_date), 0) AS recency_key FROM wl_listings",
+    "rank_for_review": f"SELECT id, round({_DISTANCE}, 6) AS distance, coalesce(-epoch_us(first_visible_date), 0) AS recency_key, row_number() OVER (ORDER BY {_DISTANCE}, coalesce(-epoch_us(first_visible_date), 0), id) AS rank FROM wl_listings",
     "review_sheet": """SELECT id, 'advert' AS kind, CAST(NULL AS VARCHAR) AS place, 'https://listings.example/properties/' || id AS link
 FROM wl_listings WHERE id % 9 <> 0
 UNION ALL SELECT l.id, 'route', p.name, 'https://www.google.com/maps/dir/?api=1&origin=' || p.latitude || '%2C' || p.longitude
@@ -282,7 +287,7 @@ SELECT p.postcode AS region, {_AREA} FROM parts p JOIN cells c ON c.x = p.longit
   round(min_lon + (ix + 1) * ((max_lon - min_lon) / 2e0 ** depth), 6) AS tile_max_x, round(min_lat + (iy + 1) * ((max_lat - min_lat) / 2e0 ** depth), 6) AS tile_max_y
 FROM tiles t JOIN boxes b ON b.region = t.region""",
     "tile_ids": f"WITH {_TILES} SELECT DISTINCT id FROM inside",
-    "batch_keys": """WITH t AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 25 AS batch_no FROM (SELECT DISTINCT id FROM wl_listings WHERE NOT let_agreed))
+    "batch_keys": """WITH t AS (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 25 AS batch_no FROM (SELECT DISTINCT id FROM wl_listings))
 SELECT batch_no, count(*) AS n_keys, min(id) AS first_key, max(id) AS last_key, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS keys
 FROM t GROUP BY batch_no""",
     "listing_records": """SELECT id, bedrooms, CAST(bathrooms AS DOUBLE) AS bathrooms, CAST(amount AS DOUBLE) AS amount, CASE WHEN amount IS NOT NULL THEN frequency END AS frequency, latitude, longitude,
@@ -291,6 +296,17 @@ FROM t GROUP BY batch_no""",
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY tie1 DESC, amount) = 1""",
     "bad_listings": """SELECT CASE WHEN id % 17 = 0 THEN 'without heading' WHEN id % 19 = 0 THEN 'unreadable' ELSE 'good' END AS problem,
   count(*) AS records FROM wl_listings GROUP BY 1""",
+    "bad_journeys": """SELECT CASE WHEN l_partkey % 17 = 0 THEN 'without a journey''s times, duration, legs or fare'
+  WHEN l_partkey % 19 = 0 THEN 'unreadable' WHEN l_partkey % 23 = 0 THEN 'without a leg''s stop names' ELSE 'good' END AS problem,
+  count(*) AS records FROM lineitem GROUP BY 1""",
+    "snapshot_json": """SELECT id, CAST(time AS BIGINT) AS snapshot_ts, CAST(time AS INTEGER) AS bedrooms
+FROM wl_listings, (SELECT unnest([1, 2, 3]) AS time) WHERE id % time = 0
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY time DESC) = 1""",
+    "named_maps": """SELECT 'place' AS kind, name, round(latitude, 6) || ' ' || round(longitude, 6) AS value FROM wl_places
+UNION ALL SELECT 'cap', name, CAST(cap AS VARCHAR) FROM wl_caps
+UNION ALL SELECT 'search', name || ' ' || position, identifier FROM wl_search_places""",
+    "region_maps": """SELECT kind, region, round(min_lon, 6) AS min_x, round(min_lat, 6) AS min_y, round(max_lon, 6) AS max_x, round(max_lat, 6) AS max_y
+FROM wl_regions, (SELECT unnest(['ring', 'multi']) AS kind)""",
     "location_matches": f"""WITH {_LOOKUP} SELECT identifier, name FROM ranked WHERE rank <= 20""",
     "journey_facts": f"""SELECT {_LINE}, 0 AS position, {_minutes(0)} + {_minutes(1)} AS duration, 2 AS n_legs, CAST(l_partkey % 500 AS INTEGER) AS total_cost,
   {_mode(0)} || ',' || {_mode(1)} AS modes, epoch_us(l_shipdate) AS start_micros FROM lineitem

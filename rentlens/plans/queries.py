@@ -14,7 +14,7 @@ from ..operators.listings import with_floor_area, with_listing_columns, with_mon
 from ..schemas import MODE_IDS
 from ..session import scratch_path
 from ..sources import readers, tables
-from ..streaming import read_upserts, start_append, start_upsert, stream_latest, stream_new_listings, stream_suitable
+from ..streaming import read_upserts, start_append, start_suitable, start_upsert, stream_latest, stream_new_listings
 from . import jobs
 from .views import VIEWS, Workload
 
@@ -205,6 +205,16 @@ def suitable_with_commute(w: Workload) -> DataFrame:
     return judged.select("id", "skip_rule", "skip_reason")
 
 
+@query
+def accepted_listings(w: Workload) -> DataFrame:
+    """The list a person reviews, in order."""
+    accepted = jobs.accepted_listings(
+        w.listings(), w.view("wl_places"), w.journeys(), NOW, MAX_RENT, MAX_DAYS, MAX_MINUTES, MIN_SQM,
+        history=w.view("wl_history"), centre=CENTRE,
+    )
+    return accepted.select("rank", "id", rounded("distance", "distance"), "recency_key")
+
+
 @query
 def commute_ok(w: Workload) -> DataFrame:
     return commute.commute_ok(w.listings(), w.view("wl_places"), w.journeys(), MAX_MINUTES).select("id", "commute_ok")
@@ -223,8 +233,7 @@ def od_pairs(w: Workload) -> DataFrame:
 
 @query
 def missing_pairs(w: Workload) -> DataFrame:
-    pairs = commute.od_pairs(w.listings(), w.view("wl_places")).select("id", "name")
-    return commute.missing_pairs(pairs, w.journeys(), ["id", "name"])
+    return commute.missing_journeys(w.listings(), w.view("wl_places"), w.journeys())
 
 
 @query
@@ -292,7 +301,7 @@ def changed_journeys(w: Workload) -> DataFrame:
 def merge_places(w: Workload) -> DataFrame:
     known = w.view("wl_search_places").withColumn("name", F.concat(F.lit("P"), F.col("position").cast("string")))
     existing = known.where("position % 3 <> 0")
-    updates = known.where("position % 2 = 0").select(
+    updates = known.where("position % 2 = 0 or position % 3 = 0").select(
         "name", F.concat(F.lit("REGION^"), F.col("position").cast("string")).alias("identifier")
     )
     merged = snapshots.merge_search_places(existing, updates)
@@ -314,7 +323,8 @@ def _search(sort: str) -> Callable[[Workload], DataFrame]:
             max_days_since_added=MAX_DAYS,
         )
         page = search.search(w.listings(), wanted, NOW, CENTRE)
-        return page.select("id", rounded("monthly_rent", "monthly_rent"), rounded("distance", "distance"), "first_visible_date")
+        return page.select(
+            "row_no", "id", rounded("monthly_rent", "monthly_rent"), rounded("distance", "distance"), "first_visible_date")
     return run
 
 
@@ -328,7 +338,7 @@ for _sort in search.SORT_TYPES:
 def place_results(w: Workload) -> DataFrame:
     """The first pages around every place, each within its own price cap."""
     wanted = search.ListingQuery(sort="nearest_first", radius=12.0)
-    found = jobs.place_results(w.listings(), w.view("wl_places"), w.view("wl_place_caps"), wanted, MAX_RENT, cap=60)
+    found = jobs.place_results(w.listings(), w.view("wl_places"), w.view("wl_place_caps"), wanted, MAX_RENT)
     return found.select("name", "row_no", "page_no", "id", rounded("distance", "miles_away"), "cap")
 
 
@@ -404,7 +414,8 @@ def lookup(w: Workload) -> DataFrame:
 
 @query
 def rank_for_review(w: Workload) -> DataFrame:
-    return search.rank_for_review(w.listings(), CENTRE).select("id", rounded("distance", "distance"), "recency_key")
+    ranked = search.with_review_rank(w.listings(), CENTRE)
+    return ranked.select("id", rounded("distance", "distance"), "recency_key", "rank")
 
 
 def _linked(w: Workload) -> DataFrame:
@@ -457,7 +468,7 @@ def site_fan_out(w: Workload) -> DataFrame:
 def postcode_directory(w: Workload) -> DataFrame:
     """The customers as a postcode directory CSV, written and read back with its filters."""
     key = F.col("site_key")
-    directory = w.view("wl_postcodes").where("site_key % 5 <> 4").select(
+    directory = w.view("wl_postcodes").select(
         F.concat(F.lit(" "), "postcode", F.lit(" ")).alias("pcd"),
         F.when(key % 23 == 0, "100").otherwise(F.round("latitude", 6).cast("decimal(9,6)").cast("string")).alias("LAT"),
         F.when(key % 23 == 0, "0").otherwise(F.round("longitude", 6).cast("decimal(9,6)").cast("string")).alias("long"),
@@ -468,7 +479,7 @@ def postcode_directory(w: Workload) -> DataFrame:
     )
     path = scratch_path(w.spark, "directory")
     directory.write.option("header", True).csv(path)
-    found = readers.read_postcode_centroids(w.spark, path)
+    found = readers.read_postcode_centroids(w.spark, path, postcodes="skip")
     return found.select("postcode", *[F.col(c).cast("double").alias(c) for c in ("latitude", "longitude")])
 
 
@@ -552,7 +563,7 @@ def tile_ids(w: Workload) -> DataFrame:
 
 @query
 def batch_keys(w: Workload) -> DataFrame:
-    return batches.batch_keys(w.listings().where("not let_agreed"), "id")
+    return batches.batch_keys(w.listings(), "id")
 
 
 # Files: written from the tables, read back by the readers ----------------------------------
@@ -579,7 +590,7 @@ def listing_records(w: Workload) -> DataFrame:
     """Nested listing JSON, written, read with its checks and flattened."""
     path = scratch_path(w.spark, "listings")
     tables.write_listings(nested_listings(w), path, "json")
-    flat = with_listing_columns(readers.read_listings(w.spark, path, "lines"))
+    flat = with_listing_columns(readers.read_listings(w.spark, path))
     return flat.select(
         "id", "bedrooms", number("bathrooms"), number("amount"), "frequency", "latitude", "longitude", "let_agreed", "students",
         "display_size", "property_type", F.unix_micros("first_visible_date").alias("first_visible_micros"),
@@ -599,6 +610,72 @@ def bad_listings(w: Workload) -> DataFrame:
     return verdicts.groupBy("problem").agg(F.count("*").alias("records"))
 
 
+@query
+def bad_journeys(w: Workload) -> DataFrame:
+    """Journey results with broken ones among them: how many are good, and what ails the others."""
+    part = F.col("journeyVector.uri").cast("bigint")
+    record = F.to_json(F.struct("*"))
+    broken = F.when(part % 17 == 0, F.regexp_replace(record, '"fare":\\{"totalCost":[0-9]+\\}', '"fare":{}')).when(
+        part % 19 == 0, F.replace(record, F.lit('"duration":'), F.lit('"duration":"long","was":'))).when(
+        part % 23 == 0, F.replace(record, F.lit('"commonName":"There"'), F.lit('"commonName":null'))).otherwise(record)
+    path = scratch_path(w.spark, "journey-records")
+    _journey_results(w).select(broken.alias("value")).write.text(path)
+    good, bad = readers.split_journeys(w.spark, path)
+    verdicts = good.select(F.lit("good").alias("problem")).unionByName(bad.select("problem"))
+    return verdicts.groupBy("problem").agg(F.count("*").alias("records"))
+
+
+@query
+def snapshot_json(w: Workload) -> DataFrame:
+    """Snapshots as files named by their time, each an array: every order line number is a time."""
+    folder = scratch_path(w.spark, "snapshot-json")
+    records = nested_listings(w)
+    for time in range(1, 4):
+        changed = records.where(f"id % {time} = 0").withColumn("bedrooms", F.lit(time))
+        tables.write_listings(changed.coalesce(1), f"{folder}/{time}", "json")
+    files = [f"{folder}/{time}" for time in range(1, 4)]
+    # Spark names its files itself, so the time is that of the folder here.
+    found = readers.read_listings(w.spark, files).withColumn(
+        "snapshot_ts", F.regexp_extract(F.col("_metadata.file_path"), "/([0-9]+)/[^/]*$", 1).cast("bigint"))
+    return jobs.merged_snapshots(found).select("id", "snapshot_ts", "bedrooms")
+
+
+@query
+def named_maps(w: Workload) -> DataFrame:
+    """Commute places, search places and price caps, each written as one JSON object and read back."""
+    def written(name: str, rows: DataFrame, key: str, value: Column) -> str:
+        path = scratch_path(w.spark, name)
+        # A user's short list is one object in one file.
+        entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value.alias("value")))))
+        rows.agg(F.to_json(entries).alias("value")).write.text(path)
+        return path
+
+    places = readers.read_places(w.spark, written("places", w.view("wl_places"), "name", F.array("latitude", "longitude")))
+    searched = w.view("wl_search_places").select(F.concat("name", F.lit(" "), F.col("position").cast("string")).alias("name"), "identifier")
+    caps = readers.read_price_caps(w.spark, written("caps", w.view("wl_caps"), "name", F.col("cap")))
+    found = readers.read_search_places(w.spark, written("searched", searched, "name", F.col("identifier")))
+    return (
+        places.select(F.lit("place").alias("kind"), "name", F.concat_ws(" ", F.round("latitude", 6), F.round("longitude", 6)).alias("value"))
+        .unionByName(caps.select(F.lit("cap").alias("kind"), "name", F.col("cap").cast("string").alias("value")))
+        .unionByName(found.select(F.lit("search").alias("kind"), "name", F.col("identifier").alias("value")))
+    )
+
+
+@query
+def region_maps(w: Workload) -> DataFrame:
+    """Region boundaries as one map, of single rings and of parts of rings, written and read back."""
+    rows = _regions(w)
+    ring = F.transform("ring", lambda p: F.array(p["x"], p["y"]))
+    out = []
+    for kind, shape in (("ring", ring), ("multi", F.array(F.array(ring)))):
+        path = scratch_path(w.spark, f"regions-{kind}")
+        entries = F.map_from_entries(F.collect_list(F.struct("region", shape.alias("shape"))))
+        rows.agg(F.to_json(entries).alias("value")).write.text(path)
+        boxes = regions.bounding_boxes(readers.read_regions(w.spark, path, kind))
+        out.append(boxes.select(F.lit(kind).alias("kind"), "region", *[rounded(c, c) for c in ("min_x", "min_y", "max_x", "max_y")]))
+    return out[0].unionByName(out[1])
+
+
 @query
 def location_matches(w: Workload) -> DataFrame:
     """Lookup results as JSON, written and read back with their identifiers."""
@@ -654,11 +731,12 @@ def _journey_results(w: Workload) -> DataFrame:
             F.struct(F.lit("Go").alias("summary"), F.array(step).alias("steps")).alias("instruction"),
             at.alias("departureTime"), F.concat(at, F.lit("+01:00")).alias("arrivalTime"),
             F.struct(F.concat(F.lit("Stop "), F.col("l_suppkey").cast("string")).alias("commonName")).alias("departurePoint"),
+            F.struct(F.lit("There").alias("commonName")).alias("arrivalPoint"),
             F.struct(mode(shift).alias("id")).alias("mode"), F.lit(False).alias("isDisrupted"),
         )
 
     def journey(legs: list[Column], duration: Column) -> Column:
-        return F.struct(at.alias("startDateTime"), duration.alias("duration"), F.array(*legs).alias("legs"),
+        return F.struct(at.alias("startDateTime"), at.alias("arrivalDateTime"), duration.alias("duration"), F.array(*legs).alias("legs"),
                         F.lit(False).alias("alternativeRoute"), F.struct((F.col("l_partkey") % 500).cast("int").alias("totalCost")).alias("fare"))
 
     none = F.array().cast("array<string>")
@@ -807,5 +885,9 @@ def stream_latest_per_listing(w: Workload) -> DataFrame:
 
 @query
 def stream_suitable_listings(w: Workload) -> DataFrame:
-    found = stream_suitable(_stream(w, "orders", "wl_listings"), _all_rules(w), w.view("wl_history"))
-    return w.spark.read.parquet(_drained(w, found.select("id", "amount", "frequency"), "stream-suitable"))
+    path = scratch_path(w.spark, "stream-suitable")
+    start_suitable(
+        _stream(w, "orders", "wl_listings"), path, f"{path}-state", rules=lambda now: _all_rules(w), clock=lambda: NOW,
+        history=lambda: w.view("wl_history"), drain=True,
+    ).awaitTermination()
+    return w.spark.read.parquet(path).select("id", "amount", "frequency")

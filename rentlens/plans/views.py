@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.joins import with_every
+from ..operators.joins import beside_all
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -110,8 +110,9 @@ class Workload:
         return self.view("wl_listings")
 
     def journeys(self) -> DataFrame:
-        rows = with_every(
-            self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), self.table("region"), "r_name"
+        rows = beside_all(
+            self.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey"),
+            self.table("region").select("r_name", "r_regionkey"),
         ).where("(l_orderkey + r_regionkey + l_linenumber) % 4 <> 0")
         return rows.select(
             F.col("l_orderkey").alias("id"), F.col("r_name").alias("name"), F.col("l_linenumber").alias("position"),

@@ -42,6 +42,24 @@ LISTING_REQUIRED = (
     "commercial", "development", "residential", "students", "auction", "channel", "heading",
 )
 
+# Fields that a nested record must have where it is there itself: name and when it is missing.
+LISTING_NESTED_REQUIRED = {
+    "price.amount": "price is not null and price.amount is null",
+    "price.frequency": "price is not null and price.frequency is null",
+    "price.displayPrices": "exists(price.displayPrices, p -> p.displayPrice is null or p.displayPriceQualifier is null)",
+    "customer.development": "customer is not null and customer.development is null",
+    "customer.commercial": "customer is not null and customer.commercial is null",
+    "customer.buildToRentBenefits": "customer is not null and (customer.buildToRentBenefits is null or "
+    "exists(customer.buildToRentBenefits, b -> b.id is null or b.label is null or b.icon is null or b.positionOnPage is null))",
+    "propertyImages.images": "propertyImages is not null and (propertyImages.images is null or "
+    "exists(propertyImages.images, i -> i.url is null or i.srcUrl is null))",
+    "propertyImages.mainImageSrc": "propertyImages is not null and propertyImages.mainImageSrc is null",
+    "propertyImages.mainMapImageSrc": "propertyImages is not null and propertyImages.mainMapImageSrc is null",
+    "productLabel.spotlightLabel": "productLabel is not null and productLabel.spotlightLabel is null",
+    "lozengeModel.matchingLozenges": "lozengeModel is not null and (lozengeModel.matchingLozenges is null or "
+    "exists(lozengeModel.matchingLozenges, t -> t.type is null or t.priority is null))",
+}
+
 LOCATION_MATCHES = """
 matches ARRAY<STRUCT<id: STRING, type: STRING, displayName: STRING, highlighting: STRING,
   highlights: ARRAY<STRUCT<text: STRING, highlighted: BOOLEAN>>>>
@@ -86,6 +104,14 @@ JOURNEY_RESULTS_REQUIRED = (
     "journeyVector",
 )
 
+JOURNEY_RESULTS_NESTED_REQUIRED = {
+    "a journey's times, duration, legs or fare": "exists(journeys, j -> j.startDateTime is null or j.arrivalDateTime is null "
+    "or j.duration is null or j.alternativeRoute is null or j.legs is null or j.fare.totalCost is null)",
+    "a leg's times, duration or mode": "exists(journeys, j -> exists(j.legs, l -> l.departureTime is null or l.arrivalTime is null "
+    "or l.duration is null or l.mode.id is null or l.instruction is null or l.isDisrupted is null))",
+    "a leg's stop names": "exists(journeys, j -> exists(j.legs, l -> l.departurePoint.commonName is null or l.arrivalPoint.commonName is null))",
+}
+
 STATION = """
 _id STRING, _type STRING, name STRING, contactDetails STRUCT<address: STRING, phone: STRING>,
 servingLines STRUCT<servingLine: ARRAY<STRING>>, zones STRUCT<zone: ARRAY<STRING>>,

@@ -10,39 +10,61 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions import postcode_parts
+from ..functions import postcode_parts, postcode_problem
 from ..schemas import (
-    JOURNEY_RESULTS, JOURNEY_RESULTS_REQUIRED, LISTING, LISTING_REQUIRED, LOCATION_MATCHES,
+    JOURNEY_RESULTS, JOURNEY_RESULTS_NESTED_REQUIRED, JOURNEY_RESULTS_REQUIRED, LISTING,
+    LISTING_NESTED_REQUIRED, LISTING_REQUIRED, LOCATION_MATCHES,
     LONDON_AREA_CODES, MODE_IDS, POSTCODE_COLUMNS, STATION, STATION_FEED_HEADER,
 )
 
 Paths = str | Sequence[str]
-_CORRUPT = "_corrupt_record"
+_CORRUPT, _RECORD = "_corrupt_record", "_record"
 
 
-def _missing_field(required: Sequence[str]) -> Column:
-    """The name of the first required field that is null; null when all are there."""
-    return F.coalesce(*[F.when(F.col(field).isNull(), F.lit(field)) for field in required])
+def _missing_field(required: Sequence[str], nested: dict[str, str] | None = None, within: str = "") -> Column:
+    """The name of the first required field that is missing; null when all are there.
+
+    ``nested`` tells by SQL conditions when fields of nested records are missing; ``within``
+    names the column that holds the record.
+    """
+    absent = [F.when(F.col(f"{within}{field}").isNull(), F.lit(field)) for field in required]
+    return F.coalesce(*absent, *[F.when(F.expr(text), F.lit(name)) for name, text in (nested or {}).items()])
 
 
-def _require(df: DataFrame, required: Sequence[str], what: str) -> DataFrame:
+def _require(df: DataFrame, required: Sequence[str], what: str, nested: dict[str, str] | None = None) -> DataFrame:
     """Fail the query on a row without a required field.
 
     The check is a filter, so column pruning cannot remove it.
     """
-    missing = _missing_field(required)
+    missing = _missing_field(required, nested)
     fail = F.raise_error(F.concat(F.lit(f"{what} without "), missing)).cast("boolean")
     return df.where(F.when(missing.isNull(), True).otherwise(fail))
 
 
+def _whole_records(df: DataFrame) -> DataFrame:
+    """Every row; the condition keeps Spark from skipping the fields a query does not use."""
+    return df.where(F.xxhash64(*df.columns) >= F.lit(-(2**63)))
+
+
+# An object that ends where another begins: never within one JSON text, always in JSON lines.
+_SEVERAL_VALUES = r"[}\]]\s*\n\s*[{\[]"
+
+
 def _json(spark: SparkSession, path: Paths, schema: str, lines: bool) -> DataFrame:
-    """JSON records, every field checked: a bad one fails the query whichever fields it uses."""
-    df = (
+    """JSON records, every field checked: a bad one fails the query whichever fields it uses.
+
+    Without ``lines`` a file is one JSON text. The parser would stop after the first of several,
+    so files are looked through first, and JSON lines are refused here.
+    """
+    paths = path if isinstance(path, str) else list(path)
+    if not lines:
+        several = spark.read.text(paths, wholetext=True).where(F.col("value").rlike(_SEVERAL_VALUES))
+        found = several.select(F.col("_metadata.file_path").alias("file")).first()
+        if found is not None:
+            raise ValueError(f"{found['file']} holds several JSON values; read it as lines")
+    return _whole_records(
         spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST")
-        .option("timeZone", "UTC").json(path if isinstance(path, str) else list(path))
-    )
-    # True for every row; it keeps Spark from skipping the fields a query does not use.
-    return df.where(F.xxhash64(*df.columns) >= F.lit(-(2**63)))
+        .option("timeZone", "UTC").json(paths))
 
 
 def read_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> DataFrame:
@@ -52,10 +74,11 @@ def read_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> DataFr
     Numbers given as text are bad records. See :func:`split_listings` to set bad ones aside.
     """
     if fmt == "parquet":
+        # Written from checked records, so only what a query needs is read.
         df = spark.read.schema(LISTING).parquet(*([path] if isinstance(path, str) else path))
-    else:
-        df = _json(spark, path, LISTING, lines=fmt == "lines")
-    return _require(df, LISTING_REQUIRED, "listing")
+        return _require(df, LISTING_REQUIRED, "listing")
+    df = _json(spark, path, LISTING, lines=fmt == "lines")
+    return _require(df, LISTING_REQUIRED, "listing", LISTING_NESTED_REQUIRED)
 
 
 def split_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> tuple[DataFrame, DataFrame]:
@@ -64,16 +87,27 @@ def split_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> tuple
     Each array element (``json``) or line (``lines``) is parsed by itself, so a bad one
     does not spoil its file.
     """
+    return _split(spark, path, fmt, LISTING, LISTING_REQUIRED, LISTING_NESTED_REQUIRED)
+
+
+def split_journeys(spark: SparkSession, path: Paths) -> tuple[DataFrame, DataFrame]:
+    """The good journey results of JSON lines, and the bad ones as ``(record, problem)``."""
+    return _split(spark, path, "lines", JOURNEY_RESULTS, JOURNEY_RESULTS_REQUIRED, JOURNEY_RESULTS_NESTED_REQUIRED)
+
+
+def _split(
+    spark: SparkSession, path: Paths, fmt: str, layout: str, required: Sequence[str], nested: dict[str, str]
+) -> tuple[DataFrame, DataFrame]:
     text = spark.read.text(path if isinstance(path, str) else list(path), wholetext=fmt == "json")
     record = F.col("value") if fmt == "lines" else F.explode(F.from_json("value", "array<string>"))
-    elements = text.select(record.alias("record"))
-    parsed = elements.withColumn("_l", F.from_json("record", f"{LISTING}, {_CORRUPT} STRING", {"columnNameOfCorruptRecord": _CORRUPT}))
-    unreadable = F.col("_l").isNull() | F.col(f"_l.{_CORRUPT}").isNotNull()
-    missing = _missing_field([f"_l.{field}" for field in LISTING_REQUIRED])
-    problem = F.when(unreadable, F.lit("unreadable")).otherwise(F.concat(F.lit("without "), F.replace(missing, F.lit("_l."), F.lit(""))))
-    checked = parsed.withColumn("problem", problem)
-    good = checked.where("problem is null").select("_l.*").drop(_CORRUPT)
-    return good, checked.where("problem is not null").select("record", "problem")
+    options = {"columnNameOfCorruptRecord": _CORRUPT, "timeZone": "UTC"}
+    parsed = text.select(record.alias(_RECORD)).withColumn("_l", F.from_json(_RECORD, f"{layout}, {_CORRUPT} STRING", options))
+    flat = parsed.select(_RECORD, F.col("_l").isNull().alias("_nothing"), "_l.*")
+    problem = F.when(F.col("_nothing") | F.col(_CORRUPT).isNotNull(), F.lit("unreadable")).otherwise(
+        F.concat(F.lit("without "), _missing_field(required, nested)))
+    checked = flat.withColumn("_problem", problem)
+    good = checked.where("_problem is null").drop(_RECORD, "_nothing", _CORRUPT, "_problem")
+    return good, checked.where("_problem is not null").select(F.col(_RECORD).alias("record"), F.col("_problem").alias("problem"))
 
 
 def file_time() -> Column:
@@ -89,7 +123,8 @@ def stream_snapshots(spark: SparkSession, path: str, files_per_batch: int | None
     reader = spark.readStream.schema(LISTING).option("multiLine", True).option("mode", "FAILFAST").option("timeZone", "UTC")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return _require(reader.json(path), LISTING_REQUIRED, "listing").withColumn("snapshot_ts", file_time())
+    records = _whole_records(reader.json(path))
+    return _require(records, LISTING_REQUIRED, "listing", LISTING_NESTED_REQUIRED).withColumn("snapshot_ts", file_time())
 
 
 def read_snapshots(spark: SparkSession, path: Paths, fmt: str = "json", by: str = "file") -> DataFrame:
@@ -103,7 +138,7 @@ def read_snapshots(spark: SparkSession, path: Paths, fmt: str = "json", by: str
         schema = f"{LISTING}, snapshot_ts BIGINT"
         if fmt == "parquet":
             return _require(spark.read.schema(schema).parquet(path), LISTING_REQUIRED, "listing")
-        return _require(_json(spark, path, schema, lines=True), LISTING_REQUIRED, "listing")
+        return _require(_json(spark, path, schema, lines=True), LISTING_REQUIRED, "listing", LISTING_NESTED_REQUIRED)
     return read_listings(spark, path, fmt).withColumn("snapshot_ts", file_time())
 
 
@@ -112,7 +147,7 @@ def read_journeys(spark: SparkSession, path: Paths, lines: bool = False) -> Data
 
     Times without a zone are UTC, whatever the session zone is.
     """
-    df = _require(_json(spark, path, JOURNEY_RESULTS, lines), JOURNEY_RESULTS_REQUIRED, "journey result")
+    df = _require(_json(spark, path, JOURNEY_RESULTS, lines), JOURNEY_RESULTS_REQUIRED, "journey result", JOURNEY_RESULTS_NESTED_REQUIRED)
     modes = F.flatten(F.transform("journeys", lambda j: F.transform(j["legs"], lambda leg: leg["mode"]["id"])))
     known = F.forall(F.coalesce(modes, F.array().cast("array<string>")), lambda m: m.isin(*MODE_IDS))
     fail = F.raise_error(F.lit("unknown transport mode")).cast("boolean")
@@ -166,12 +201,14 @@ def _header_names(columns: Sequence[str]) -> dict[str, str]:
 
 
 def active_centroids(
-    directory: DataFrame, area_codes: tuple[int, int] = LONDON_AREA_CODES, keep_sentinel: bool = False
+    directory: DataFrame, area_codes: tuple[int, int] = LONDON_AREA_CODES, keep_sentinel: bool = False,
+    postcodes: str = "check",
 ) -> DataFrame:
     """Live, located postcodes of an area from an all-text postcode directory.
 
     Columns: postcode (canonical), latitude, longitude. ``keep_sentinel`` keeps the rows at
-    (100, 0), the directory's mark for no location.
+    (100, 0), the directory's mark for no location. A live row whose postcode is not valid fails the
+    query; ``postcodes="skip"`` leaves such rows out.
     """
     names = _header_names(directory.columns)
     rows = directory.select(*[F.trim(F.col(f"`{found}`")).alias(wanted) for wanted, found in names.items()])
@@ -180,7 +217,13 @@ def active_centroids(
         (F.coalesce("DOTERM", F.lit("")) == "") & (F.col("OSGRDIND").cast("int") != 9)
         & (F.col("USERTYPE").cast("int") == 0) & code.between(*area_codes)
     )
-    located = rows.where(live).select(
+    problem = postcode_problem("PCD")
+    if postcodes == "skip":
+        valid = problem.isNull()
+    else:
+        fail = F.raise_error(F.concat(F.lit("postcode "), F.coalesce("PCD", F.lit("null")), F.lit(": "), problem)).cast("boolean")
+        valid = F.when(problem.isNull(), True).otherwise(fail)
+    located = rows.where(live).where(valid).select(
         postcode_parts("PCD")["canonical"].alias("postcode"),
         F.col("LAT").cast("decimal(9,6)").alias("latitude"), F.col("LONG").cast("decimal(9,6)").alias("longitude"),
     )
@@ -188,11 +231,12 @@ def active_centroids(
 
 
 def read_postcode_centroids(
-    spark: SparkSession, path: Paths, area_codes: tuple[int, int] = LONDON_AREA_CODES, keep_sentinel: bool = False
+    spark: SparkSession, path: Paths, area_codes: tuple[int, int] = LONDON_AREA_CODES, keep_sentinel: bool = False,
+    postcodes: str = "check",
 ) -> DataFrame:
     """The postcode directory CSV, every cell read as text; see :func:`active_centroids`."""
     directory = spark.read.option("header", True).csv(path if isinstance(path, str) else list(path))
-    return active_centroids(directory, area_codes, keep_sentinel)
+    return active_centroids(directory, area_codes, keep_sentinel, postcodes)
 
 
 _RING = "array<array<double>>"
@@ -211,7 +255,8 @@ def read_regions(spark: SparkSession, path: str, kind: str = "ring") -> DataFram
     splits and is the form for very many regions. Vertices are longitude, latitude.
     """
     if kind == "rows":
-        rows = spark.read.schema(f"region STRING, part INT, ring_no INT, ring {_RING}").json(path)
+        layout = f"region STRING, part INT, ring_no INT, ring {_RING}"
+        rows = _require(_json(spark, path, layout, lines=True), ("region", "ring"), "region row")
         return rows.select(
             "region", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("ring_no", F.lit(0)).alias("ring_no"),
             _points(F.col("ring")).alias("ring"),

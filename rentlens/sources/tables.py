@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -11,17 +14,34 @@ from ..schemas import LISTING
 
 
 def write_listings(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Replace ``path`` by the listings, camelCase fields only.
+    """Replace ``path`` by the listings, camelCase fields only; ``read_listings`` takes the same ``fmt``.
 
-    ``json`` writes one object per line, nulls included, so that files split when read
-    back (``read_listings(..., fmt="lines")``).
+    ``json`` writes an array per file, ``lines`` an object per line, which splits when read
+    back; both include nulls.
     """
     columns = [field for field in StructType.fromDDL(LISTING).fieldNames() if field in df.columns]
-    writer = df.select(*columns).write.mode("overwrite")
+    rows = df.select(*columns)
     if fmt == "json":
-        writer.option("ignoreNullFields", False).json(path)
+        # One file per task, so each is one array.
+        record = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+        arrays = rows.select(record.alias("value")).mapInArrow(_as_array, "value string")
+        arrays.write.mode("overwrite").option("maxRecordsPerFile", 0).text(path)
+    elif fmt == "lines":
+        rows.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:
-        writer.format(fmt).save(path)
+        rows.write.mode("overwrite").format(fmt).save(path)
+
+
+def _as_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """JSON texts as the lines of one array; no rows, no array."""
+    started = False
+    for batch in batches:
+        if batch.num_rows:
+            lines = [("," if started or n else "[") + text for n, text in enumerate(batch.column(0).to_pylist())]
+            started = True
+            yield pa.RecordBatch.from_pydict({"value": lines})
+    if started:
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
 
 
 def write_snapshots(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -43,10 +63,12 @@ def write_regions(df: DataFrame, path: str) -> None:
     df.select("region", *extra, ring.alias("ring")).write.mode("overwrite").json(path)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
-    except AnalysisException:  # nothing written yet
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # anything but: nothing written yet
+            raise
         return None
 
 
@@ -66,16 +88,16 @@ def write_keyed_table(df: DataFrame, name: str, buckets: int, key: str = "id", p
 def append_unseen(df: DataFrame, history_path: str, reset: bool = False, order=()) -> None:
     """Add the rows whose ids the history lacks, each id once; ``reset`` starts it anew.
 
-    A failed write leaves the history as it was: Spark publishes files on commit only.
-    Writers of one history must take turns.
+    Readers may see some files of a write that is under way, where the commit renames them one by one;
+    a failed write can be repeated, as each id is added once. Writers of one history must take turns.
     """
-    history = None if reset else _stored(df.sparkSession, history_path)
+    history = None if reset else stored(df.sparkSession, history_path)
     unseen(df, history, order).write.mode("overwrite" if reset else "append").parquet(history_path)
 
 
 def current_table(spark: SparkSession, base: str) -> DataFrame | None:
     """The version last published below ``base``; None before the first."""
-    versions = _stored(spark, f"{base}/versions")
+    versions = stored(spark, f"{base}/versions")
     if versions is None:
         return None
     newest = versions.agg(F.max("version")).first()[0]
@@ -90,7 +112,7 @@ def publish_table(df: DataFrame, base: str) -> int:
     changes nothing. Writers of one table must take turns.
     """
     spark = df.sparkSession
-    versions = _stored(spark, f"{base}/versions")
+    versions = stored(spark, f"{base}/versions")
     version = 1 if versions is None else versions.agg(F.max("version")).first()[0] + 1
     # A version left half-written by a failed attempt is replaced.
     df.write.mode("overwrite").parquet(f"{base}/v{version}")

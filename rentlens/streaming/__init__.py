@@ -1,10 +1,11 @@
 """Structured Streaming versions of the incremental jobs."""
 
 from .listings import (
-    read_upserts, start_append, start_upsert, stream_latest, stream_new_listings, stream_suitable,
+    merge_upserts, read_upserts, start_append, start_suitable, start_upsert, stream_latest, stream_new_listings,
+    stream_suitable,
 )
 
 __all__ = [
-    "read_upserts", "start_append", "start_upsert", "stream_latest", "stream_new_listings",
+    "merge_upserts", "read_upserts", "start_append", "start_suitable", "start_upsert", "stream_latest", "stream_new_listings",
     "stream_suitable",
 ]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.joins import lookup_join
 from ..operators.rules import Rule, exclude_seen, suitable
 from ..operators.snapshots import latest_per_key
+from ..sources.tables import stored
 
 
 def stream_new_listings(
@@ -43,7 +45,8 @@ def stream_suitable(
     """The suitable listings of a stream.
 
     ``commute(id, commute_ok)`` is joined when a commute rule is among ``rules``. Without
-    state: every listing is judged by itself.
+    state: every listing is judged by itself. Rules and history are those of the start;
+    :func:`start_suitable` takes them anew for each batch.
     """
     fresh = exclude_seen(stream, history)
     if commute is not None:
@@ -59,13 +62,40 @@ def start_append(stream: DataFrame, path: str, checkpoint: str, drain: bool = Fa
     return writer.start(path)
 
 
-def start_upsert(updates: DataFrame, path: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
+def start_suitable(
+    stream: DataFrame, path: str, checkpoint: str, rules: Callable[[dt.datetime], Sequence[Rule]],
+    clock: Callable[[], dt.datetime], history: Callable[[], DataFrame | None] = lambda: None,
+    commute: Callable[[], DataFrame | None] = lambda: None, drain: bool = False,
+) -> StreamingQuery:
+    """The suitable listings of a stream that runs for days, written below each batch's number.
+
+    For every batch ``clock`` is asked once, ``rules`` are made for that time, and ``history``
+    and ``commute`` are read as they are then. A batch that is run again replaces its files.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        found = stream_suitable(batch, rules(clock()), history(), commute())
+        found.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    if drain:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def start_upsert(
+    updates: DataFrame, path: str, checkpoint: str, drain: bool = False, key: str = "id", merge_every: int = 50,
+) -> StreamingQuery:
     """Write each batch's changed rows below its batch number.
 
-    A batch that is run again replaces its own files, so the result is exact.
+    A batch that is run again replaces its own files, so the result is exact. After every
+    ``merge_every`` batches the current rows are merged into one folder, so a read takes one
+    merged folder and fewer than that many batches, however long the stream runs. Folders
+    up to the last merged one are no longer read; give them a lifetime rule.
     """
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if (number + 1) % merge_every == 0:
+            merge_upserts(batch.sparkSession, path, number, key)
 
     writer = updates.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     if drain:
@@ -73,9 +103,32 @@ def start_upsert(updates: DataFrame, path: str, checkpoint: str, drain: bool = F
     return writer.start()
 
 
-def read_upserts(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
-    """The current row of every key written by :func:`start_upsert`: that of its last batch.
+def _merged(spark: SparkSession, path: str, before: int | None = None) -> tuple[DataFrame | None, int]:
+    """The rows of the last merge (before a batch) and the batch it reaches to."""
+    versions = stored(spark, f"{path}/merges")
+    if versions is not None and before is not None:
+        versions = versions.where(F.col("upto") < before)
+    upto = None if versions is None else versions.agg(F.max("upto")).first()[0]
+    return (None, -1) if upto is None else (spark.read.parquet(f"{path}/merged/upto-{upto}"), upto)
 
-    Publish the result now and then (``sources.publish_table``) so that old batches can go.
-    """
-    return latest_per_key(spark.read.parquet(path), key, "batch").drop("batch")
+
+def merge_upserts(spark: SparkSession, path: str, upto: int, key: str = "id") -> None:
+    """Write the current rows up to batch ``upto`` as one folder, then make reads start there."""
+    current = _current(spark, path, key, upto, before=upto)
+    current.write.mode("overwrite").parquet(f"{path}/merged/upto-{upto}")
+    spark.range(1).select(F.lit(upto).alias("upto")).write.mode("append").parquet(f"{path}/merges")
+
+
+def _current(spark: SparkSession, path: str, key: str, upto: int | None = None, before: int | None = None) -> DataFrame:
+    merged, reached = _merged(spark, path, before)
+    batches = spark.read.option("basePath", path).parquet(f"{path}/batch=*").where(F.col("batch") > reached)
+    if upto is not None:
+        batches = batches.where(F.col("batch") <= upto)
+    if merged is not None:
+        batches = batches.unionByName(merged.withColumn("batch", F.lit(-1)))
+    return latest_per_key(batches, key, "batch").drop("batch")
+
+
+def read_upserts(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """The current row of every key written by :func:`start_upsert`: that of its last batch."""
+    return _current(spark, path, key)

@@ -27,6 +27,18 @@ def test_pairs_and_missing_journeys(spark, places, rows):
     assert rows(close.select("id", "name")) == [(1, "b"), (2, "a")]
 
 
+def test_missing_journeys_are_the_missing_pairs(spark, places, rows):
+    origins = spark.createDataFrame([(1,), (2,), (3,), (3,)], "id long")
+    stored = spark.createDataFrame([(1, "a"), (1, "a"), (1, "elsewhere"), (2, "a"), (2, "b"), (9, "a")], "id long, name string")
+    assert rows(C.missing_journeys(origins, places, stored)) == [(1, "b"), (3, "a"), (3, "b")]
+    assert rows(C.missing_journeys(origins, places.limit(0), stored)) == []
+
+
+def test_best_journey_has_a_duration(spark, rows):
+    journeys = spark.createDataFrame([(1, "a", 0, None), (1, "a", 1, 30), (2, "a", 0, None)], "id long, name string, position int, duration int")
+    assert rows(C.best_journeys(journeys, ["id", "name"])) == [(1, "a", 1, 30), (2, "a", 0, None)]
+
+
 def test_commute_by_coordinates(spark, places):
     listings = spark.createDataFrame([(1, 9.0, 8.0), (2, 9.0, 8.0), (3, 7.0, 6.0)], "id long, src_lat double, src_lon double")
     journeys = spark.createDataFrame([(9.0, 8.0, "a", 45), (9.0, 8.0, "b", 20), (7.0, 6.0, "a", 45)], "src_lat double, src_lon double, name string, duration int")

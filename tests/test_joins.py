@@ -50,11 +50,31 @@ def test_size_check(spark):
     assert joins.fits_broadcast(table.limit(0), 0)
 
 
-@pytest.mark.parametrize("max_rows", [1000, 2])
-def test_with_every(spark, rows, max_rows):
+def test_size_check_counts_bytes(spark):
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("text"), F.array_repeat(F.lit(1.5), 500).alias("numbers"))
+    assert joins.fits_broadcast(wide, 100, max_bytes=100_000)
+    assert not joins.fits_broadcast(wide, 100, max_bytes=20_000)
+
+
+def test_beside_all(spark, rows):
     left, right = spark.range(7), spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
-    assert rows(joins.with_every(left, right, "name", max_rows)) == rows(left.crossJoin(right))
-    assert joins.with_every(left, right.limit(0), "name").count() == 0
+    assert rows(joins.beside_all(left, right)) == rows(left.crossJoin(right))
+    assert joins.beside_all(left, right.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        joins.beside_all(left, right, max_rows=2)
+
+
+def test_rows_of_one_id_spread(spark):
+    """A hot key whose rows share their id, as a join on the id itself has."""
+    facts = spark.range(1000).select(F.lit(5).alias("id"), F.lit(1).alias("k"), F.col("id").alias("version"))
+    dim = spark.createDataFrame([(1, "one")], "k int, name string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = joins.spread_join(facts, dim, ["k"], rows_per_salt=100)
+        parts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in parts) == 1000 and len(parts) > 2
 
 
 def test_number_rows_in_one_task_and_in_many(spark, rows, monkeypatch):

@@ -6,21 +6,23 @@ import io
 import pytest
 
 import check
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from conftest import SMALLEST
+from rentlens.plans.oracles import ORACLES
+from rentlens.plans.queries import QUERIES
 
 @pytest.fixture(scope="module")
 def connection():
     return check.oracle_connection(SMALLEST)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_agrees_with_sql(spark, connection, name):
     assert check.compare(spark, connection, SMALLEST, name) == ""
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_entry_has_rows(spark):
@@ -35,30 +37,40 @@ def plan_of(df) -> str:
 
 
 @pytest.mark.parametrize("name", [
-    "rent_by_region", "rent_map_table", "suitable_with_commute", "od_pairs", "review_sheet", "missing_pairs",
+    "rent_by_region", "rent_map_table", "suitable", "assign_regions_diamond",
     "lookup", "within_miles", "adaptive_tiles", "nearest_site", "best_journeys", "price_caps", "postcode_rollup",
 ])
 def test_no_cross_join(spark, name):
-    plan = plan_of(queries()[name](spark, SMALLEST))
+    plan = plan_of(QUERIES[name](spark, SMALLEST))
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
     assert "PythonUDF" not in plan
 
 
 def test_scan_reads_only_what_is_needed(spark):
-    plan = plan_of(queries()["rent_by_region"](spark, SMALLEST))
+    plan = plan_of(QUERIES["rent_by_region"](spark, SMALLEST))
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderpriority:string>" in plan
 
 
 def test_filter_reaches_the_scan(spark):
-    plan = plan_of(queries()["map_total"](spark, SMALLEST))
+    plan = plan_of(QUERIES["map_total"](spark, SMALLEST))
     assert "o_custkey" not in plan.split("ReadSchema")[1].split("\n")[0]
-    plan = plan_of(queries()["suitable"](spark, SMALLEST))
+    plan = plan_of(QUERIES["suitable"](spark, SMALLEST))
     assert "IsNull(o_orderdate)" in plan and "GreaterThan(o_orderdate" in plan
-    plan = plan_of(queries()["search_most_recent"](spark, SMALLEST))
+    plan = plan_of(QUERIES["search_most_recent"](spark, SMALLEST))
     assert "GreaterThanOrEqual(o_orderdate" in plan
 
 
 def test_latest_is_limited_before_the_shuffle(spark):
-    plan = plan_of(queries()["latest_per_listing"](spark, SMALLEST))
+    plan = plan_of(QUERIES["latest_per_listing"](spark, SMALLEST))
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_place_results_are_limited_before_the_shuffle(spark):
+    """Also at the library's own cap, which is above Spark's limit for one group."""
+    assert plan_of(QUERIES["place_results"](spark, SMALLEST)).count("WindowGroupLimit") >= 8
+
+
+def test_criteria_of_the_accepted_list_reach_the_scan(spark):
+    plan = plan_of(QUERIES["accepted_listings"](spark, SMALLEST))
+    assert "IsNull(o_orderdate)" in plan and "GreaterThan(o_orderdate" in plan

@@ -42,21 +42,70 @@ def test_listings(spark, tmp_path):
     assert map_listing_location(df).columns == ["id", "location"]
 
 
-@pytest.mark.parametrize("fmt", ["json", "parquet"])
+@pytest.mark.parametrize("fmt", ["json", "lines", "parquet"])
 def test_round_trip(spark, tmp_path, fmt):
     first = S.read_listings(spark, put(tmp_path / "l.json", [LISTING, {**LISTING, "id": 2, "keywords": None}]))
     S.write_listings(with_listing_columns(first), str(tmp_path / "out"), fmt)
-    again = S.read_listings(spark, str(tmp_path / "out"), "lines" if fmt == "json" else "parquet")
+    again = S.read_listings(spark, str(tmp_path / "out"), fmt)
     assert sorted(again.collect()) == sorted(first.collect()) and again.columns == first.columns
 
 
 def test_written_json_is_camel_case(spark, tmp_path):
-    S.write_listings(S.read_listings(spark, put(tmp_path / "l.json", [LISTING])), str(tmp_path / "out"), "json")
+    S.write_listings(S.read_listings(spark, put(tmp_path / "l.json", [LISTING])), str(tmp_path / "out"), "lines")
     written = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
     for field in ("id", "bedrooms", "bathrooms", "summary", "displayAddress", "propertySubType", "location", "propertyImages", "price", "keywords"):
         assert written[field] == LISTING[field]
 
 
+def test_many_listings_in_many_files(spark, tmp_path):
+    one = S.read_listings(spark, put(tmp_path / "l.json", [LISTING]))
+    many = one.crossJoin(spark.range(1500).withColumnRenamed("id", "n")).withColumn("id", F.col("n")).drop("n").repartition(4)
+    S.write_listings(many, str(tmp_path / "out"), "json")
+    assert S.read_listings(spark, str(tmp_path / "out")).count() == 1500
+    assert S.read_listings(spark, str(tmp_path / "out")).select("id").distinct().count() == 1500
+
+
+def test_lines_read_as_one_text_are_refused(spark, tmp_path):
+    path = put(tmp_path / "l.json", "\n".join(json.dumps({**LISTING, "id": n}) for n in (1, 2)))
+    with pytest.raises(ValueError, match="several JSON values"):
+        S.read_listings(spark, path)
+    assert S.read_listings(spark, path, "lines").count() == 2
+    pretty = put(tmp_path / "p.json", json.dumps([LISTING, {**LISTING, "id": 2, "summary": "}\n{"}], indent=2))
+    assert S.read_listings(spark, pretty).count() == 2
+
+
+@pytest.mark.parametrize("field, change", [
+    ("price.amount", {"price": {"frequency": "monthly"}}), ("price.frequency", {"price": {"amount": 5}}),
+    ("customer.development", {"customer": {"commercial": False, "buildToRentBenefits": []}}),
+    ("propertyImages.images", {"propertyImages": {"images": [{"url": "u"}], "mainImageSrc": "m", "mainMapImageSrc": "n"}}),
+    ("lozengeModel.matchingLozenges", {"lozengeModel": {"matchingLozenges": [{"type": "x"}]}}),
+])
+def test_nested_fields_are_required(spark, tmp_path, field, change):
+    path = put(tmp_path / "l.json", [LISTING, {**LISTING, **change}])
+    with pytest.raises(Exception, match=f"listing without {field}"):
+        S.read_listings(spark, path).select("id").collect()
+    good, bad = S.split_listings(spark, path)
+    assert good.count() == 1 and [r.problem for r in bad.collect()] == [f"without {field}"]
+
+
+def test_broken_region_lines_fail(spark, tmp_path):
+    put(tmp_path / "r.json", '{"region": "a", "ring": [[0, 0], [1, 0], [1, 1]]}\n{"region": "b", "ring": 5}')
+    with pytest.raises(Exception):
+        S.read_regions(spark, str(tmp_path / "r.json"), "rows").collect()
+    put(tmp_path / "s.json", '{"region": "a"}')
+    with pytest.raises(Exception, match="region row without ring"):
+        S.read_regions(spark, str(tmp_path / "s.json"), "rows").collect()
+
+
+def test_only_a_missing_path_counts_as_nothing_written(spark, tmp_path):
+    from rentlens.sources.tables import stored
+
+    assert stored(spark, str(tmp_path / "nothing")) is None
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(Exception):
+        stored(spark, str(tmp_path / "empty"))
+
+
 BAD = [
     {**LISTING, "id": "two"}, {k: v for k, v in LISTING.items() if k != "heading"}, {**LISTING, "location": {"latitude": 51.5}},
     {**LISTING, "price": {"amount": "lots", "frequency": "monthly"}},
@@ -232,6 +281,18 @@ def test_journey_checks(spark, tmp_path):
     del missing["lines"]
     with pytest.raises(Exception, match="journey result without lines"):
         S.read_journeys(spark, put(tmp_path / "n.json", missing)).collect()
+    timeless = journey_result()
+    del timeless["journeys"][0]["duration"]
+    with pytest.raises(Exception, match="without a journey's times"):
+        S.read_journeys(spark, put(tmp_path / "t.json", timeless)).collect()
+    nameless = journey_result()
+    nameless["journeys"][0]["legs"][1]["arrivalPoint"] = {}
+    with pytest.raises(Exception, match="without a leg's stop names"):
+        S.read_journeys(spark, put(tmp_path / "s.json", nameless)).collect()
+    put(tmp_path / "l.json", "\n".join(map(json.dumps, (journey_result(), timeless, nameless))))
+    good, bad = S.split_journeys(spark, str(tmp_path / "l.json"))
+    assert good.count() == 1
+    assert bad.count() == 2
     none = {**journey_result(), "journeys": []}
     assert commute.journey_facts(S.read_journeys(spark, put(tmp_path / "e.json", none)), []).count() == 0
 
