@@ -19,11 +19,21 @@ from .listings import with_floor_area, with_monthly_rent
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` true turns the listing away; false and null let it pass."""
+    """``rejects`` true turns the listing away; false and null let it pass.
+
+    ``error`` is the message for listings on which the rule cannot decide, null for all others.
+    """
 
     name: str
     rejects: Column
     reason: Column
+    error: Column | None = None
+
+    def decides(self) -> Column:
+        """``rejects``, but failing the query where there is an error."""
+        if self.error is None:
+            return self.rejects
+        return F.when(self.error.isNotNull(), F.raise_error(self.error).cast("boolean")).otherwise(self.rejects)
 
 
 def rule_residential() -> Rule:
@@ -35,17 +45,12 @@ def rule_has_price() -> Rule:
     return Rule("has_price", F.col("amount").isNull(), F.lit("no price"))
 
 
-def _or_fail(known: Column, underivable: Column, *message: Column) -> Column:
-    """The condition; a row whose input cannot be derived fails the query, if it comes this far."""
-    return F.when(underivable, F.raise_error(F.concat(*message)).cast("boolean")).otherwise(known)
-
-
 def rule_min_area(min_sqm: int) -> Rule:
     """Listings without a size in square feet pass; one that is not a whole number is an error."""
     reason = F.concat(F.lit("too small: "), F.col("square_feet").cast("string"), F.lit(" sq. ft."))
-    unread = F.col("_size_unread")
-    rejects = _or_fail(F.col("square_metres") < min_sqm, unread.isNotNull(), F.lit("size is not a whole number: "), unread)
-    return Rule("min_area", rejects, reason)
+    # Null where the size can be read.
+    error = F.concat(F.lit("size is not a whole number: "), F.col("_size_unread"))
+    return Rule("min_area", F.col("square_metres") < min_sqm, reason, error)
 
 
 def rule_available() -> Rule:
@@ -64,8 +69,8 @@ def rule_max_rent(cap: int | float | str) -> Rule:
         F.lit("too expensive: "), F.col("amount").cast("string"), F.lit(" "), F.col("frequency")
     )
     unknown = F.col("amount").isNotNull() & F.col("monthly_rent").isNull()
-    rejects = _or_fail(rent > limit, unknown, F.lit("unknown price frequency: "), F.coalesce("frequency", F.lit("null")))
-    return Rule("max_rent", rejects, reason)
+    message = F.concat(F.lit("unknown price frequency: "), F.coalesce("frequency", F.lit("null")))
+    return Rule("max_rent", ~unknown & (rent > limit), reason, F.when(unknown, message))
 
 
 def rule_recent(now: dt.datetime, max_days: int | None, type_name: str = "timestamp") -> Rule:
@@ -112,7 +117,7 @@ def classify(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
         F.col("skip_rule").isNotNull(), F.col("skip_reason")
     )
     for rule in rules:
-        name, reason = name.when(rule.rejects, rule.name), reason.when(rule.rejects, rule.reason)
+        name, reason = name.when(rule.decides(), rule.name), reason.when(rule.decides(), rule.reason)
     return df.withColumns({"skip_rule": name, "skip_reason": reason}).drop("_size_unread")
 
 
@@ -120,11 +125,22 @@ def suitable(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The accepted listings.
 
     Only the verdict is needed, so each rule is a filter of its own and the simple ones
-    reach the scan.
+    reach the scan. A listing that some rule turns away is left out before errors are looked
+    for; one that would be accepted but for an error fails the query.
     """
     df = _with_inputs(df)
     for rule in rules:
         df = df.where(rule.rejects.isNull() | ~rule.rejects)
+    verdict = None
+    for rule in rules:
+        if rule.error is not None:
+            verdict = F.when(rule.decides(), False) if verdict is None else verdict.when(rule.decides(), False)
+    if verdict is not None:
+        # All rules once more in one expression, so that no error is raised before a filter.
+        rejected = F.lit(False)
+        for rule in rules:
+            rejected = rejected | F.coalesce(rule.rejects, F.lit(False))
+        df = df.where(F.when(rejected, False).otherwise(verdict.otherwise(True)))
     return df.drop("_size_unread")
 
 

@@ -61,11 +61,20 @@ def test_merging_journeys(spark):
     assert S.changed_journeys(cache, updates).count() == 2
 
 
+def test_updates_with_equal_keys(spark):
+    schema = "src_lat double, src_lon double, dst_lat double, dst_lon double, journeys array<int>, no int"
+    cache = spark.createDataFrame([(1.0, 1.0, 2.0, 2.0, [30], 0)], schema)
+    updates = spark.createDataFrame([(1.0, 1.0, 2.0, 2.0, [5], 1), (1.0, 1.0, 2.0, 2.0, [6], 2), (1.0, 1.0, 2.0, 2.0, [7], None)], schema)
+    with pytest.raises(Exception, match="key given twice"):
+        S.merge_journeys(cache, updates).collect()
+    assert [r.journeys for r in S.merge_journeys(cache, updates, order=["no"]).collect()] == [[6]]
+
+
 def test_merging_places(spark):
     existing = spark.createDataFrame([("one", "STATION^1", 0), ("two", "STATION^2", 1)], "name string, identifier string, position int")
     updates = spark.createDataFrame([("two", "STATION^9"), ("three", "REGION^3")], "name string, identifier string")
     merged = {r.name: (r.identifier, r.position) for r in S.merge_search_places(existing, updates).collect()}
-    assert merged == {"one": ("STATION^1", 0), "two": ("STATION^9", 1), "three": ("REGION^3", None)}
+    assert merged == {"one": ("STATION^1", 0), "two": ("STATION^9", 1), "three": ("REGION^3", 2)}
     with pytest.raises(Exception, match="name given twice: t"):
         S.merge_search_places(existing, updates.unionByName(updates)).collect()
 

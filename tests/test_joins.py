@@ -115,6 +115,16 @@ def test_pages_per_group(spark, rows):
         assert [row.page_no for row in held] == [n // 10 for n in range(50)]
 
 
+def test_more_rows_per_group_than_spark_limits(spark, monkeypatch):
+    monkeypatch.setattr(batches, "GROUP_LIMIT", 7)
+    found = spark.range(90).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 37 % 101).alias("v")).where("g < 2 or id < 9")
+    top = batches.top_per_group(found, ["g"], ["v", "id"], 18)
+    for group in range(3):
+        expected = [row.id for row in found.where(F.col("g") == group).orderBy("v", "id").limit(18).collect()]
+        held = top.where(F.col("g") == group).orderBy("row_no").collect()
+        assert [row.id for row in held] == expected and [row.row_no for row in held] == list(range(1, len(expected) + 1))
+
+
 def test_page_size_limits(spark):
     for size in (0, 26):
         with pytest.raises(ValueError):

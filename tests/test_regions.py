@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from rentlens.operators import joins, regions as R
 
@@ -144,6 +145,27 @@ def test_radius(spark):
         R.within_miles(point_table(spark, spots), places, 0)
 
 
+def test_circles_over_the_180th_meridian(spark):
+    places = spark.createDataFrame([("east", 10.0, 179.99), ("west", -10.0, -179.99)], "name string, latitude double, longitude double")
+    spots = [(-179.99, 10.0), (179.99, 10.0), (179.98, -10.0), (-179.98, -10.0), (0.0, 10.0), (170.0, -10.0)]
+    found = R.within_miles(point_table(spark, spots), places, 5.0).collect()
+    assert sorted((r.id, r.name) for r in found) == [(0, "east"), (1, "east"), (2, "west"), (3, "west")]
+    assert all(r.miles_away < 5 for r in found)
+
+
+def test_rows_of_a_ring_with_many_vertices_stay_short(spark):
+    """Sides per index row grow like the root of the vertices."""
+    vertices = 20_000
+    ring = [(math.cos(2 * math.pi * n / vertices), math.sin(2 * math.pi * n / vertices)) for n in range(vertices)]
+    cells = R.region_cells(region_table(spark, [("a", 0, 0, ring)]))
+    sides = cells.select(F.aggregate("rings", F.lit(0), lambda total, r: total + F.size(r)).alias("n")).agg(F.max("n")).first()[0]
+    assert sides < 20 * math.sqrt(vertices)
+    rng = random.Random(3)
+    spots = [(rng.uniform(-1.1, 1.1), rng.uniform(-1.1, 1.1)) for _ in range(200)]
+    found = {r.id for r in R.assign_regions(point_table(spark, spots), cells=cells).collect()}
+    assert found == {n for n, (x, y) in enumerate(spots) if math.hypot(x, y) < 1 - 1e-6}
+
+
 def test_a_third_of_the_points_in_one_spot(spark, monkeypatch):
     monkeypatch.setattr(joins, "ROWS_PER_SALT", 50)
     rng = random.Random(9)

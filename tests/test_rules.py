@@ -56,6 +56,29 @@ def test_first_rule_wins(spark):
     assert R.suitable(listings(spark, *[c for c, _ in CASES]), all_rules()).count() == sum(rule is None for _, rule in CASES)
 
 
+@pytest.mark.parametrize("change, rule", [
+    ({"frequency": "quarterly", "commercial": True}, "residential"),
+    ({"display_size": "about 500 sq. ft.", "auction": True}, "residential"),
+    ({"frequency": "quarterly", "let_agreed": True}, "available"),
+    ({"display_size": "some sq. ft.", "amount": None}, "has_price"),
+])
+def test_an_earlier_rule_wins_over_a_later_error(spark, change, rule):
+    judged = R.classify(listings(spark, change, {}), all_rules())
+    assert {r.id: r.skip_rule for r in judged.collect()} == {0: rule, 1: None}
+    assert R.suitable(listings(spark, change, {}), all_rules()).count() == 1
+
+
+@pytest.mark.parametrize("change, message", [
+    ({"frequency": "quarterly"}, "unknown price frequency: quarterly"),
+    ({"display_size": "about 500 sq. ft.", "let_agreed": True}, "size is not a whole number: about 500"),
+])
+def test_an_error_that_is_reached_fails(spark, change, message):
+    with pytest.raises(Exception, match=message):
+        R.classify(listings(spark, change), all_rules()).collect()
+    with pytest.raises(Exception, match=message):
+        R.suitable(listings(spark, {**change, "let_agreed": False}), all_rules()).collect()
+
+
 def test_funnel_adds_up(spark):
     counts = {r.outcome: r.listings for r in R.funnel(R.classify(listings(spark, *[c for c, _ in CASES]), all_rules())).collect()}
     assert sum(counts.values()) == len(CASES)

@@ -113,3 +113,20 @@ def test_ids_of_areas(spark, rows):
     a, b = spark.range(5), spark.range(3, 8)
     assert rows(S.distinct_ids(a, b, a)) == [(n,) for n in range(8)]
     assert rows(S.by_ids(spark.range(10), b.unionByName(b))) == [(n,) for n in range(3, 8)]
+
+
+def test_furnishing_needs_keywords(spark):
+    from rentlens.operators.search import ListingQuery
+
+    with pytest.raises(ValueError, match="furnish_types needs a keywords column"):
+        ListingQuery(furnish_types=("furnished",)).predicate(["id"])
+
+
+def test_sub_types_map_to_types(spark):
+    from rentlens.operators.listings import with_listing_columns
+    from rentlens.schemas import LISTING
+
+    rows = spark.createDataFrame([], LISTING).unionByName(
+        spark.sql("select 1L as id, 'Maisonette' as propertySubType union all select 2L, 'Flat'"), allowMissingColumns=True)
+    found = with_listing_columns(rows, {"maisonette": "flat"}).select("id", "property_type").collect()
+    assert sorted(map(tuple, found)) == [(1, "flat"), (2, "flat")]

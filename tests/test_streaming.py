@@ -1,4 +1,7 @@
+import contextlib
+import io
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -79,3 +82,40 @@ def test_snapshot_files_as_a_stream(spark, tmp_path, rows):
     stream = stream_snapshots(spark, str(folder), files_per_batch=1).select("id", "snapshot_ts", "heading")
     S.start_upsert(S.stream_latest(stream, ["snapshot_ts"]), f"{tmp_path}/out", f"{tmp_path}/state", drain=True).awaitTermination()
     assert rows(S.read_upserts(spark, f"{tmp_path}/out")) == [(1, 200, "new"), (2, 200, "h"), (3, 100, "h")]
+
+
+def test_rules_and_history_of_each_batch(spark, folder, rows):
+    """Two batches a day apart: the clock has moved and the first listing has been seen."""
+    import datetime as dt
+
+    flags = {c: F.lit(False) for c in ("commercial", "development", "students", "auction", "let_agreed")}
+    stream = source(spark, folder).withColumns(flags).withColumns({
+        "display_size": F.lit(None).cast("string"), "first_visible_date": F.timestamp_seconds(F.col("snapshot_ts") * 1000)})
+    seen, times = [], iter([dt.datetime(1970, 1, 2, tzinfo=dt.timezone.utc), dt.datetime(1970, 1, 9, tzinfo=dt.timezone.utc)])
+
+    def history():
+        seen.append(len(seen))
+        return spark.createDataFrame([(2,)], "id long") if len(seen) > 1 else None
+
+    run = lambda: S.start_suitable(
+        stream, f"{folder}/out", f"{folder}/state", rules=lambda now: [R.rule_has_price(), R.rule_recent(now, 5)],
+        clock=lambda: next(times), history=history, drain=True).awaitTermination()
+    run()
+    assert len(seen) == 2 and {r.id for r in spark.read.parquet(f"{folder}/out/batch=0").collect()} in ({1, 2}, {1, 3})
+    assert spark.read.parquet(f"{folder}/out/batch=1").count() == 0  # more than five days old by then
+
+
+def test_upserts_are_merged_now_and_then(spark, tmp_path, rows):
+    for n in range(5):
+        put(spark, tmp_path, n, (1, n, n, "monthly", "x"), (10 + n, n, n, "monthly", "y"))
+    updates = S.stream_latest(source(spark, tmp_path), ["snapshot_ts"])
+    S.start_upsert(updates, f"{tmp_path}/out", f"{tmp_path}/state", drain=True, merge_every=2).awaitTermination()
+    wanted = sorted([(1, 4)] + [(10 + n, n) for n in range(5)])
+    read = S.read_upserts(spark, f"{tmp_path}/out")
+    assert sorted((r.id, r.amount) for r in read.collect()) == wanted
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        read.explain("formatted")
+    plan = text.getvalue()
+    assert "merged/upto-3" in plan and "merged/upto-1" not in plan
+    assert re.search(r"PartitionFilters: .*batch#\d+ > 3", plan)

@@ -41,6 +41,18 @@ def test_points_that_cannot_be_parted(spark):
     assert sorted((t.n, t.overflow, t.depth) for t in tiles) == [(1, False, 1), (20, True, 4)]
 
 
+def test_distinct_points_never_overflow(spark):
+    """A thousand points within a millionth of the box, some a billionth apart, at the default depth."""
+    rng = random.Random(8)
+    spots = [(0.3 + rng.random() * 1e-6, 0.7 + rng.random() * 1e-6) for _ in range(990)]
+    spots += [(0.5 + n * 1e-9, 0.5) for n in range(10)]
+    tiles = T.adaptive_tiles(points(spark, spots), boxes(spark, ("a", 0, 0, 1, 1)), cap=4).collect()
+    assert sum(t.n for t in tiles) == 1000 and all(t.n <= 4 and not t.overflow for t in tiles)
+    assert max(t.depth for t in tiles) > 2 * T.STEP
+    same = T.adaptive_tiles(points(spark, [(0.3, 0.3)] * 20), boxes(spark, ("a", 0, 0, 1, 1)), cap=5).collect()
+    assert [(t.n, t.overflow) for t in same] == [(20, True)]
+
+
 def test_overlapping_and_empty_boxes(spark, rows):
     spots = [(x / 10, x / 10) for x in range(10)]
     found = boxes(spark, ("a", 0, 0, 0.55, 0.55), ("b", 0.35, 0.35, 1, 1), ("none", 5, 5, 6, 6), ("flat", 0.2, 0.2, 0.2, 0.2))
