@@ -31,24 +31,34 @@ CONSTANT_PERCENT = 80
 _MASK = "<*>"
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line between the characters [\\x20\\x09\\x0B-\\x0D], masked where they hold a digit."""
+def _spaced(text: Column) -> Column:
+    """Single spaces for runs of the characters [\\x20\\x09\\x0B-\\x0D]; most texts are so already."""
+    odd = F.contains(text, F.lit("  "))
     for blank in "\t\x0b\x0c\r":
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    filled = F.filter(F.split(line, " "), lambda token: token != "")
-    return F.transform(filled, lambda token: F.when(token.rlike("[0-9]"), F.lit(_MASK)).otherwise(token))
+        odd = odd | F.contains(text, F.lit(blank))
+    return F.when(odd, F.regexp_replace(text, r"[\x20\t\x0B\f\r]+", " ")).otherwise(text)
+
+
+def _masked(tokens: Column) -> Column:
+    """Tokens (single spaces between) that hold a digit, masked."""
+    # Possessive from each token's start, so a long token is passed over once.
+    return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", _MASK)).otherwise(tokens)
 
 
 def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (id and digest of the text), class, line_no, tokens, leaf of every line with enough tokens."""
+    """row (id and digest of the text), class, line_no, line, leaf of every line with enough tokens.
+
+    The leaf takes the number of tokens and the leading ones only, so no line is split here.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = df.select(
         F.col(f"`{id_col}`").cast("long").alias("row_id"), F.xxhash64(text).alias("row_hash"),
         F.floor(F.log(F.greatest(F.length(text), F.lit(1))) / F.log(F.lit(CLASS_RATIO))).alias("class"),
-        F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    split = rows.withColumn("tokens", _tokens(F.col("line"))).drop("line").where(F.size("tokens") >= MIN_TOKENS)
-    leading = [F.get("tokens", F.lit(n)) for n in range(DEPTH)]
-    return split.withColumn("leaf", F.xxhash64(F.size("tokens"), *leading))
+        F.posexplode(F.split(_spaced(text), "\n")).alias("line_no", "line"))
+    lines = rows.withColumn("line", F.trim("line"))
+    size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
+    leading = _masked(F.substring_index("line", " ", DEPTH))
+    return lines.withColumn("size", size).where(F.col("size") >= MIN_TOKENS).withColumn("leaf", F.xxhash64("size", leading)).drop("size")
 
 
 def _in_classes(df: DataFrame, *keys: str) -> DataFrame:
@@ -64,7 +74,8 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     leaves = cut_lineage(_in_classes(lines, "leaf"))
     inner = lookup_join(lines, leaves, "leaf")
     tokens = cut_lineage(
-        inner.select("row_id", "row_hash", "line_no", "class", "leaf", F.posexplode("tokens").alias("place", "token"))
+        inner.select("row_id", "row_hash", "line_no", "class", "leaf",
+                     F.posexplode(F.split(_masked(F.col("line")), " ")).alias("place", "token"))
         .select("row_id", "row_hash", "line_no", "class", "leaf", "place", F.xxhash64("token").alias("token")))
     constant = cut_lineage(_in_classes(tokens, "leaf", "place", "token").withColumn("constant", F.lit(1)))
     marked = lookup_join(tokens, constant, ["leaf", "place", "token"], "left").withColumn("constant", F.coalesce("constant", F.lit(0)))
@@ -92,8 +103,9 @@ def _cleaned(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
         F.sort_array(F.collect_set("line_no")).alias(f"{free}numbers"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     keyed = df.withColumns({f"{free}own_id": F.col(f"`{id_col}`").cast("long"), f"{free}own_hash": F.xxhash64(text)})
+    # A shuffle at every size: how much is dropped does not change the plan.
     joined = keyed.join(
-        dropped, F.col(f"{free}own_id").eqNullSafe(F.col(f"{free}id")) & (F.col(f"{free}own_hash") == F.col(f"{free}hash")), "left")
+        dropped.hint("merge"), F.col(f"{free}own_id").eqNullSafe(F.col(f"{free}id")) & (F.col(f"{free}own_hash") == F.col(f"{free}hash")), "left")
     lines = F.split(text, "\n")
     numbered = F.transform(lines, lambda line, n: F.struct(line.alias("line"), n.alias("n")))
     kept = F.filter(numbered, lambda x: ~F.array_contains(f"{free}numbers", x["n"]))
