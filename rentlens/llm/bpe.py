@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import re
 from collections.abc import Iterable, Iterator
 
 import duckdb
@@ -63,11 +64,29 @@ WITH RECURSIVE pieces AS (
 ), final AS (
   SELECT word, pos, token FROM pieces JOIN (SELECT word, max(round) AS round FROM pieces GROUP BY word) USING (word, round)
 )
-SELECT f.word, string_agg(v.id_bytes, '' ORDER BY f.pos) AS ids, string_agg(v.token_bytes, '' ORDER BY f.pos) AS decoded
+SELECT f.word, string_agg(v.spelled, '' ORDER BY f.pos) AS spelled
 FROM final f JOIN vocabulary v ON f.token = v.id GROUP BY f.word
 """
 
 
+# Ids are spelled as characters from here on; words are parted by another that is neither.
+_ID_BASE = 0x20000
+_PART = "\U0001ffff"
+_ID_CHARACTERS = re.compile(f"[{chr(_ID_BASE)}-{chr(0x10FFFF)}]+")
+_BYTE_CHARACTERS = re.compile("[\x00-\xff]+")
+
+
+def _taken_apart(spelled: list[str]) -> tuple[list[bytes], list[bytes]]:
+    """Ids (little-endian 32-bit integers) and bytes of spelled words, all words at once."""
+    joined = _PART.join(spelled)
+    decoded = [text.encode("latin-1") for text in _ID_CHARACTERS.sub("", joined).split(_PART)]
+    codes = np.frombuffer(_BYTE_CHARACTERS.sub("", joined).encode("utf-32-le"), "<u4")
+    ends = [*np.flatnonzero(codes == ord(_PART)).tolist(), len(codes)]
+    raw = (codes - np.uint32(_ID_BASE)).astype("<u4").tobytes()
+    starts = [0, *(end + 1 for end in ends[:-1])]
+    return [raw[4 * start:4 * end] for start, end in zip(starts, ends)], decoded
+
+
 class RecursiveEncoder:
     """Ids and decoded bytes of texts, for a rank file and a split pattern."""
 
@@ -91,9 +110,9 @@ class RecursiveEncoder:
             "lft": pa.array(lefts, pa.int32()), "rgt": pa.array(rights, pa.int32()), "id": pa.array(ids, pa.int32())}))
         self._table("vocabulary", pa.table({
             "id": pa.array(self.bytes_of, pa.int32()),
-            # Bytes as characters of Latin-1, so that strings can be aggregated.
-            "id_bytes": pa.array([little_endian([rank]).decode("latin-1") for rank in self.bytes_of]),
-            "token_bytes": pa.array([token.decode("latin-1") for token in self.bytes_of.values()])}))
+            # A character for the id, then the token's bytes as characters of Latin-1, so that one
+            # ordered aggregation of strings brings both together.
+            "spelled": pa.array([chr(_ID_BASE + rank) + token.decode("latin-1") for rank, token in self.bytes_of.items()])}))
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.database.register("incoming", rows)
@@ -122,8 +141,9 @@ class RecursiveEncoder:
                 "pos": (np.arange(len(flat)) - starts).astype(np.int32), "token": self.single[flat]}))
             found = self.database.sql(_ENCODE).to_arrow_table()
             self.database.unregister("start_rows")
-            for word, ids, decoded in zip(*(found.column(n).to_pylist() for n in range(3))):
-                out[some[word]] = ids.encode("latin-1"), decoded.encode("latin-1")
+            numbers, spelled = (column.to_pylist() for column in found.columns)
+            for word, ids, decoded in zip(numbers, *_taken_apart(spelled)):
+                out[some[word]] = ids, decoded
         return out
 
     def _by_heap(self, word: bytes) -> list[int]:
@@ -171,7 +191,9 @@ class RecursiveEncoder:
         touching = {part for part in unknown if not independent(part)}
         whole = [
             head[-1:].isspace() and bool(parts) or not touching.isdisjoint(parts) for head, parts in zip(heads, split)]
-        words_of = {part: self.pattern.findall(" " + part) for part in unknown - touching}
+        # A space and letters are one match of the pattern.
+        words_of = {
+            part: [" " + part] if part.isalpha() else self.pattern.findall(" " + part) for part in unknown - touching}
         head_words = [self.pattern.findall(text if w else head) for text, head, w in zip(many, heads, whole)]
         new = set().union(*words_of.values(), *head_words).difference(self.words)
         for word, value in self.encode_words([word.encode() for word in new]).items():

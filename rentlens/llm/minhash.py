@@ -10,11 +10,12 @@ places, which lowers the variance of the similarity estimate.
 agree in a band of the signature share a bucket. With the production parameters a pair at the
 threshold misses all bands with probability below one in a million.
 
-*Verification.* A bucket's classes meet in blocks of a bounded size, with their texts. In a block a
-pair is compared on the full sets unless a band before has it, union-find already joins it, or
-its sizes or signatures rule it out (the signature bound lies six deviations below the threshold).
-Buckets of more than one block are first compared within blocks, dealt differently in each band;
-only where a bucket then still holds several components are its blocks compared with each other.
+*Verification.* Buckets with the same least id form a group, in which each class is once. A group's
+classes meet in blocks of a bounded size, with their texts. In a block a pair that shares a band is
+compared on the full sets unless the group of a band before has it, it is already joined, or its
+sizes or signatures rule it out (the signature bound lies six deviations below the threshold).
+Groups of more than one block are first compared within blocks; only where a group then still
+holds several components are its blocks compared with each other.
 A large group of copies thus costs comparisons in proportion to its size, and no pairs are ever
 written, only the links that join components.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.joins import spread_join
 from ..session import cut_lineage
 from .common import BoundedCache, id_text, in_batches
-from .components import UnionFind, components
+from .components import components
 
 BLOCK_ROWS = 1024
 CACHED_WORDS = 400_000
@@ -180,31 +181,32 @@ def _sign(likeness: Likeness):
 
 
 def _rows_by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Consecutive rows with the same band, key and block."""
+    """Consecutive rows of the same group and block."""
     held, current = [], None
     for batch in batches:
         for start in range(0, batch.num_rows, 512):
             for row in zip(*(column.to_pylist() for column in batch.slice(start, 512).columns)):
-                if row[:4] != current:
+                if row[:3] != current:
                     if len(held) > 1:
                         yield held
-                    held, current = [], row[:4]
+                    held, current = [], row[:3]
                 held.append(row)
     if len(held) > 1:
         yield held
 
 
 def _verify(likeness: Likeness):
-    """Links that join components, from rows (band, key, left, right, side, id, component, n, signature, bands, packed)."""
+    """Links that join components, from rows (first, lower, upper, side, id, component, in_bands, n, signature, bands, packed)."""
     def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        band, _, left, right = rows[0][:4]
+        _, lower, upper = rows[0][:3]
         number = np.array([row[7] for row in rows], np.int64)
         signature = np.array([np.frombuffer(row[8], np.uint16) for row in rows])
         keys = np.array([row[9] for row in rows], np.int64)
-        side = np.array([row[4] for row in rows])
-        sets = UnionFind()
-        for row in rows:
-            sets.union(row[5], row[6])
+        side = np.array([row[3] for row in rows])
+        own = np.zeros(keys.shape, bool)
+        for place, row in enumerate(rows):
+            own[place, row[6]] = True
+        component = np.unique([row[5] for row in rows], return_inverse=True)[1]
         unpack = zstandard.ZstdDecompressor()
         shingles: dict[int, frozenset] = {}
 
@@ -215,21 +217,24 @@ def _verify(likeness: Likeness):
 
         # The row that agrees most with the others first: it joins most of a group of copies.
         order = np.argsort(-_typical(signature), kind="stable")
-        for turn, one in enumerate(order[:-1]):
+        for turn, one in enumerate(order[:-1].tolist()):
             others = order[turn + 1:]
-            if left != right:
+            others = others[component[others] != component[one]]
+            if lower != upper:
                 others = others[side[others] != side[one]]
             small, large = np.minimum(number[one], number[others]), np.maximum(number[one], number[others])
-            may = 100 * small >= likeness.percent * large
-            may[may] = ~(keys[others[may], :band] == keys[one, :band]).any(axis=1)
-            may[may] = (signature[others[may]] == signature[one]).sum(axis=1) >= likeness.least_equal
-            for other in others[may].tolist():
-                if sets.root(rows[one][5]) == sets.root(rows[other][5]):
+            others = others[100 * small >= likeness.percent * large]
+            # A pair is compared in the group of the first band that it shares.
+            shared = keys[others] == keys[one]
+            others = others[shared.any(axis=1) & own[one, shared.argmax(axis=1)]]
+            others = others[(signature[others] == signature[one]).sum(axis=1) >= likeness.least_equal]
+            for other in others.tolist():
+                if component[other] == component[one]:
                     continue
-                common = len(full(int(one)) & full(other))
+                common = len(full(one) & full(other))
                 if 100 * common >= likeness.percent * (number[one] + number[other] - common):
-                    sets.union(rows[one][5], rows[other][5])
-                    yield rows[one][5], rows[other][5]
+                    component[component == component[other]] = component[one]
+                    yield rows[one][4], rows[other][4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return in_batches((link for rows in _rows_by_block(batches) for link in linked(rows)), _LINKED)
@@ -246,13 +251,13 @@ def _typical(signature: np.ndarray) -> np.ndarray:
     return total
 
 
-_BLOCK = ["band", "key", "lower", "upper"]
+_BLOCK = ["first", "lower", "upper"]
 _PAYLOAD = ["n_shingles", "signature", "bands", "packed"]
 
 
 def _links(members: DataFrame, payload: DataFrame, likeness: Likeness) -> DataFrame:
-    """``members``: band, key, lower, upper, side, id, component."""
-    rows = members.join(payload, "id").select(*_BLOCK, "side", "id", "component", *_PAYLOAD)
+    """``members``: first, lower, upper, side, id, component, in_bands."""
+    rows = members.join(payload, "id").select(*_BLOCK, "side", "id", "component", "in_bands", *_PAYLOAD)
     return (
         rows.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "id")
         .mapInArrow(_verify(likeness), "one long, other long"))
@@ -284,15 +289,22 @@ def near_duplicates(
         classes.withColumnRenamed("id", "doc_id"), ["set_key", "doc_id"], "left_semi").withColumnRenamed("doc_id", "id")
     memberships = chosen.select("id", F.posexplode("bands").alias("band", "key"))
     buckets = (
-        memberships.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first"), F.max("id").alias("last"))
-        .where("first < last").withColumn("blocks", F.ceil(F.col("size") / block_rows).cast("int")))
+        memberships.groupBy("band", "key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+        .where("first < last").select("band", "key", "first"))
+    # Buckets with the same least id hold much the same classes, so they are one group, and a
+    # class is in it once, with the bands that brought it there.
+    grouped = (
+        spread_join(memberships, buckets, ["band", "key"])
+        .groupBy("first", "id").agg(F.sort_array(F.collect_set("band")).alias("in_bands")))
+    grouped = cut_lineage(grouped)
+    sizes = grouped.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     members = cut_lineage(
-        spread_join(memberships, buckets.select("band", "key", "blocks"), ["band", "key"])
-        .withColumn("lower", F.pmod(F.xxhash64("id", "band"), F.col("blocks")).cast("int")))
+        spread_join(grouped, sizes, ["first"]).withColumn("lower", F.pmod(F.xxhash64("id", "first"), F.col("blocks")).cast("int")))
     needed = members.select("id").distinct()
     payload = cut_lineage(chosen.select("id", *_PAYLOAD).join(needed, "id", "left_semi"))
     links = cut_lineage(_links(
-        members.select("band", "key", "lower", F.col("lower").alias("upper"), F.lit(0).alias("side"), "id", F.col("id").alias("component")),
+        members.select("first", "lower", F.col("lower").alias("upper"), F.lit(0).alias("side"), "id",
+                       F.col("id").alias("component"), "in_bands"),
         payload, likeness))
     labels = components(links)
 
@@ -301,16 +313,16 @@ def near_duplicates(
         labelled = cut_lineage(
             large.join(labels.withColumnRenamed("node", "id"), "id", "left")
             .withColumn("component", F.coalesce("component", "id")))
-        open_buckets = (
-            labelled.groupBy("band", "key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-            .where("least < most").select("band", "key"))
-        # Each row meets the rows of every other block of its bucket.
+        open_groups = (
+            labelled.groupBy("first").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+            .where("least < most").select("first"))
+        # Each row meets the rows of every other block of its group.
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         across = (
-            spread_join(labelled, open_buckets, ["band", "key"], "left_semi")
+            spread_join(labelled, open_groups, ["first"], "left_semi")
             .withColumnRenamed("lower", "own").withColumn("other", other).where("own <> other")
-            .select("band", "key", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"),
-                    F.col("own").alias("side"), "id", "component"))
+            .select("first", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"),
+                    F.col("own").alias("side"), "id", "component", "in_bands"))
         more = cut_lineage(_links(across, payload, likeness))
         if not more.isEmpty():
             labels = components(links.unionByName(more))
