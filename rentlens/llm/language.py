@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import id_remainder, id_text, in_batches, texts
 
 MAX_LETTERS = 24
-# Bounds of the training sample: documents per language, and distinct words of them per language.
+# Bounds of the training sample: languages, documents of each, and distinct words of these.
+FIT_LANGUAGES = 200
 FIT_DOCUMENTS = 400
 FIT_WORDS = 50_000
 ROUNDS = 3
@@ -193,9 +194,9 @@ def scorer_of(model: LanguageModel) -> TextScorer:
 
 def fit(
     df: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    documents: int = FIT_DOCUMENTS, words: int = FIT_WORDS, rounds: int = ROUNDS,
+    documents: int = FIT_DOCUMENTS, words: int = FIT_WORDS, languages: int = FIT_LANGUAGES, rounds: int = ROUNDS,
 ) -> LanguageModel:
-    """Learn from at most ``documents`` texts per language and their ``words`` most frequent words.
+    """Learn from at most ``documents`` texts of each of at most ``languages`` languages, and their ``words`` most frequent words.
 
     The texts are those whose ids hash lowest, so the sample is the same on every run. Rows without
     a language do not teach; without any such row the model knows no language.
@@ -208,8 +209,10 @@ def fit(
     first = Window.partitionBy("lang").orderBy("order")
     reach = (
         hashed.select("lang", "order").withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= documents).groupBy("lang").agg(F.max("order").alias("reach")))
-    sample = hashed.join(reach, "lang").where(F.col("order") <= F.col("reach"))
+        .where(F.col("place") <= documents).groupBy("lang").agg(F.max("order").alias("reach"), F.count(F.lit(1)).alias("n"))
+        .orderBy(F.desc("n"), "lang").limit(languages).select("lang", "reach"))
+    # At most ``languages`` rows, so it is broadcast.
+    sample = hashed.join(F.broadcast(reach), "lang").where(F.col("order") <= F.col("reach"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("word", pa.string())])
