@@ -14,7 +14,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.joins import spread_join
 from ..session import cut_lineage
 
 _LINKS = pa.schema([("node", pa.int64()), ("parent", pa.int64())])
@@ -80,9 +79,10 @@ def components(links: DataFrame) -> DataFrame:
             stars.repartition("node").mapInArrow(_local_stars, "node long, parent long").distinct())
     while True:
         above = stars.select(F.col("node").alias("parent"), F.col("parent").alias("_above"))
-        # Many ids may share a parent, so that side of the join is salted.
+        # Many ids may share a parent: both sides come from a written table, so Spark can split that
+        # key's partition at run time.
         jumped = cut_lineage(
-            spread_join(stars, above, ["parent"], "left")
+            stars.join(above, "parent", "left")
             .select("node", F.coalesce("_above", "parent").alias("parent"), F.col("_above").isNotNull().alias("moved")))
         stars = jumped.select("node", "parent")
         if jumped.where("moved").isEmpty():

@@ -33,7 +33,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.joins import spread_join
 from ..session import cut_lineage
 from .common import BoundedCache, id_text, in_batches
 from .components import components
@@ -149,13 +148,13 @@ def band_keys(signature: np.ndarray, likeness: Likeness) -> np.ndarray:
 
 def _sign(likeness: Likeness):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compressor = zstandard.ZstdCompressor(level=1)
+        compressor = zstandard.ZstdCompressor(level=3)
 
         def finished(held: list[tuple]) -> Iterator[tuple]:
             full = [row for row in held if len(row[1])]
             signed = signatures([row[1] for row in full], likeness.places) if full else np.empty((0, likeness.places))
             keys = iter(band_keys(signed, likeness).tolist()) if full else iter(())
-            short = iter(mixed(signed.view(np.uint64)).astype(np.uint16))
+            short = iter(mixed(signed.view(np.uint64)).astype(np.uint8))
             for doc_id, shingles, text in held:
                 if len(shingles):
                     key = xxhash.xxh3_128_digest(shingles.tobytes())
@@ -200,7 +199,7 @@ def _verify(likeness: Likeness):
     def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         _, lower, upper = rows[0][:3]
         number = np.array([row[7] for row in rows], np.int64)
-        signature = np.array([np.frombuffer(row[8], np.uint16) for row in rows])
+        signature = np.array([np.frombuffer(row[8], np.uint8) for row in rows])
         keys = np.array([row[9] for row in rows], np.int64)
         side = np.array([row[3] for row in rows])
         own = np.zeros(keys.shape, bool)
@@ -282,26 +281,29 @@ def near_duplicates(
     signed = cut_lineage(rows.mapInArrow(
         _sign(likeness),
         "doc_id long, n_shingles long, set_key binary, signature binary, bands array<long>, packed binary"))
-    with_set = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut_lineage(with_set.groupBy("set_key").agg(F.min("doc_id").alias("id")))
-    # The row that stands for its class; rows that repeat it add nothing.
-    chosen = with_set.join(
-        classes.withColumnRenamed("id", "doc_id"), ["set_key", "doc_id"], "left_semi").withColumnRenamed("doc_id", "id")
-    memberships = chosen.select("id", F.posexplode("bands").alias("band", "key"))
-    buckets = (
+    # One row per class: its least id, whose bands they are. Joins below are of written tables, so
+    # Spark can split a hot key's partition at run time.
+    classes = cut_lineage(
+        signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+        .groupBy("set_key").agg(F.min(F.struct("doc_id", "bands")).alias("one"))
+        .select("set_key", F.col("one.doc_id").alias("id"), F.col("one.bands").alias("bands")))
+    memberships = classes.select("id", F.posexplode("bands").alias("band", "key"))
+    buckets = cut_lineage(
         memberships.groupBy("band", "key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
         .where("first < last").select("band", "key", "first"))
     # Buckets with the same least id hold much the same classes, so they are one group, and a
     # class is in it once, with the bands that brought it there.
-    grouped = (
-        spread_join(memberships, buckets, ["band", "key"])
+    grouped = cut_lineage(
+        memberships.join(buckets.hint("merge"), ["band", "key"])
         .groupBy("first", "id").agg(F.sort_array(F.collect_set("band")).alias("in_bands")))
-    grouped = cut_lineage(grouped)
     sizes = grouped.groupBy("first").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
     members = cut_lineage(
-        spread_join(grouped, sizes, ["first"]).withColumn("lower", F.pmod(F.xxhash64("id", "first"), F.col("blocks")).cast("int")))
-    needed = members.select("id").distinct()
-    payload = cut_lineage(chosen.select("id", *_PAYLOAD).join(needed, "id", "left_semi"))
+        grouped.join(cut_lineage(sizes), "first").withColumn("lower", F.pmod(F.xxhash64("id", "first"), F.col("blocks")).cast("int")))
+    # The row that stands for a needed class; rows that repeat it are dropped.
+    needed = cut_lineage(classes.select("id", "set_key").join(members.select("id"), "id", "left_semi"))
+    payload = cut_lineage(
+        signed.select(F.col("doc_id").alias("id"), "set_key", *_PAYLOAD).join(needed.hint("merge"), ["id", "set_key"], "left_semi")
+        .dropDuplicates(["id", "set_key"]).drop("set_key"))
     links = cut_lineage(_links(
         members.select("first", "lower", F.col("lower").alias("upper"), F.lit(0).alias("side"), "id",
                        F.col("id").alias("component"), "in_bands"),
@@ -319,7 +321,7 @@ def near_duplicates(
         # Each row meets the rows of every other block of its group.
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         across = (
-            spread_join(labelled, open_groups, ["first"], "left_semi")
+            labelled.join(cut_lineage(open_groups), "first", "left_semi")
             .withColumnRenamed("lower", "own").withColumn("other", other).where("own <> other")
             .select("first", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"),
                     F.col("own").alias("side"), "id", "component", "in_bands"))
@@ -327,9 +329,10 @@ def near_duplicates(
         if not more.isEmpty():
             labels = components(links.unionByName(more))
 
-    by_set = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-        "set_key", F.coalesce("component", "id").alias("component"))
-    placed = spread_join(signed.select("doc_id", "n_shingles", "set_key"), by_set, ["set_key"], "left", spread_by=["doc_id"])
+    by_set = cut_lineage(
+        classes.select("id", "set_key").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        .select("set_key", F.coalesce("component", "id").alias("component")))
+    placed = signed.select("doc_id", "n_shingles", "set_key").join(by_set.hint("merge"), "set_key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "doc_id"))
     return placed.select(
         "doc_id", "n_shingles", component.alias("component_id"),
