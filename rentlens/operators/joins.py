@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
+from ..session import cut_lineage
+
 # A broadcast table holds at most this many rows (or, with ``weight``, this much weight), and bytes.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
@@ -46,7 +48,8 @@ def spread_join(
     """Shuffle join on ``on`` with the hot keys of ``facts`` salted.
 
     The hot keys are counted first (partial counts, one row per key and task, are all that
-    is shuffled). Rows of a hot key get a salt from a hash of the row, which is the same on
+    is shuffled) and written. Without any, the join is left to Spark, which may still split it
+    at run time. Rows of a hot key get a salt from a hash of the row, which is the same on
     every attempt of a task, and the matching ``dim`` rows are repeated once per salt.
     ``how`` may be inner, left, left_semi or left_anti: ``facts`` is the kept side.
 
@@ -55,12 +58,16 @@ def spread_join(
     """
     on = list(on)
     rows_per_salt = rows_per_salt or ROWS_PER_SALT
-    # At most one key for ``rows_per_salt`` rows; Spark broadcasts the list if it is short.
-    hot = (
+    # At most one key for ``rows_per_salt`` rows.
+    hot = cut_lineage(
         facts.groupBy(*on).count()
         .where(F.col("count") > rows_per_salt)
         .select(*on, F.ceil(F.col("count") / rows_per_salt).cast("int").alias("_salts"))
     )
+    if hot.isEmpty():
+        return facts.join(dim, on, how)
+    if fits_broadcast(hot):
+        hot = F.broadcast(hot)
     row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in spread_by or facts.columns])
     left = (
         facts.join(hot, on, "left")
