@@ -192,7 +192,9 @@ def site_cells(sites: DataFrame, envelope: Envelope | None = None) -> DataFrame:
                 if row.ox is not None:
                     ring = nearest_part(ring, row.x, row.y, row.ox, row.oy)
                 rings.append(ring)
-                # If the deepest cuts change nothing, what is left is rounding.
+                # A site cuts a convex polygon exactly if a vertex is nearer to it, that is if its
+                # depth is below 1. Sites come by rising depth, so when the first ones change nothing,
+                # their depth is 1 but for rounding, and that of all others is no smaller.
                 more.append(row.ox is not None and len(row.ox) > CUTS_PER_ROUND and ring is not before)
             yield pd.DataFrame({
                 "site_id": batch["site_id"], "x": batch["x"], "y": batch["y"],

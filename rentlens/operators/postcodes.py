@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import postcode_parts, postcode_problem
+from ..session import cut_lineage
 from .joins import lookup_join
 
 LEVELS = ("area", "district", "sub_district", "sector", "canonical")
@@ -48,7 +49,8 @@ def distinct_sites(
 def fan_out(per_site: DataFrame, df: DataFrame, column: str = "postcode", x: str = "longitude", y: str = "latitude") -> DataFrame:
     """Give every postcode the values of its coordinate's row."""
     members = df.select(F.col(column).alias("postcode"), F.col(x).alias("x"), F.col(y).alias("y"))
-    return lookup_join(members, per_site, ["x", "y"])
+    # Written once: the size check and the join both read it.
+    return lookup_join(members, cut_lineage(per_site), ["x", "y"])
 
 
 def rollup_by_postcode(df: DataFrame, metrics: Sequence[Column], column: str = "postcode") -> DataFrame:

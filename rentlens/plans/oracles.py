@@ -58,6 +58,9 @@ WHERE bedrooms BETWEEN 2 AND 4 AND bathrooms BETWEEN 1 AND 3 AND monthly_rent BE
 ORDER BY {order}, id LIMIT 1008"""
 
 
+_STATIONS = """SELECT s_suppkey AS station_id, s_name AS name, s_suppkey || ' Station Road' AS address,
+  CAST('-0.' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS DOUBLE) AS longitude, CAST('51.' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS DOUBLE) AS latitude,
+  CASE WHEN s_suppkey % 2 = 0 THEN 12.5e0 ELSE 0e0 END AS altitude FROM supplier"""
 _DEFAULT_MATCH = """bedrooms BETWEEN 1 AND 10 AND bathrooms BETWEEN 1 AND 5
   AND property_type IN ('flat', 'detached', 'semi-detached', 'terraced') AND NOT students"""
 _MILES = """2 * 3958.7613e0 * asin(sqrt(least(1e0, sin((radians(p.latitude) - radians(l.latitude)) / 2) ** 2
@@ -316,9 +319,8 @@ UNION ALL SELECT {_LINE}, 1, {_minutes(2)}, 1, CAST(l_partkey % 500 AS INTEGER),
   epoch_us(l_shipdate) AS departure_micros, epoch_us(l_shipdate) - 3600000000 AS arrival_micros FROM lineitem, legs""",
     "step_facts": f"""WITH {_LEGS} SELECT {_LINE}, position, leg_no, 0 AS step_no, 'Walk on' AS description, 'Street ' || l_suppkey AS street_name,
   CAST(l_linenumber * 10 + shift AS INTEGER) AS distance FROM lineitem, legs""",
-    "station_dim": """SELECT s_suppkey AS station_id, s_name AS name, s_suppkey || ' Station Road' AS address,
-  CAST('-0.' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS DOUBLE) AS longitude, CAST('51.' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS DOUBLE) AS latitude,
-  CASE WHEN s_suppkey % 2 = 0 THEN 12.5e0 ELSE 0e0 END AS altitude FROM supplier""",
+    "station_dim": _STATIONS,
+    "station_feed": _STATIONS,
     "station_lines": """SELECT s_suppkey AS station_id, 'Line ' || s_nationkey AS line FROM supplier WHERE s_suppkey % 4 <> 0
 UNION ALL SELECT s_suppkey, 'Second Line' FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 2 = 0""",
     "station_zones": "SELECT s_suppkey AS station_id, CAST(s_suppkey % 6 + 1 AS VARCHAR) AS zone FROM supplier",

@@ -818,6 +818,15 @@ def station_dim(w: Workload) -> DataFrame:
     return stations.station_dim(_stations(w)).select(_key(), "name", "address", "longitude", "latitude", "altitude")
 
 
+@query
+def station_feed(w: Workload) -> DataFrame:
+    """The stations as one feed document per file, read back by its elements."""
+    path = scratch_path(w.spark, "feed")
+    _stations(w).write.format("xml").option("rowTag", "station").option("rootTag", "stations").save(path)
+    found = readers.read_stations(w.spark, path)
+    return stations.station_dim(found).select(_key(), "name", "address", "longitude", "latitude", "altitude")
+
+
 @query
 def station_lines(w: Workload) -> DataFrame:
     return stations.station_lines(_stations(w)).select(_key(), "line")

@@ -129,6 +129,8 @@ Placemark STRUCT<name: STRING, description: STRING, Point: STRUCT<coordinates: S
   styleUrl: STRING>
 """
 
+STATION_REQUIRED = ("_id", "name", "contactDetails", "contactDetails.address", "contactDetails.phone")
+
 # Head of the station feed: the fields of its Header element.
 STATION_FEED_HEADER = """
 _canonical STRING, Identifier STRING, DisplayTitle STRING, Version STRING,

@@ -14,7 +14,7 @@ from ..functions import postcode_parts, postcode_problem
 from ..schemas import (
     JOURNEY_RESULTS, JOURNEY_RESULTS_NESTED_REQUIRED, JOURNEY_RESULTS_REQUIRED, LISTING,
     LISTING_NESTED_REQUIRED, LISTING_REQUIRED, LOCATION_MATCHES,
-    LONDON_AREA_CODES, MODE_IDS, POSTCODE_COLUMNS, STATION, STATION_FEED_HEADER,
+    LONDON_AREA_CODES, MODE_IDS, POSTCODE_COLUMNS, STATION, STATION_FEED_HEADER, STATION_REQUIRED,
 )
 
 Paths = str | Sequence[str]
@@ -162,8 +162,10 @@ def read_stations(spark: SparkSession, path: str, fmt: str = "feed") -> DataFram
     """
     if fmt == "lines":
         record = F.from_xml("value", STATION, {"ignoreSurroundingSpaces": "true", "mode": "FAILFAST"})
-        return spark.read.text(path).select(record.alias("_s")).select("_s.*")
-    return _xml(spark, path, "station", STATION)
+        rows = spark.read.text(path).select(record.alias("_s")).select("_s.*")
+    else:
+        rows = _xml(spark, path, "station", STATION)
+    return _require(rows, STATION_REQUIRED, "station")
 
 
 def read_station_feed_header(spark: SparkSession, path: str) -> DataFrame:
