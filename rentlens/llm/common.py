@@ -16,14 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def narrow(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, renamed: ``narrow(df, doc_id="id")`` reads ``id`` as ``doc_id``.
-
-    Whatever else the table holds, also under clashing names, never enters a plan.
-    """
-    return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
-
-
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``text`` (null as empty) of a table of documents."""
     return df.select(
@@ -58,17 +50,6 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
         [pa.array(column, field.type) for column, field in zip(columns, schema)], schema=schema)
 
 
-def per_row(function: Callable[[int | None, str], tuple], schema: pa.Schema, long_value: int | None = None):
-    """A ``mapInArrow`` function over (doc_id, text) rows that gives one row for each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for batch in batches:
-                for doc_id, text in id_text(batch):
-                    yield function(doc_id, text)
-        return in_batches(rows(), schema, long_value)
-    return run
-
-
 def id_text(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
     """(id, text) of a batch, texts decoded a few at a time."""
     for start in range(0, batch.num_rows, 256):

@@ -40,6 +40,8 @@ from .components import components
 BLOCK_ROWS = 1024
 CACHED_WORDS = 400_000
 ELEMENTS_AT_ONCE = 150_000
+# Elements of full sets that a block keeps unpacked; those dropped are unpacked again.
+ELEMENTS_HELD = 4_000_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -207,12 +209,18 @@ def _verify(likeness: Likeness):
             own[place, row[6]] = True
         component = np.unique([row[5] for row in rows], return_inverse=True)[1]
         unpack = zstandard.ZstdDecompressor()
-        shingles: dict[int, frozenset] = {}
-
-        def full(place: int) -> frozenset:
-            if place not in shingles:
-                shingles[place] = frozenset(shingle_set(unpack.decompress(rows[place][10]), likeness.words).tolist())
-            return shingles[place]
+        sets: dict[int, np.ndarray] = {}
+        held = 0
+
+        def full(place: int) -> np.ndarray:
+            nonlocal held
+            if place not in sets:
+                if held > ELEMENTS_HELD:
+                    sets.clear()
+                    held = 0
+                sets[place] = shingle_set(unpack.decompress(rows[place][10]), likeness.words)
+                held += len(sets[place])
+            return sets[place]
 
         # The row that agrees most with the others first: it joins most of a group of copies.
         order = np.argsort(-_typical(signature), kind="stable")
@@ -230,7 +238,7 @@ def _verify(likeness: Likeness):
             for other in others.tolist():
                 if component[other] == component[one]:
                     continue
-                common = len(full(one) & full(other))
+                common = in_common(full(one), full(other))
                 if 100 * common >= likeness.percent * (number[one] + number[other] - common):
                     component[component == component[other]] = component[one]
                     yield rows[one][4], rows[other][4]
@@ -241,6 +249,14 @@ def _verify(likeness: Likeness):
     return run
 
 
+def in_common(one: np.ndarray, other: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    small, large = (one, other) if len(one) <= len(other) else (other, one)
+    place = np.searchsorted(large, small)
+    place[place == len(large)] = 0
+    return int((large[place] == small).sum())
+
+
 def _typical(signature: np.ndarray) -> np.ndarray:
     """How often each row holds the commonest value of a place."""
     total = np.zeros(len(signature))
