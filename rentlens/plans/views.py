@@ -81,7 +81,7 @@ SELECT r_name AS name, CAST(1500 + 500 * r_regionkey AS INT) AS cap FROM {region
 SELECT n_name AS name, CAST(1000 + 100 * n_nationkey AS INT) AS cap FROM {nation} WHERE n_nationkey % 2 = 0""",
 }
 
-# DuckDB only: Spark builds the same rows without a cross join (``journeys`` below).
+# DuckDB only: Spark builds the same rows from a short list of regions (``journeys`` below).
 ORACLE_JOURNEYS = """
 SELECT l_orderkey AS id, r_name AS name, l_linenumber AS position,
   CAST(10 + (l_orderkey * 31 + r_regionkey * 17 + l_linenumber * 7 + l_partkey) % 70 AS INT) AS duration,

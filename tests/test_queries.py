@@ -38,7 +38,7 @@ def plan_of(df) -> str:
 
 @pytest.mark.parametrize("name", [
     "rent_by_region", "rent_map_table", "suitable", "assign_regions_diamond",
-    "lookup", "within_miles", "adaptive_tiles", "nearest_site", "best_journeys", "price_caps", "postcode_rollup",
+    "lookup", "within_miles", "adaptive_tiles", "nearest_site", "price_caps", "postcode_rollup",
 ])
 def test_no_cross_join(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALLEST))
