@@ -2,8 +2,8 @@
 
 A line's tokens are masked where they hold a digit. The tree has fixed depth: the number of tokens,
 then the leading ``DEPTH`` tokens; a path ends in a leaf. Within a leaf a token that is rare at its
-place is a variable field, so a line's template is the sequence of its tokens with variable ones
-replaced. A template with enough constant tokens that recurs across documents is boilerplate, and
+place is a variable field, and so is a masked one however common, so a line's template is the sequence
+of its tokens with variable ones replaced. A template with enough constant tokens that recurs across documents is boilerplate, and
 all its lines are dropped.
 
 Copies of one document would make all their lines recur. So recurrence is not counted in documents
@@ -77,9 +77,11 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         inner.select("row_id", "row_hash", "line_no", "class", "leaf",
                      F.posexplode(F.split(_masked(F.col("line")), " ")).alias("place", "token"))
         .select("row_id", "row_hash", "line_no", "class", "leaf", "place", F.xxhash64("token").alias("token")))
-    constant = cut_lineage(_in_classes(tokens, "leaf", "place", "token").withColumn("constant", F.lit(1)))
+    # A mask stands for different tokens: it is part of the template, but never constant.
+    mask = F.xxhash64(F.lit(_MASK))
+    constant = cut_lineage(_in_classes(tokens.where(F.col("token") != mask), "leaf", "place", "token").withColumn("constant", F.lit(1)))
     marked = lookup_join(tokens, constant, ["leaf", "place", "token"], "left").withColumn("constant", F.coalesce("constant", F.lit(0)))
-    field = F.when(F.col("constant") == 1, F.col("token")).otherwise(F.lit(0).cast("long"))
+    field = F.when((F.col("constant") == 1) | (F.col("token") == mask), F.col("token")).otherwise(F.lit(0).cast("long"))
     # A sum of hashes over places, in halves so that it cannot overflow.
     hashed = F.xxhash64("place", field)
     templated = cut_lineage(

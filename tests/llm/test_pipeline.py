@@ -34,6 +34,13 @@ def test_lines_that_only_copies_share_stay(spark):
     assert line_dedup.recurring_lines(documents(spark, rows)).count() == 0
 
 
+def test_numeric_rows_are_not_one_template(spark):
+    rows = [(n, f"{own}\n{n} 7 20{n:02d}\nsum {n} 1{n} 2{n}") for n, own in enumerate(lengths(7))]
+    tables = [(100 + n, "\n".join(f"{n}{k} {k} 5{k}" for k in range(4 ** n))) for n in range(1, 5)]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(documents(spark, rows + tables), drop_emptied=True).collect()}
+    assert found == dict(rows + tables)
+
+
 def test_lines_of_odd_rows(spark):
     rows = [(None, "a b c\n\n"), (1, None), (2, ""), (3, "x y z"), (3, "x y z"), (4, "word " * 40_000)]
     found = sorted((tuple(r) for r in line_dedup.line_dedup(documents(spark, rows)).collect()), key=repr)
