@@ -6,26 +6,32 @@ place is a variable field, and so is a masked one however common, so a line's te
 of its tokens with variable ones replaced. A template with enough constant tokens that recurs across documents is boilerplate, and
 all its lines are dropped.
 
-Copies of one document would make all their lines recur. So recurrence is not counted in documents
-but in classes of documents of like length (each class reaches to ``CLASS_RATIO`` times its least
-length): copies share a class or two, documents that share only a passage do not.
-
-Only leaves that recur are looked into, their tokens are counted with partial aggregates, and a
-template is a sum of hashes, so no line or group is ever gathered.
+Copies of one document would make all their lines recur. So a template recurs when it is in
+``MIN_DOCUMENTS`` different texts no two of which are copies, and a passage (whole lines on end, of
+``PASSAGE_TOKENS`` tokens together) when it is in two. Copies are told apart by content: texts whose
+sets of neighbouring tokens overlap by ``COPY_PERCENT``, as estimated from the lowest hashes of each.
+A token is constant by the number of different texts, copies included, that have it at its place.
+
+Only leaves and lines that recur are looked into, their tokens are counted with partial aggregates, and
+a template is a sum of hashes, so no line or group is ever gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..operators.joins import lookup_join
 from ..session import cut_lineage
 
 DEPTH = 3
-# Classes of length in which a token, and a template, must occur.
-MIN_CLASSES = 4
-CLASS_RATIO = 1.15
+# Texts in which a token, and a template, must occur.
+MIN_DOCUMENTS = 4
 MIN_TOKENS = 3
+# Whole lines of so many tokens recur from two texts on.
+PASSAGE_TOKENS = 50
+# Lowest hashes that a text is known by, and the percentage of overlap that makes a copy.
+SKETCH = 64
+COPY_PERCENT = 60
 # Of a template's tokens at least this many percent are constant.
 CONSTANT_PERCENT = 80
 _MASK = "<*>"
@@ -45,53 +51,128 @@ def _masked(tokens: Column) -> Column:
     return F.when(tokens.rlike("[0-9]"), F.regexp_replace(tokens, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", _MASK)).otherwise(tokens)
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (id and digest of the text), class, line_no, line, leaf of every line with enough tokens.
+def _text(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
-    The leaf takes the number of tokens and the leading ones only, so no line is split here.
-    """
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+
+def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (id and digest of the text), place among the lines that are not blank, line_no, line, size in tokens."""
+    text = _text(text_col)
+    numbered = F.transform(F.split(_spaced(text), "\n"), lambda line, n: F.struct(n.alias("line_no"), F.trim(line).alias("line")))
     rows = df.select(
         F.col(f"`{id_col}`").cast("long").alias("row_id"), F.xxhash64(text).alias("row_hash"),
-        F.floor(F.log(F.greatest(F.length(text), F.lit(1))) / F.log(F.lit(CLASS_RATIO))).alias("class"),
-        F.posexplode(F.split(_spaced(text), "\n")).alias("line_no", "line"))
-    lines = rows.withColumn("line", F.trim("line"))
+        F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("place", "at"))
     size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    leading = _masked(F.substring_index("line", " ", DEPTH))
-    return lines.withColumn("size", size).where(F.col("size") >= MIN_TOKENS).withColumn("leaf", F.xxhash64("size", leading)).drop("size")
+    return rows.select("row_id", "row_hash", "place", "at.line_no", "at.line").withColumn("size", size)
 
 
-def _in_classes(df: DataFrame, *keys: str) -> DataFrame:
-    """The keys that occur in enough classes of documents."""
+def _in_documents(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys that occur in enough texts."""
     return (
-        df.select(*keys, "class").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("classes"))
-        .where(F.col("classes") >= MIN_CLASSES).select(*keys))
+        df.select(*keys, "row_hash").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("documents"))
+        .where(F.col("documents") >= MIN_DOCUMENTS).select(*keys))
 
 
-def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, row_hash, line_no of every line whose template recurs across documents."""
-    lines = _lines(df, id_col, text_col)
-    leaves = cut_lineage(_in_classes(lines, "leaf"))
+def _sketches(df: DataFrame, text_col: str) -> DataFrame:
+    """row_hash, sketch (lowest hashes of neighbouring tokens) of every text."""
+    text = _text(text_col)
+    tokens = F.split(F.trim(F.translate(_spaced(text), "\n", " ")), " +")
+    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.hash(a, b))
+    sketch = F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH)
+    return df.select(F.xxhash64(text).alias("row_hash"), sketch.alias("sketch")).groupBy("row_hash").agg(F.min("sketch").alias("sketch"))
+
+
+def _copies(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those pairs (row_hash, first) that are copies."""
+    firsts = sketches.join(pairs.select(F.col("first").alias("row_hash")).distinct(), "row_hash", "left_semi")
+    known = cut_lineage(firsts.select(F.col("row_hash").alias("first"), F.col("sketch").alias("other")))
+    both = lookup_join(pairs.join(sketches, "row_hash"), known, "first")
+    lowest = F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH)
+    common = F.size(F.array_intersect(F.array_intersect("sketch", "other"), lowest))
+    return both.where(common * 100 >= F.size(lowest) * COPY_PERCENT).select("row_hash", "first")
+
+
+def _recurring(found: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The keys of ``found`` (key, row_hash) in at least so many texts no two of which are copies.
+
+    Of each key the lowest text is taken and its copies are left out, until enough are taken.
+    """
+    texts = found.select("key", "row_hash").distinct()
+    enough = cut_lineage(texts.groupBy("key").count().where(F.col("count") >= least).select("key"))
+    left = cut_lineage(lookup_join(texts, enough, "key"))
+    for _ in range(least - 1):
+        first = cut_lineage(left.groupBy("key").agg(F.min("row_hash").alias("first")))
+        beside = cut_lineage(lookup_join(left, first, "key").where(F.col("row_hash") != F.col("first")))
+        copies = cut_lineage(_copies(beside.select("row_hash", "first").distinct(), sketches))
+        left = cut_lineage(lookup_join(beside, copies, ["row_hash", "first"], "left_anti").select("key", "row_hash"))
+    return cut_lineage(left.select("key").distinct())
+
+
+def _templates(lines: DataFrame) -> DataFrame:
+    """row_id, row_hash, line_no, key of every line with enough tokens and constant ones among them.
+
+    The leaf takes the number of tokens and the leading ones only, so no line is split for it.
+    """
+    leading = _masked(F.substring_index("line", " ", DEPTH))
+    lines = lines.where(F.col("size") >= MIN_TOKENS).withColumn("leaf", F.xxhash64("size", leading))
+    leaves = cut_lineage(_in_documents(lines, "leaf"))
     inner = lookup_join(lines, leaves, "leaf")
     tokens = cut_lineage(
-        inner.select("row_id", "row_hash", "line_no", "class", "leaf",
+        inner.select("row_id", "row_hash", "line_no", "leaf",
                      F.posexplode(F.split(_masked(F.col("line")), " ")).alias("place", "token"))
-        .select("row_id", "row_hash", "line_no", "class", "leaf", "place", F.xxhash64("token").alias("token")))
+        .select("row_id", "row_hash", "line_no", "leaf", "place", F.xxhash64("token").alias("token")))
     # A mask stands for different tokens: it is part of the template, but never constant.
     mask = F.xxhash64(F.lit(_MASK))
-    constant = cut_lineage(_in_classes(tokens.where(F.col("token") != mask), "leaf", "place", "token").withColumn("constant", F.lit(1)))
+    constant = cut_lineage(_in_documents(tokens.where(F.col("token") != mask), "leaf", "place", "token").withColumn("constant", F.lit(1)))
     marked = lookup_join(tokens, constant, ["leaf", "place", "token"], "left").withColumn("constant", F.coalesce("constant", F.lit(0)))
     field = F.when((F.col("constant") == 1) | (F.col("token") == mask), F.col("token")).otherwise(F.lit(0).cast("long"))
     # A sum of hashes over places, in halves so that it cannot overflow.
     hashed = F.xxhash64("place", field)
-    templated = cut_lineage(
-        marked.groupBy("row_id", "row_hash", "line_no", "class", "leaf")
+    return cut_lineage(
+        marked.groupBy("row_id", "row_hash", "line_no", "leaf")
         .agg(F.sum(F.shiftright(hashed, 32)).alias("high"), F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
              F.sum("constant").alias("constant"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("constant") * 100 >= F.col("n") * CONSTANT_PERCENT))
-    template = ["leaf", "high", "low"]
-    recurring = cut_lineage(_in_classes(templated, *template))
-    return lookup_join(templated, recurring, template, "left_semi").select("row_id", "row_hash", "line_no")
+        .where(F.col("constant") * 100 >= F.col("n") * CONSTANT_PERCENT)
+        .select("row_id", "row_hash", "line_no", F.xxhash64("leaf", "high", "low").alias("key")))
+
+
+def _passages(lines: DataFrame) -> DataFrame:
+    """row_id, row_hash, key, numbers (of the lines) of the shortest passages from each line on and up to it.
+
+    Together they hold every line of every longer passage. Only lines of two texts are looked at.
+    """
+    hashed = lines.select("row_id", "row_hash", "place", "line_no", F.col("size").cast("long").alias("size"), F.xxhash64("line").alias("line_hash"))
+    shared = cut_lineage(
+        hashed.groupBy("line_hash").agg(F.min("row_hash").alias("least"), F.max("row_hash").alias("most"))
+        .where(F.col("least") != F.col("most")).select("line_hash"))
+    # Rows that repeat an id and text are one.
+    inner = lookup_join(hashed, shared, "line_hash").dropDuplicates(["row_id", "row_hash", "place"])
+    row = Window.partitionBy("row_id", "row_hash").orderBy("place")
+    line = F.struct("place", "line_no", "size", "line_hash", "upto")
+    # A line has a token at least, so this many lines are enough.
+    sides = inner.withColumn("upto", F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, 0))).select(
+        "row_id", "row_hash", F.collect_list(line).over(row.rowsBetween(0, PASSAGE_TOKENS - 1)).alias("on"),
+        F.collect_list(line).over(row.rowsBetween(1 - PASSAGE_TOKENS, 0)).alias("back"), line.alias("own"))
+    own = F.col("own")
+    on = F.filter("on", lambda x: x["upto"] - x["size"] - own["upto"] + own["size"] < PASSAGE_TOKENS)
+    back = F.filter("back", lambda x: own["upto"] - x["upto"] < PASSAGE_TOKENS)
+    both = sides.select("row_id", "row_hash", F.explode(F.array(on, back)).alias("run"))
+    first, last = F.element_at("run", 1), F.element_at("run", -1)
+    return cut_lineage(
+        both.where((last["upto"] - first["upto"] + first["size"] >= PASSAGE_TOKENS) & (last["place"] - first["place"] == F.size("run") - 1))
+        .select("row_id", "row_hash", F.xxhash64(F.transform("run", lambda x: x["line_hash"])).alias("key"),
+                F.transform("run", lambda x: x["line_no"]).alias("numbers")))
+
+
+def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_id, row_hash, line_no of every line whose template, or a passage that holds it, recurs across documents."""
+    lines = _lines(df, id_col, text_col)
+    sketches = cut_lineage(_sketches(df, text_col))
+    templates, passages = _templates(lines), _passages(lines)
+    alone = lookup_join(templates, _recurring(templates, sketches, MIN_DOCUMENTS), "key", "left_semi")
+    runs = lookup_join(passages, _recurring(passages, sketches, 2), "key", "left_semi")
+    return alone.select("row_id", "row_hash", "line_no").unionByName(
+        runs.select("row_id", "row_hash", F.explode("numbers").alias("line_no"))).distinct()
 
 
 def _cleaned(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
@@ -103,7 +184,7 @@ def _cleaned(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]
     # Numbers of one document's own lines: bounded by the document.
     dropped = found.groupBy(F.col("row_id").alias(f"{free}id"), F.col("row_hash").alias(f"{free}hash")).agg(
         F.sort_array(F.collect_set("line_no")).alias(f"{free}numbers"))
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    text = _text(text_col)
     keyed = df.withColumns({f"{free}own_id": F.col(f"`{id_col}`").cast("long"), f"{free}own_hash": F.xxhash64(text)})
     # A shuffle at every size: how much is dropped does not change the plan.
     joined = keyed.join(
@@ -123,7 +204,7 @@ def drop_recurring_lines(
 ) -> DataFrame:
     """The table with recurring lines taken out of ``text_col``; all other columns as they are.
 
-    Lines end at ``\\n``; those with fewer than ``MIN_TOKENS`` tokens stay. A null text stays null. Rows that
+    Lines end at ``\\n``; those with fewer than ``MIN_TOKENS`` tokens stay, unless a passage holds them. A null text stays null. Rows that
     repeat an id and text get equal results; a null id is an id. An empty table stays empty. With
     ``drop_emptied``, rows that had nothing but recurring lines go.
     """

@@ -34,6 +34,38 @@ def test_lines_that_only_copies_share_stay(spark):
     assert line_dedup.recurring_lines(documents(spark, rows)).count() == 0
 
 
+def words(name, count):
+    return " ".join(f"{name}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(count))
+
+
+@pytest.mark.parametrize("count", [2, 3, 12])
+def test_passages_of_texts_of_equal_length_go(spark, count):
+    passage = "\n".join([words("shared", 20), "", words("more", 20), words("last", 20), "the end"])
+    own = [words(f"own{chr(97 + n)}", 60) for n in range(count)]
+    rows = [(n, f"{text}\n{passage}\n{text[::-1]}") for n, text in enumerate(own)]
+    assert len({len(text) for _, text in rows}) == 1
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert found == {n: f"{text}\n\n{text[::-1]}" for n, text in enumerate(own)}
+
+
+def test_templates_of_texts_of_equal_length_go(spark):
+    own = [words(f"own{chr(97 + n)}", 30) for n in range(8)]
+    # Four texts are enough for a short line, three are not.
+    rows = [(n, f"{text}\nAll rights are held by the House no {n}" + "\nonly three have this"[:21 * (n < 3)]) for n, text in enumerate(own)]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert found == {n: text + "\nonly three have this"[:21 * (n < 3)] for n, text in enumerate(own)}
+
+
+def test_lines_that_only_near_copies_share_stay(spark):
+    lines = [words(f"line{chr(97 + n)}", 20) for n in range(12)]
+    rows = [(n, "\n".join([*lines[:n], f"{lines[n]} changed {n}", *lines[n + 1:]])) for n in range(9)]
+    assert line_dedup.recurring_lines(documents(spark, rows)).count() == 0
+    # What a text of its own has too recurs.
+    other = "\n".join([words("other", 100), *lines[9:]])
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(documents(spark, [*rows, (99, other)])).collect()}
+    assert found == {n: "\n".join(text.split("\n")[:9]) for n, text in rows} | {99: words("other", 100)}
+
+
 def test_numeric_rows_are_not_one_template(spark):
     rows = [(n, f"{own}\n{n} 7 20{n:02d}\nsum {n} 1{n} 2{n}") for n, own in enumerate(lengths(7))]
     tables = [(100 + n, "\n".join(f"{n}{k} {k} 5{k}" for k in range(4 ** n))) for n in range(1, 5)]
