@@ -3,9 +3,11 @@
 The patterns give the base spans. The field labels the tokens of a document that hold a digit or
 an ``@`` (all others are outside by definition): each token's features speak for a label,
 neighbouring tokens share a potential, and so do distant tokens that are repeated or similar (the
-same token but for case and punctuation, or the same seven or more digits). Tokens inside base
-spans hold their label; loopy message passing over chain and skip edges carries it to the rest, so
-what is a telephone number in one place of a document is one in every place. Tokens that end with
+same token but for case and punctuation, or the same seven or more digits): each set of them has a
+hub, to which all its tokens are linked. Tokens inside base spans hold their label, and so do hubs
+of such a token (the label that most of them have); loopy message passing over chain and hub edges,
+until the messages settle, carries it to the rest, so what is a telephone number in one place of a
+document speaks for one in every place, however far or often. Tokens that end with
 a kind's belief of at least ``BELIEF`` become added spans.
 
 The field is learned from the base spans of a bounded sample, by pseudo-likelihood, without
@@ -31,7 +33,10 @@ from .common import id_text, in_batches, texts
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("", *KINDS)
 BELIEF = 0.6
-ROUNDS = 8
+# Messages have settled when none changes by more than this; after so many rounds the steps get shorter,
+# so that fields without a fixed point end too.
+SETTLED = 1e-3
+ROUNDS = 100
 # Bounds of the training sample: documents, and tokens of each.
 FIT_DOCUMENTS = 2000
 FIT_TOKENS = 200
@@ -123,6 +128,7 @@ class Graph:
     adjacent: np.ndarray  # whether the token follows the one before directly
     alike: np.ndarray  # number of the last similar token before, -1 without one
     features: list[list[int]]
+    sets: list[tuple[int, ...]]  # numbers of similar tokens, two at least
 
 
 def _marked_tokens(text: str) -> list[tuple[int, int]]:
@@ -177,6 +183,7 @@ def graph_of(text: str, spans: list[Span]) -> Graph:
     alike = np.full(len(tokens), -1)
     features = []
     last: dict[str, int] = {}
+    members: dict[str, list[int]] = {}
     open_spans = [(start, end, kind + 1) for start, kind, end in spans]
     first = 0
     for n, (start, end) in enumerate(tokens):
@@ -194,8 +201,12 @@ def graph_of(text: str, spans: list[Span]) -> Graph:
         names = [re.sub(r"[\W_]+", "", token).lower()] + ([f"#{digits}"] if len(digits) >= 7 else [])
         alike[n] = max((last.get(name, -1) for name in names), default=-1)
         last.update(dict.fromkeys(names, n))
+        for name in names:
+            members.setdefault(name, []).append(n)
         features.append(_features(token, _neighbour(text, start, -1), _neighbour(text, end, 1)))
-    return Graph(tokens, label, adjacent, alike, features)
+    # The same tokens by two names are one set.
+    sets = list(dict.fromkeys(tuple(numbers) for numbers in members.values() if len(numbers) > 1))
+    return Graph(tokens, label, adjacent, alike, features, sets)
 
 
 # The field ---------------------------------------------------------------------------------
@@ -206,36 +217,47 @@ class Field:
     chain: np.ndarray  # label of a token x label of the next one
     skip: float  # agreement of similar tokens
 
-    def beliefs(self, graph: Graph, rounds: int = ROUNDS) -> np.ndarray:
+    def beliefs(self, graph: Graph) -> np.ndarray:
         """Marginal beliefs, tokens x labels, after loopy message passing."""
-        unary = np.array([self.weights[f].sum(axis=0) for f in graph.features])
-        held = graph.label > 0
+        tokens = len(graph.features)
+        unary = np.zeros((tokens + len(graph.sets), len(LABELS)))
+        unary[:tokens] = [self.weights[f].sum(axis=0) for f in graph.features]
+        held = np.flatnonzero(graph.label > 0)
         unary[held, graph.label[held]] += CLAMP
+        member = np.array([n for numbers in graph.sets for n in numbers], int)
+        hub = np.repeat(np.arange(len(graph.sets)) + tokens, [len(numbers) for numbers in graph.sets])
+        # A hub holds the label that most held tokens of its set have.
+        seen = np.zeros_like(unary)
+        np.add.at(seen, (hub, graph.label[member]), graph.label[member] > 0)
+        hubs = np.flatnonzero(seen.any(axis=1))
+        unary[hubs, seen[hubs].argmax(axis=1)] += CLAMP
         chained = np.flatnonzero(graph.adjacent)
-        linked = np.flatnonzero(graph.alike >= 0)
-        # Directed edges: each of the two directions of chain and skip edges.
-        source = np.concatenate([chained - 1, chained, graph.alike[linked], linked])
-        target = np.concatenate([chained, chained - 1, linked, graph.alike[linked]])
+        # Directed edges: each of the two directions of chain and hub edges.
+        source = np.concatenate([chained - 1, chained, hub, member])
+        target = np.concatenate([chained, chained - 1, member, hub])
         if not len(source):
             return _softmax(unary)
-        c, s = len(chained), len(linked)
+        c, s = len(chained), len(member)
         agree = self.skip * np.eye(len(LABELS))
         potential = np.concatenate([
             np.broadcast_to(self.chain, (c, *self.chain.shape)), np.broadcast_to(self.chain.T, (c, *self.chain.shape)),
             np.broadcast_to(agree, (2 * s, *agree.shape))])
         back = np.concatenate([np.arange(c) + c, np.arange(c), np.arange(s) + 2 * c + s, np.arange(s) + 2 * c])
         messages = np.zeros((len(source), len(LABELS)))
-        for _ in range(rounds):
+        n, change = 0, np.inf
+        while change > SETTLED:
             total = unary.copy()
             np.add.at(total, target, messages)
             outgoing = (total[source] - messages[back])[:, :, None] + potential
             top = outgoing.max(axis=1, keepdims=True)
             fresh = np.log(np.exp(outgoing - top).sum(axis=1)) + top[:, 0, :]
             fresh -= fresh.max(axis=1, keepdims=True)
-            messages = 0.5 * messages + 0.5 * fresh
+            step = 0.5 * (fresh - messages) * 0.9 ** max(0, n - ROUNDS)
+            messages = messages + step
+            n, change = n + 1, np.abs(step).max()
         total = unary.copy()
         np.add.at(total, target, messages)
-        return _softmax(total)
+        return _softmax(total[:tokens])
 
     def added_spans(self, text: str, base: list[Span]) -> list[Span]:
         """Spans of tokens that the field labels and no base span touches; neighbours of one kind are one."""

@@ -217,6 +217,19 @@ def test_added_spans_carry_labels_to_repeats(spark):
         assert [row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]] == [sum(k == n for _, k, _ in base) for n in range(4)]
 
 
+def test_one_span_speaks_for_all_repeats():
+    # All features speak against a label, so only the repeats can make one.
+    outside = np.eye(len(pii.LABELS))[0] * 0.1
+    field = pii.Field(np.tile(outside, (pii.FEATURES, 1)), np.zeros((len(pii.LABELS), len(pii.LABELS))), 3.0)
+    repeats = " ".join(f"words then 555-6973 again, word {'abc'[n % 3]}" for n in range(30))
+    for text in (f"Call +1 509 555-6973 now. {repeats}", f"{repeats}. Call +1 509 555-6973 now."):
+        added = field.added_spans(text, pii.base_spans(text))
+        assert [text[start:end] for start, _, end in added] == ["555-6973"] * 30
+    assert field.added_spans(repeats, []) == []
+    graph = pii.graph_of(repeats, [])
+    assert graph.sets == [tuple(range(30))] and np.isfinite(field.beliefs(graph)).all()
+
+
 def test_personal_data_of_odd_rows(spark):
     field = pii.learn([])
     found = {r["doc_id"]: r for r in pii.find_personal_data(odd(spark, "spans string"), field).collect()}
