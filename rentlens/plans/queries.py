@@ -627,12 +627,12 @@ def bad_journeys(w: Workload) -> DataFrame:
 
 @query
 def snapshot_json(w: Workload) -> DataFrame:
-    """Snapshots as files named by their time, each an array: every order line number is a time."""
+    """Snapshots as folders named by their time, an array per task in each: every order line number is a time."""
     folder = scratch_path(w.spark, "snapshot-json")
     records = nested_listings(w)
     for time in range(1, 4):
         changed = records.where(f"id % {time} = 0").withColumn("bedrooms", F.lit(time))
-        tables.write_listings(changed.coalesce(1), f"{folder}/{time}", "json")
+        tables.write_listings(changed, f"{folder}/{time}", "json")
     files = [f"{folder}/{time}" for time in range(1, 4)]
     # Spark names its files itself, so the time is that of the folder here.
     found = readers.read_listings(w.spark, files).withColumn(
@@ -640,20 +640,29 @@ def snapshot_json(w: Workload) -> DataFrame:
     return jobs.merged_snapshots(found).select("id", "snapshot_ts", "bedrooms")
 
 
+# Of a table that grows, so many positions make one JSON object.
+MAP_ENTRIES = 1000
+
+
+def map_objects(rows: DataFrame, key: str, value: Column, position: str | None = None) -> DataFrame:
+    """JSON objects, one to a row: one per ``MAP_ENTRIES`` positions, or a single one for a short list without."""
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value.alias("value")))))
+    parts = rows.groupBy(*([F.floor(F.col(position) / MAP_ENTRIES).alias("_part")] if position else []))
+    return parts.agg(F.to_json(entries).alias("value")).select("value")
+
+
 @query
 def named_maps(w: Workload) -> DataFrame:
-    """Commute places, search places and price caps, each written as one JSON object and read back."""
-    def written(name: str, rows: DataFrame, key: str, value: Column) -> str:
+    """Commute places and price caps, each as one JSON object, and search places, as an object per line, written and read back."""
+    def written(name: str, *map_of) -> str:
         path = scratch_path(w.spark, name)
-        # A user's short list is one object in one file.
-        entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, value.alias("value")))))
-        rows.agg(F.to_json(entries).alias("value")).write.text(path)
+        map_objects(*map_of).write.text(path)
         return path
 
     places = readers.read_places(w.spark, written("places", w.view("wl_places"), "name", F.array("latitude", "longitude")))
-    searched = w.view("wl_search_places").select(F.concat("name", F.lit(" "), F.col("position").cast("string")).alias("name"), "identifier")
+    searched = w.view("wl_search_places").select(F.concat("name", F.lit(" "), F.col("position").cast("string")).alias("name"), "identifier", "position")
     caps = readers.read_price_caps(w.spark, written("caps", w.view("wl_caps"), "name", F.col("cap")))
-    found = readers.read_search_places(w.spark, written("searched", searched, "name", F.col("identifier")))
+    found = readers.read_search_places(w.spark, written("searched", searched, "name", F.col("identifier"), "position"), lines=True)
     return (
         places.select(F.lit("place").alias("kind"), "name", F.concat_ws(" ", F.round("latitude", 6), F.round("longitude", 6)).alias("value"))
         .unionByName(caps.select(F.lit("cap").alias("kind"), "name", F.col("cap").cast("string").alias("value")))

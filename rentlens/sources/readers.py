@@ -272,9 +272,12 @@ def read_regions(spark: SparkSession, path: str, kind: str = "ring") -> DataFram
     return rings.select("region", "part", "ring_no", _points(F.col("_ring")).alias("ring"))
 
 
-def read_named_map(spark: SparkSession, path: str, value_type: str) -> DataFrame:
-    """A JSON object as rows: name, value, position (the order in the file)."""
-    text = spark.read.text(path, wholetext=True)
+def read_named_map(spark: SparkSession, path: str, value_type: str, lines: bool = False) -> DataFrame:
+    """A JSON object as rows: name, value, position (the order in the file).
+
+    With ``lines`` every line is an object, for maps that grow: files split, and position is the order in the line.
+    """
+    text = spark.read.text(path, wholetext=not lines)
     entries = F.map_entries(F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"}))
     return text.select(F.posexplode(entries).alias("position", "_e")).select(
         F.col("_e.key").alias("name"), F.col("_e.value").alias("value"), "position"
@@ -288,9 +291,9 @@ def read_places(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_search_places(spark: SparkSession, path: str) -> DataFrame:
+def read_search_places(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Search places: name, identifier, position."""
-    return read_named_map(spark, path, "string").withColumnRenamed("value", "identifier")
+    return read_named_map(spark, path, "string", lines).withColumnRenamed("value", "identifier")
 
 
 def read_price_caps(spark: SparkSession, path: str) -> DataFrame:

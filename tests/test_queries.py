@@ -74,3 +74,28 @@ def test_place_results_are_limited_before_the_shuffle(spark):
 def test_criteria_of_the_accepted_list_reach_the_scan(spark):
     plan = plan_of(QUERIES["accepted_listings"](spark, SMALLEST))
     assert "IsNull(o_orderdate)" in plan and "GreaterThan(o_orderdate" in plan
+
+
+def test_snapshots_are_written_by_all_tasks(spark, monkeypatch):
+    from rentlens.plans import queries
+    from rentlens.plans.views import Workload
+
+    listings, write, tasks = Workload.listings, queries.tables.write_listings, []
+    monkeypatch.setattr(Workload, "listings", lambda w: listings(w).repartition(3, "id"))
+    monkeypatch.setattr(queries.tables, "write_listings", lambda df, *a: (tasks.append(df.rdd.getNumPartitions()), write(df, *a)))
+    found = QUERIES["snapshot_json"](spark, SMALLEST)
+    assert tasks == [3, 3, 3] and found.count() == spark.read.parquet(f"{SMALLEST}/orders.parquet").count()
+
+
+def test_growing_map_is_many_objects(spark, tmp_path):
+    import json
+
+    from rentlens.plans.queries import MAP_ENTRIES, map_objects
+    from rentlens.sources import read_search_places
+
+    rows = spark.range(2500).selectExpr("concat('at ', id) AS name", "cast(id AS string) AS identifier", "id AS position")
+    map_objects(rows, "name", rows["identifier"], "position").write.text(str(tmp_path / "map"))
+    sizes = [len(json.loads(r["value"])) for r in spark.read.text(str(tmp_path / "map")).collect()]
+    assert sorted(sizes) == [500, MAP_ENTRIES, MAP_ENTRIES]
+    found = read_search_places(spark, str(tmp_path / "map"), lines=True)
+    assert {(r["name"], r["identifier"]) for r in found.collect()} == {(f"at {n}", str(n)) for n in range(2500)}
