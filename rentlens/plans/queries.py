@@ -550,7 +550,7 @@ def _tile_inputs(w: Workload) -> tuple[DataFrame, DataFrame]:
 @query
 def adaptive_tiles(w: Workload) -> DataFrame:
     points, boxes = _tile_inputs(w)
-    found = tiles.adaptive_tiles(points, boxes, cap=120, max_depth=6)
+    found = tiles.adaptive_tiles(points, boxes, cap=120)
     edges = ("tile_min_x", "tile_min_y", "tile_max_x", "tile_max_y")
     return found.select("region", "depth", "ix", "iy", "n", "overflow", *[rounded(c, c) for c in edges])
 

@@ -99,3 +99,14 @@ def test_growing_map_is_many_objects(spark, tmp_path):
     assert sorted(sizes) == [500, MAP_ENTRIES, MAP_ENTRIES]
     found = read_search_places(spark, str(tmp_path / "map"), lines=True)
     assert {(r["name"], r["identifier"]) for r in found.collect()} == {(f"at {n}", str(n)) for n in range(2500)}
+
+
+def test_tiles_split_as_deep_as_needed(spark, monkeypatch):
+    from rentlens.plans.views import Workload
+
+    # All within one tile of depth 6.
+    points = spark.range(500).selectExpr("id", "-0.9 + id * 1e-9 AS longitude", "51.1 + id * 1e-9 AS latitude")
+    monkeypatch.setattr(Workload, "listings", lambda w: points)
+    found = QUERIES["adaptive_tiles"](spark, SMALLEST).collect()
+    assert sum(r["n"] for r in found) == 500 and max(r["depth"] for r in found) > 6
+    assert all(r["n"] <= 120 and not r["overflow"] for r in found)
