@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rentlens.llm import language, line_dedup, minhash, packing, pii
 from rentlens.llm.queries import vocabulary
+from rentlens.operators.batches import number_rows
 from rentlens.session import cut_lineage
 
 # Models, tokenizers and union-find are not expressible in SQL.
@@ -36,12 +37,25 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; rows without an id stay."""
-    found = minhash.near_duplicates(docs, minhash.FIVE_WORDS)
-    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    # Rows that repeat an id are one document, so one of them stays.
-    one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one_each.unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """One document of each group of near duplicates; rows without an id stay.
+
+    A document is an id with a text: rows that share an id but not the text are told apart, and of a
+    group the least id stays, then the least digest of the text. Of equal rows one stays.
+    """
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    several = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(digest).alias("least"), F.max(digest).alias("most"))
+    if several.where("least <> most").isEmpty():
+        found = minhash.near_duplicates(docs, minhash.FIVE_WORDS)
+        kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+        one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    else:
+        keyed = docs.where("doc_id IS NOT NULL").withColumn("_key", F.struct("doc_id", digest.alias("digest")))
+        numbers = cut_lineage(number_rows(cut_lineage(keyed.select("_key").distinct()), "_key", "_number"))
+        numbered = cut_lineage(keyed.join(numbers, "_key").dropDuplicates(["_number"]).drop("_key"))
+        found = minhash.near_duplicates(numbered, minhash.FIVE_WORDS, id_col="_number")
+        kept = found.where("kept").select(F.col("doc_id").alias("_number"))
+        one_each = numbered.join(kept, "_number", "left_semi").select(docs.columns)
+    return one_each.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,3 +146,11 @@ def test_pipeline_of_repeated_and_null_ids(spark):
         "doc_id long, text string, lang string")
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted((r["doc_id"] or 0 for r in kept.collect())) == [0, 1]
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    one, other, third = words("one", 40), words("other", 40), words("third", 40)
+    docs = spark.createDataFrame([(3, other, "en"), (5, one, "en"), (5, other, "en"), (5, third, "en"), (5, third, "en")], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r)[:2] for r in kept.collect()) == sorted([(3, other), (5, one), (5, third)])
