@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language, line_dedup, minhash, packing, pii, prefix_counts, quality, vptree
+from . import bpe, collocations, context_tree, exact_dedup, language, lexical, line_dedup, minhash, packing, pii, prefix_counts, quality, vptree
 from .common import id_remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,94 @@ FROM line_results
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return pii.find_personal_data(documents, pii.fit(documents))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+# Every phrase is counted and scored, whatever its bounds.
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]+')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM pieces
+), f1 AS (
+  SELECT lang, phrase, count(*) AS f FROM (SELECT lang, unnest(words) AS phrase FROM w) GROUP BY ALL
+), f2 AS (
+  SELECT lang, u, v, u || ' ' || v AS phrase, count(*) AS f FROM (
+    SELECT lang, unnest(words[1:len(words) - 1]) AS u, unnest(words[2:]) AS v FROM w WHERE len(words) >= 2) GROUP BY ALL
+), f3 AS (
+  SELECT lang, u, v, x, u || ' ' || v || ' ' || x AS phrase, u || ' ' || v AS head, v || ' ' || x AS tail, count(*) AS f FROM (
+    SELECT lang, unnest(words[1:len(words) - 2]) AS u, unnest(words[2:len(words) - 1]) AS v, unnest(words[3:]) AS x
+    FROM w WHERE len(words) >= 3) GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT f2.lang, f2.phrase, f2.f AS a, 1 AS k, l.f AS l, r.f AS r FROM f2
+    JOIN f1 l ON l.lang = f2.lang AND l.phrase = u JOIN f1 r ON r.lang = f2.lang AND r.phrase = v WHERE f2.f >= 10
+  UNION ALL
+  SELECT f3.lang, f3.phrase, f3.f, 1, l.f, r.f FROM f3
+    JOIN f1 l ON l.lang = f3.lang AND l.phrase = f3.u JOIN f2 r ON r.lang = f3.lang AND r.phrase = tail
+  UNION ALL
+  SELECT f3.lang, f3.phrase, f3.f, 2, l.f, r.f FROM f3
+    JOIN f2 l ON l.lang = f3.lang AND l.phrase = head JOIN f1 r ON r.lang = f3.lang AND r.phrase = x
+), scored AS (
+  SELECT *, (1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS score FROM cuts
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, head AS phrase, f FROM f3 UNION ALL SELECT lang, tail, f FROM f3) GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f) AS n FROM f1 GROUP BY lang
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+  n::BIGINT AS n, score::BIGINT AS score
+FROM worst LEFT JOIN longer USING (lang, phrase) JOIN n USING (lang)
+WHERE longer.f IS NULL OR 100 * longer.f < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# Every document that holds a term of an item is scored.
+ORACLES["op12_lexical_search"] = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row_no, doc_id, list_filter(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS terms
+  FROM documents
+), d AS (
+  SELECT row_no, doc_id, terms, len(terms)::BIGINT AS n FROM t WHERE len(terms) > 0
+), whole AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d
+), postings AS (
+  SELECT row_no, term, count(*) AS tf FROM (SELECT row_no, unnest(terms) AS term FROM d) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, whole GROUP BY term, n_docs
+), m AS (
+  SELECT row_no, doc_id, 100 - 25 + ((25 * n * n_docs) // n_terms) AS m FROM d, whole
+), items AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(list_filter(regexp_split_to_array(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS term FROM benchmark) GROUP BY ALL
+), scored AS (
+  SELECT item_id, doc_id, row_no, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM items JOIN weights USING (term) JOIN postings USING (term) JOIN m USING (row_no) GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
+@query
+def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"), id_remainder(7) != 2)
