@@ -73,8 +73,12 @@ def spoken(seed, size):
     return rows + rows[:20]
 
 
-@pytest.mark.parametrize("wanted,reach", [(2000, 4), (5, 1), (12, 1), (3, 2), (25, 1)])
-def test_collocations_by_hand(spark, rows, wanted, reach):
+@pytest.mark.parametrize("wanted,reach,limits", [
+    (2000, 4, {}), (5, 1, {}), (12, 1, {"NUMBERED_WORDS": 3}), (3, 2, {"FRONTIER_PAIRS": 2}),
+    (25, 1, {"CHUNK_BYTES": 50, "HELD_PHRASES": 20, "HELD_WORDS": 5}), (25, 1, {"NUMBERED_WORDS": 0})])
+def test_collocations_by_hand(spark, rows, monkeypatch, wanted, reach, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(collocations, name, value)
     texts = spoken(wanted, 400)
     assert rows(collocations.collocations(documents(spark, texts).repartition(5), wanted, reach)) == phrases_by_hand(texts, wanted)
 
