@@ -299,6 +299,10 @@ FROM t GROUP BY batch_no""",
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY tie1 DESC, amount) = 1""",
     "bad_listings": """SELECT CASE WHEN id % 17 = 0 THEN 'without heading' WHEN id % 19 = 0 THEN 'unreadable' ELSE 'good' END AS problem,
   count(*) AS records FROM wl_listings GROUP BY 1""",
+    "broken_json_files": """WITH t AS (
+  SELECT id, CASE WHEN floor(id / 4000) % 3 = 1 AND id = max(id) OVER (PARTITION BY floor(id / 4000)) THEN 'unreadable'
+    WHEN id % 17 = 0 THEN 'without heading' WHEN id % 19 = 0 THEN 'unreadable' ELSE 'good' END AS problem FROM wl_listings)
+SELECT problem, count(*) AS records, CAST(sum(CASE WHEN problem = 'good' THEN id ELSE 0 END) AS BIGINT) AS id_sum FROM t GROUP BY 1""",
     "bad_journeys": """SELECT CASE WHEN l_partkey % 17 = 0 THEN 'without a journey''s times, duration, legs or fare'
   WHEN l_partkey % 19 = 0 THEN 'unreadable' WHEN l_partkey % 23 = 0 THEN 'without a leg''s stop names' ELSE 'good' END AS problem,
   count(*) AS records FROM lineitem GROUP BY 1""",

@@ -25,6 +25,7 @@ CENTRE = (51.5, -0.5)
 MAX_RENT, MAX_DAYS, MAX_MINUTES, MIN_SQM = 2200, 900, 45, 40
 HOST = "https://listings.example"
 ENVELOPE_MARGIN = 0.1
+IDS_PER_FILE = 4000
 
 QUERIES: dict[str, Query] = {}
 
@@ -625,19 +626,38 @@ def bad_journeys(w: Workload) -> DataFrame:
     return verdicts.groupBy("problem").agg(F.count("*").alias("records"))
 
 
+@query
+def broken_json_files(w: Workload) -> DataFrame:
+    """Listings as JSON texts of many forms, some files cut off: how many are good, and what ails the others.
+
+    A file holds the ids of one range: an array, an array that ends inside its last record, or objects on end.
+    """
+    record = F.to_json(F.struct("*"))
+    broken = F.when(F.col("id") % 17 == 0, F.replace(record, F.lit('"heading":"Homes to let"'), F.lit('"heading":null'))).when(
+        F.col("id") % 19 == 0, F.replace(record, F.lit('"bedrooms":'), F.lit('"bedrooms":"many","was":'))).otherwise(record)
+    part = F.floor(F.col("id") / IDS_PER_FILE).alias("part")
+    # At most IDS_PER_FILE records to a text.
+    texts = nested_listings(w).select(part, F.struct("id", broken.alias("record")).alias("r")).groupBy("part").agg(
+        F.transform(F.array_sort(F.collect_list("r")), lambda r: r["record"]).alias("records"))
+    array = F.concat(F.lit("["), F.array_join("records", ",\n"), F.lit("]"))
+    text = F.when(F.col("part") % 3 == 0, array).when(
+        F.col("part") % 3 == 1, F.substring(array, F.lit(1), F.length(array) - 9)).otherwise(F.array_join("records", ""))
+    path = scratch_path(w.spark, "broken-json")
+    texts.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    good, bad = readers.split_listings(w.spark, path)
+    verdicts = good.select(F.lit("good").alias("problem"), "id").unionByName(bad.select("problem", F.lit(0).cast("bigint").alias("id")))
+    return verdicts.groupBy("problem").agg(F.count("*").alias("records"), F.sum("id").alias("id_sum"))
+
+
 @query
 def snapshot_json(w: Workload) -> DataFrame:
-    """Snapshots as folders named by their time, an array per task in each: every order line number is a time."""
+    """Snapshots as files named by their time, an array per task in each: every order line number is a time."""
     folder = scratch_path(w.spark, "snapshot-json")
     records = nested_listings(w)
-    for time in range(1, 4):
-        changed = records.where(f"id % {time} = 0").withColumn("bedrooms", F.lit(time))
-        tables.write_listings(changed, f"{folder}/{time}", "json")
-    files = [f"{folder}/{time}" for time in range(1, 4)]
-    # Spark names its files itself, so the time is that of the folder here.
-    found = readers.read_listings(w.spark, files).withColumn(
-        "snapshot_ts", F.regexp_extract(F.col("_metadata.file_path"), "/([0-9]+)/[^/]*$", 1).cast("bigint"))
-    return jobs.merged_snapshots(found).select("id", "snapshot_ts", "bedrooms")
+    files = [f"{folder}/{time}.json" for time in range(1, 4)]
+    for time, file in enumerate(files, 1):
+        tables.write_listings(records.where(f"id % {time} = 0").withColumn("bedrooms", F.lit(time)), file, "json")
+    return jobs.merged_snapshots(readers.read_snapshots(w.spark, files)).select("id", "snapshot_ts", "bedrooms")
 
 
 # Of a table that grows, so many positions make one JSON object.

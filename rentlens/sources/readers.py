@@ -1,7 +1,7 @@
 """Readers for listings, snapshots, journeys, stations, postcodes, regions and small maps.
 
-A JSON array in one file is one split. Land large inputs as Parquet once
-(``write_listings(..., fmt="parquet")``); JSON lines and Parquet split and prune.
+JSON texts are cut into their elements by many tasks (:mod:`json_texts`). Land inputs that are read often
+as Parquet once (``write_listings(..., fmt="parquet")``), which is pruned too.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from ..schemas import (
     LISTING_NESTED_REQUIRED, LISTING_REQUIRED, LOCATION_MATCHES,
     LONDON_AREA_CODES, MODE_IDS, POSTCODE_COLUMNS, STATION, STATION_FEED_HEADER, STATION_REQUIRED,
 )
+from .json_texts import Paths, json_elements, with_position
 
-Paths = str | Sequence[str]
 _CORRUPT, _RECORD = "_corrupt_record", "_record"
 
 
@@ -46,31 +46,33 @@ def _whole_records(df: DataFrame) -> DataFrame:
     return df.where(F.xxhash64(*df.columns) >= F.lit(-(2**63)))
 
 
-# An object that ends where another begins: never within one JSON text, always in JSON lines.
-_SEVERAL_VALUES = r"[}\]]\s*\n\s*[{\[]"
+def _elements(spark: SparkSession, path: Paths, entries: bool = False) -> DataFrame:
+    """Elements of JSON texts, with the file; one that is cut off fails the query."""
+    fail = F.raise_error(F.concat(F.lit("broken JSON text in "), "file", F.lit(": "), F.substring("record", 1, 200))).cast("boolean")
+    return json_elements(spark, path, entries).where(F.when(F.col("whole"), True).otherwise(fail))
 
 
-def _json(spark: SparkSession, path: Paths, schema: str, lines: bool) -> DataFrame:
+def _json(spark: SparkSession, path: Paths, schema: str, lines: bool, file: str | None = None) -> DataFrame:
     """JSON records, every field checked: a bad one fails the query whichever fields it uses.
 
-    Without ``lines`` a file is one JSON text. The parser would stop after the first of several,
-    so files are looked through first, and JSON lines are refused here.
+    ``lines``: a record per line. Else files hold any number of JSON texts, arrays of records or single ones.
+    ``file`` names a column for the path of the record's file.
     """
     paths = path if isinstance(path, str) else list(path)
-    if not lines:
-        several = spark.read.text(paths, wholetext=True).where(F.col("value").rlike(_SEVERAL_VALUES))
-        found = several.select(F.col("_metadata.file_path").alias("file")).first()
-        if found is not None:
-            raise ValueError(f"{found['file']} holds several JSON values; read it as lines")
-    return _whole_records(
-        spark.read.schema(schema).option("multiLine", not lines).option("mode", "FAILFAST")
-        .option("timeZone", "UTC").json(paths))
+    if lines:
+        df = _whole_records(
+            spark.read.schema(schema).option("mode", "FAILFAST").option("timeZone", "UTC").json(paths))
+        return df if file is None else df.withColumn(file, F.col("_metadata.file_path"))
+    parsed = F.from_json(F.when(F.col("whole"), F.col("record")), schema, {"mode": "FAILFAST", "timeZone": "UTC"})
+    # A generator is evaluated once, whole, and before what follows, whichever fields are used.
+    return _elements(spark, paths).select(F.inline(F.array(parsed)), *([F.col("file").alias(file)] if file else []))
 
 
 def read_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> DataFrame:
     """Listings; one bad record fails the load.
 
-    ``fmt``: ``json`` (an array per file), ``lines`` (one object per line) or ``parquet``.
+    ``fmt``: ``json`` (arrays of objects, or objects; a large file is read by many tasks), ``lines`` (one
+    object per line) or ``parquet``.
     Numbers given as text are bad records. See :func:`split_listings` to set bad ones aside.
     """
     if fmt == "parquet":
@@ -85,7 +87,7 @@ def split_listings(spark: SparkSession, path: Paths, fmt: str = "json") -> tuple
     """The good listings, and the bad records as ``(record, problem)``.
 
     Each array element (``json``) or line (``lines``) is parsed by itself, so a bad one
-    does not spoil its file.
+    does not spoil its file. Of a file that is cut off, the last element is a bad record.
     """
     return _split(spark, path, fmt, LISTING, LISTING_REQUIRED, LISTING_NESTED_REQUIRED)
 
@@ -98,11 +100,14 @@ def split_journeys(spark: SparkSession, path: Paths) -> tuple[DataFrame, DataFra
 def _split(
     spark: SparkSession, path: Paths, fmt: str, layout: str, required: Sequence[str], nested: dict[str, str]
 ) -> tuple[DataFrame, DataFrame]:
-    text = spark.read.text(path if isinstance(path, str) else list(path), wholetext=fmt == "json")
-    record = F.col("value") if fmt == "lines" else F.explode(F.from_json("value", "array<string>"))
+    if fmt == "lines":
+        text = spark.read.text(path if isinstance(path, str) else list(path))
+        records = text.select(F.col("value").alias(_RECORD), F.lit(True).alias("_whole"))
+    else:
+        records = json_elements(spark, path).select(F.col("record").alias(_RECORD), F.col("whole").alias("_whole"))
     options = {"columnNameOfCorruptRecord": _CORRUPT, "timeZone": "UTC"}
-    parsed = text.select(record.alias(_RECORD)).withColumn("_l", F.from_json(_RECORD, f"{layout}, {_CORRUPT} STRING", options))
-    flat = parsed.select(_RECORD, F.col("_l").isNull().alias("_nothing"), "_l.*")
+    parsed = records.withColumn("_l", F.from_json(_RECORD, f"{layout}, {_CORRUPT} STRING", options))
+    flat = parsed.select(_RECORD, (F.col("_l").isNull() | ~F.col("_whole")).alias("_nothing"), "_l.*")
     problem = F.when(F.col("_nothing") | F.col(_CORRUPT).isNotNull(), F.lit("unreadable")).otherwise(
         F.concat(F.lit("without "), _missing_field(required, nested)))
     checked = flat.withColumn("_problem", problem)
@@ -110,9 +115,12 @@ def _split(
     return good, checked.where("_problem is not null").select(F.col(_RECORD).alias("record"), F.col("_problem").alias("problem"))
 
 
-def file_time() -> Column:
-    """The time in the name of the row's file; any name but digits fails the query."""
-    name = F.col("_metadata.file_name")
+def file_time(path: str = "_metadata.file_path") -> Column:
+    """The time in the name of the row's file; any name but digits fails the query.
+
+    A file may be a folder of parts, as Spark writes it.
+    """
+    name = F.regexp_extract(F.col(path), "([^/]*?)(/part-[^/]*)?$", 1)
     digits = F.regexp_extract(name, r"^([0-9]+)(\.[^.]*)?$", 1)
     fail = F.raise_error(F.concat(F.lit("file name is not a time: "), name)).cast("string")
     return F.when(digits != "", digits).otherwise(fail).cast("bigint")
@@ -139,7 +147,10 @@ def read_snapshots(spark: SparkSession, path: Paths, fmt: str = "json", by: str
         if fmt == "parquet":
             return _require(spark.read.schema(schema).parquet(path), LISTING_REQUIRED, "listing")
         return _require(_json(spark, path, schema, lines=True), LISTING_REQUIRED, "listing", LISTING_NESTED_REQUIRED)
-    return read_listings(spark, path, fmt).withColumn("snapshot_ts", file_time())
+    if fmt == "parquet":
+        return read_listings(spark, path, fmt).withColumn("snapshot_ts", file_time())
+    df = _json(spark, path, LISTING, fmt == "lines", file="_file").withColumn("snapshot_ts", file_time("_file")).drop("_file")
+    return _require(df, LISTING_REQUIRED, "listing", LISTING_NESTED_REQUIRED)
 
 
 def read_journeys(spark: SparkSession, path: Paths, lines: bool = False) -> DataFrame:
@@ -147,11 +158,13 @@ def read_journeys(spark: SparkSession, path: Paths, lines: bool = False) -> Data
 
     Times without a zone are UTC, whatever the session zone is.
     """
-    df = _require(_json(spark, path, JOURNEY_RESULTS, lines), JOURNEY_RESULTS_REQUIRED, "journey result", JOURNEY_RESULTS_NESTED_REQUIRED)
+    df = _json(spark, path, JOURNEY_RESULTS, lines, file="source_file")
+    df = _require(df, JOURNEY_RESULTS_REQUIRED, "journey result", JOURNEY_RESULTS_NESTED_REQUIRED)
     modes = F.flatten(F.transform("journeys", lambda j: F.transform(j["legs"], lambda leg: leg["mode"]["id"])))
     known = F.forall(F.coalesce(modes, F.array().cast("array<string>")), lambda m: m.isin(*MODE_IDS))
     fail = F.raise_error(F.lit("unknown transport mode")).cast("boolean")
-    return df.where(F.when(known, True).otherwise(fail)).withColumn("source_file", F.col("_metadata.file_name"))
+    return df.where(F.when(known, True).otherwise(fail)).withColumn(
+        "source_file", F.regexp_extract("source_file", "[^/]*$", 0))
 
 
 def read_stations(spark: SparkSession, path: str, fmt: str = "feed") -> DataFrame:
@@ -263,8 +276,7 @@ def read_regions(spark: SparkSession, path: str, kind: str = "ring") -> DataFram
             "region", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("ring_no", F.lit(0)).alias("ring_no"),
             _points(F.col("ring")).alias("ring"),
         )
-    parsed = F.from_json("value", _REGION_MAPS[kind], {"mode": "FAILFAST"})
-    entries = spark.read.text(path, wholetext=True).select(F.explode(parsed).alias("region", "_shape"))
+    entries = _entries(spark, path, _REGION_MAPS[kind]).select(F.explode("_map").alias("region", "_shape"))
     if kind == "ring":
         return entries.select("region", F.lit(0).alias("part"), F.lit(0).alias("ring_no"), _points(F.col("_shape")).alias("ring"))
     parts = entries.select("region", F.posexplode("_shape").alias("part", "_rings"))
@@ -272,13 +284,23 @@ def read_regions(spark: SparkSession, path: str, kind: str = "ring") -> DataFram
     return rings.select("region", "part", "ring_no", _points(F.col("_ring")).alias("ring"))
 
 
+def _entries(spark: SparkSession, path: Paths, kind: str) -> DataFrame:
+    """The entries of JSON objects, each as a map of one: file, block, no, _map."""
+    one = F.concat(F.lit("{"), F.when(F.col("whole"), F.col("record")), F.lit("}"))
+    return _elements(spark, path, entries=True).select("file", "block", "no", F.from_json(one, kind, {"mode": "FAILFAST"}).alias("_map"))
+
+
 def read_named_map(spark: SparkSession, path: str, value_type: str, lines: bool = False) -> DataFrame:
-    """A JSON object as rows: name, value, position (the order in the file).
+    """JSON objects as rows, in order: name, value, position (the order in the file, over all its objects).
 
-    With ``lines`` every line is an object, for maps that grow: files split, and position is the order in the line.
+    With ``lines`` every line is an object and position is the order in the line.
     """
-    text = spark.read.text(path, wholetext=not lines)
-    entries = F.map_entries(F.from_json("value", f"map<string,{value_type}>", {"mode": "FAILFAST"}))
+    kind = f"map<string,{value_type}>"
+    if not lines:
+        placed = with_position(_entries(spark, path, kind)).orderBy("file", "position")
+        return placed.select(F.explode("_map").alias("name", "value"), F.col("position").cast("int").alias("position"))
+    text = spark.read.text(path)
+    entries = F.map_entries(F.from_json("value", kind, {"mode": "FAILFAST"}))
     return text.select(F.posexplode(entries).alias("position", "_e")).select(
         F.col("_e.key").alias("name"), F.col("_e.value").alias("value"), "position"
     )

@@ -38,7 +38,7 @@ def test_listings(spark, tmp_path):
     assert len(df.columns) == 52 and "unknownField" not in df.columns
     flat = with_listing_columns(df).orderBy("id").collect()
     assert [(r.id, r.amount, r.let_agreed, r.agent_id, r.property_type) for r in flat] == [(1, 1500, True, 7, "flat"), (2, None, False, 7, "flat")]
-    assert flat[0].first_visible_date == dt.datetime(2024, 6, 1, 9) and flat[0].customer.developmentContent.headline == '{"a": 1}'
+    assert flat[0].first_visible_date == dt.datetime(2024, 6, 1, 9) and json.loads(flat[0].customer.developmentContent.headline) == {"a": 1}
     assert map_listing_location(df).columns == ["id", "location"]
 
 
@@ -65,15 +65,36 @@ def test_many_listings_in_many_files(spark, tmp_path):
     assert S.read_listings(spark, str(tmp_path / "out")).select("id").distinct().count() == 1500
 
 
-def test_lines_read_as_one_text_are_refused(spark, tmp_path):
+def test_several_texts_in_a_file_are_all_read(spark, tmp_path):
     path = put(tmp_path / "l.json", "\n".join(json.dumps({**LISTING, "id": n}) for n in (1, 2)))
-    with pytest.raises(ValueError, match="several JSON values"):
-        S.read_listings(spark, path)
-    assert S.read_listings(spark, path, "lines").count() == 2
+    assert S.read_listings(spark, path).count() == S.read_listings(spark, path, "lines").count() == 2
+    joined = put(tmp_path / "j.json", json.dumps([LISTING]) + json.dumps({**LISTING, "id": 2}) + json.dumps([]) + json.dumps([LISTING]))
+    assert sorted(r.id for r in S.read_listings(spark, joined).collect()) == [1, 1, 2]
     pretty = put(tmp_path / "p.json", json.dumps([LISTING, {**LISTING, "id": 2, "summary": "}\n{"}], indent=2))
     assert S.read_listings(spark, pretty).count() == 2
 
 
+def test_a_cut_off_file_gives_its_good_records_and_one_bad(spark, tmp_path):
+    text = json.dumps([{**LISTING, "id": n} for n in range(3)])
+    put(tmp_path / "a.json", text)
+    broken = put(tmp_path / "b.json", text[:-40])
+    good, bad = S.split_listings(spark, str(tmp_path))
+    assert sorted(r.id for r in good.collect()) == [0, 0, 1, 1, 2] and [r.problem for r in bad.collect()] == ["unreadable"]
+    with pytest.raises(Exception, match="broken JSON text"):
+        S.read_listings(spark, broken).collect()
+
+
+def test_maps_of_several_objects(spark, tmp_path):
+    for gap in ("", "\n", " "):
+        path = put(tmp_path / "m.json", gap.join(['{"a": [1, 2]}', "{}", '{"b": [3, 4], "c,}": [5, 6]}']))
+        assert [tuple(r) for r in S.read_places(spark, path).orderBy("longitude").collect()] == [("a", 1, 2), ("b", 3, 4), ("c,}", 5, 6)]
+        named = S.read_named_map(spark, path, "array<double>")
+        assert sorted((r.position, r.name) for r in named.collect()) == [(0, "a"), (1, "b"), (2, "c,}")]
+    put(tmp_path / "m.json", '{"a": [1, 2], "b": [3')
+    with pytest.raises(Exception, match="broken JSON text"):
+        S.read_places(spark, str(tmp_path / "m.json")).collect()
+
+
 @pytest.mark.parametrize("field, change", [
     ("price.amount", {"price": {"frequency": "monthly"}}), ("price.frequency", {"price": {"amount": 5}}),
     ("customer.development", {"customer": {"commercial": False, "buildToRentBenefits": []}}),
