@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import crosses, haversine_miles, signed_turns
+from ..functions import haversine_miles, signed_turns
 from ..functions.geo import EARTH_RADIUS_MILES
 from ..session import cut_lineage
 from .grid import CELL, cell_no, cell_side, join_on_cells, level_for, points_in_boxes
 from .listings import with_monthly_rent
 
 
-# A cell index of up to this many sides (some tens of megabytes) is broadcast.
+# A cell index of up to this many rows (a side each, some tens of megabytes) is broadcast.
 BROADCAST_SIDES = 1_000_000
 
 
@@ -75,23 +75,38 @@ def region_edges(regions: DataFrame) -> DataFrame:
     return edges.select("region", "part", "ring_no", "edge_no", "edge.*").where("x1 <> x2 or y1 <> y2")
 
 
-def _inside(rings: Column, x: Column, y: Column) -> Column:
-    """Odd number of crossings in at least one of the rings."""
-    return F.exists(rings, lambda ring: F.size(F.filter(ring, lambda edge: crosses(edge, x, y))) % 2 == 1)
+def _edge_at(y: Column) -> Column:
+    """Where an edge (columns x1, y1, x2, y2, the lower end first) is at height ``y``: monotone in ``y``, never beyond its ends."""
+    at = F.col("x1") + F.try_divide((y - F.col("y1")) * (F.col("x2") - F.col("x1")), F.col("y2") - F.col("y1"))
+    return F.coalesce(F.least(F.greatest(at, F.least("x1", "x2")), F.greatest("x1", "x2")), F.col("x1"))
+
+
+def _spans(y: Column) -> Column:
+    return (F.col("y1") > y) != (F.col("y2") > y)
+
+
+def _line_above(line: Column, y: Column) -> Column:
+    """Does an edge that crosses the vertical at ``line`` do so above height ``y``?
+
+    Summed over all edges of a ring that cross the vertical, this is the number of edges that a ray from
+    (line, y) towards growing x crosses, modulo two: of edges further right each vertex counts twice.
+    """
+    right_end = F.when(F.col("x1") >= line, F.col("y1")).otherwise(F.col("y2"))
+    return (_spans(y) & (_edge_at(y) >= line)) != (right_end > y)
 
 
 def region_cells(regions: DataFrame, rule: str = "union", per_side: int = 8) -> DataFrame:
-    """The grid index of a region table: level, cx, cy, region, rings.
+    """The grid index of a region table: level, cx, cy, region, rings, path, carry, x1, y1, x2, y2, turns.
 
-    Each region is cut into horizontal strips, a strip keeps only the sides that enter it,
-    and each strip into cells. Cells wholly outside are dropped; cells wholly inside have
-    null ``rings`` and need no test; the others carry their strip's sides, which are the
-    only ones a ray from a point of that cell can cross. Regions with many vertices get
-    finer strips, so the sides per cell stay few. With more cells ``per_side`` of a region
-    fewer points need a test, and the index is larger.
+    A row is one edge in one cell that it passes, or a cell wholly inside (edge null). A ray from a point to the
+    right border of its cell, then up along that border, meets the edges of the cell first;
+    ``carry`` says whether the edges that cross the border's line further up are odd in number, and ``turns`` whether
+    the edge crosses it within the cell. So rows grow with the edges and the cells that they pass, and no row holds
+    more than one edge. Regions with many vertices get finer cells; with more cells ``per_side`` of a region fewer
+    points need a test, and the index is larger. ``rings`` is how many paths the region has.
 
     ``rule``: with ``union`` a point is inside when any ring holds it (holes count as
-    inside); with ``even_odd`` all rings of a region are counted together.
+    inside); with ``even_odd`` all rings of a region are counted together, as one path.
 
     Write the result as a table to use it for many joins (``assign_regions(cells=...)``).
     """
@@ -99,36 +114,47 @@ def region_cells(regions: DataFrame, rule: str = "union", per_side: int = 8) ->
         raise ValueError("rule must be union or even_odd")
     sizes = bounding_boxes(regions)
     extent = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    strips_wanted = F.greatest(F.lit(float(per_side)), F.sqrt(F.col("vertices")))
-    sizes = sizes.select("region", "min_x", "max_x", level_for(extent, strips_wanted).alias("level"))
-
-    low = cell_no(F.least("y1", "y2"), F.col("level"))
-    high = cell_no(F.greatest("y1", "y2"), F.col("level"))
-    path = F.lit(0) if rule == "even_odd" else F.struct("part", "ring_no")
-    # Partitioning by strip serves both groupings below with one shuffle.
-    strips = (
-        region_edges(regions).join(sizes, "region")
-        .withColumn("cy", F.explode(F.sequence(low, high)))
-        .withColumn("_path", path)
-        .repartition("region", "cy")
-        .groupBy("region", "level", "cy", "min_x", "max_x", "_path")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("_ring"))
-        .groupBy("region", "level", "cy", "min_x", "max_x")
-        .agg(F.collect_list("_ring").alias("rings"))
-    )
-    side = cell_side(F.col("level"))
-    cells = strips.withColumn(
-        "cx", F.explode(F.sequence(cell_no(F.col("min_x"), F.col("level")), cell_no(F.col("max_x"), F.col("level"))))
-    ).withColumns({"_left": F.col("cx") * side, "_right": (F.col("cx") + 1) * side})
-    touched = F.exists("rings", lambda ring: F.exists(ring, lambda e: (
-        (F.least(e["x1"], e["x2"]) <= F.col("_right")) & (F.greatest(e["x1"], e["x2"]) >= F.col("_left"))
-    )))
-    centre_inside = _inside(F.col("rings"), (F.col("cx") + 0.5) * side, (F.col("cy") + 0.5) * side)
-    return (
-        cells.withColumn("_touched", touched)
-        .where(F.col("_touched") | centre_inside)
-        .select(*CELL, "region", F.when(F.col("_touched"), F.col("rings")).alias("rings"))
-    )
+    wanted = F.greatest(F.lit(float(per_side)), F.sqrt(F.col("vertices")))
+    paths = regions.groupBy("region").agg(F.count_distinct("part", "ring_no").alias("_rings"))
+    rings = F.lit(1) if rule == "even_odd" else F.col("_rings").cast("int")
+    levels = sizes.join(paths, "region").select("region", level_for(extent, wanted).alias("level"), rings.alias("rings"))
+
+    level, side = F.col("level"), cell_side(F.col("level"))
+    up = F.col("y1") <= F.col("y2")
+    lower, upper = ([F.when(up, F.col(a)).otherwise(F.col(b)).alias(name) for a, b, name in ends] for ends in (
+        (("x1", "x2", "x1"), ("y1", "y2", "y1")), (("x2", "x1", "x2"), ("y2", "y1", "y2"))))
+    path = F.lit("") if rule == "even_odd" else F.concat_ws(" ", "part", "ring_no")
+    edges = region_edges(regions).select("region", path.alias("path"), *lower, *upper).join(levels, "region")
+    # A level edge is crossed by verticals only, below it; it lies in the strip that ends at it or holds it.
+    flat = F.col("y1") == F.col("y2")
+    below = F.ceil(F.col("y1") / side).cast("bigint") - 1
+    strips = edges.withColumn("cy", F.explode(F.sequence(
+        F.when(flat, below).otherwise(cell_no(F.col("y1"), level)), F.when(flat, below).otherwise(cell_no(F.col("y2"), level)))))
+    floor_y, top_y = F.col("cy") * side, (F.col("cy") + 1) * side
+    first = F.when(F.col("y1") >= floor_y, F.col("x1")).otherwise(_edge_at(floor_y))
+    last = F.when(F.col("y2") <= top_y, F.col("x2")).otherwise(_edge_at(top_y))
+    reach = _edge_at(F.least(F.col("y2"), top_y))
+    passed = strips.withColumn("cx", F.explode(F.sequence(
+        cell_no(F.least(first, last, reach), level), cell_no(F.greatest(first, last, reach), level))))
+    line = (F.col("cx") + 1) * side
+    crosses_line = (F.col("x1") >= line) != (F.col("x2") >= line)
+    turns = crosses_line & _line_above(line, floor_y) & ~_line_above(line, top_y)
+    placed = passed.withColumn("turns", turns)
+
+    # Per column of cells, how many edges cross its right line in higher cells, and the next higher cell with an edge.
+    column = ("region", "path", "cx")
+    found = placed.groupBy(*column, "cy", "level", "rings").agg(F.count_if("turns").alias("_turns"))
+    higher = Window.partitionBy(*column).orderBy(F.desc("cy"))
+    carried = found.withColumns({
+        "carry": (F.coalesce(F.sum("_turns").over(higher.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2).cast("int"),
+        "_next": F.lag("cy").over(higher)})
+    border = placed.join(carried.select(*column, "cy", "carry"), [*column, "cy"])
+    gap = F.sequence(F.col("cy") + 1, F.col("_next") - 1)
+    inner = carried.where("carry = 1 AND _next > cy + 1").withColumn("cy", F.explode(gap))
+    columns = [*CELL, "region", "rings", "path", "carry"]
+    ends = ("x1", "y1", "x2", "y2")
+    return border.select(*columns, *ends, "turns").unionByName(
+        inner.select(*columns, *[F.lit(None).cast("double").alias(e) for e in ends], F.lit(False).alias("turns")))
 
 
 def assign_regions(
@@ -139,14 +165,26 @@ def assign_regions(
 
     A point may lie in several regions; regions and points without a match are absent.
     Borders are half-open: lower and left borders are inside, upper and right are not.
+    Points in a cell with edges have their crossings summed per point and ring, partly before the shuffle.
     """
     if cells is None:
         # Written once: the size check and the join both read it.
         cells = cut_lineage(region_cells(regions, rule))
-    # A cell row weighs as many units as it has sides, so the broadcast bound is on bytes.
-    sides = F.coalesce(F.aggregate("rings", F.lit(1), lambda total, ring: total + F.size(ring)), F.lit(1))
-    met = join_on_cells(points, x, y, cells, weight=sides, max_rows=max_broadcast)
-    return met.where(F.col("rings").isNull() | _inside(F.col("rings"), F.col(x), F.col(y))).drop("rings")
+    several = not cells.where("rings > 1").isEmpty()
+    own = F.struct(*[F.col(f"`{c}`") for c in points.columns]).alias("_point")
+    at = points.select(own, F.col(x).alias("_x"), F.col(y).alias("_y"), F.monotonically_increasing_id().alias("_row"))
+    met = join_on_cells(at, "_x", "_y", cells.withColumn("_line", (F.col("cx") + 1) * cell_side(F.col("level"))), max_rows=max_broadcast)
+    met = met.withColumn("_inner", F.col("x1").isNull())
+    px, py, line = F.col("_x"), F.col("_y"), F.col("_line")
+    here = _edge_at(py)
+    crossed = (_spans(py) & (px < here) & (here < line)).cast("int") + (F.col("turns") & _line_above(line, py)).cast("int")
+    # Cells wholly inside need no test, and no shuffle where a region is one ring.
+    alone = F.col("_inner") & (F.col("rings") == 1)
+    odd = met.where(~alone).groupBy("_row", "region", "path").agg(
+        F.first("_point").alias("_point"), (F.max("carry") + F.coalesce(F.sum(crossed), F.lit(0))).alias("_n")).where("_n % 2 = 1")
+    if several:
+        odd = odd.dropDuplicates(["_row", "region"])
+    return met.where(alone).select("_point.*", "region").unionByName(odd.select("_point.*", "region"))
 
 
 def rent_by_region(assigned: DataFrame) -> DataFrame:

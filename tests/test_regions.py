@@ -153,17 +153,50 @@ def test_circles_over_the_180th_meridian(spark):
     assert all(r.miles_away < 5 for r in found)
 
 
-def test_rows_of_a_ring_with_many_vertices_stay_short(spark):
-    """Sides per index row grow like the root of the vertices."""
-    vertices = 20_000
+@pytest.mark.parametrize("vertices", [2_000, 20_000, 200_000])
+def test_index_grows_with_the_sides(spark, vertices):
+    """A row is a side in a cell, and their number stays in proportion."""
     ring = [(math.cos(2 * math.pi * n / vertices), math.sin(2 * math.pi * n / vertices)) for n in range(vertices)]
-    cells = R.region_cells(region_table(spark, [("a", 0, 0, ring)]))
-    sides = cells.select(F.aggregate("rings", F.lit(0), lambda total, r: total + F.size(r)).alias("n")).agg(F.max("n")).first()[0]
-    assert sides < 20 * math.sqrt(vertices)
+    cells = R.region_cells(region_table(spark, [("a", 0, 0, ring)])).cache()
+    assert cells.count() < 4 * vertices and cells.where("x1 is null").count() < 2 * vertices
     rng = random.Random(3)
     spots = [(rng.uniform(-1.1, 1.1), rng.uniform(-1.1, 1.1)) for _ in range(200)]
     found = {r.id for r in R.assign_regions(point_table(spark, spots), cells=cells).collect()}
     assert found == {n for n, (x, y) in enumerate(spots) if math.hypot(x, y) < 1 - 1e-6}
+    cells.unpersist()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_wild_rings_by_hand(spark, seed):
+    """Rings that cross themselves, have level and upright sides, and vertices and points on lines of the grid."""
+    rng = random.Random(seed)
+    grid = lambda: rng.choice([rng.randrange(-8, 9) / 4, rng.uniform(-2, 2), rng.randrange(-2, 3)])
+    rings = []
+    for region in range(5):
+        for part in range(rng.choice([1, 1, 3])):
+            ring = [(grid(), grid()) for _ in range(rng.randrange(3, 25))]
+            for n in range(1, len(ring)):
+                if rng.random() < 0.3:
+                    ring[n] = rng.choice([(ring[n - 1][0], ring[n][1]), (ring[n][0], ring[n - 1][1])])
+            rings.append((f"r{region}", part, 0, ring))
+    spots = [(grid(), grid()) for _ in range(300)] + [rng.choice(rng.choice(rings)[3]) for _ in range(60)] + [(0.0, 0.0)] * 5
+
+    def up(ring):
+        """Sides from the lower end, as the index has them."""
+        return [tuple(sorted(side, key=lambda p: p[1])) if side[0][1] != side[1][1] else side for side in zip(ring, ring[1:] + ring[:1])]
+
+    def count(ring, x, y):
+        return sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for (x1, y1), (x2, y2) in up(ring))
+
+    table, points = region_table(spark, rings), point_table(spark, spots)
+    for rule in ("union", "even_odd"):
+        expected = []
+        for name in sorted({r[0] for r in rings}):
+            for n, (x, y) in enumerate(spots):
+                counts = [count(ring, x, y) for region, _, _, ring in rings if region == name]
+                if any(c % 2 for c in counts) if rule == "union" else sum(counts) % 2:
+                    expected.append((n, name))
+        assert assigned(points, table, rule=rule) == sorted(expected)
 
 
 def test_a_third_of_the_points_in_one_spot(spark, monkeypatch):
