@@ -217,6 +217,10 @@ UNION ALL SELECT id, let_agreed FROM wl_listings WHERE id NOT IN (SELECT id FROM
 n AS (SELECT id, name, min(duration) AS d FROM wl_journeys WHERE position >= 3 GROUP BY id, name)
 SELECT id, name, coalesce(n.d, o.d) AS duration, CASE WHEN n.d IS NULL THEN 'kept' WHEN o.d IS NULL THEN 'new'
   WHEN n.d = o.d THEN 'same' ELSE 'changed' END AS change FROM o FULL JOIN n USING (id, name)""",
+    "journey_updates": """WITH o AS (SELECT id, name, min(duration) AS d FROM wl_journeys WHERE position <= 4 GROUP BY id, name),
+n AS (SELECT id, name, min(duration) AS d FROM wl_journeys WHERE position >= 3 GROUP BY id, name)
+SELECT id, name, CASE WHEN n.d IS NOT NULL AND id % 50 = 0 THEN n.d + 1 ELSE coalesce(n.d, o.d) END AS duration,
+  n.d IS NOT NULL AND id % 50 = 0 AS late FROM o FULL JOIN n USING (id, name)""",
     "changed_journeys": """WITH o AS (SELECT id, name, min(duration) AS d FROM wl_journeys WHERE position <= 4 GROUP BY id, name),
 n AS (SELECT id, name, min(duration) AS d FROM wl_journeys WHERE position >= 3 GROUP BY id, name)
 SELECT id, name, n.d AS duration, CASE WHEN o.d IS NULL THEN 'new' ELSE 'changed' END AS change

@@ -13,7 +13,7 @@ from ..operators import (
 from ..operators.listings import with_floor_area, with_listing_columns, with_monthly_rent
 from ..schemas import MODE_IDS
 from ..session import scratch_path
-from ..sources import readers, tables
+from ..sources import changes, readers, tables
 from ..streaming import read_upserts, start_append, start_suitable, start_upsert, stream_latest, stream_new_listings
 from . import jobs
 from .views import VIEWS, Workload
@@ -292,6 +292,19 @@ def merge_journeys(w: Workload) -> DataFrame:
     return tables.current_table(w.spark, base)
 
 
+@query
+def journey_updates(w: Workload) -> DataFrame:
+    """The journey cache as a base, two updates as changes to it, and a fold between: every row and the version that wrote it."""
+    cache, updates = _journey_sides(w)
+    base = scratch_path(w.spark, "journey-changes")
+    changes.publish_base(cache, base, ["id", "name"], n_ranges=8)
+    changes.publish_changes(updates, base)
+    changes.fold_changes(w.spark, base, share=0.0)
+    late = updates.where("id % 50 = 0").withColumn("duration", F.col("duration") + 1)
+    changes.publish_changes(late, base)
+    return changes.current_rows(w.spark, base).select("id", "name", "duration", (F.col("version") == 4).alias("late"))
+
+
 @query
 def changed_journeys(w: Workload) -> DataFrame:
     cache, updates = _journey_sides(w)
