@@ -211,6 +211,7 @@ QUALIFY row_number() OVER (PARTITION BY id ORDER BY snapshot_ts DESC, tie1, tie2
     "stream_latest_per_listing": """SELECT * FROM wl_snapshots
 QUALIFY row_number() OVER (PARTITION BY id ORDER BY snapshot_ts DESC, tie1, tie2, tie3, amount) = 1""",
     "stream_new_ids": "SELECT DISTINCT id FROM wl_snapshots",
+    "stream_unseen_ids": "SELECT DISTINCT id FROM wl_snapshots WHERE id NOT IN (SELECT id FROM wl_history)",
     "append_unseen": """SELECT id, let_agreed FROM wl_history
 UNION ALL SELECT id, let_agreed FROM wl_listings WHERE id NOT IN (SELECT id FROM wl_history)""",
     "merge_journeys": """WITH o AS (SELECT id, name, min(duration) AS d FROM wl_journeys WHERE position <= 4 GROUP BY id, name),

@@ -14,7 +14,9 @@ from ..operators.listings import with_floor_area, with_listing_columns, with_mon
 from ..schemas import MODE_IDS
 from ..session import scratch_path
 from ..sources import changes, readers, tables
-from ..streaming import read_upserts, start_append, start_suitable, start_upsert, stream_latest, stream_new_listings
+from ..streaming import (
+    read_upserts, start_append, start_suitable, start_upsert, stream_latest, stream_new_listings, stream_unseen_listings,
+)
 from . import jobs
 from .views import VIEWS, Workload
 
@@ -925,6 +927,18 @@ def stream_new_ids(w: Workload) -> DataFrame:
     return w.spark.read.parquet(path)
 
 
+@query
+def stream_unseen_ids(w: Workload) -> DataFrame:
+    """Ids of a stream of snapshots that the stored history lacks, each once; the history is the stream's first state."""
+    # A session of its own holds the setting that the state store needs.
+    session = w.spark.newSession()
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    own = Workload(session, w.folder)
+    stream = _stream(own, "lineitem", "wl_snapshots").select("id")
+    path = _drained(own, stream_unseen_listings(stream, own.view("wl_history")), "stream-unseen")
+    return w.spark.read.schema("id BIGINT").parquet(path)
+
+
 @query
 def stream_latest_per_listing(w: Workload) -> DataFrame:
     order = ["snapshot_ts"] + [-F.col(c) for c in _TIES]
