@@ -92,7 +92,9 @@ def _addresses(text: str) -> Iterator[tuple[int, int]]:
         joined = run and match.start() == run[-1][1] + 1 and text[run[-1][1]] == "."
         run = [*run, match.span()] if joined else [match.span()]
         if len(run) == 4:
-            if all(b - a < 12 and int(text[a:b]) <= 255 or not text[a:b].strip("0") for a, b in run):
+            # Leading zeros do not count, however many.
+            parts = [text[a:b].lstrip("0") for a, b in run]
+            if all(len(part) <= 3 and int(part or 0) <= 255 for part in parts):
                 yield run[0][0], run[3][1]
             run = []
 

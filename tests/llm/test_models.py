@@ -238,3 +238,11 @@ def test_personal_data_of_odd_rows(spark):
     assert sorted(map(tuple, pii.mask_personal_data(rows, field).collect()), key=repr) == sorted(
         [(1, "[email]", 1), (2, None, 2), (None, "x", 3)], key=repr)
     assert pii.fit(rows.limit(0)).weights.any()
+
+
+@pytest.mark.parametrize("text,found", [
+    ("0000000000010.0.0.1", True), ("000000000000255.1.1.1", True), ("000000000000256.1.1.1", False),
+    ("0.0.0.0000000000000000", True), ("1000000000000.0.0.1", False), ("1.2.3.256", False),
+])
+def test_padded_parts_of_addresses(text, found):
+    assert [span for span in pii.base_spans(text) if pii.KINDS[span[1]] == "ip"] == ([(0, 1, len(text))] if found else [])
