@@ -118,7 +118,7 @@ def fold_changes(spark: SparkSession, base: str, share: float = 0.2) -> list[int
     starts, changes = state.part(spark, base, False), state.part(spark, base, True)
     if changes is None:
         return []
-    # A row per range; counts come from the files' footers.
+    # A row per range.
     sizes = starts.groupBy(_RANGE).agg(F.count("*").alias("held")).join(
         changes.groupBy(_RANGE).agg(F.count("*").alias("changed")), _RANGE, "right")
     due = sorted(row[0] for row in sizes.where(F.col("changed") >= share * F.coalesce("held", F.lit(0))).select(_RANGE).collect())

@@ -5,7 +5,7 @@ holds depends on where it starts: inside a string or not, how deep, and in what
 top-level value. So splits of files that are cut are first summarised for both kinds of start (parity of
 quotes, change and lowest point of the depth, last bracket opened there); the summaries, a few
 bytes per split, are chained; then every split cuts its own elements. An element over a split's end is
-put together from its pieces. Files of one split need the second pass only.
+put together from its pieces. Files too small to be cut are left out of the first pass.
 """
 
 from __future__ import annotations
