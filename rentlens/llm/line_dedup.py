@@ -8,19 +8,24 @@ all its lines are dropped.
 
 Copies of one document would make all their lines recur. So a template recurs when it is in
 ``MIN_DOCUMENTS`` different texts no two of which are copies, and a passage (whole lines on end, of
-``PASSAGE_TOKENS`` tokens together) when it is in two. Copies are told apart by content: texts whose
-sets of neighbouring tokens overlap by ``COPY_PERCENT``, as estimated from the lowest hashes of each.
-A token is constant by the number of different texts, copies included, that have it at its place.
-
-Only leaves and lines that recur are looked into, their tokens are counted with partial aggregates, and
-a template is a sum of hashes, so no line or group is ever gathered.
+``PASSAGE_TOKENS`` tokens together) when it is in two. Two texts are copies by what they hold *outside*
+the lines that they share: if one holds nothing else (and ``HELD_PERCENT`` is shared), or if the neighbouring tokens of the rest overlap
+by ``COPY_PERCENT``, as estimated from the lowest hashes of each. So pages that are mostly template are
+no copies while what they have of their own differs. A token is constant by the number of different
+texts, copies included, that have it at its place.
+
+A text is known by its size and a 64-bit hash. Only leaves and lines that recur are looked into. Equal
+masked lines of a leaf are one pattern: tokens are counted once per pattern, with the first
+``MIN_DOCUMENTS`` texts that have it, which settles whether a token is in so many. A template is a sum of
+hashes, so no line or group is ever gathered.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
-from ..operators.joins import lookup_join
+from ..operators.joins import lookup_join, spread_join
 from ..session import cut_lineage
 
 DEPTH = 3
@@ -29,11 +34,16 @@ MIN_DOCUMENTS = 4
 MIN_TOKENS = 3
 # Whole lines of so many tokens recur from two texts on.
 PASSAGE_TOKENS = 50
-# Lowest hashes that a text is known by, and the percentage of overlap that makes a copy.
+# Lowest hashes that a text is known by; the percentage of overlap outside shared lines that makes a copy (unlike texts
+# are near 5, copies above 50, so an estimate from a few dozen hashes tells them apart); and the
+# percentage that is shared where one text holds the other.
 SKETCH = 64
-COPY_PERCENT = 60
+COPY_PERCENT = 30
+HELD_PERCENT = 60
 # Of a template's tokens at least this many percent are constant.
 CONSTANT_PERCENT = 80
+# Copies of one text that one task takes for the join of its dropped lines.
+ROWS_PER_SALT = 20_000
 _MASK = "<*>"
 
 
@@ -55,15 +65,23 @@ def _text(text_col: str) -> Column:
     return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
 
 
-def _lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (id and digest of the text), place among the lines that are not blank, line_no, line, size in tokens."""
+def _identity(text: Column) -> list[Column]:
+    return [F.octet_length(text).alias("row_size"), F.xxhash64(text).alias("row_hash")]
+
+
+def _lines(df: DataFrame, text_col: str) -> DataFrame:
+    """row_size and row_hash (of the text), place among the lines that are not blank, line_no, line, size in tokens, leaf.
+
+    The leaf takes the number of tokens and the leading ones only; lines with too few tokens have none.
+    """
     text = _text(text_col)
     numbered = F.transform(F.split(_spaced(text), "\n"), lambda line, n: F.struct(n.alias("line_no"), F.trim(line).alias("line")))
-    rows = df.select(
-        F.col(f"`{id_col}`").cast("long").alias("row_id"), F.xxhash64(text).alias("row_hash"),
-        F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("place", "at"))
+    rows = df.select(*_identity(text), F.posexplode(F.filter(numbered, lambda x: x["line"] != "")).alias("place", "at"))
     size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return rows.select("row_id", "row_hash", "place", "at.line_no", "at.line").withColumn("size", size)
+    leading = _masked(F.substring_index("line", " ", DEPTH))
+    return (
+        rows.select("row_size", "row_hash", "place", "at.line_no", "at.line").withColumn("size", size)
+        .withColumn("leaf", F.when(F.col("size") >= MIN_TOKENS, F.xxhash64("size", leading))))
 
 
 def _in_documents(df: DataFrame, *keys: str) -> DataFrame:
@@ -73,145 +91,176 @@ def _in_documents(df: DataFrame, *keys: str) -> DataFrame:
         .where(F.col("documents") >= MIN_DOCUMENTS).select(*keys))
 
 
-def _sketches(df: DataFrame, text_col: str) -> DataFrame:
-    """row_hash, sketch (lowest hashes of neighbouring tokens) of every text."""
+def _sketches(df: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """row_hash, sketch of the given texts: their lowest (hash of neighbouring tokens, hash of their line), as one number each."""
     text = _text(text_col)
-    tokens = F.split(F.trim(F.translate(_spaced(text), "\n", " ")), " +")
-    pairs = F.zip_with(tokens, F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda a, b: F.hash(a, b))
+    wanted = lookup_join(df.select(F.xxhash64(text).alias("row_hash"), text.alias("text")), texts, "row_hash", "left_semi")
+    trimmed = F.transform(F.split(_spaced(F.col("text")), "\n"), lambda line: F.trim(line))
+    lines = F.transform(F.filter(trimmed, lambda line: line != ""),
+                        lambda line: F.struct(F.split(line, " ").alias("tokens"), F.hash(line).cast("long").bitwiseAND(0xFFFFFFFF).alias("line")))
+    pairs = F.flatten(F.transform(lines, lambda x: F.zip_with(
+        x["tokens"], F.slice(x["tokens"], 2, F.greatest(F.size(x["tokens"]) - 1, F.lit(0))),
+        lambda a, b: F.shiftleft(F.hash(a, b).cast("long"), 32).bitwiseOR(x["line"]))))
     sketch = F.slice(F.sort_array(F.array_distinct(pairs)), 1, SKETCH)
-    return df.select(F.xxhash64(text).alias("row_hash"), sketch.alias("sketch")).groupBy("row_hash").agg(F.min("sketch").alias("sketch"))
+    return wanted.select("row_hash", sketch.alias("sketch")).groupBy("row_hash").agg(F.min("sketch").alias("sketch"))
 
 
 def _copies(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those pairs (row_hash, first) that are copies."""
     firsts = sketches.join(pairs.select(F.col("first").alias("row_hash")).distinct(), "row_hash", "left_semi")
     known = cut_lineage(firsts.select(F.col("row_hash").alias("first"), F.col("sketch").alias("other")))
-    both = lookup_join(pairs.join(sketches, "row_hash"), known, "first")
-    lowest = F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH)
-    common = F.size(F.array_intersect(F.array_intersect("sketch", "other"), lowest))
-    return both.where(common * 100 >= F.size(lowest) * COPY_PERCENT).select("row_hash", "first")
+    both = lookup_join(pairs.join(sketches, "row_hash"), known, "first").withColumn(
+        "lowest", F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH))
 
+    def own(one: str, other: str) -> Column:
+        rest = F.array_except(F.array_intersect("lowest", one), other)
+        return F.array_distinct(F.transform(rest, lambda x: F.shiftright(x, 32)))
 
-def _recurring(found: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """The keys of ``found`` (key, row_hash) in at least so many texts no two of which are copies.
+    # Neighbouring tokens outside the lines that both have.
+    shared = F.size(F.array_intersect(F.array_intersect("sketch", "other"), F.col("lowest")))
+    rests = both.select("row_hash", "first", F.size("lowest").alias("n"), shared.alias("shared"), own("sketch", "other").alias("one"), own("other", "sketch").alias("two"))
+    alike = F.size(F.array_intersect("one", "two")) * 100 >= F.size(F.array_union("one", "two")) * COPY_PERCENT
+    held = ((F.size("one") == 0) | (F.size("two") == 0)) & (F.col("shared") * 100 >= F.col("n") * HELD_PERCENT)
+    return rests.where(alike | held).select("row_hash", "first")
 
-    Of each key the lowest text is taken and its copies are left out, until enough are taken.
-    """
-    texts = found.select("key", "row_hash").distinct()
+
+def _enough(found: DataFrame, least: int) -> DataFrame:
+    """key, row_size, row_hash of the keys in at least so many texts, each text once."""
+    texts = found.select("key", "row_size", "row_hash").distinct()
     enough = cut_lineage(texts.groupBy("key").count().where(F.col("count") >= least).select("key"))
-    left = cut_lineage(lookup_join(texts, enough, "key"))
+    return cut_lineage(lookup_join(texts, enough, "key"))
+
+
+def _recurring(left: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
+    """The keys of ``left`` in at least so many texts no two of which are copies.
+
+    Of each key the largest text (then that of the highest hash) is taken and its copies are left out, until
+    enough are taken. A text that holds little but the key comes late, so it does not stand for all others.
+    """
     for _ in range(least - 1):
-        first = cut_lineage(left.groupBy("key").agg(F.min("row_hash").alias("first")))
+        first = cut_lineage(left.groupBy("key").agg(F.max(F.struct("row_size", "row_hash"))["row_hash"].alias("first")))
         beside = cut_lineage(lookup_join(left, first, "key").where(F.col("row_hash") != F.col("first")))
         copies = cut_lineage(_copies(beside.select("row_hash", "first").distinct(), sketches))
-        left = cut_lineage(lookup_join(beside, copies, ["row_hash", "first"], "left_anti").select("key", "row_hash"))
+        left = cut_lineage(lookup_join(beside, copies, ["row_hash", "first"], "left_anti").select("key", "row_size", "row_hash"))
     return cut_lineage(left.select("key").distinct())
 
 
-def _templates(lines: DataFrame) -> DataFrame:
-    """row_id, row_hash, line_no, key of every line with enough tokens and constant ones among them.
+def _patterns(df: DataFrame, lines: DataFrame, leaves: DataFrame, text_col: str) -> DataFrame:
+    """leaf, pattern, masked, some: the distinct masked lines of the leaves, with the first few texts of each."""
+    texts = lookup_join(lines.select("leaf", "pattern", "row_hash"), leaves, "leaf").distinct()
+    order = Window.partitionBy("leaf", "pattern").orderBy("row_hash")
+    some = (
+        texts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MIN_DOCUMENTS)
+        .groupBy("leaf", "pattern").agg(F.collect_list("row_hash").alias("some")))
+    # The texts of the lines are read again rather than kept for all lines.
+    inner = lookup_join(_lines(df, text_col).select("leaf", "line"), leaves, "leaf").select("leaf", _masked(F.col("line")).alias("masked"))
+    masked = inner.withColumn("pattern", F.xxhash64("masked")).groupBy("leaf", "pattern").agg(F.min("masked").alias("masked"))
+    return cut_lineage(masked.join(some, ["leaf", "pattern"]))
 
-    The leaf takes the number of tokens and the leading ones only, so no line is split for it.
-    """
-    leading = _masked(F.substring_index("line", " ", DEPTH))
-    lines = lines.where(F.col("size") >= MIN_TOKENS).withColumn("leaf", F.xxhash64("size", leading))
+
+def _templates(df: DataFrame, hashed: DataFrame, text_col: str) -> DataFrame:
+    """row_size, row_hash, line_no, key of every line with enough tokens and constant ones among them."""
+    lines = hashed.where("leaf IS NOT NULL").select("row_size", "row_hash", "line_no", "leaf", "pattern")
     leaves = cut_lineage(_in_documents(lines, "leaf"))
-    inner = lookup_join(lines, leaves, "leaf")
-    tokens = cut_lineage(
-        inner.select("row_id", "row_hash", "line_no", "leaf",
-                     F.posexplode(F.split(_masked(F.col("line")), " ")).alias("place", "token"))
-        .select("row_id", "row_hash", "line_no", "leaf", "place", F.xxhash64("token").alias("token")))
+    patterns = _patterns(df, lines, leaves, text_col)
+    tokens = patterns.select("leaf", "pattern", "some", F.posexplode(F.split("masked", " ")).alias("place", "word")).withColumn(
+        "token", F.xxhash64("word")).drop("word")
     # A mask stands for different tokens: it is part of the template, but never constant.
     mask = F.xxhash64(F.lit(_MASK))
-    constant = cut_lineage(_in_documents(tokens.where(F.col("token") != mask), "leaf", "place", "token").withColumn("constant", F.lit(1)))
-    marked = lookup_join(tokens, constant, ["leaf", "place", "token"], "left").withColumn("constant", F.coalesce("constant", F.lit(0)))
+    held = tokens.where(F.col("token") != mask).select("leaf", "place", "token", F.explode("some").alias("row_hash"))
+    constant = cut_lineage(_in_documents(held, "leaf", "place", "token").withColumn("constant", F.lit(1)))
+    marked = lookup_join(tokens.drop("some"), constant, ["leaf", "place", "token"], "left").withColumn("constant", F.coalesce("constant", F.lit(0)))
     field = F.when((F.col("constant") == 1) | (F.col("token") == mask), F.col("token")).otherwise(F.lit(0).cast("long"))
     # A sum of hashes over places, in halves so that it cannot overflow.
-    hashed = F.xxhash64("place", field)
-    return cut_lineage(
-        marked.groupBy("row_id", "row_hash", "line_no", "leaf")
-        .agg(F.sum(F.shiftright(hashed, 32)).alias("high"), F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
+    whole = F.xxhash64("place", field)
+    keys = cut_lineage(
+        marked.groupBy("leaf", "pattern")
+        .agg(F.sum(F.shiftright(whole, 32)).alias("high"), F.sum(whole.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"),
              F.sum("constant").alias("constant"), F.count(F.lit(1)).alias("n"))
         .where(F.col("constant") * 100 >= F.col("n") * CONSTANT_PERCENT)
-        .select("row_id", "row_hash", "line_no", F.xxhash64("leaf", "high", "low").alias("key")))
+        .select("leaf", "pattern", F.xxhash64("leaf", "high", "low").alias("key")))
+    return cut_lineage(lookup_join(lines, keys, ["leaf", "pattern"]).select("row_size", "row_hash", "line_no", "key"))
 
 
-def _passages(lines: DataFrame) -> DataFrame:
-    """row_id, row_hash, key, numbers (of the lines) of the shortest passages from each line on and up to it.
+def _passages(hashed: DataFrame) -> DataFrame:
+    """row_size, row_hash, key, numbers (of the lines) of the shortest passages from each line on and up to it.
 
     Together they hold every line of every longer passage. Only lines of two texts are looked at.
     """
-    hashed = lines.select("row_id", "row_hash", "place", "line_no", F.col("size").cast("long").alias("size"), F.xxhash64("line").alias("line_hash"))
+    hashed = hashed.select("row_size", "row_hash", "place", "line_no", F.col("size").cast("long").alias("size"), "line_hash")
     shared = cut_lineage(
         hashed.groupBy("line_hash").agg(F.min("row_hash").alias("least"), F.max("row_hash").alias("most"))
         .where(F.col("least") != F.col("most")).select("line_hash"))
-    # Rows that repeat an id and text are one.
-    inner = lookup_join(hashed, shared, "line_hash").dropDuplicates(["row_id", "row_hash", "place"])
-    row = Window.partitionBy("row_id", "row_hash").orderBy("place")
+    # Rows that repeat a text are one.
+    inner = lookup_join(hashed, shared, "line_hash").dropDuplicates(["row_size", "row_hash", "place"])
+    row = Window.partitionBy("row_size", "row_hash").orderBy("place")
     line = F.struct("place", "line_no", "size", "line_hash", "upto")
     # A line has a token at least, so this many lines are enough.
     sides = inner.withColumn("upto", F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, 0))).select(
-        "row_id", "row_hash", F.collect_list(line).over(row.rowsBetween(0, PASSAGE_TOKENS - 1)).alias("on"),
+        "row_size", "row_hash", F.collect_list(line).over(row.rowsBetween(0, PASSAGE_TOKENS - 1)).alias("on"),
         F.collect_list(line).over(row.rowsBetween(1 - PASSAGE_TOKENS, 0)).alias("back"), line.alias("own"))
     own = F.col("own")
     on = F.filter("on", lambda x: x["upto"] - x["size"] - own["upto"] + own["size"] < PASSAGE_TOKENS)
     back = F.filter("back", lambda x: own["upto"] - x["upto"] < PASSAGE_TOKENS)
-    both = sides.select("row_id", "row_hash", F.explode(F.array(on, back)).alias("run"))
+    both = sides.select("row_size", "row_hash", F.explode(F.array(on, back)).alias("run"))
     first, last = F.element_at("run", 1), F.element_at("run", -1)
     return cut_lineage(
         both.where((last["upto"] - first["upto"] + first["size"] >= PASSAGE_TOKENS) & (last["place"] - first["place"] == F.size("run") - 1))
-        .select("row_id", "row_hash", F.xxhash64(F.transform("run", lambda x: x["line_hash"])).alias("key"),
+        .select("row_size", "row_hash", F.xxhash64(F.transform("run", lambda x: x["line_hash"])).alias("key"),
                 F.transform("run", lambda x: x["line_no"]).alias("numbers")))
 
 
-def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id, row_hash, line_no of every line whose template, or a passage that holds it, recurs across documents."""
-    lines = _lines(df, id_col, text_col)
-    sketches = cut_lineage(_sketches(df, text_col))
-    templates, passages = _templates(lines), _passages(lines)
-    alone = lookup_join(templates, _recurring(templates, sketches, MIN_DOCUMENTS), "key", "left_semi")
-    runs = lookup_join(passages, _recurring(passages, sketches, 2), "key", "left_semi")
-    return alone.select("row_id", "row_hash", "line_no").unionByName(
-        runs.select("row_id", "row_hash", F.explode("numbers").alias("line_no"))).distinct()
-
-
-def _cleaned(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
-    """The table with ``text_col`` cleaned, beside columns of a free prefix: ``lines`` and ``dropped`` counts."""
-    free = "_"
-    while any(column.startswith(free) for column in df.columns):
-        free += "_"
-    found = recurring_lines(df, id_col, text_col)
-    # Numbers of one document's own lines: bounded by the document.
-    dropped = found.groupBy(F.col("row_id").alias(f"{free}id"), F.col("row_hash").alias(f"{free}hash")).agg(
-        F.sort_array(F.collect_set("line_no")).alias(f"{free}numbers"))
-    text = _text(text_col)
-    keyed = df.withColumns({f"{free}own_id": F.col(f"`{id_col}`").cast("long"), f"{free}own_hash": F.xxhash64(text)})
-    # A shuffle at every size: how much is dropped does not change the plan.
-    joined = keyed.join(
-        dropped.hint("merge"), F.col(f"{free}own_id").eqNullSafe(F.col(f"{free}id")) & (F.col(f"{free}own_hash") == F.col(f"{free}hash")), "left")
-    lines = F.split(text, "\n")
+def recurring_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """row_size, row_hash (of the text), line_no of every line whose template, or a passage that holds it, recurs across documents.
+
+    Each text is told of once, however many rows have it. A null text counts as empty; it has no line, and an empty table none.
+    """
+    hashed = cut_lineage(_lines(df, text_col).select(
+        "row_size", "row_hash", "place", "line_no", "size", "leaf", F.xxhash64("line").alias("line_hash"),
+        F.when(F.col("leaf").isNotNull(), F.xxhash64(_masked(F.col("line")))).alias("pattern")))
+    templates, passages = _templates(df, hashed, text_col), _passages(hashed)
+    several, twice = _enough(templates, MIN_DOCUMENTS), _enough(passages, 2)
+    holders = cut_lineage(several.select("row_hash").unionByName(twice.select("row_hash")).distinct())
+    sketches = cut_lineage(_sketches(df, holders, text_col))
+    alone = lookup_join(templates, _recurring(several, sketches, MIN_DOCUMENTS), "key", "left_semi")
+    runs = lookup_join(passages, _recurring(twice, sketches, 2), "key", "left_semi")
+    return alone.select("row_size", "row_hash", "line_no").unionByName(
+        runs.select("row_size", "row_hash", F.explode("numbers").alias("line_no"))).distinct()
+
+
+def _cleaned(df: DataFrame, text_col: str) -> DataFrame:
+    """row (all columns), cleaned text, and counts of lines and of dropped ones."""
+    # Numbers of one text's own lines: bounded by the text.
+    dropped = recurring_lines(df, text_col).groupBy("row_size", "row_hash").agg(F.sort_array(F.collect_set("line_no")).alias("numbers"))
+    plain = [F.col(f"`{field.name}`") for field in df.schema if not isinstance(field.dataType, (ArrayType, MapType, StructType))]
+    rows = df.select(F.struct(*[F.col(f"`{column}`") for column in df.columns]).alias("row"), *_identity(_text(text_col)),
+                     F.xxhash64(*plain).alias("spread"))
+    # A shuffle at every size: how much is dropped does not change the plan. Copies of one text spread.
+    joined = spread_join(rows, dropped.hint("merge"), ["row_size", "row_hash"], "left", ROWS_PER_SALT, ["spread"])
+    raw = F.col("row")[text_col]
+    lines = F.split(F.coalesce(raw.cast("string"), F.lit("")), "\n")
     numbered = F.transform(lines, lambda line, n: F.struct(line.alias("line"), n.alias("n")))
-    kept = F.filter(numbered, lambda x: ~F.array_contains(f"{free}numbers", x["n"]))
+    kept = F.filter(numbered, lambda x: ~F.array_contains("numbers", x["n"]))
     cleaned = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
-    return joined.withColumns({
-        f"{free}lines": F.size(lines), f"{free}dropped": F.coalesce(F.size(f"{free}numbers"), F.lit(0)),
-        text_col: F.when(F.col(f"{free}numbers").isNull(), F.col(f"`{text_col}`")).otherwise(cleaned),
-    }), free
+    return joined.select(
+        "row", F.size(lines).alias("lines"), F.coalesce(F.size("numbers"), F.lit(0)).alias("dropped"),
+        F.when(F.col("numbers").isNull(), raw).otherwise(cleaned).alias("cleaned"))
 
 
 def drop_recurring_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False,
+    df: DataFrame, text_col: str = "text", drop_emptied: bool = False,
 ) -> DataFrame:
     """The table with recurring lines taken out of ``text_col``; all other columns as they are.
 
     Lines end at ``\\n``; those with fewer than ``MIN_TOKENS`` tokens stay, unless a passage holds them. A null text stays null. Rows that
-    repeat an id and text get equal results; a null id is an id. An empty table stays empty. With
+    repeat a text get equal results, whatever their ids. An empty table stays empty. With
     ``drop_emptied``, rows that had nothing but recurring lines go.
     """
-    cleaned, free = _cleaned(df, id_col, text_col)
+    cleaned = _cleaned(df, text_col)
     if drop_emptied:
-        cleaned = cleaned.where((F.col(f"{free}dropped") == 0) | (F.trim(f"`{text_col}`") != ""))
-    return cleaned.select(*[F.col(f"`{column}`") for column in df.columns])
+        cleaned = cleaned.where((F.col("dropped") == 0) | (F.trim("cleaned") != ""))
+    return cleaned.select(*[
+        (F.col("cleaned") if column == text_col else F.col("row")[column]).alias(column) for column in df.columns])
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,8 +269,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A null text counts as empty (one line). See :func:`drop_recurring_lines`.
     """
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    cleaned, free = _cleaned(rows, "doc_id", "text")
-    text = F.coalesce("text", F.lit(""))
-    return cleaned.select(
-        "doc_id", F.col(f"{free}lines").alias("n_lines"), F.col(f"{free}dropped").alias("n_dropped"),
+    text = F.coalesce("cleaned", F.lit(""))
+    return _cleaned(rows, "text").select(
+        "row.doc_id", F.col("lines").alias("n_lines"), F.col("dropped").alias("n_dropped"),
         F.length(text).alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))

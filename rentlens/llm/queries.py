@@ -123,50 +123,86 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-# The cleaned texts are shared with the pipeline's SQL.
-LINE_DEDUP_SQL = r"""
-line_docs AS (
-  SELECT row_number() OVER () AS row_no, doc_id, coalesce(text, '') AS t,
-    floor(ln(greatest(length(coalesce(text, '')), 1)) / ln(1.15)) AS class
-  FROM {documents}
-), line_rows AS (
-  SELECT row_no, class, u.n AS line_no, u.line AS line FROM line_docs,
-    unnest(list_transform(string_split(t, chr(10)), lambda x, i: {{'n': i - 1, 'line': x}})) AS x(u)
-), line_tokens AS (
-  SELECT row_no, class, line_no, list_transform(list_filter(regexp_split_to_array(line, '[\x20\x09\x0B-\x0D]+'),
-    lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
-  FROM line_rows
+def _unlike_round(k: int) -> str:
+    """From the holders of keys of round ``k``: those that are neither a key's first text nor a copy of it."""
+    return f"""
+firsts{k} AS (SELECT key, min(text_no) AS first FROM holders{k} GROUP BY key),
+beside{k} AS (SELECT key, kind, text_no, first FROM holders{k} JOIN firsts{k} USING (key) WHERE text_no <> first),
+pairs{k} AS (SELECT DISTINCT text_no, first FROM beside{k}),
+elements{k} AS (
+  SELECT text_no, first, pair, line, max(one) AS one, max(two) AS two FROM (
+    SELECT p.text_no, p.first, e.pair, e.line, 1 AS one, 0 AS two FROM pairs{k} p JOIN neighbours e ON e.text_no = p.text_no
+    UNION ALL SELECT p.text_no, p.first, e.pair, e.line, 0, 1 FROM pairs{k} p JOIN neighbours e ON e.text_no = p.first
+  ) GROUP BY ALL
+), rests{k} AS (
+  SELECT text_no, first, sum(one) AS one, sum(two) AS two, sum(one * two) AS alike, count(*) AS n FROM (
+    SELECT text_no, first, pair, max(one) AS one, max(two) AS two FROM elements{k} WHERE one + two < 2 GROUP BY ALL
+  ) GROUP BY ALL
+), copies{k} AS (
+  SELECT e.text_no, e.first FROM (SELECT text_no, first, sum(one * two) AS shared, count(*) AS n FROM elements{k} GROUP BY ALL) e
+  LEFT JOIN rests{k} r USING (text_no, first)
+  WHERE r.n IS NULL OR r.alike * 100 >= r.n * 30 OR ((r.one = 0 OR r.two = 0) AND e.shared * 100 >= e.n * 60)
+), holders{k + 1} AS (
+  SELECT key, kind, text_no FROM beside{k} ANTI JOIN copies{k} USING (text_no, first)
+)"""
+
+
+# Texts are numbered from the largest; whole sets of neighbouring tokens stand for the lowest hashes.
+ORACLES["op10_line_dedup"] = rf"""
+WITH line_docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+texts AS (SELECT t, row_number() OVER (ORDER BY strlen(t) DESC, t) AS text_no FROM (SELECT DISTINCT t FROM line_docs)),
+line_rows AS (
+  SELECT text_no, u.n AS line_no, u.line AS raw, list_filter(regexp_split_to_array(u.line, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS words
+  FROM texts, unnest(list_transform(string_split(t, chr(10)), lambda x, i: {{'n': i - 1, 'line': x}})) AS x(u)
+), line_words AS (
+  SELECT text_no, line_no, words, len(words) AS n, array_to_string(words, ' ') AS line,
+    list_transform(words, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens,
+    row_number() OVER (PARTITION BY text_no ORDER BY line_no) AS place
+  FROM line_rows WHERE len(words) > 0
+), neighbours AS (
+  SELECT DISTINCT text_no, line, unnest(list_transform(words, lambda x, i: x || ' ' || coalesce(words[i + 1], ''))) AS pair FROM line_words
 ), line_leaves AS (
-  SELECT *, len(tokens) AS n, tokens[1:3] AS head FROM line_tokens WHERE len(tokens) >= 3
+  SELECT text_no, line_no, n, tokens[1:3] AS head, tokens FROM line_words WHERE n >= 3
 ), recurring_leaves AS (
-  SELECT n, head FROM line_leaves GROUP BY ALL HAVING count(DISTINCT class) >= 4
+  SELECT n, head FROM line_leaves GROUP BY ALL HAVING count(DISTINCT text_no) >= 4
 ), place_tokens AS (
-  SELECT row_no, class, line_no, n, head, unnest(range(n)) AS spot, unnest(tokens) AS token
+  SELECT text_no, line_no, n, head, unnest(range(n)) AS spot, unnest(tokens) AS token
   FROM line_leaves JOIN recurring_leaves USING (n, head)
 ), constants AS (
-  SELECT n, head, spot, token, 1 AS constant FROM place_tokens GROUP BY ALL HAVING count(DISTINCT class) >= 4
+  SELECT n, head, spot, token, 1 AS constant FROM place_tokens WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT text_no) >= 4
 ), templates AS (
-  SELECT row_no, class, line_no, n, head,
-    list(CASE WHEN constant = 1 THEN token END ORDER BY spot) AS template, count(constant) AS constant
+  SELECT text_no, line_no, n || ' ' || array_to_string(head, ' ') || chr(10) ||
+    string_agg(CASE WHEN constant = 1 OR token = '<*>' THEN token ELSE '' END, ' ' ORDER BY spot) AS key
   FROM place_tokens LEFT JOIN constants USING (n, head, spot, token)
-  GROUP BY row_no, class, line_no, n, head HAVING count(constant) * 100 >= n * 80
-), recurring_templates AS (
-  SELECT head, template FROM templates GROUP BY ALL HAVING count(DISTINCT class) >= 4
-), dropped_lines AS (
-  SELECT row_no, line_no FROM templates JOIN recurring_templates USING (head, template)
-), line_results AS (
-  SELECT d.row_no, any_value(d.doc_id) AS doc_id, count(*) AS n_lines, count(x.row_no) AS n_dropped,
-    coalesce(string_agg(l.line, chr(10) ORDER BY l.line_no) FILTER (WHERE x.row_no IS NULL), '') AS cleaned
-  FROM line_docs d JOIN line_rows l USING (row_no)
-  LEFT JOIN dropped_lines x ON x.row_no = l.row_no AND x.line_no = l.line_no
-  GROUP BY d.row_no
-)"""
-
-ORACLES["op10_line_dedup"] = f"""
-WITH {LINE_DEDUP_SQL.format(documents="documents")}
-SELECT doc_id, n_lines::INTEGER AS n_lines, n_dropped::INTEGER AS n_dropped, length(cleaned)::INTEGER AS n_chars,
-  sha256(cleaned) AS text_sha256
-FROM line_results
+  GROUP BY text_no, line_no, n, head HAVING count(constant) * 100 >= n * 80
+), shared AS (
+  SELECT text_no, line_no, place, line, n, sum(n) OVER (PARTITION BY text_no ORDER BY place) AS upto
+  FROM line_words SEMI JOIN (SELECT line FROM line_words GROUP BY line HAVING count(DISTINCT text_no) >= 2) USING (line)
+), runs AS (
+  SELECT i.text_no, i.place, j.place >= i.place AS side, string_agg(j.line, chr(10) ORDER BY j.place) AS key, list(j.line_no) AS numbers
+  FROM shared i JOIN shared j ON i.text_no = j.text_no AND j.place >= i.place AND j.upto - j.n - i.upto + i.n < 50
+  GROUP BY ALL HAVING sum(j.n) >= 50 AND max(j.place) - min(j.place) + 1 = count(*)
+  UNION ALL
+  SELECT i.text_no, i.place, j.place > i.place AS side, string_agg(j.line, chr(10) ORDER BY j.place) AS key, list(j.line_no) AS numbers
+  FROM shared i JOIN shared j ON i.text_no = j.text_no AND j.place <= i.place AND i.upto - j.upto < 50
+  GROUP BY ALL HAVING sum(j.n) >= 50 AND max(j.place) - min(j.place) + 1 = count(*)
+), found AS (
+  SELECT 'line ' || key AS key, 4 AS kind, text_no, [line_no] AS numbers FROM templates
+  UNION ALL SELECT 'run ' || key, 2, text_no, numbers FROM runs
+), holders1 AS (
+  SELECT DISTINCT key, kind, text_no FROM found
+  SEMI JOIN (SELECT key FROM found GROUP BY key, kind HAVING count(DISTINCT text_no) >= kind) USING (key)
+), {_unlike_round(1)}, {_unlike_round(2)}, {_unlike_round(3)}, recurring AS (
+  SELECT key FROM holders2 WHERE kind = 2 UNION SELECT key FROM holders4 WHERE kind = 4
+), dropped AS (
+  SELECT DISTINCT text_no, unnest(numbers) AS line_no FROM found SEMI JOIN recurring USING (key)
+), cleaned AS (
+  SELECT l.text_no, count(*) AS n_lines, count(x.line_no) AS n_dropped,
+    coalesce(string_agg(l.raw, chr(10) ORDER BY l.line_no) FILTER (WHERE x.line_no IS NULL), '') AS t
+  FROM line_rows l LEFT JOIN dropped x USING (text_no, line_no) GROUP BY l.text_no
+)
+SELECT d.doc_id, c.n_lines::INTEGER AS n_lines, c.n_dropped::INTEGER AS n_dropped, length(c.t)::INTEGER AS n_chars, sha256(c.t) AS text_sha256
+FROM line_docs d JOIN texts USING (t) JOIN cleaned c USING (text_no)
 """
 
 

@@ -66,6 +66,18 @@ def test_lines_that_only_near_copies_share_stay(spark):
     assert found == {n: "\n".join(text.split("\n")[:9]) for n, text in rows} | {99: words("other", 100)}
 
 
+def test_pages_that_are_mostly_template_lose_it(spark):
+    def page(name, shared, own):
+        template = [words(f"{name}{chr(97 + k)}", 9) for k in range(shared)]
+        pages = [[words(f"{name}own{chr(97 + n // 26)}{chr(97 + n % 26)}{k}x".replace("0", "z").replace("1", "y"), 9) for k in range(own)] for n in range(40)]
+        return [("\n".join([*template, *text]), "\n".join(text)) for text in pages] + [("\n".join(template), "")]
+
+    # 60, 86 and 95 % template, and with each a text that is nothing but template.
+    pairs = page("few", 3, 2) + page("more", 6, 1) + page("most", 19, 1)
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(documents(spark, [(n, text) for n, (text, _) in enumerate(pairs)])).collect()}
+    assert found == {n: left for n, (_, left) in enumerate(pairs)}
+
+
 def test_numeric_rows_are_not_one_template(spark):
     rows = [(n, f"{own}\n{n} 7 20{n:02d}\nsum {n} 1{n} 2{n}") for n, own in enumerate(lengths(7))]
     tables = [(100 + n, "\n".join(f"{n}{k} {k} 5{k}" for k in range(4 ** n))) for n in range(1, 5)]
