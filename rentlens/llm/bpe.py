@@ -16,7 +16,6 @@ without any space) are contracted with a heap instead, by the same rule.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import heapq
 import re
@@ -29,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import REMEMBERED_CHARS, independent, little_endian, read_ranks
-from .common import id_text, in_batches, texts
+from .common import id_text, in_batches, kept_by_worker, texts
 
 LONG_WORD = 256
 CACHED_CHUNKS = CACHED_WORDS = 500_000
@@ -218,7 +217,7 @@ class RecursiveEncoder:
                 del words[word]
 
 
-@functools.lru_cache(maxsize=1)
+@kept_by_worker
 def encoder_of(raw: bytes, pattern: str) -> RecursiveEncoder:
     return RecursiveEncoder(raw, pattern)
 

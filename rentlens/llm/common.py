@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -57,6 +58,27 @@ def id_text(batch: pa.RecordBatch) -> Iterator[tuple[int | None, str]]:
         yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
 
 
+# What a Python worker keeps for the operator that it serves: function -> (arguments, result).
+_kept: dict[Callable, tuple] = {}
+
+
+def kept_by_worker(make: Callable) -> Callable:
+    """``make`` with its last result kept in the worker, so that what one task has learned serves the next.
+
+    Workers outlive operators: as soon as another operator keeps something, what was kept before is let go.
+    """
+    @functools.wraps(make)
+    def kept(*arguments):
+        found = _kept.get(make)
+        if found is None or found[0] != arguments:
+            _kept.clear()
+            pa.default_memory_pool().release_unused()
+            found = _kept[make] = (arguments, make(*arguments))
+        return found[1]
+
+    return kept
+
+
 class BoundedCache(dict):
     """A dict that fills itself by ``make`` and starts anew beyond ``limit`` entries: only speed depends on it."""
 

@@ -10,7 +10,6 @@ Words are runs of letters, lower case; a run of more than ``MAX_LETTERS`` counts
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,11 +18,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import id_remainder, id_text, in_batches, texts
+from ..operators.joins import lookup_join
+from ..session import cut_lineage
+from .common import id_remainder, id_text, in_batches, kept_by_worker, texts
 
 MAX_LETTERS = 24
-# Bounds of the training sample: languages, documents of each, and distinct words of these.
-FIT_LANGUAGES = 200
+# Bounds of the training sample of each language: documents, and distinct words of these.
 FIT_DOCUMENTS = 400
 FIT_WORDS = 50_000
 ROUNDS = 3
@@ -186,33 +186,38 @@ class TextScorer:
         return self.model.languages[best], float(1.0 / odds.sum())
 
 
-@functools.lru_cache(maxsize=1)
+@kept_by_worker
 def scorer_of(model: LanguageModel) -> TextScorer:
     """One scorer per worker: the words that one task has scored serve the next."""
     return TextScorer(model)
 
 
+@kept_by_worker
+def _lattice_of(pieces: tuple[str, ...]) -> Lattice:
+    return Lattice(list(pieces))
+
+
 def fit(
     df: DataFrame, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    documents: int = FIT_DOCUMENTS, words: int = FIT_WORDS, languages: int = FIT_LANGUAGES, rounds: int = ROUNDS,
+    documents: int = FIT_DOCUMENTS, words: int = FIT_WORDS, rounds: int = ROUNDS,
 ) -> LanguageModel:
-    """Learn from at most ``documents`` texts of each of at most ``languages`` languages, and their ``words`` most frequent words.
+    """Learn every language from at most ``documents`` of its texts and their ``words`` most frequent words.
 
-    The texts are those whose ids hash lowest, so the sample is the same on every run. Rows without
-    a language do not teach; without any such row the model knows no language.
+    The texts are those whose ids and texts hash lowest, rows equal in both once, so the sample is the same on
+    every run and bounded whatever repeats. Each language is learned in a task of its own, from its own words;
+    the driver gets one row of probabilities for each. Rows without a language do not teach; without any
+    such row the model knows no language.
     """
     rows = df.where(F.col(f"`{lang_col}`").isNotNull()).select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{lang_col}`").cast("string").alias("lang"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # Only hashes are ranked, per language; the texts stay in their tasks.
-    hashed = rows.withColumn("order", F.xxhash64("doc_id"))
+    hashed = rows.select("lang", F.xxhash64("doc_id", "text").alias("order"), "text")
     first = Window.partitionBy("lang").orderBy("order")
-    reach = (
-        hashed.select("lang", "order").withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= documents).groupBy("lang").agg(F.max("order").alias("reach"), F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(languages).select("lang", "reach"))
-    # At most ``languages`` rows, so it is broadcast.
-    sample = hashed.join(F.broadcast(reach), "lang").where(F.col("order") <= F.col("reach"))
+    chosen = cut_lineage(
+        hashed.select("lang", "order").distinct().withColumn("place", F.row_number().over(first))
+        .where(F.col("place") <= documents).select("lang", "order"))
+    sample = lookup_join(hashed, chosen, ["lang", "order"]).dropDuplicates(["lang", "order"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("lang", pa.string()), ("word", pa.string())])
@@ -220,34 +225,47 @@ def fit(
             yield from in_batches(
                 ((lang, word) for lang, text in id_text(batch) for word in words_of(text)), schema, 1)
 
+    pieces = read_pieces(pieces_path)
+    shared = df.sparkSession.sparkContext.broadcast(tuple(pieces))
+
+    def learned(group: pa.Table) -> pa.Table:
+        ordered = group.sort_by("word")
+        counts = ordered.column("count").to_numpy().astype(float).reshape(-1, 1)
+        found = learn(_lattice_of(shared.value), ordered.column("word").to_pylist(), counts, rounds)
+        return pa.table({"lang": ordered.column("lang").slice(0, 1).combine_chunks(), "probabilities": pa.array([found[:, 0]], pa.list_(pa.float64()))})
+
     counted = (
         sample.select("lang", "text").mapInArrow(split, "lang string, word string").groupBy("lang", "word").count()
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "word")))
-        .where(F.col("place") <= words).select("lang", "word", "count").toPandas())
-    pieces = read_pieces(pieces_path)
-    if counted.empty:
+        .where(F.col("place") <= words).select("lang", "word", "count"))
+    found = counted.groupBy("lang").applyInArrow(learned, "lang string, probabilities array<double>").toArrow().sort_by("lang")
+    if not found.num_rows:
         return LanguageModel([], pieces, np.empty((0, 0)))
-    wide = counted.pivot(index="word", columns="lang", values="count").fillna(0.0).sort_index()
-    probabilities = learn(Lattice(pieces), list(wide.index), wide.to_numpy(float), rounds)
-    return LanguageModel(list(wide.columns), pieces, probabilities)
+    columns = found.column("probabilities").combine_chunks().values.to_numpy().reshape(found.num_rows, -1)
+    return LanguageModel(found.column("lang").to_pylist(), pieces, np.ascontiguousarray(columns.T))
 
 
 def keep_identified(
     df: DataFrame, model: LanguageModel, text_col: str = "text", least_score: float = LEAST_SCORE,
 ) -> DataFrame:
-    """The rows whose text has a language with at least ``least_score``; all columns as they are."""
+    """The rows whose text has a language with at least ``least_score``; all columns as they are.
+
+    Texts that are null, empty or without a letter go. Rows that repeat are kept or go alike; an empty table
+    stays empty. Only texts are sent to Python and only verdicts come back.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    place = df.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = scorer_of(shared.value)
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                found = scorer.score([text or "" for text in part.column(place).to_pylist()])
-                yield part.filter(pa.array([lang != UNDECIDED and score >= least_score for lang, score in found]))
+            verdicts = []
+            for start in range(0, len(batch), 512):
+                found = scorer.score(batch.slice(start, 512).to_pylist())
+                verdicts.extend(lang != UNDECIDED and score >= least_score for lang, score in found)
+            yield pa.array(verdicts, pa.bool_())
 
-    return df.mapInArrow(run, df.schema)
+    return df.where(identified(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
 
 
 def identify(

@@ -22,7 +22,6 @@ written, only the links that join components.
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .common import BoundedCache, id_text, in_batches
+from .common import BoundedCache, id_text, in_batches, kept_by_worker
 from .components import components
 
 BLOCK_ROWS = 1024
@@ -82,7 +81,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=1)
+@kept_by_worker
 def _word_hashes() -> BoundedCache:
     return BoundedCache(xxhash.xxh3_64_intdigest, CACHED_WORDS)
 

@@ -9,7 +9,6 @@ once. The plan is a list of slots per length; pieces take them by their rank wit
 from __future__ import annotations
 
 import bisect
-import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .chunks import ChunkEncoder, byte_alphabet, little_endian
-from .common import id_text, in_batches, texts
+from .common import id_text, in_batches, kept_by_worker, texts
 
 LIMIT = 1024
 END_ID = 2
@@ -64,7 +63,7 @@ class ByteLevelEncoder:
             for part in self.splitter.split(text) if part)
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def encoder_of(raw: bytes) -> ByteLevelEncoder:
     return ByteLevelEncoder(raw)
 

@@ -13,7 +13,6 @@ words' counts added up, and states are shared by all words that begin alike.
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import unicodedata
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import byte_alphabet
-from .common import id_text, in_batches, texts
+from .common import id_text, in_batches, kept_by_worker, texts
 
 MAX_TOKENS = 2048
 # Entries that a worker remembers: chunks, and open prefixes of words.
@@ -228,7 +227,7 @@ class PrefixCounter:
         return len(chunk)
 
 
-@functools.lru_cache(maxsize=2)
+@kept_by_worker
 def counter_of(raw: bytes) -> PrefixCounter:
     return PrefixCounter(raw)
 

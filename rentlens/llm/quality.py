@@ -11,7 +11,6 @@ broadcast; documents are scored where they lie and nothing is shuffled.
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -21,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import BoundedCache, id_remainder, in_batches, texts
+from .common import BoundedCache, id_remainder, in_batches, kept_by_worker, texts
 
 # Bound of the labelled sample: documents of each label.
 FIT_DOCUMENTS = 1500
@@ -54,7 +53,7 @@ def _terms_of(token: str) -> tuple[int, int]:
         WORD_TERMS + 8 + zlib.crc32(_shape(token).encode()) % (SHAPE_TERMS - 8))
 
 
-@functools.lru_cache(maxsize=1)
+@kept_by_worker
 def _token_terms() -> BoundedCache:
     return BoundedCache(_terms_of, CACHED_TOKENS)
 

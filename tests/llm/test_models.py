@@ -246,3 +246,13 @@ def test_personal_data_of_odd_rows(spark):
 ])
 def test_padded_parts_of_addresses(text, found):
     assert [span for span in pii.base_spans(text) if pii.KINDS[span[1]] == "ip"] == ([(0, 1, len(text))] if found else [])
+
+
+def test_every_language_is_learned_and_repeats_do_not_fill_the_sample(spark):
+    names = [f"l{n:03d}" for n in range(300)]
+    rows = [(n, f"{chr(0x4E00 + n) * 3} {chr(0x4E00 + n) * 2}", name) for n, name in enumerate(names)]
+    rows += [(None, "same words again", "l000")] * 50
+    model = language.fit(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"), documents=2)
+    assert model.languages == names and model.probabilities.shape == (len(model.probabilities), 300)
+    assert abs(model.probabilities.sum(axis=0) - 1).max() < 1e-9
