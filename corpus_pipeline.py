@@ -49,12 +49,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
         one_each = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     else:
-        keyed = docs.where("doc_id IS NOT NULL").withColumn("_key", F.struct("doc_id", digest.alias("digest")))
-        numbers = cut_lineage(number_rows(cut_lineage(keyed.select("_key").distinct()), "_key", "_number"))
-        numbered = cut_lineage(keyed.join(numbers, "_key").dropDuplicates(["_number"]).drop("_key"))
-        found = minhash.near_duplicates(numbered, minhash.FIVE_WORDS, id_col="_number")
-        kept = found.where("kept").select(F.col("doc_id").alias("_number"))
-        one_each = numbered.join(kept, "_number", "left_semi").select(docs.columns)
+        free = "_"
+        while any(column.startswith(free) for column in docs.columns):
+            free += "_"
+        key, number = f"{free}key", f"{free}number"
+        keyed = docs.where("doc_id IS NOT NULL").withColumn(key, F.struct("doc_id", digest.alias("digest")))
+        numbers = cut_lineage(number_rows(cut_lineage(keyed.select(key).distinct()), key, number))
+        numbered = cut_lineage(keyed.join(numbers, key).dropDuplicates([number]).drop(key))
+        found = minhash.near_duplicates(numbered, minhash.FIVE_WORDS, id_col=number)
+        kept = found.where("kept").select(F.col("doc_id").alias(number))
+        one_each = numbered.join(kept, number, "left_semi").select(docs.columns)
     return one_each.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
