@@ -34,8 +34,8 @@ MIN_DOCUMENTS = 4
 MIN_TOKENS = 3
 # Whole lines of so many tokens recur from two texts on.
 PASSAGE_TOKENS = 50
-# Lowest hashes that a text is known by; the percentage of overlap outside shared lines that makes a copy (unlike texts
-# are near 5, copies above 50, so an estimate from a few dozen hashes tells them apart); and the
+# Lowest hashes that a text is known by; the percentage of overlap outside shared lines that makes a copy (set low, as
+# short texts leave few hashes to estimate it from: a near copy of 65 % was taken for less than 60); and the
 # percentage that is shared where one text holds the other.
 SKETCH = 64
 COPY_PERCENT = 30
