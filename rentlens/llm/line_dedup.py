@@ -147,15 +147,19 @@ def _recurring(left: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
 
 def _patterns(df: DataFrame, lines: DataFrame, leaves: DataFrame, text_col: str) -> DataFrame:
     """leaf, pattern, masked, some: the distinct masked lines of the leaves, with the first few texts of each."""
-    texts = lookup_join(lines.select("leaf", "pattern", "row_hash"), leaves, "leaf").distinct()
+    texts = lookup_join(lines.select("leaf", "pattern", "row_hash", "line_no"), leaves, "leaf").groupBy(
+        "leaf", "pattern", "row_hash").agg(F.min("line_no").alias("line_no"))
     order = Window.partitionBy("leaf", "pattern").orderBy("row_hash")
-    some = (
+    some = cut_lineage(
         texts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= MIN_DOCUMENTS)
-        .groupBy("leaf", "pattern").agg(F.collect_list("row_hash").alias("some")))
-    # The texts of the lines are read again rather than kept for all lines.
-    inner = lookup_join(_lines(df, text_col).select("leaf", "line"), leaves, "leaf").select("leaf", _masked(F.col("line")).alias("masked"))
-    masked = inner.withColumn("pattern", F.xxhash64("masked")).groupBy("leaf", "pattern").agg(F.min("masked").alias("masked"))
-    return cut_lineage(masked.join(some, ["leaf", "pattern"]))
+        .groupBy("leaf", "pattern").agg(F.collect_list("row_hash").alias("some"), F.min(F.struct("row_hash", "line_no")).alias("at")))
+    # Equal patterns are read in one place only, so few texts are cut into lines again.
+    at = cut_lineage(some.select("leaf", "pattern", "at.row_hash", "at.line_no"))
+    text = _text(text_col)
+    held = lookup_join(df.select(F.xxhash64(text).alias("row_hash"), text.alias("text")), at.select("row_hash").distinct(), "row_hash", "left_semi")
+    inner = lookup_join(_lines(held, "text").select("row_hash", "line_no", "line"), at, ["row_hash", "line_no"])
+    masked = inner.groupBy("leaf", "pattern").agg(F.min(_masked(F.col("line"))).alias("masked"))
+    return cut_lineage(masked.join(some.drop("at"), ["leaf", "pattern"]))
 
 
 def _templates(df: DataFrame, hashed: DataFrame, text_col: str) -> DataFrame:
