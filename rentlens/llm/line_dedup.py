@@ -118,7 +118,9 @@ def _copies(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
     # Neighbouring tokens outside the lines that both have.
     shared = F.size(F.array_intersect(F.array_intersect("sketch", "other"), F.col("lowest")))
-    rests = both.select("row_hash", "first", F.size("lowest").alias("n"), shared.alias("shared"), own("sketch", "other").alias("one"), own("other", "sketch").alias("two"))
+    sets = F.struct(F.size("lowest").alias("n"), shared.alias("shared"), own("sketch", "other").alias("one"), own("other", "sketch").alias("two"))
+    # A filter is pushed through columns, and then takes each use of a set as a computation of its own; not through rows made.
+    rests = both.select("row_hash", "first", F.explode(F.array(sets)).alias("of")).select("row_hash", "first", "of.*")
     alike = F.size(F.array_intersect("one", "two")) * 100 >= F.size(F.array_union("one", "two")) * COPY_PERCENT
     held = ((F.size("one") == 0) | (F.size("two") == 0)) & (F.col("shared") * 100 >= F.col("n") * HELD_PERCENT)
     return rests.where(alike | held).select("row_hash", "first")
@@ -221,7 +223,7 @@ def recurring_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     hashed = cut_lineage(_lines(df, text_col).select(
         "row_size", "row_hash", "place", "line_no", "size", "leaf", F.xxhash64("line").alias("line_hash"),
-        F.when(F.col("leaf").isNotNull(), F.xxhash64(_masked(F.col("line")))).alias("pattern")))
+        F.when(F.col("size") >= MIN_TOKENS, F.xxhash64(_masked(F.col("line")))).alias("pattern")))
     templates, passages = _templates(df, hashed, text_col), _passages(hashed)
     several, twice = _enough(templates, MIN_DOCUMENTS), _enough(passages, 2)
     holders = cut_lineage(several.select("row_hash").unionByName(twice.select("row_hash")).distinct())
