@@ -100,3 +100,26 @@ def test_every_place_must_be_reached(spark, monkeypatch, n_places, bits):
     )
     checked = C.commute_ok(spark.range(n_places + 3), places, journeys, 45)
     assert {r.id for r in checked.where("commute_ok").collect()} == {n_places, n_places + 1}
+
+
+def test_very_many_new_places_are_numbered_by_many_tasks(spark, monkeypatch):
+    from rentlens.operators import batches
+
+    monkeypatch.setattr(batches, "SINGLE_TASK_ROWS", 7)
+    existing = spark.createDataFrame([("b", "REGION^1", 0), ("a", "REGION^2", 1)], "name STRING, identifier STRING, position INT")
+    updates = spark.range(40).selectExpr("concat('n', lpad(id, 2, '0')) AS name", "concat('STATION^', id) AS identifier")
+    merged = {r.name: (r.identifier, r.position, r.change) for r in S.merge_search_places(existing, updates).collect()}
+    assert merged == {
+        "b": ("REGION^1", 0, "kept"), "a": ("REGION^2", 1, "kept"),
+        **{f"n{n:02}": (f"STATION^{n}", 2 + n, "new") for n in range(40)}}
+
+
+def test_numbers_may_have_any_name(spark, monkeypatch):
+    from rentlens.operators import batches
+
+    monkeypatch.setattr(batches, "SINGLE_TASK_ROWS", 7)
+    keys = spark.range(30).withColumn("_part", -F.col("id"))
+    for number in ("_place", "_rows", "_before", "_number_place"):
+        found = batches.number_rows(keys, "id", number)
+        assert found.columns == ["id", "_part", number]
+        assert sorted(map(tuple, found.collect())) == [(n, -n, n + 1) for n in range(30)]
