@@ -358,3 +358,20 @@ def test_station_feed(spark, tmp_path, rows):
     assert (header.Identifier, header._canonical, header.RefreshRate) == ("id1", "c", 5)
     assert rows(S.read_station_feed_styles(spark, path)) == [("s", "icon.png")]
     assert S.read_station_feed_attribution(spark, path).first().Text == "Thanks"
+
+
+def test_a_record_is_parsed_once_by_a_split(spark, tmp_path):
+    (tmp_path / "a.json").write_text("[]")
+    for part in split_listings(spark, str(tmp_path)):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1
+
+
+def test_journey_results_are_stored_compressed_in_many_files(spark, tmp_path, monkeypatch):
+    from rentlens.plans import queries
+
+    monkeypatch.setattr(queries, "RESULTS_PER_FILE", 10)
+    queries._stored_results(spark.range(100, numPartitions=2)).json(str(tmp_path / "results"))
+    files = sorted(file.name for file in (tmp_path / "results").glob("part-*"))
+    assert len(files) == 10 and all(name.endswith(".gz") for name in files)
+    assert spark.read.schema("id long").json(str(tmp_path / "results")).distinct().count() == 100
