@@ -121,6 +121,25 @@ def test_one_array_is_read_by_many_tasks(spark, tmp_path, split_at):
     assert found.select("block").distinct().count() > 30
 
 
+def test_splits_do_not_depend_on_other_files(spark, tmp_path, split_at):
+    """Files that the first pass leaves out are no reason to cut the others elsewhere in the second."""
+    split_at(1000)
+    spark.conf.set(CONFS[0], str(1 << 14))
+    expected = [{"id": n, "in": {"id": n}} for n in range(2_000)]
+    (tmp_path / "big.json").write_text(json.dumps(expected))
+    for n in range(60):
+        small = [{"id": n, "of": {"id": m}} for m in range(20)]
+        (tmp_path / f"{n}.json").write_text(json.dumps(small))
+        expected += small
+    for cores in (1, 3, 8, 64):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(cores))
+        try:
+            got = json_elements(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+        assert all(row.whole for row in got) and same([row.record for row in got], expected)
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_summaries_chain_to_what_a_whole_run_gives(seed):
     draw = random.Random(seed)
