@@ -362,7 +362,7 @@ def test_station_feed(spark, tmp_path, rows):
 
 def test_a_record_is_parsed_once_by_a_split(spark, tmp_path):
     (tmp_path / "a.json").write_text("[]")
-    for part in split_listings(spark, str(tmp_path)):
+    for part in S.split_listings(spark, str(tmp_path)):
         plan = part._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("from_json(") == 1
 
