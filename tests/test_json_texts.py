@@ -157,3 +157,29 @@ def test_summaries_chain_to_what_a_whole_run_gives(seed):
         depth, container = chained(depth, container, part.change, part.low, part.opener)
         in_string, at = part.in_string, at + step
     assert (in_string, depth, container) == (cutter.in_string, cutter.depth, cutter.container)
+
+
+def test_small_files_are_a_row_each(spark, tmp_path):
+    """Only larger ones, and those that may be compressed, come in fragments."""
+    from rentlens.sources.json_texts import _texts
+
+    text = json.dumps([{"a": "}" * 9, "b": n} for n in range(500)])
+    for name in ("a.json", "b.txt"):
+        (tmp_path / name).write_text(text)
+    (tmp_path / "c.json.gz").write_bytes(gzip.compress(text.encode()))
+    whole = {row.path[-6:]: bytes(row.value) for row in _texts(spark, str(tmp_path), whole=True).collect()}
+    assert whole == {"a.json": text.encode(), "/b.txt": text.encode()}
+    assert {row.path[-3:] for row in _texts(spark, str(tmp_path), whole=False).select("path").collect()} == {".gz"}
+    assert json_elements(spark, str(tmp_path)).count() == 1500
+
+
+def test_parts_of_a_text_end_after_a_brace(monkeypatch):
+    from rentlens.sources import json_texts
+
+    monkeypatch.setattr(json_texts, "_PART_BYTES", 10)
+    text = json.dumps([{"k": 'a\\"}' * 3, "n": n} for n in range(20)]).encode()
+    parts = list(json_texts._parts(json_texts.pa.py_buffer(text)))
+    assert b"".join(parts) == text and len(parts) > 20 and all(part.endswith(b"}") for part in parts[:-1])
+    cutter = Cutter(False, 0, "", False)
+    found = [piece for part in parts for piece in cutter.feed(part)]
+    assert [json.loads(piece[2])["n"] for piece in found] == list(range(20)) and list(cutter.end()) == []

@@ -3,6 +3,7 @@ import datetime as dt
 import io
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,30 @@ def test_many_listings_in_many_files(spark, tmp_path):
     assert S.read_listings(spark, str(tmp_path / "out")).select("id").distinct().count() == 1500
 
 
+def test_written_arrays_are_bounded(monkeypatch):
+    from rentlens.sources import tables
+
+    monkeypatch.setattr(tables, "ARRAY_BYTES", 5000)
+    batches = [pa.RecordBatch.from_pydict({"value": [json.dumps({"id": n, "t": "x" * 20}) for n in range(m, m + 900)]}) for m in (0, 900)]
+    arrays = [text for batch in tables._as_arrays(iter(batches)) for text in batch.column(0).to_pylist()]
+    assert len(arrays) > 4 and all(len(text) < 20_000 for text in arrays)
+    assert [record["id"] for text in arrays for record in json.loads(text)] == list(range(1800))
+    assert list(tables._as_arrays(iter([]))) == []
+
+
+def test_written_arrays_are_files_of_their_own(spark, tmp_path):
+    """Read back in one pass: no file is cut."""
+    from rentlens.sources import json_texts
+
+    one = S.read_listings(spark, put(tmp_path / "l.json", [LISTING]))
+    many = one.crossJoin(spark.range(60_000).withColumnRenamed("id", "n")).withColumn("id", F.col("n")).drop("n").coalesce(1)
+    S.write_listings(many, str(tmp_path / "out"), "json")
+    files = list((tmp_path / "out").glob("part-*"))
+    assert sum(file.stat().st_size for file in files) > json_texts.SPLIT_BYTES > max(file.stat().st_size for file in files)
+    assert json_texts._starts(spark, str(tmp_path / "out")) == {}
+    assert S.read_listings(spark, str(tmp_path / "out")).agg(F.count("*"), F.sum("id")).first() == (60_000, 60_000 * 59_999 // 2)
+
+
 def test_several_texts_in_a_file_are_all_read(spark, tmp_path):
     path = put(tmp_path / "l.json", "\n".join(json.dumps({**LISTING, "id": n}) for n in (1, 2)))
     assert S.read_listings(spark, path).count() == S.read_listings(spark, path, "lines").count() == 2
