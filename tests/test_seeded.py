@@ -4,6 +4,7 @@ import datetime as dt
 import time
 
 import pytest
+from pyspark.sql import Row
 
 from rentlens import streaming as S
 
@@ -47,6 +48,54 @@ def test_ids_of_the_history_never_come(spark, tmp_path, rocksdb):
     assert drain(spark, tmp_path, grown, "second") == [4]
 
 
+def test_null_and_text_ids(spark, tmp_path, rocksdb):
+    """A null id is an id, of the history too, and buckets may hold many ids."""
+    rows = [("a", 1), (None, 2), ("b", 3), (None, 4), ("b", 5)]
+    for n in (0, 3):
+        spark.createDataFrame(rows[n:n + 3], "name string, n int").coalesce(1).write.parquet(f"{tmp_path}/in/file{n}")
+    for known, expected in (([("a",)], [None, "b"]), ([(None,), (None,)], ["a", "b"]), ([], ["a", None, "b"])):
+        source = spark.readStream.schema("name string, n int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        history = spark.createDataFrame(known, "name string")
+        stream = S.stream_unseen_listings(source, history, key="name", buckets=1)
+        assert stream.columns == ["name", "n"]
+        out = f"{tmp_path}/out{len(known)}{expected[0]}"
+        S.start_append(stream, out, f"{out}-state", drain=True).awaitTermination()
+        found = [r.name for r in spark.read.parquet(out).collect()]
+        assert sorted(found, key=str) == sorted(expected, key=str)
+
+
+def test_ids_of_other_types(spark, tmp_path, rocksdb):
+    """Types that Python tells apart in other ways than Spark: a state for every id."""
+    rows = [(bytearray(b"a"),), (bytearray(b"b"),), (bytearray(b"b"),)]
+    spark.createDataFrame(rows, "id binary").coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("id binary").parquet(f"{tmp_path}/in")
+    stream = S.stream_unseen_listings(source, spark.createDataFrame(rows[:1], "id binary"))
+    S.start_append(stream, f"{tmp_path}/out", f"{tmp_path}/state", drain=True).awaitTermination()
+    assert [bytes(r.id) for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [b"b"]
+
+
+def test_ids_of_a_bucket_take_one_call(monkeypatch):
+    from rentlens.streaming.seeded import FirstInBucket
+
+    calls = []
+
+    class Held:
+        entries = [([1, 2],), ([None],)]
+
+        def get(self):
+            calls.append("get")
+            return iter(self.entries)
+
+        def appendValue(self, value):
+            calls.append(value)
+
+    processor = FirstInBucket("id", "bigint", None)
+    processor.seen = Held()
+    rows = [Row(id=n, note=str(n), _bucket=0) for n in (5, 2, None, 5, 7)]
+    assert list(processor.handleInputRows((0,), iter(rows), None)) == [(5, "5"), (7, "7")]
+    assert calls == ["get", ([5, 7],)]
+
+
 def test_ids_are_forgotten_in_time(spark, tmp_path, rocksdb):
     # With a clock there is always another batch to run, so a drained query would not end.
     name = "spark.sql.streaming.noDataMicroBatches.enabled"
