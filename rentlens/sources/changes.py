@@ -13,8 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.joins import lookup_join
-from ..operators.snapshots import latest_per_key, merge_rows
+from ..operators.joins import fits_broadcast
+from ..operators.snapshots import altered_rows, latest_per_key
+from ..session import cut_lineage
 from .tables import stored
 
 # Choose the ranges so that one holds a few hundred megabytes.
@@ -30,8 +31,8 @@ def _log(spark: SparkSession, base: str) -> list:
 
 
 def _publish(df: DataFrame, base: str, kind: str, ranges: list[int], key: list[str], n_ranges: int, version: int) -> int:
-    # One file per range and task at most; a range's rows meet in few tasks.
-    df.repartition(_RANGE).write.mode("overwrite").partitionBy(_RANGE).parquet(f"{base}/rows/version={version}")
+    # One file per range and task at most; a range's rows meet in few tasks, in more where they are many.
+    df.hint("rebalance", F.col(_RANGE)).write.mode("overwrite").partitionBy(_RANGE).parquet(f"{base}/rows/version={version}")
     row = df.sparkSession.createDataFrame([(version, kind, ranges, key, n_ranges)], _LOG)
     row.write.mode("append").parquet(f"{base}/log")
     return version
@@ -83,12 +84,17 @@ class _State:
         return rows.where(picked)
 
 
+def _by_keys(rows: DataFrame, keys: DataFrame, key: list[str], how: str) -> DataFrame:
+    """Rows of the table that have one of the keys, or have none of them. A key has one row, so none is hot."""
+    return rows.join(F.broadcast(keys) if fits_broadcast(keys) else keys, key, how)
+
+
 def _current(spark: SparkSession, base: str, state: _State) -> DataFrame:
     """Current rows with their version and range: those of the starts that no change replaces, and each key's last change."""
     starts, changes = state.part(spark, base, False), state.part(spark, base, True)
     if changes is None:
         return starts
-    kept = lookup_join(starts, changes.select(*state.key).distinct(), state.key, "left_anti")
+    kept = _by_keys(starts, changes.select(*state.key).distinct(), state.key, "left_anti")
     return kept.unionByName(latest_per_key(changes, state.key, "version"))
 
 
@@ -100,15 +106,18 @@ def current_rows(spark: SparkSession, base: str) -> DataFrame:
 def publish_changes(updates: DataFrame, base: str, order: Sequence[Column | str] = ()) -> int:
     """Merge an update: only rows that are new or altered are written.
 
-    Of updates with equal keys the last in ``order`` counts; without an order they fail. The table's rows
-    meet the update's keys before they are shuffled.
+    Of updates with equal keys the last in ``order`` counts; without an order they fail. Where the update's keys can be
+    broadcast, the table's rows meet them before they are shuffled. The update is computed once.
     """
     spark = updates.sparkSession
+    updates = cut_lineage(updates)
     state = _State(_log(spark, base))
     current = _current(spark, base, state)
     values = [c for c in current.columns if c not in (*state.key, "version", _RANGE)]
-    met = lookup_join(current, updates.select(*state.key).distinct(), state.key, "left_semi")
-    changed = merge_rows(met, updates, state.key, values, order).where(F.col("change").isin("new", "changed")).drop("change")
+    keys = updates.select(*state.key).distinct()
+    if fits_broadcast(keys):
+        current = current.join(F.broadcast(keys), state.key, "left_semi")
+    changed = altered_rows(current, updates, state.key, values, order)
     return _publish(_with_range(changed, state.key, state.n_ranges), base, "change", [], state.key, state.n_ranges, state.newest + 1)
 
 

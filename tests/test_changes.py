@@ -86,3 +86,23 @@ def test_failed_writes_empty_updates_and_repeated_keys(spark, tmp_path):
     assert held(spark, base) == {("a", 1): (8, "q")}
     C.publish_base(table(spark, {("b", 2): (1, None)}), base, ["src", "dst"], 3)
     assert held(spark, base) == {("b", 2): (1, None)}
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_an_update_is_computed_once(spark, tmp_path, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", -1)
+    base, seen = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = {("a", n): (n, None) for n in range(100)}
+    C.publish_base(table(spark, rows), base, ["src", "dst"], 3)
+    update = {("a", n): (n + n % 2, None) for n in range(50, 150)}
+    frame = table(spark, update)
+    version = C.publish_changes(frame.mapInArrow(counted, frame.schema), base)
+    # Every other of the 50 known keys is altered, and 50 are new.
+    assert seen.value == 100 and written(spark, base, version) == 75 and held(spark, base) == rows | update
