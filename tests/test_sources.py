@@ -66,6 +66,20 @@ def test_many_listings_in_many_files(spark, tmp_path):
     assert S.read_listings(spark, str(tmp_path / "out")).select("id").distinct().count() == 1500
 
 
+def test_times_in_paths(spark):
+    from rentlens.sources.readers import file_time
+
+    paths = {"file:/d/part-1/17.json": 17, "file:/d/17.json/part-000-a.c000.txt": 17, "18": 18, "/x y/part-7/019": 19}
+    times = spark.createDataFrame([(path,) for path in paths], "path string").select("path", file_time("path").alias("t"))
+    assert {r.path: r.t for r in times.collect()} == paths
+    for path in ("/d/part-17", "/d/part-17/part-1", "/d/1x.json/part-1", "/d/17.a.json", "/d//part-1", ""):
+        with pytest.raises(Exception, match="file name is not a time"):
+            spark.createDataFrame([(path,)], "path string").select(file_time("path")).collect()
+    # Only the short name meets a pattern, not every place of the path.
+    plan = times._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(path" not in plan
+
+
 def test_written_arrays_are_bounded(monkeypatch):
     from rentlens.sources import tables
 
