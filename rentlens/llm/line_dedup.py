@@ -22,10 +22,12 @@ hashes, so no line or group is ever gathered.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from ..operators.joins import lookup_join, spread_join
+from ..operators.joins import fits_broadcast, lookup_join, possible, sieved_join, spread_join
 from ..session import cut_lineage
 
 DEPTH = 3
@@ -42,6 +44,8 @@ COPY_PERCENT = 30
 HELD_PERCENT = 60
 # Of a template's tokens at least this many percent are constant.
 CONSTANT_PERCENT = 80
+# A key's largest texts, which are compared before all others are.
+LEADING = 8
 # Copies of one text that one task takes for the join of its dropped lines.
 ROWS_PER_SALT = 20_000
 _MASK = "<*>"
@@ -92,9 +96,16 @@ def _in_documents(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def _sketches(df: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
-    """row_hash, sketch of the given texts: their lowest (hash of neighbouring tokens, hash of their line), as one number each."""
+    """row_hash, sketch of the given texts: their lowest (hash of neighbouring tokens, hash of their line), as one number each.
+
+    There may be sketches of other texts too. No text is shuffled.
+    """
     text = _text(text_col)
-    wanted = lookup_join(df.select(F.xxhash64(text).alias("row_hash"), text.alias("text")), texts, "row_hash", "left_semi")
+    rows = df.select(F.xxhash64(text).alias("row_hash"), text.alias("text"))
+    if fits_broadcast(texts):
+        wanted = rows.join(F.broadcast(texts), "row_hash", "left_semi")
+    else:
+        wanted = possible(rows, texts, ["row_hash"], "wanted").where("wanted")
     trimmed = F.transform(F.split(_spaced(F.col("text")), "\n"), lambda line: F.trim(line))
     lines = F.transform(F.filter(trimmed, lambda line: line != ""),
                         lambda line: F.struct(F.split(line, " ").alias("tokens"), F.hash(line).cast("long").bitwiseAND(0xFFFFFFFF).alias("line")))
@@ -107,7 +118,7 @@ def _sketches(df: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
 
 def _copies(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """Those pairs (row_hash, first) that are copies."""
-    firsts = sketches.join(pairs.select(F.col("first").alias("row_hash")).distinct(), "row_hash", "left_semi")
+    firsts = sieved_join(sketches, pairs.select(F.col("first").alias("row_hash")).distinct(), "row_hash", "left_semi")
     known = cut_lineage(firsts.select(F.col("row_hash").alias("first"), F.col("sketch").alias("other")))
     both = lookup_join(pairs.join(sketches, "row_hash"), known, "first").withColumn(
         "lowest", F.slice(F.sort_array(F.array_union("sketch", "other")), 1, SKETCH))
@@ -133,23 +144,44 @@ def _enough(found: DataFrame, least: int) -> DataFrame:
     return cut_lineage(lookup_join(texts, enough, "key"))
 
 
-def _recurring(left: DataFrame, sketches: DataFrame, least: int) -> DataFrame:
-    """The keys of ``left`` in at least so many texts no two of which are copies.
+def _unlike(left: DataFrame, sketches: DataFrame) -> DataFrame:
+    """least, key of those in ``least`` texts no two of which are copies.
 
     Of each key the largest text (then that of the highest hash) is taken and its copies are left out, until
     enough are taken. A text that holds little but the key comes late, so it does not stand for all others.
     """
-    for _ in range(least - 1):
-        first = cut_lineage(left.groupBy("key").agg(F.max(F.struct("row_size", "row_hash"))["row_hash"].alias("first")))
-        beside = cut_lineage(lookup_join(left, first, "key").where(F.col("row_hash") != F.col("first")))
-        copies = cut_lineage(_copies(beside.select("row_hash", "first").distinct(), sketches))
-        left = cut_lineage(lookup_join(beside, copies, ["row_hash", "first"], "left_anti").select("key", "row_size", "row_hash"))
-    return cut_lineage(left.select("key").distinct())
+    found = []
+    for enough in range(2, MIN_DOCUMENTS + 1):
+        first = cut_lineage(left.groupBy("least", "key").agg(F.max(F.struct("row_size", "row_hash"))["row_hash"].alias("first")))
+        beside = cut_lineage(lookup_join(left, first, ["least", "key"]).where(F.col("row_hash") != F.col("first")))
+        copies = cut_lineage(_copies(cut_lineage(beside.select("row_hash", "first").distinct()), sketches))
+        left = cut_lineage(lookup_join(beside, copies, ["row_hash", "first"], "left_anti").select(*left.columns))
+        found.append(left.where(F.col("least") == enough).select("least", "key").distinct())
+        left = left.where(F.col("least") > enough)
+    return cut_lineage(functools.reduce(DataFrame.unionByName, found))
+
+
+def _recurring(df: DataFrame, holders: DataFrame, text_col: str) -> DataFrame:
+    """least, key of the keys of ``holders`` (least, key, row_size, row_hash) in ``least`` texts no two of which are copies.
+
+    Texts are taken from the largest on, so a key that has enough among its first few needs no more of them;
+    only of the other keys all texts are compared.
+    """
+    def found(held: DataFrame) -> DataFrame:
+        return _unlike(held, cut_lineage(_sketches(df, cut_lineage(held.select("row_hash").distinct()), text_col)))
+
+    order = Window.partitionBy("least", "key").orderBy(F.desc("row_size"), F.desc("row_hash"))
+    leading = found(cut_lineage(holders.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADING).drop("n")))
+    more = holders.groupBy("least", "key").count().where(F.col("count") > LEADING).drop("count")
+    undecided = cut_lineage(more.join(leading, ["least", "key"], "left_anti"))
+    if undecided.isEmpty():
+        return leading
+    return cut_lineage(leading.unionByName(found(cut_lineage(lookup_join(holders, undecided, ["least", "key"])))))
 
 
 def _patterns(df: DataFrame, lines: DataFrame, leaves: DataFrame, text_col: str) -> DataFrame:
     """leaf, pattern, masked, some: the distinct masked lines of the leaves, with the first few texts of each."""
-    texts = lookup_join(lines.select("leaf", "pattern", "row_hash", "line_no"), leaves, "leaf").groupBy(
+    texts = sieved_join(lines.select("leaf", "pattern", "row_hash", "line_no"), leaves, "leaf").groupBy(
         "leaf", "pattern", "row_hash").agg(F.min("line_no").alias("line_no"))
     order = Window.partitionBy("leaf", "pattern").orderBy("row_hash")
     some = cut_lineage(
@@ -158,8 +190,10 @@ def _patterns(df: DataFrame, lines: DataFrame, leaves: DataFrame, text_col: str)
     # Equal patterns are read in one place only, so few texts are cut into lines again.
     at = cut_lineage(some.select("leaf", "pattern", "at.row_hash", "at.line_no"))
     text = _text(text_col)
-    held = lookup_join(df.select(F.xxhash64(text).alias("row_hash"), text.alias("text")), at.select("row_hash").distinct(), "row_hash", "left_semi")
-    inner = lookup_join(_lines(held, "text").select("row_hash", "line_no", "line"), at, ["row_hash", "line_no"])
+    rows, read = df.select(F.xxhash64(text).alias("row_hash"), text.alias("text")), cut_lineage(at.select("row_hash").distinct())
+    # A text too many does no harm here, so no text is shuffled.
+    held = rows.join(F.broadcast(read), "row_hash", "left_semi") if fits_broadcast(read) else possible(rows, read, ["row_hash"], "held").where("held")
+    inner = sieved_join(_lines(held, "text").select("row_hash", "line_no", "line"), at, ["row_hash", "line_no"])
     masked = inner.groupBy("leaf", "pattern").agg(F.min(_masked(F.col("line"))).alias("masked"))
     return cut_lineage(masked.join(some.drop("at"), ["leaf", "pattern"]))
 
@@ -185,7 +219,7 @@ def _templates(df: DataFrame, hashed: DataFrame, text_col: str) -> DataFrame:
              F.sum("constant").alias("constant"), F.count(F.lit(1)).alias("n"))
         .where(F.col("constant") * 100 >= F.col("n") * CONSTANT_PERCENT)
         .select("leaf", "pattern", F.xxhash64("leaf", "high", "low").alias("key")))
-    return cut_lineage(lookup_join(lines, keys, ["leaf", "pattern"]).select("row_size", "row_hash", "line_no", "key"))
+    return cut_lineage(sieved_join(lines, keys, ["leaf", "pattern"]).select("row_size", "row_hash", "line_no", "key"))
 
 
 def _passages(hashed: DataFrame) -> DataFrame:
@@ -198,7 +232,7 @@ def _passages(hashed: DataFrame) -> DataFrame:
         hashed.groupBy("line_hash").agg(F.min("row_hash").alias("least"), F.max("row_hash").alias("most"))
         .where(F.col("least") != F.col("most")).select("line_hash"))
     # Rows that repeat a text are one.
-    inner = lookup_join(hashed, shared, "line_hash").dropDuplicates(["row_size", "row_hash", "place"])
+    inner = sieved_join(hashed, shared, "line_hash").dropDuplicates(["row_size", "row_hash", "place"])
     row = Window.partitionBy("row_size", "row_hash").orderBy("place")
     line = F.struct("place", "line_no", "size", "line_hash", "upto")
     # A line has a token at least, so this many lines are enough.
@@ -226,10 +260,11 @@ def recurring_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
         F.when(F.col("size") >= MIN_TOKENS, F.xxhash64(_masked(F.col("line")))).alias("pattern")))
     templates, passages = _templates(df, hashed, text_col), _passages(hashed)
     several, twice = _enough(templates, MIN_DOCUMENTS), _enough(passages, 2)
-    holders = cut_lineage(several.select("row_hash").unionByName(twice.select("row_hash")).distinct())
-    sketches = cut_lineage(_sketches(df, holders, text_col))
-    alone = lookup_join(templates, _recurring(several, sketches, MIN_DOCUMENTS), "key", "left_semi")
-    runs = lookup_join(passages, _recurring(twice, sketches, 2), "key", "left_semi")
+    holders = cut_lineage(
+        several.select(F.lit(MIN_DOCUMENTS).alias("least"), "*").unionByName(twice.select(F.lit(2).alias("least"), "*")))
+    keys = _recurring(df, holders, text_col)
+    alone = lookup_join(templates, keys.where(F.col("least") == MIN_DOCUMENTS).select("key"), "key", "left_semi")
+    runs = lookup_join(passages, keys.where(F.col("least") == 2).select("key"), "key", "left_semi")
     return alone.select("row_size", "row_hash", "line_no").unionByName(
         runs.select("row_size", "row_hash", F.explode("numbers").alias("line_no"))).distinct()
 
@@ -237,12 +272,16 @@ def recurring_lines(df: DataFrame, text_col: str = "text") -> DataFrame:
 def _cleaned(df: DataFrame, text_col: str) -> DataFrame:
     """row (all columns), cleaned text, and counts of lines and of dropped ones."""
     # Numbers of one text's own lines: bounded by the text.
-    dropped = recurring_lines(df, text_col).groupBy("row_size", "row_hash").agg(F.sort_array(F.collect_set("line_no")).alias("numbers"))
+    dropped = cut_lineage(
+        recurring_lines(df, text_col).groupBy("row_size", "row_hash").agg(F.sort_array(F.collect_set("line_no")).alias("numbers")))
     plain = [F.col(f"`{field.name}`") for field in df.schema if not isinstance(field.dataType, (ArrayType, MapType, StructType))]
     rows = df.select(F.struct(*[F.col(f"`{column}`") for column in df.columns]).alias("row"), *_identity(_text(text_col)),
                      F.xxhash64(*plain).alias("spread"))
-    # A shuffle at every size: how much is dropped does not change the plan. Copies of one text spread.
-    joined = spread_join(rows, dropped.hint("merge"), ["row_size", "row_hash"], "left", ROWS_PER_SALT, ["spread"])
+    # A shuffle at every size: how much is dropped does not change the plan. Copies of one text spread, and most rows that lose nothing stay where they are.
+    sieve = possible(rows, dropped, ["row_size", "row_hash"], "possible")
+    joined = spread_join(sieve.where("possible"), dropped.hint("merge"), ["row_size", "row_hash"], "left", ROWS_PER_SALT, ["spread"])
+    joined = joined.select("row", "numbers").unionByName(
+        sieve.where("NOT possible").select("row", F.lit(None).cast(dropped.schema["numbers"].dataType).alias("numbers")))
     raw = F.col("row")[text_col]
     lines = F.split(F.coalesce(raw.cast("string"), F.lit("")), "\n")
     numbered = F.transform(lines, lambda line, n: F.struct(line.alias("line"), n.alias("n")))

@@ -1,10 +1,14 @@
 """Recurring lines, and the pipeline stage by stage beside plain versions."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rentlens.llm import line_dedup, minhash, pii
 from rentlens.llm.language import UNDECIDED
+from rentlens.operators import joins
 from test_copies import by_hand
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -85,6 +89,62 @@ def test_numeric_rows_are_not_one_template(spark):
     assert found == dict(rows + tables)
 
 
+def test_few_texts_of_a_line_in_many_are_compared(spark, monkeypatch):
+    compared, copies = [], line_dedup._copies
+
+    def counted(pairs, sketches):
+        compared.append(pairs.count())
+        return copies(pairs, sketches)
+
+    monkeypatch.setattr(line_dedup, "_copies", counted)
+    own = [words(f"own{chr(97 + n // 26)}{chr(97 + n % 26)}", 20 + n) for n in range(40)]
+    rows = [(n, f"{text}\nAll rights are held by the House of Lines") for n, text in enumerate(own)]
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(documents(spark, rows)).collect()}
+    assert found == dict(enumerate(own)) and sum(compared) < 40
+
+
+@pytest.mark.parametrize("others", [2, 3])
+def test_all_texts_are_compared_if_the_largest_are_copies(spark, others):
+    line = "All rights are held by the House of Lines"
+    near = [f"{words('near', 200)} {'x' * n}\n{line}" for n in range(30)]
+    own = [words(f"own{chr(97 + n)}", 20) for n in range(others)]
+    rows = list(enumerate([*near, *(f"{text}\n{line}" for text in own)]))
+    found = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(documents(spark, rows)).collect()}
+    # The copies count as one text, so with three others there are four.
+    assert found == {n: text if others < 3 else text[:-len(line) - 1] for n, text in rows}
+
+
+@pytest.fixture
+def nothing_fits(monkeypatch):
+    """As with tables of keys that are too large to broadcast."""
+    for module in (joins, line_dedup):
+        monkeypatch.setattr(module, "fits_broadcast", lambda *_, **__: False, raising=False)
+
+
+def test_texts_are_sketched_without_a_shuffle_of_them(spark, nothing_fits):
+    import contextlib
+    import io
+
+    docs, plan = documents(spark, [(n, own) for n, own in enumerate(lengths(7))]), io.StringIO()
+    texts = docs.where("doc_id < 3").select(F.xxhash64("text").alias("row_hash"))
+    sketches = line_dedup._sketches(docs, texts, "text")
+    with contextlib.redirect_stdout(plan):
+        sketches.explain("formatted")
+    shuffled = [part for part in plan.getvalue().split("\n\n") if re.search(r"^\(\d+\) Exchange", part, re.M)]
+    assert shuffled and not any("text#" in part for part in shuffled)
+    assert {r[0] for r in texts.collect()} <= {r["row_hash"] for r in sketches.collect()}
+
+
+def test_recurring_lines_of_many_keys_are_those_of_few(spark, rows, request):
+    docs = spark.read.parquet(f"{SMALLEST}/documents.parquet")
+    odd = documents(spark, [(None, None), (1, ""), (1, "x y z\n\n")]).select("doc_id", "text")
+    docs = docs.select("doc_id", "text").unionByName(docs.where("doc_id % 5 = 0").select("doc_id", "text")).unionByName(odd)
+    few = rows(line_dedup.line_dedup(docs))
+    assert len(few) == docs.count() and any(row[2] for row in few)
+    request.getfixturevalue("nothing_fits")
+    assert rows(line_dedup.line_dedup(docs)) == few
+
+
 def test_lines_of_odd_rows(spark):
     rows = [(None, "a b c\n\n"), (1, None), (2, ""), (3, "x y z"), (3, "x y z"), (4, "word " * 40_000)]
     found = sorted((tuple(r) for r in line_dedup.line_dedup(documents(spark, rows)).collect()), key=repr)

@@ -30,6 +30,25 @@ def test_spread_join_equals_plain_join(facts, dim, rows, how):
     assert rows(joins.lookup_join(facts, dim, "k", how, max_rows=3)) == expected
 
 
+@pytest.mark.parametrize("bitmaps", [1, 4096])
+def test_sieve_keeps_every_key_and_few_others(spark, monkeypatch, bitmaps):
+    monkeypatch.setattr(joins, "BITMAPS", bitmaps)
+    wide = spark.range(60_000).select((F.col("id") % 20_000).alias("k"), F.col("id").alias("v"))
+    keys = spark.range(0, 10_000).select(F.col("id").cast("int").alias("k"))
+    flagged = joins.possible(wide, keys, ["k"], "flag")
+    assert flagged.columns == ["k", "v", "flag"] and flagged.count() == 60_000
+    of_keys, others = (flagged.where(F.col("k").between(0, 9_999) == inside).where("flag") for inside in (True, False))
+    assert of_keys.count() == 30_000 and others.count() < (15_000 if bitmaps == 1 else 4_000)
+    assert joins.possible(wide, keys.limit(0), ["k"], "flag").where("flag").count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+@pytest.mark.parametrize("fits", [True, False])
+def test_sieved_join_equals_plain_join(facts, dim, rows, monkeypatch, how, fits):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda *_, **__: fits)
+    assert rows(joins.sieved_join(facts, dim, "k", how)) == rows(facts.join(dim, ["k"], how))
+
+
 def test_hot_key_is_spread(spark, facts, dim):
     # Keep the shuffle's own partitions apart, small as they are here.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
