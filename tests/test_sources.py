@@ -414,3 +414,31 @@ def test_journey_results_are_stored_compressed_in_many_files(spark, tmp_path, mo
     files = sorted(file.name for file in (tmp_path / "results").glob("part-*"))
     assert len(files) == 10 and all(name.endswith(".gz") for name in files)
     assert spark.read.schema("id long").json(str(tmp_path / "results")).distinct().count() == 100
+
+
+def test_journeys_split_in_one_frame_have_the_same_verdicts(spark, tmp_path, rows):
+    timeless, nameless, wrong = journey_result(), journey_result(), journey_result()
+    del timeless["journeys"][0]["duration"]
+    nameless["journeys"][0]["legs"][1]["arrivalPoint"] = {}
+    wrong["journeys"][0]["duration"] = "long"
+    texts = [json.dumps(result) for result in (journey_result(), timeless, nameless, wrong, journey_result(), {"lines": []})] + ["", "{"]
+    path = put(tmp_path / "l.json", "\n".join(texts))
+    good, bad = S.split_journeys(spark, path)
+    both = S.split_journeys(spark, path, apart=False)
+    assert (good.count(), bad.count(), both.count()) == (2, 6, 8)
+    assert rows(both.where("problem is null").select(*good.columns)) == rows(good)
+    assert rows(both.where("problem is not null").select("record", "problem")) == rows(bad)
+    assert sorted(row.record for row in both.select("record").collect()) == sorted(texts)
+
+
+def test_broken_journey_records_are_counted_in_one_pass(spark, tmp_path):
+    from rentlens.plans.queries import QUERIES
+
+    keys = [(17,), (19,), (23,), (38,), (1,), (2,), (None,)]
+    lines = spark.createDataFrame(keys, "l_partkey long").selectExpr(
+        "1L as l_orderkey", "1 as l_linenumber", "l_partkey", "3L as l_suppkey", "timestamp '2024-06-03 08:00:00' as l_shipdate")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = QUERIES["bad_journeys"](spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert {row.problem: row.records for row in found.collect()} == {
+        "good": 2, "unreadable": 2, "without a journey's times, duration, legs or fare": 2, "without a leg's stop names": 1}
